@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.llm import bpe_count
+from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.packing import pack
 from lodewatch.llm.substring_dedup import substring_dedup
 
@@ -43,3 +44,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, with_ids=False)
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
