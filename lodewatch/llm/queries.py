@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lodewatch.llm import bpe_count
 from lodewatch.llm.minhash import near_duplicates
+from lodewatch.llm.outliers import quality_rules
 from lodewatch.llm.packing import pack
+from lodewatch.llm.quality import quality
 from lodewatch.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +51,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
