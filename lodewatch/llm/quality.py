@@ -21,23 +21,23 @@ from lodewatch.llm.textstats import text_counts
 SHRINKAGE, LEAST_VARIANCE = 0.1, 1e-3
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.log1p(100.0 * F.col(part) / (F.col(whole) + 1.0))
+#: Ordinary words, characters and lines that each text is thought to have besides its own, so that short texts don't scatter.
+WORDS, CHARS, LINES = 30.0, 180.0, 3.0
 
 
 def statistics() -> dict[str, Column]:
-    """The transformed statistics, of the counts of one text; all are 0 or near it for an empty text."""
+    """The transformed statistics, of the counts of one text."""
+    share = lambda part, whole, more: F.log1p(100.0 * F.col(part) / (F.col(whole) + more))
     return {
-        "x_length": F.log1p("n_words"),
-        "x_word": F.log((F.col("word_chars") + 1.0) / (F.col("n_words") + 1.0)),
-        "x_symbols": _share("n_symbols", "n_chars"),
-        "x_repeats": _share("n_repeat_words", "n_words"),
-        "x_same": _share("n_same_next", "n_words"),
-        "x_upper": _share("n_upper", "n_chars"),
-        "x_exclaim": _share("n_exclaim", "n_words"),
-        "x_distinct": F.col("n_distinct") / (F.col("n_words") + 1.0),
-        "x_lines": _share("n_dup_lines", "n_lines"),
-        "x_punct": _share("n_punct", "n_chars"),
+        "x_word": F.log((F.col("word_chars") + 5.0 * WORDS) / (F.col("n_words") + WORDS)),
+        "x_symbols": share("n_symbols", "n_chars", CHARS),
+        "x_repeats": share("n_repeat_words", "n_words", WORDS),
+        "x_same": share("n_same_next", "n_words", WORDS),
+        "x_upper": share("n_upper", "n_chars", CHARS),
+        "x_exclaim": share("n_exclaim", "n_words", WORDS),
+        "x_distinct": (F.col("n_distinct") + 0.8 * WORDS) / (F.col("n_words") + WORDS),
+        "x_lines": share("n_dup_lines", "n_lines", LINES),
+        "x_punct": share("n_punct", "n_chars", CHARS),
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.llm import bpe_count
+from lodewatch.llm.fuzzyhash import fingerprints
 from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import quality_rules
 from lodewatch.llm.packing import pack
@@ -61,3 +62,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
