@@ -12,7 +12,6 @@ them are merged alone, and counts of such runs are remembered.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -23,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodewatch.llm.common import id_and_text
+from lodewatch.llm.pieces import SPACE, PieceModel, piece_model
 
-SPACE = "\u2581"
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Word counts that a worker remembers; beyond, it starts anew. A matter of speed alone.
 MEMORY = 800_000
 
@@ -35,29 +33,12 @@ _counters: dict[str, "PieceCounter"] = {}
 class PieceCounter:
     """Counts the tokens that a SentencePiece BPE model makes of a text."""
 
-    def __init__(self, model_bytes: bytes) -> None:
-        from sentencepiece import sentencepiece_model_pb2
-
-        model = sentencepiece_model_pb2.ModelProto()
-        model.ParseFromString(model_bytes)
-        norm = model.normalizer_spec
-        if model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback:
-            raise ValueError("a BPE model with byte fallback is needed")
-        if norm.name != "identity" or norm.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models that leave texts as they are can be counted here")
-        if any(p.type in (USER_DEFINED, UNUSED) for p in model.pieces):
-            raise ValueError("models with user-defined or unused pieces are not supported")
-        self.prefix = norm.add_dummy_prefix
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
         # Equal scores share a rank, so that the leftmost of them goes first.
-        pieces = [(p.piece, p.score) for p in model.pieces if p.type == NORMAL]
-        order = {s: i for i, s in enumerate(sorted({s for _, s in pieces}, reverse=True))}
-        self.rank = {p: order[s] for p, s in pieces}
-        self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
-        self.longest = max(map(len, self.rank), default=0)
+        order = {s: i for i, s in enumerate(sorted(set(model.scores.values()), reverse=True))}
+        self.rank = {p: order[s] for p, s in model.scores.items()}
         self._known: dict[str, int] = {}
-        # A line feed that no piece holds never merges either.
-        feed = "" if any("\n" in p for p in self.rank) else "\n"
-        self._runs = re.compile(f"{feed}| *[^ {feed}]+| +" if feed else " *[^ ]+| +")
 
     def merged(self, run: str) -> int:
         """The tokens of a run of characters, in which spaces are marked already."""
@@ -86,13 +67,8 @@ class PieceCounter:
         return n - merges + sum(len(c.encode()) - 1 for c in symbol if c is not None and len(c) == 1 and c not in rank)
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        text = (" " + text if self.prefix else text).replace(SPACE, " ")
-        if not self.apart:
-            return self.merged(text.replace(" ", SPACE))
         known, total = self._known, 0
-        for run, times in Counter(self._runs.findall(text)).items():
+        for run, times in Counter(self.model.runs(text)).items():
             n = known.get(run)
             if n is None:
                 n = self.merged(run.replace(" ", SPACE))
@@ -106,8 +82,7 @@ class PieceCounter:
 
 def counter(model_path: str) -> PieceCounter:
     if model_path not in _counters:
-        with open(model_path, "rb") as f:
-            _counters[model_path] = PieceCounter(f.read())
+        _counters[model_path] = PieceCounter(piece_model(model_path))
     return _counters[model_path]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewatch.llm import bpe_count
+from lodewatch.llm import bpe_count, piece_sampling
 from lodewatch.llm.fuzzyhash import fingerprints
 from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import quality_rules
@@ -67,3 +67,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "\u2581", " "), 256))
+    ids = piece_sampling.encode(docs, PIECE_MODEL, carry=("sha",))
+    back = piece_sampling.decode(ids, PIECE_MODEL)
+    return back.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.sha2("text", 256) == F.col("sha")).alias("lossless"))
