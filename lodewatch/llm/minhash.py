@@ -7,12 +7,14 @@ hashes at a time, and dropped once the posterior probability that it reaches
 the threshold is under the chosen miss probability.  Survivors are verified on
 their full shingle sets.
 
-Candidates come in three rounds, after each of which components are known and
-pairs inside a component need no look: each class with the pivot (smallest
-class) that it shares most buckets with; with its other pivots; at last, in
-buckets that still hold several components, all pairs across components.  So a
-group of near copies is linked by about one verified pair per member, and no
-candidate link between different components is left out.
+Candidates come in rounds, after each of which components are known and pairs
+inside a component need no look.  First each class is compared with the pivot
+(smallest class) that it shares most buckets with.  Then buckets that still hold
+several components are compared in blocks of bounded size, signature against
+signature, and only what survives leaves a block: in the second round the
+likest class of each other component, in the third whatever is left.  So a group
+of near copies is linked by a few verified pairs per member, and no candidate
+link between different components is left out.
 """
 
 from __future__ import annotations
@@ -129,6 +131,46 @@ def _pruned(threshold: float, n: int):
     return survives
 
 
+#: Classes of a bucket in a block.
+BLOCK = 1500
+
+
+def _compared(threshold: float, percent: int, n: int, best_only: bool):
+    """Pairs across components within a block, or between two, that survive the sequential comparison."""
+    looks = [(m, least_matches(threshold, m)) for m in range(BATCH, n + 1, BATCH)]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        ids, size, group, block = (rows.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+        x = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+        found = []
+        for i in range(len(ids)):
+            other = np.arange(i + 1, len(ids)) if p == q else np.flatnonzero(block == q) if block[i] == p else np.empty(0, np.int64)
+            other = other[(group[other] != group[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            matches = np.zeros(len(other), np.int64)
+            for m, least in looks:
+                if not len(other):
+                    break
+                matches += (x[other, m - BATCH : m] == x[i, m - BATCH : m]).sum(axis=1)
+                alive = matches >= least
+                other, matches = other[alive], matches[alive]
+            if len(other):
+                found.append(np.stack([np.full(len(other), i), other, matches]))
+        i, j, matches = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        if best_only and len(i):
+            keep = np.zeros(len(i), bool)
+            for one, two in ((i, j), (j, i)):
+                order = np.lexsort((ids[two], -matches, group[two], ids[one]))
+                first = np.ones(len(order), bool)
+                first[1:] = (ids[one][order][1:] != ids[one][order][:-1]) | (group[two][order][1:] != group[two][order][:-1])
+                keep[order[first]] = True
+            i, j = i[keep], j[keep]
+        a, b = ids[i], ids[j]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return compare
+
+
 def shingle_set(text: str, k: int) -> set:
     words = text.encode().lower().split()
     if len(words) < k:
@@ -194,39 +236,32 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     bodies = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(linked.select("id", "signature").dropDuplicates(["id"]), "id"), "bodies")
     survives = _pruned(threshold, n_bands * rows)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, pruned: bool) -> DataFrame:
         pairs = pairs.select("a", "b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(bodies.select(F.col("id").alias(side), F.col("signature").alias(f"s_{side}")), side)
-        pairs = written(pairs.where(survives("s_a", "s_b")).select("a", "b"), "survivors")
+        if not pruned:
+            for side in ("a", "b"):
+                pairs = pairs.join(bodies.select(F.col("id").alias(side), F.col("signature").alias(f"s_{side}")), side)
+            pairs = written(pairs.where(survives("s_a", "s_b")).select("a", "b"), "survivors")
         for side in ("b", "a"):
             pairs = pairs.join(bodies.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side)
         return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified(words, percent), "a long, b long"), "links")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shares", -F.col("a"))).alias("a"))
-    links = verify(best)
+    links = verify(best, False)
     found = components(links)
-    tried = best
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        for side in ("a", "b"):
-            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-        return pairs.where("c_a <> c_b").select("a", "b")
-
-    rest = written(across(stars.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(verify(rest))
-        found = components(links)
-    labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_ = written(labelled.join(open_, "bucket", "left_semi"), "open")
-    one = open_.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
-    pairs = written(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(verify(pairs))
+    for best_only in (True, False):
+        labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        open_ = labelled.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        # A class goes to each pair of blocks that its own is in.
+        open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_ = open_.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
+        open_ = open_.join(bodies.select("id", "signature"), "id")
+        pairs = written(open_.groupBy("bucket", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows, best_only), "a long, b long").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(verify(pairs, True))
         found = components(links)
 
     of_class = classes.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
