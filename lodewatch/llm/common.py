@@ -7,8 +7,11 @@ by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables made within ``scratch``, and whether one is open.
+_scratch: list[str] = []
+_open = False
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new table in the shared folder, and read again.
 
@@ -42,9 +50,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodewatch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """For a stage whose result is written before the next stage is called.
+
+    Deletes the tables that the stages before left in the shared folder, and
+    lets Spark drop their shuffle files, unless ``docs`` still reads from them.
+    """
+    global _open
+    if _scratch and not any(path.split("/lodewatch/")[-1] in f for f in docs.inputFiles() for path in _scratch):
+        jvm = spark.sparkContext._jvm
+        for path in _scratch:
+            to = jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+        _scratch.clear()
+        gc.collect()
+        jvm.System.gc()
+    _open = True
+    try:
+        yield
+    finally:
+        _open = False
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
