@@ -8,51 +8,29 @@ by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewatch import shared
+
 #: Stands for a missing grouping value; no language or source is called this.
 NO_VALUE = "\x00"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The session's ``spark.checkpoint.dir`` is used as it is.  Only where it is
-    unset, as in tests, a temporary folder is made and noted in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("lodewatch.own.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="lodewatch-")
-        spark.conf.set("lodewatch.own.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Tables made within ``scratch``, and whether one is open.
 _scratch: list[str] = []
 _open = False
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table in the shared folder, and read again.
-
-    Cuts the lineage: a lost executor costs a re-read and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodewatch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``shared.written``, which ``scratch`` keeps account of."""
+    out = shared.written(df, name)
     if _open:
-        _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        _scratch.extend({f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    return out
 
 
 @contextmanager
@@ -63,7 +41,7 @@ def scratch(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
     lets Spark drop their shuffle files, unless ``docs`` still reads from them.
     """
     global _open
-    if _scratch and not any(path.split("/lodewatch/")[-1] in f for f in docs.inputFiles() for path in _scratch):
+    if _scratch and not set(_scratch) & {f.rsplit("/", 1)[0] for f in docs.inputFiles()}:
         jvm = spark.sparkContext._jvm
         for path in _scratch:
             to = jvm.org.apache.hadoop.fs.Path(path)
