@@ -46,11 +46,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words that repeat an earlier one; texts that lose none stay as they are."""
     with scratch(spark, docs):
-        carried = docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").alias("whole"))
-        out = substring_dedup(carried, words=13, carry=("lang", "source", "n_chars", "whole"))
-        text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
+        out = substring_dedup(docs.select(*COLUMNS), words=13, carry=("lang", "source", "n_chars"), verbatim=True)
         n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+        return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

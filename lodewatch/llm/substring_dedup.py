@@ -98,11 +98,12 @@ def _unpacked_ids(body: bytes, n: int) -> np.ndarray:
     return np.frombuffer(body, np.int64, offset=8)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13, seed: int = 7, carry: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13, seed: int = 7, carry: Sequence[str] = (), verbatim: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Removes each word that lies in a window of ``words`` words which also starts in a row of a smaller id.
 
     Returns the id, the ``carry`` columns, ``n_words``, ``n_removed``,
-    ``kept_text`` (kept words joined by a space) and ``repeats`` (start and
+    ``kept_text`` (kept words joined by a space; with ``verbatim``, a text that
+    loses none stays as it is) and ``repeats`` (start and
     length in words of each maximal run that was removed), a row for each row.
     Windows are judged on the input.  Null and empty texts have no words; texts
     under ``words`` words lose none.  A null id counts as later than any other.
@@ -178,7 +179,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = written(asked.groupBy("bucket").applyInArrow(answer_windows, MESSAGE).select("block", "h"), "repeats")
 
     def remove(state: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [_removed(unpacked(body.as_py()), [np.frombuffer(v.as_buffer(), np.uint64) for v in answers.column("h")], words, seed) for body in state.column("body")]
+        parts = [_removed(unpacked(body.as_py()), [np.frombuffer(v.as_buffer(), np.uint64) for v in answers.column("h")], words, seed, verbatim) for body in state.column("body")]
         return pa.Table.from_batches(parts, schema=parts[0].schema if parts else arrow)
 
     carried = [df.schema[c] for c in carry]
@@ -191,7 +192,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "n_words", "n_removed", "kept_text", "repeats")
 
 
-def _removed(rows: pa.RecordBatch, earlier: list[np.ndarray], words: int, seed: int) -> pa.RecordBatch:
+def _removed(rows: pa.RecordBatch, earlier: list[np.ndarray], words: int, seed: int, verbatim: bool) -> pa.RecordBatch:
     """What is left of each text of a block; earlier: windows that an earlier document of another block has."""
     data, offsets = buffers(rows.column(1))
     chunk, ids = Chunk(data, offsets), _ids(rows)
@@ -218,7 +219,11 @@ def _removed(rows: pa.RecordBatch, earlier: list[np.ndarray], words: int, seed:
     )
     whole, texts = data.tobytes(), []
     for d in range(chunk.n_docs):
-        found = whole[offsets[d] : offsets[d + 1]].split()
+        text = whole[offsets[d] : offsets[d + 1]]
+        if verbatim and not n_removed[d]:
+            texts.append(text)
+            continue
+        found = text.split()
         if n_removed[d]:
             keep = ~gone[chunk.first[d] : chunk.first[d + 1]]
             found = [found[i] for i in np.flatnonzero(keep)]
