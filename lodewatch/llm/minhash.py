@@ -7,14 +7,15 @@ hashes at a time, and dropped once the posterior probability that it reaches
 the threshold is under the chosen miss probability.  Survivors are verified on
 their full shingle sets.
 
-Candidates come in rounds, after each of which components are known and pairs
-inside a component need no look.  First each class is compared with the pivot
-(smallest class) that it shares most buckets with.  Then buckets that still hold
-several components are compared in blocks of bounded size, signature against
-signature, and only what survives leaves a block: in the second round the
-likest class of each other component, in the third whatever is left.  So a group
-of near copies is linked by a few verified pairs per member, and no candidate
-link between different components is left out.
+Candidates come in two rounds, after each of which components are known.  First
+each class is compared with the pivot (smallest class) that it shares most
+buckets with.  Then buckets that still hold several components are compared in
+blocks of bounded size: signature against signature, survivors by the hashes of
+their whole shingle sets, each pair in the first bucket that it shares.  A block
+joins what is certainly similar as it goes and skips what is joined, so it gives
+a link for each class at most, besides pairs that the hashes leave in doubt.
+Every link is verified on the texts at last.  No candidate link between
+different components is left out, and no group is spread into all its pairs.
 """
 
 from __future__ import annotations
@@ -131,46 +132,6 @@ def _pruned(threshold: float, n: int):
     return survives
 
 
-#: Classes of a bucket in a block.
-BLOCK = 1500
-
-
-def _compared(threshold: float, percent: int, n: int, best_only: bool):
-    """Pairs across components within a block, or between two, that survive the sequential comparison."""
-    looks = [(m, least_matches(threshold, m)) for m in range(BATCH, n + 1, BATCH)]
-
-    def compare(rows: pa.Table) -> pa.Table:
-        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        ids, size, group, block = (rows.column(c).to_numpy() for c in ("id", "n", "component", "block"))
-        x = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-        found = []
-        for i in range(len(ids)):
-            other = np.arange(i + 1, len(ids)) if p == q else np.flatnonzero(block == q) if block[i] == p else np.empty(0, np.int64)
-            other = other[(group[other] != group[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
-            matches = np.zeros(len(other), np.int64)
-            for m, least in looks:
-                if not len(other):
-                    break
-                matches += (x[other, m - BATCH : m] == x[i, m - BATCH : m]).sum(axis=1)
-                alive = matches >= least
-                other, matches = other[alive], matches[alive]
-            if len(other):
-                found.append(np.stack([np.full(len(other), i), other, matches]))
-        i, j, matches = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-        if best_only and len(i):
-            keep = np.zeros(len(i), bool)
-            for one, two in ((i, j), (j, i)):
-                order = np.lexsort((ids[two], -matches, group[two], ids[one]))
-                first = np.ones(len(order), bool)
-                first[1:] = (ids[one][order][1:] != ids[one][order][:-1]) | (group[two][order][1:] != group[two][order][:-1])
-                keep[order[first]] = True
-            i, j = i[keep], j[keep]
-        a, b = ids[i], ids[j]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return compare
-
-
 def shingle_set(text: str, k: int) -> set:
     words = text.encode().lower().split()
     if len(words) < k:
@@ -195,6 +156,77 @@ def _verified(k: int, percent: int):
     return each
 
 
+#: Classes of a bucket in a block.
+BLOCK = 1500
+#: Shingles by which hashed sets may be off before a pair is in doubt.
+DOUBT = 1
+BODIES = "id long, text string, signature binary, bands binary, shingles binary"
+
+
+def _with_shingles(k: int):
+    """Adds the sorted 32-bit hashes of each text's shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, chunk in chunks(batch.column("text"), fold=True):
+                key, first = _shingles(chunk, k)
+                half = (key >> np.uint64(32)).astype(np.uint32)
+                sets = [half[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
+                bands = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column("bands").slice(i, j - i)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), part.column("signature"), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], names=["id", "text", "signature", "bands", "shingles"])
+
+    return each
+
+
+def _compared(threshold: float, percent: int, n: int):
+    """Links across components within a block, or between two blocks, of one bucket."""
+    looks = [(m, least_matches(threshold, m)) for m in range(BATCH, n + 1, BATCH)]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        bucket, p, q = (rows.column(c)[0].as_py() for c in ("bucket", "p", "q"))
+        ids, size, root, block = (rows.column(c).to_numpy().copy() for c in ("id", "n", "component", "block"))
+        matrix = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(len(ids), -1)
+        x, bands = matrix("signature", np.uint16), matrix("bands", np.int64)
+        raw: list[bytes | set] = rows.column("shingles").to_pylist()
+
+        def shingles(i: int) -> set:
+            if isinstance(raw[i], bytes):
+                raw[i] = set(np.frombuffer(raw[i], np.uint32).tolist())
+            return raw[i]
+
+        a, b = [], []
+        for i in range(len(ids)):
+            other = np.arange(i + 1, len(ids)) if p == q else np.flatnonzero(block == q) if block[i] == p else np.empty(0, np.int64)
+            other = other[(root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            matches = np.zeros(len(other), np.int64)
+            for m, least in looks:
+                if not len(other):
+                    break
+                matches += (x[other, m - BATCH : m] == x[i, m - BATCH : m]).sum(axis=1)
+                alive = matches >= least
+                other, matches = other[alive], matches[alive]
+            if not len(other):
+                continue
+            first = (bands[other] == bands[i]).argmax(axis=1)
+            here = bands[i][first] == bucket
+            for j in other[here][np.argsort(-matches[here], kind="stable")]:
+                if root[i] == root[j]:
+                    continue
+                one, two = shingles(i), shingles(j)
+                both = len(one & two)
+                union = len(one) + len(two) - both
+                if 100 * (both + DOUBT) < percent * (union - DOUBT):
+                    continue
+                a.append(min(ids[i], ids[j]))
+                b.append(max(ids[i], ids[j]))
+                if 100 * (both - DOUBT) >= percent * (union + DOUBT):
+                    root[root == root[j]] = root[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compare
+
+
 def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links rows whose sets of ``words``-word shingles have 100 * intersection >= percent * union.
 
@@ -233,7 +265,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "shares"), "stars")
 
     needed = shared.select("id").distinct()
-    bodies = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(linked.select("id", "signature").dropDuplicates(["id"]), "id"), "bodies")
+    bodies = texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(linked.select("id", "signature", "bands").dropDuplicates(["id"]), "id")
+    bodies = written(bodies.mapInArrow(_with_shingles(words), BODIES), "bodies")
     survives = _pruned(threshold, n_bands * rows)
 
     def verify(pairs: DataFrame, pruned: bool) -> DataFrame:
@@ -249,20 +282,17 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shares", -F.col("a"))).alias("a"))
     links = verify(best, False)
     found = components(links)
-    for best_only in (True, False):
-        labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_ = labelled.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        # A class goes to each pair of blocks that its own is in.
-        open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        open_ = open_.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
-        open_ = open_.join(bodies.select("id", "signature"), "id")
-        pairs = written(open_.groupBy("bucket", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows, best_only), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        links = links.unionByName(verify(pairs, True))
-        found = components(links)
+    labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = labelled.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # A class goes to each pair of blocks that its own is in.
+    open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
+    open_ = open_.join(bodies.select("id", "signature", "bands", "shingles"), "id")
+    pairs = written(open_.groupBy("bucket", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows), "a long, b long").distinct(), "pairs")
+    if not pairs.isEmpty():
+        found = components(links.unionByName(verify(pairs, True)))
 
     of_class = classes.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")
