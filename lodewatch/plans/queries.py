@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewatch.functions import classify, net, text
 from lodewatch.functions import tables as T
-from lodewatch.operators import aggregates, correlate, stateful, threat
+from lodewatch.operators import aggregates, capture, correlate, enrich, stateful, threat
 from lodewatch.plans.views import SQL as U
 from lodewatch.plans.views import table, unified
 
@@ -506,3 +506,45 @@ def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with("SELECT pid, source_file, event_type, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM u GROUP BY ROLLUP (pid, source_file, event_type)"))
 def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).rollup("pid", "source_file", "event_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query(_with("SELECT event_id, CASE k % 8 + 12 WHEN 12 THEN 'create' WHEN 13 THEN 'close' WHEN 14 THEN 'close' WHEN 15 THEN 'read' WHEN 16 THEN 'write' WHEN 17 THEN 'set_info' WHEN 18 THEN 'delete' ELSE 'rename' END AS action, CASE k % 5 + 1 WHEN 2 THEN 'delete' WHEN 4 THEN 'rename' WHEN 5 THEN NULL ELSE 'write' END AS operation FROM u"))
+def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    return unified(spark, sf_dir).select("event_id", capture.file_action(k % 8 + 12).alias("action"), capture.watcher_operation(k % 5 + 1).alias("operation"))
+
+
+@query(_with("""SELECT event_id, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY pid, epoch ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 'unresolved') AS path FROM (
+  SELECT event_id, us, pid, CASE WHEN k % 4 = 0 THEN concat('c:/f', k) END AS p, coalesce(sum(CASE WHEN k % 8 IN (2, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM u)"""))
+def path_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    events = unified(spark, sf_dir).select("event_id", "us", F.col("pid").alias("file_key"), (k % 8 + 12).alias("opcode"), F.when(k % 4 == 0, F.concat(F.lit("c:/f"), "k")).alias("path"))
+    return capture.resolved_paths(events).select("event_id", "path")
+
+
+@query(_with("""SELECT event_id, device, session FROM (SELECT event_id, kind, device, CAST(sum(CASE WHEN kind = 'arrival' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS session, last_value(CASE WHEN kind <> 'io' THEN kind END IGNORE NULLS) OVER w AS last_kind
+  FROM (SELECT event_id, us, pid AS device, CASE event_type WHEN 'signup' THEN 'arrival' WHEN 'purchase' THEN 'removal' ELSE 'io' END AS kind FROM u) WINDOW w AS (PARTITION BY device ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+WHERE session > 0 AND (last_kind = 'arrival' OR kind = 'removal')"""))
+def device_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "arrival").when(F.col("event_type") == "purchase", "removal").otherwise("io")
+    return capture.device_sessions(unified(spark, sf_dir).select("event_id", "us", F.col("pid").alias("device"), kind.alias("kind"))).select("event_id", "device", "session")
+
+
+@query(_with("""SELECT e.event_id, coalesce(s.pid, 0) AS owner FROM (SELECT * FROM u WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT src_port, k % 3 AS proto, us, max(pid) AS pid FROM u WHERE event_type = 'signup' GROUP BY ALL) s
+  ON e.src_port = s.src_port AND e.k % 3 = s.proto AND e.us >= s.us""".replace("GROUP BY ALL", "GROUP BY src_port, k % 3, us")))
+def pid_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = unified(spark, sf_dir).withColumn("proto", F.col("k") % 3).withColumnRenamed("pid", "real_pid")
+    sockets = events.where("event_type = 'signup'").groupBy("src_port", "proto", F.col("us").alias("snapshot_us")).agg(F.max("real_pid").alias("pid"))
+    return capture.owners(events.where("event_type <> 'signup'"), sockets, ["src_port", "proto"]).select("event_id", F.col("pid").alias("owner"))
+
+
+@query(_with("""SELECT directory, path, reason, event_id FROM (SELECT *, row_number() OVER (PARTITION BY directory, path ORDER BY us, event_id) AS rn FROM (
+  SELECT directory, path, us, event_id, CASE WHEN event_type = 'error' AND path LIKE '%.exe' THEN 'rename_to_executable' WHEN pid <> creator AND contains(lower(process_name), 'powershell') THEN 'suspicious_process_cross_access'
+    WHEN (us - born) // 1000000 > 86400 THEN 'long_lived_temp_file' WHEN directory IN ('dir1', 'dir2') AND path LIKE '%.txt' THEN 'document_in_high_churn_zone' END AS reason
+  FROM (SELECT *, first_value(us) OVER w AS born, first_value(pid) OVER w AS creator FROM (SELECT *, concat('dir', k % 12) AS directory, concat('f', pid % 9, CASE k % 3 WHEN 0 THEN '.exe' WHEN 1 THEN '.txt' ELSE '.tmp' END) AS path FROM u) WINDOW w AS (PARTITION BY directory, path ORDER BY us, event_id))) WHERE reason IS NOT NULL) WHERE rn = 1"""))
+def temp_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    name = F.concat(F.lit("f"), F.col("pid") % 9, F.when(k % 3 == 0, ".exe").when(k % 3 == 1, ".txt").otherwise(".tmp"))
+    events = unified(spark, sf_dir).select("event_id", "us", "pid", "process_name", F.concat(F.lit("dir"), k % 12).alias("directory"), name.alias("path"), F.when(F.col("event_type") == "error", "rename").otherwise("write").alias("action"))
+    busy = spark.createDataFrame([("dir1",), ("dir2",)], "directory string")
+    return enrich.temp_anomalies(events, busy, 86400).select("directory", "path", "reason", "event_id")
