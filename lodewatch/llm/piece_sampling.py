@@ -164,6 +164,9 @@ class Sampler:
         doc = np.repeat(np.arange(len(texts)), n_runs)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
         key = mix(keys[doc] + mix(place.astype(np.uint64)))
+        # By run, so that searches near each other in time are near in the tables.
+        order = np.argsort(which, kind="stable")
+        which, key = which[order], key[order]
         low = self.run_node[which]
         node = low + self.run_units[which]
         bound, back, piece = self.bound[: self.n_edges], self.back, self.piece
@@ -179,10 +182,13 @@ class Sampler:
             steps[active] += 1
             active = active[node[active] > low[active]]
             t += 1
-        end = np.cumsum(steps)
+        in_text = np.empty_like(steps)
+        in_text[order] = steps
+        end = np.cumsum(in_text)
+        stop = end[order]
         out = np.empty(int(end[-1]) if len(end) else 0, np.int32)
         for t, (at, pieces) in enumerate(drawn):
-            out[end[at] - 1 - t] = pieces
+            out[stop[at] - 1 - t] = pieces
         return out, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n_runs)])]
 
 
