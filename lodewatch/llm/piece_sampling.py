@@ -30,7 +30,7 @@ from lodewatch.llm.textkernels import _power_tables, mix
 #: Order at which weights begin to fall.
 OFFSET = 100.0
 #: Edges that a worker keeps; beyond, it starts anew. A matter of speed alone.
-MEMORY = 6_000_000
+MEMORY = 3_000_000
 #: Characters of text that are drawn for together, unless one text is longer.
 CHUNK_CHARS = 1_000_000
 #: From here on, units stand for single bytes.
