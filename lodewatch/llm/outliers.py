@@ -22,16 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewatch.llm.common import group_key, written
-from lodewatch.llm.textstats import text_counts
+from lodewatch.llm.textstats import STRETCH, text_counts
 
-NAMES = ("x_word", "x_symbols", "x_lines", "x_repeats")
+NAMES = ("x_word", "x_symbols", "x_lines", "x_repeats", "x_next", "x_distinct")
 P = len(NAMES)
-#: Least standard deviation of each statistic: a group in which one is nearly constant rejects nothing nearer.
-FLOORS = (0.12, 0.3, 1.0, 1.0)
+#: Least standard deviation of each statistic: a group in which one is nearly constant rejects nothing nearer.  Near the
+#: spread of clean texts, and with REJECT such that each statistic can reject a text on its own.
+FLOORS = (0.06, 0.3, 0.4, 0.55, 0.3, 0.02)
 #: Share of a group that a step keeps, number of steps, rows that the floors count as in a covariance.
 COVERAGE, STEPS, PRIOR_ROWS = 0.75, 4, 20.0
 #: Chance of a Gaussian row to lie outside, when reweighting and when rejecting.
-REWEIGHT, REJECT = 0.025, 1e-7
+REWEIGHT, REJECT = 0.025, 1e-4
 #: Bins per unit of a statistic, and per doubling of a squared distance.
 FINE, DISTANCE_BINS = 64, 16
 
@@ -51,13 +52,19 @@ def quantile(p: float, dof: int) -> float:
 
 
 def statistics() -> dict[str, Column]:
-    """Smoothed, so that short texts don't scatter: shares are of some more words, characters or lines than there are."""
+    """Smoothed, so that short texts don't scatter: shares are of some more words, characters or lines than there are.
+
+    Distinct words are those of a stretch of the text, as a power of its words.
+    """
     share = lambda part, whole, more: F.log1p(100.0 * F.col(part) / (F.col(whole) + more))
+    stretch = F.least(F.col("n_words"), F.lit(STRETCH))
     return {
         "x_word": F.log((F.col("word_chars") + 250.0) / (F.col("n_words") + 50.0)),
         "x_symbols": share("n_symbols", "word_chars", 50.0),
         "x_lines": share("n_dup_lines", "n_words", 50.0),
         "x_repeats": share("n_repeat_words", "n_words", 50.0),
+        "x_next": share("n_same_next", "n_words", 50.0),
+        "x_distinct": F.log(50.0 + stretch * F.col("n_stretch_distinct") / F.greatest("n_words", F.lit(1))) / F.log(50.0 + stretch),
     }
 
 
@@ -141,7 +148,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     # As lists, so that no two different pairs are one group.
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.to_json(F.array(group_key(lang_col), group_key(source_col))).alias("g"))
-    counted = text_counts(texts)
+    counted = text_counts(texts, variety=True)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = written(counted.withColumn("base_failed", failed), "counts").withColumns(statistics())
     rows = judged.where(~F.col("base_failed")).select("g", *NAMES)

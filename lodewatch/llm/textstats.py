@@ -14,9 +14,12 @@ from lodewatch.llm.textkernels import Chunk, chunks, covered, mix
 SYMBOLS = b"#*$%&|<>"
 #: Words in a window that counts as repeated.
 WINDOW = 5
+#: Words of a stretch in which distinct words are counted, so that the share of them doesn't fall with a text's length.
+STRETCH = 1000
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_chars", "n_lines", "n_distinct", "n_same_next", "n_upper", "n_exclaim", "n_digit", "n_punct")
+VARIETY = ("n_same_next", "n_stretch_distinct")
 
 
 def _byte_table(members: bytes) -> np.ndarray:
@@ -47,7 +50,12 @@ def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts[inverse], is_first
 
 
-def counts_of(chunk: Chunk, more: bool) -> dict[str, np.ndarray]:
+def _same_next(chunk: Chunk) -> np.ndarray:
+    same = (chunk.hash[1:] == chunk.hash[:-1]) & (chunk.doc[1:] == chunk.doc[:-1])
+    return _per_doc(chunk.doc[1:][same], chunk.n_docs)
+
+
+def counts_of(chunk: Chunk, more: bool, variety: bool = False) -> dict[str, np.ndarray]:
     n, data = chunk.n_docs, chunk.data
     starts_char = (data & 0xC0) != 0x80
     out = {"n_words": chunk.n_words, "word_chars": chunk.sums(starts_char & ~chunk.space), "n_symbols": chunk.sums(_SYMBOL[data])}
@@ -65,23 +73,27 @@ def counts_of(chunk: Chunk, more: bool) -> dict[str, np.ndarray]:
         out["n_lines"] = _per_doc(line_doc, n)
         _, is_first = _repeats(chunk.doc, chunk.hash)
         out["n_distinct"] = _per_doc(chunk.doc[is_first], n)
-        same = (chunk.hash[1:] == chunk.hash[:-1]) & (chunk.doc[1:] == chunk.doc[:-1])
-        out["n_same_next"] = _per_doc(chunk.doc[1:][same], n)
+        out["n_same_next"] = _same_next(chunk)
         for name, of in (("n_upper", _UPPER), ("n_exclaim", _EXCLAIM), ("n_digit", _DIGIT), ("n_punct", _PUNCT)):
             out[name] = chunk.sums(of[data])
+    if variety:
+        out["n_same_next"] = _same_next(chunk)
+        stretch = (np.arange(len(chunk.hash)) - chunk.first[chunk.doc]) // STRETCH if len(chunk.hash) else np.empty(0, np.int64)
+        _, is_first = _repeats(chunk.doc, chunk.hash ^ mix(stretch.astype(np.uint64)))
+        out["n_stretch_distinct"] = _per_doc(chunk.doc[is_first], n)
     return out
 
 
-def text_counts(texts: DataFrame, more: bool = False) -> DataFrame:
+def text_counts(texts: DataFrame, more: bool = False, variety: bool = False) -> DataFrame:
     """``id`` and further columns as they are, ``text`` replaced by its counts. One narrow pass."""
     others = [f for f in texts.schema.fields if f.name != "text"]
-    names = [*BASE, *(MORE if more else ())]
+    names = [*BASE, *(MORE if more else ()), *(VARIETY if variety else ())]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in others] + [f"{n} long" for n in names])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, chunk in chunks(batch.column("text")):
-                found = counts_of(chunk, more)
+                found = counts_of(chunk, more, variety)
                 columns = [batch.column(f.name).slice(i, j - i) for f in others] + [pa.array(found[n], pa.int64()) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in others] + names)
 
