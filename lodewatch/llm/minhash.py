@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-Rows of equal word sequences are one class, so copies cost nothing more.  Each
-class has a signature of min-wise hashes; bands of it name buckets, and the
+Rows of equal word sequences are one class, so copies cost nothing more.  A
+class goes by the number of one of its rows, not by an id, which rows of other
+texts may have too; ids come in with the components at last.  Each class has a signature of min-wise hashes; bands of it name buckets, and the
 classes of a bucket are candidates.  A candidate pair is compared a batch of
 hashes at a time, and dropped once the posterior probability that it reaches
 the threshold is under the chosen miss probability.  Survivors are verified on
@@ -41,6 +42,8 @@ MOST_HASHES, BAND_MISS = 352, 1e-5
 #: Chance to prune a pair at the threshold, at each look.
 MISS = 1e-6
 
+#: Columns that name a word sequence, and the seeds of their hashes.
+FINGERPRINTS = (("f1", 1), ("f2", 2))
 SIGNATURES = "id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary"
 
 
@@ -164,7 +167,7 @@ BODIES = "id long, text string, signature binary, bands binary, shingles binary"
 
 
 def _with_shingles(k: int):
-    """Adds the sorted 32-bit hashes of each text's shingles."""
+    """Adds the sorted 32-bit hashes of each text's shingles; leaves out texts of an id that are not the class's own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +177,9 @@ def _with_shingles(k: int):
                 sets = [half[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
                 bands = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column("bands").slice(i, j - i)]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), part.column("signature"), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], names=["id", "text", "signature", "bands", "shingles"])
+                own = np.logical_and.reduce([_sequences(chunk, s).view(np.int64) == part.column(f).to_numpy() for f, s in FINGERPRINTS])
+                full = pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), part.column("signature"), pa.array(bands, pa.binary()), pa.array(sets, pa.binary())], names=["id", "text", "signature", "bands", "shingles"])
+                yield full.filter(pa.array(own))
 
     return each
 
@@ -235,7 +240,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     ``component_id`` (smallest id reachable by links) and ``kept`` (it is the
     row's own id).  Null and empty texts and texts without words have 0
     shingles and are linked with nothing.  Rows with a null id are linked with
-    nothing, keep a null component and are kept.  Rows of one id are one node.
+    nothing, keep a null component and are kept.  Rows of one id are one node,
+    with the links of all its texts.
     An empty table gives an empty table; other columns are ignored.
     """
     threshold = percent / 100
@@ -247,17 +253,19 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
                 n, bands, signature = _signatures(chunk, words, n_bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * n_bands + 1, n_bands, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
                 bodies = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.arange(0, (j - i + 1), dtype=np.int32) * np.int32(signature.shape[1] * 2)), pa.py_buffer(np.ascontiguousarray(signature))])
-                f1, f2 = (pa.array(_sequences(chunk, s).view(np.int64)) for s in (1, 2))
+                f1, f2 = (pa.array(_sequences(chunk, s).view(np.int64)) for _, s in FINGERPRINTS)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n, pa.int64()), f1, f2, lists, bodies], names=["id", "n_shingles", "f1", "f2", "bands", "signature"])
 
     texts = id_and_text(df, id_col, text_col)
-    signed = written(texts.mapInArrow(sign, SIGNATURES), "signatures")
+    signed = written(texts.mapInArrow(sign, SIGNATURES).withColumn("row", F.monotonically_increasing_id()), "signatures")
     linked = signed.where("n_shingles > 0 and id is not null")
-    classes = linked.groupBy("f1", "f2").agg(F.min("id").alias("node"))
+    # By class: the smallest id, which is its node, and a row of that id, which stands for the class.
+    classes = linked.groupBy("f1", "f2").agg(F.min(F.struct("id", "row")).alias("first"))
+    classes = written(classes.select("f1", "f2", F.col("first.id").alias("node"), F.col("first.row").alias("class")), "classes")
 
     # Buckets of two classes or more; the pivot of a bucket is its smallest class.
-    bodies = linked.select("id", F.col("n_shingles").alias("n"), "bands")
-    banded = bodies.join(classes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
+    bodies = linked.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "bands")
+    banded = bodies.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last")).where("pivot.id <> last").select("bucket", "pivot")
     shared = written(banded.join(pivots, "bucket").select("bucket", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "buckets")
     fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
@@ -265,7 +273,10 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     stars = written(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "shares"), "stars")
 
     needed = shared.select("id").distinct()
-    bodies = texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).join(linked.select("id", "signature", "bands").dropDuplicates(["id"]), "id")
+    heads = linked.select(F.col("id").alias("node"), F.col("row").alias("id"), "f1", "f2", "signature", "bands").join(needed, "id")
+    nodes = needed.join(classes.select(F.col("class").alias("id"), "node"), "id").select("node").distinct()
+    # Equal texts of one id would be one class's body twice.
+    bodies = texts.withColumnRenamed("id", "node").join(nodes, "node", "left_semi").distinct().join(heads, "node")
     bodies = written(bodies.mapInArrow(_with_shingles(words), BODIES), "bodies")
     survives = _pruned(threshold, n_bands * rows)
 
@@ -292,7 +303,16 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     open_ = open_.join(bodies.select("id", "signature", "bands", "shingles"), "id")
     pairs = written(open_.groupBy("bucket", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows), "a long, b long").distinct(), "pairs")
     if not pairs.isEmpty():
-        found = components(links.unionByName(verify(pairs, True)))
+        links = links.unionByName(verify(pairs, True))
+
+    # From classes to ids: an id links the classes that it has rows of.
+    for side in ("a", "b"):
+        links = links.join(classes.select(F.col("class").alias(side), F.col("node").alias(f"n_{side}")), side)
+    links = links.select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    sequence = F.struct("f1", "f2")
+    several = linked.groupBy("id").agg(F.min(sequence).alias("x"), F.max(sequence).alias("y")).where("x <> y").select("id")
+    of_ids = linked.select("id", "f1", "f2").join(several, "id").join(classes, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    found = components(links.unionByName(of_ids))
 
     of_class = classes.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n_shingles", "f1", "f2").join(of_class, ["f1", "f2"], "left")

@@ -2,6 +2,7 @@
 
 import random
 
+from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import FLOORS, REJECT, P, quality_rules, quantile
 
 SYLLABLES = ("ka", "lo", "mi", "nu", "tér", "ra", "se", "do", "fin", "gan")
@@ -44,3 +45,20 @@ def test_each_kind_of_junk_is_an_outlier(spark):
 def test_each_statistic_can_reject_alone():
     cut = quantile(REJECT, P) ** 0.5
     assert FLOORS[2] * cut < 4.6 and FLOORS[3] * cut < 3.04 and FLOORS[0] * cut < 0.4
+
+
+def test_near_duplicates_of_each_text_of_an_id(spark):
+    rng = random.Random(3)
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    rows = []
+    for i in range(0, 120, 6):
+        one, two, three = (prose(rng, 90) for _ in range(3))
+        # Id i has three unlike texts; each is linked with another id, by a near or an equal text.
+        rows += [(i, one), (i, two), (i, three), (i + 1, near(one)), (i + 2, near(two)), (i + 3, near(three)), (i + 4, one), (1000 - i, three + "  ")]
+    # Two ids that share a text, the larger of which has another one.
+    text, other = prose(rng, 50), prose(rng, 50)
+    rows += [(2001, text), (2005, text), (2005, other), (2003, near(other)), (2003, near(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(df, 80).collect()}
+    group = lambda i: 2001 if i > 2000 else (1000 - i if i > 500 else i) // 6 * 6
+    assert got == {(i, group(i)) for i, _ in rows}
