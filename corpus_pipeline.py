@@ -18,29 +18,39 @@ from lodewatch.llm.substring_dedup import substring_dedup
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The rows of ``docs`` whose id a verdict keeps; rows of one id, or of none, stay if one of them is kept."""
-    kept = verdicts.where(keep).select(F.col("doc_id").alias("kept_id")).distinct()
-    docs = docs.select(*COLUMNS)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with the number ``row``, so that verdicts are of rows also where ids repeat or are missing."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return docs.join(kept.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     with scratch(spark, docs):
-        return _only(docs, quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "predicted = 1")
+        docs = _numbered(docs)
+        return _only(docs, quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",)).where("predicted = 1"))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and are no outliers of their language and source."""
     with scratch(spark, docs):
-        return _only(docs, quality_rules(docs), "kept")
+        docs = _numbered(docs)
+        return _only(docs, quality_rules(docs, id_col="row").where("kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The document of the smallest id of each group of near duplicates, and of what stays one row of each id.
+
+    Rows are linked by their texts, also those without an id, which come last in their group.
+    """
     with scratch(spark, docs):
-        return _only(docs, near_duplicates(docs, percent=80, words=5), "kept")
+        docs = _numbered(docs)
+        groups = near_duplicates(docs, percent=80, words=5, id_col="row").select("row", "component_id").join(docs.select("row", "doc_id"), "row")
+        first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.*")
+        return _only(docs, first.groupBy("doc_id", F.when(F.col("none"), F.col("row"))).agg(F.min("row").alias("row")))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ terms come from the inverse factor by plain column arithmetic.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodewatch.llm.common import id_and_text, written
+from lodewatch.llm.common import written
 from lodewatch.llm.textstats import text_counts
 
 #: Weight of the pooled diagonal in a class covariance, and the least variance.
@@ -100,7 +101,7 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def quality(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: Sequence[str] = ()) -> DataFrame:
     """Scores every whole text; learns from the labels of rows that are not held out.
 
     Returns the id, ``held_out``, ``score`` (0 to 1, higher: label 1 likelier)
@@ -108,11 +109,14 @@ def quality(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     empty texts are scored like a text without words; null labels and labels
     without a row are left out; a row labelled twice counts twice; with labels
     of one class only, each score is the share of label 1 (0.5 without any).  An
-    empty table gives an empty table; other columns are ignored.
+    empty table gives an empty table; other columns are ignored, but for those
+    of ``carry``, which come last.
     """
     columns = statistics()
-    counts = written(text_counts(id_and_text(df, id_col, text_col), more=True), "statistics").select("id", *(c.alias(n) for n, c in columns.items()))
+    carried = [f"c{i}" for i in range(len(carry))]
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
+    counts = written(text_counts(texts, more=True), "statistics").select("id", *carried, *(c.alias(n) for n, c in columns.items()))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label")).where(~held_out("id"))
     model = fit(counts.join(known, "id"), "label", list(columns))
-    scored = counts.select("id", held_out("id").alias("held_out"), model.score().alias("score"))
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = counts.select("id", *carried, held_out("id").alias("held_out"), model.score().alias("score"))
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)))

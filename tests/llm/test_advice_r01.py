@@ -2,6 +2,8 @@
 
 import random
 
+import corpus_pipeline
+
 from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import FLOORS, REJECT, P, quality_rules, quantile
 
@@ -62,3 +64,21 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
     got = {(r.doc_id, r.component_id) for r in near_duplicates(df, 80).collect()}
     group = lambda i: 2001 if i > 2000 else (1000 - i if i > 500 else i) // 6 * 6
     assert got == {(i, group(i)) for i, _ in rows}
+
+
+def test_pipeline_verdicts_are_of_rows(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda: prose(rng, 90)
+    again, lone, third = text(), text(), text()
+    junk = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    rows = [(i, text()) for i in range(60)] + [(70, again), (70, junk), (None, lone), (None, junk)]
+    df = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    passed = {(r.doc_id, r.text) for r in corpus_pipeline.rules_stage(spark, df(rows), str(tmp_path)).collect()}
+    assert {(70, again), (None, lone)} <= passed and not [t for _, t in passed if t == junk]
+    rows = [(5, again), (5, again), (9, again), (9, lone), (None, third), (None, third), (None, again), (3, text())]
+    left = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df(rows), str(tmp_path)).collect())
+    assert left == sorted([("3", rows[-1][1]), ("5", again), ("9", lone), ("None", third)])
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(i, text() if i < 60 else junk[i % 7 :]) for i in range(100)] + [(7, junk), (None, junk), (None, lone)]
+    good = {(r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, df(rows), str(tmp_path)).collect()}
+    assert (7, rows[7][1]) in good and (None, lone) in good and not {(7, junk), (None, junk)} & good
