@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 
+from lodewatch.llm import urlfilter
 from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import FLOORS, REJECT, P, quality_rules, quantile
 
@@ -66,6 +67,15 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
     assert got == {(i, group(i)) for i, _ in rows}
 
 
+def test_rules_of_rare_tokens_do_not_depend_on_size(spark):
+    for n in (1000, 8000):
+        urls = [(i, f"http://s{i % 7}.fine.io/a", i % 10 == 0) for i in range(n)] + [(n + i, f"http://evil.fine.io/b{'cd'[i % 2]}", i != 8) for i in range(12)]
+        urls += [(n + 20 + i, "http://few.fine.io/a", True) for i in range(4)] + [(n + 30 + i, "http://mixed.fine.io/a", i % 2 == 0) for i in range(14)]
+        df = spark.createDataFrame(urls, "page_id long, url string, bad boolean")
+        got = {r.host for r in urlfilter.url_filter(df.select("page_id", "url"), df.select("page_id", "bad"), ()).where("verdict = 'block'").collect()}
+        assert got == {"evil.fine.io"}, n
+
+
 def test_pipeline_verdicts_are_of_rows(spark, tmp_path):
     rng = random.Random(11)
     text = lambda: prose(rng, 90)
