@@ -6,11 +6,12 @@ so only windows whose anchor occurs in a second document can repeat.
 
 1. Blocks send their distinct anchors to buckets, and learn which of them other
    documents hold (a false match of hashes here costs work, not results).
-2. Around those anchors matches are extended both ways to windows of the length
-   threshold.  Blocks send each such window with the smallest id that has it,
-   and learn which windows an earlier document of another block has.  A bucket
-   depends on the anchor and the key on the window, so that two different
-   windows are taken for one only if two independent hashes agree.
+2. Every window of the length threshold that has such an anchor is looked up by
+   its own 64-bit hash, in place of an extension word by word.  Blocks send each
+   such window with the smallest id that has it, and learn which windows an
+   earlier document of another block has.  Words are never compared: between
+   blocks, windows are taken for one if their hashes and the buckets of their
+   anchors agree, and within a block and at removal if their hashes do.
 3. Adjoining windows that repeat an earlier document grow together to maximal
    repeats, whose words are removed.
 
