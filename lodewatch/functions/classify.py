@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,10 +26,22 @@ def label(number: Column, order: Sequence[str]) -> Column:
 
 
 def script_match(script: Column, patterns: Sequence[tuple[str, str, str]] = T.SCRIPT_PATTERNS) -> Column:
-    """Struct ``severity`` (ordinal) and ``category`` of the severest pattern, the first of equals; null without one."""
-    low = F.lower(script)
-    hits = [F.when(low.contains(p), F.struct(F.lit(T.SCRIPT_SEVERITIES.index(s)).alias("severity"), F.lit(-i).alias("order"), F.lit(c).alias("category"))) for i, (p, c, s) in enumerate(patterns)]
-    return F.array_max(F.array_compact(F.array(*hits)))
+    """Struct ``severity`` (ordinal) and ``category`` of the severest pattern, the first of equals; null without one.
+
+    Whole scripts are searched.  The lower-case text is bound once, as the one
+    element of an array; each pattern would otherwise make it again.
+    """
+
+    def severest(low: Column) -> Column:
+        hits = [F.when(low.contains(p), F.struct(F.lit(T.SCRIPT_SEVERITIES.index(s)).alias("severity"), F.lit(-i).alias("order"), F.lit(c).alias("category"))) for i, (p, c, s) in enumerate(patterns)]
+        return F.array_max(F.array_compact(F.array(*hits)))
+
+    return _bound(F.lower(script), severest)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
 def script_severity(match: Column, language: Column, user: Column) -> Column:
@@ -59,12 +71,11 @@ def should_log(severity: Column, pid: Column, app: Column, language: Column, is_
 
 
 def pattern_hits(script: Column, patterns: Sequence[str] = T.HIT_PATTERNS) -> Column:
-    low = F.lower(script)
-    return functools.reduce(lambda a, p: a + low.contains(p).cast("int"), patterns, F.lit(0))
+    return _bound(F.lower(script), lambda low: functools.reduce(lambda a, p: a + low.contains(p).cast("int"), patterns, F.lit(0)))
 
 
 def script_flags(script: Column) -> dict[str, Column]:
-    return {name: contains_any(F.lower(script), words) for name, words in T.SCRIPT_FLAGS.items()}
+    return {name: _bound(F.lower(script), functools.partial(contains_any, words=words)) for name, words in T.SCRIPT_FLAGS.items()}
 
 
 def wmi_injection(script: Column) -> Column:

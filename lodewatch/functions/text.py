@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+# Fixed values. Time formats, tried in this order; the last two have no zone of their own.
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+# Fixed value. 1970 in units of 100 ns since 1601.
 FILETIME_EPOCH = 116444736000000000
 
 
-def parse_ts(raw: Column) -> Column:
-    """The first format that fits, in UTC; else null."""
-    return F.coalesce(*(F.try_to_timestamp(raw, F.lit(f)) for f in TIME_FORMATS))
+def parse_ts(raw: Column, zone: str = "UTC") -> Column:
+    """The first format that fits, else null, whatever the session's time zone; texts without a zone are of ``zone``."""
+    said = F.concat_ws(" ", raw, F.lit(zone))
+    return F.coalesce(*(F.try_to_timestamp(raw, F.lit(f)) if f.endswith("X") else F.try_to_timestamp(said, F.lit(f + " VV")) for f in TIME_FORMATS))
 
 
 def filetime(value: Column) -> Column:
     """100 ns since 1601 as a timestamp; null before 1970."""
-    return F.when(value >= FILETIME_EPOCH, F.timestamp_micros(F.floor((value - FILETIME_EPOCH) / 10).cast("long")))
+    return F.when(value >= FILETIME_EPOCH, F.timestamp_micros(F.call_function("div", value - FILETIME_EPOCH, F.lit(10))))
 
 
 def iso_ms(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """In UTC, to the millisecond, cut and not rounded."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def basename(path: Column) -> Column:
@@ -44,30 +52,47 @@ def canonical_path(path: Column) -> Column:
     return F.when((F.length(path) > 0) & (F.length(path) <= 32767), whole)
 
 
+@F.pandas_udf(StringType())
+def _composed(line: pd.Series) -> pd.Series:
+    return line.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def normalized_command(line: Column) -> Column:
-    """At most 4096 characters, lower case, white space collapsed, at most 256."""
-    return F.substring(F.regexp_replace(F.lower(F.substring(line, 1, 4096)), r"\s+", " "), 1, 256)
+    """At most 4096 characters, composed (NFC), lower case, white space collapsed, at most 256.
+
+    Only lines with a character beyond ASCII go through Python; the others are in normal form as they are.
+    """
+    cut = F.substring(line, 1, 4096)
+    composed = F.when(cut.rlike(r"[^\x00-\x7F]"), _composed(F.when(cut.rlike(r"[^\x00-\x7F]"), cut))).otherwise(cut)
+    return F.substring(F.regexp_replace(F.lower(composed), r"\s+", " "), 1, 256)
+
+
+# Fixed values. Regular expressions of long Base64 runs, joined quotes, encoded commands, addresses.
+BLOB = "[A-Za-z0-9+/]{40,}={0,2}"
+JOINED = r'"([^"]+)"\s*\+\s*"([^"]+)"'
+ENCODED = r"(?i)(?:-encodedcommand|-enc|-e)\s+([A-Za-z0-9+/]{20,}={0,2})"
+ADDRESS = r"https?://[^\s\"'<>\]]+"
 
 
 def deobfuscated(script: Column) -> Column:
     """Back-ticks dropped, long Base64 runs marked, quoted parts joined, three times."""
     out = F.regexp_replace(script, "`", "")
-    out = F.regexp_replace(out, "[A-Za-z0-9+/]{40,}={0,2}", "[BASE64_BLOB]")
+    out = F.regexp_replace(out, BLOB, "[BASE64_BLOB]")
     for _ in range(3):
-        out = F.regexp_replace(out, r'"([^"]+)"\s*\+\s*"([^"]+)"', '"$1$2"')
+        out = F.regexp_replace(out, JOINED, '"$1$2"')
     return out
 
 
 def encoded_command(script: Column) -> Column:
     """The decoded argument of an encoded command, NULs dropped; empty without one."""
-    b64 = F.regexp_replace(F.regexp_extract(script, r"(?i)(?:-encodedcommand|-enc|-e)\s+([A-Za-z0-9+/]{20,}={0,2})", 1), "=", "")
+    b64 = F.regexp_replace(F.regexp_extract(script, ENCODED, 1), "=", "")
     usable = F.substr(b64, F.lit(1), (F.length(b64) - F.when(F.length(b64) % 4 == 1, 1).otherwise(0)).cast("int"))
     padded = F.concat(usable, F.repeat(F.lit("="), ((4 - F.length(usable) % 4) % 4).cast("int")))
     return F.when(b64 == "", "").otherwise(F.replace(F.decode(F.unbase64(padded), "ISO-8859-1"), F.lit("\x00"), F.lit("")))
 
 
 def urls(script: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(script, F.lit(r"https?://[^\s\"'<>\]]+"), F.lit(0)), " | ")
+    return F.array_join(F.regexp_extract_all(script, F.lit(ADDRESS), F.lit(0)), " | ")
 
 
 def xml_data(raw: Column, name: str) -> Column:
@@ -84,6 +109,12 @@ def fingerprint(path: Column, parent: Column, command: Column, thumbprint: Colum
     return F.sha2(F.concat(part(path), nul, part(parent), nul, F.substring(part(command), 1, 256), nul, part(thumbprint), nul, part(location)), 256)
 
 
+def novelty_keys(path: Column, parent: Column) -> tuple[Column, Column]:
+    """Keys under which a process and its relationship to its parent count as seen; the second is of the hexadecimal digests of both paths."""
+    part = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return part(path), F.sha2(F.concat(part(parent), part(path)), 256)
+
+
 def session_key(vid: Column, pid: Column, serial: Column, suffix: Column) -> Column:
     return F.coalesce(F.nullif(serial, F.lit("")), F.concat_ws(":", vid, pid, suffix))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import STALE_WRITE, TEMP_IDLE, USB_BYTES, USB_DELETES, USB_EXECUTABLES
 from lodewatch.functions.text import extension
-from lodewatch.operators.stateful import sessions
+from lodewatch.operators.stateful import latest, sessions
 
 ORDER = ("us", "event_id")
 FLOW = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -22,16 +22,31 @@ def flows(events: DataFrame, keys: Sequence[str] = FLOW) -> DataFrame:
 
 
 def usb_sessions(events: DataFrame, key: str = "session_key") -> DataFrame:
-    """Operations, bytes, extensions and times of each session."""
+    """Operations, bytes, extensions and times of each session.
+
+    Rows of operation ``removal`` (and ``arrival``) are the session's ends and
+    no activity; ``idle_seconds`` is from the last activity to the end.
+    """
     n = lambda op: F.count_if(F.col("operation") == op)
     size = lambda op: F.coalesce(F.sum(F.when(F.col("operation") == op, F.col("size"))), F.lit(0))
-    exts = events.groupBy(key, F.coalesce(F.nullif(extension(F.col("file_path")), F.lit("")), F.lit("(none)")).alias("ext")).agg(F.count("*").cast("int").alias("n"))
+    active = ~F.col("operation").isin("arrival", "removal")
+    exts = events.where(active).groupBy(key, F.coalesce(F.nullif(extension(F.col("file_path")), F.lit("")), F.lit("(none)")).alias("ext")).agg(F.count("*").cast("int").alias("n"))
     maps = exts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "n")))).alias("file_extensions"))
     out = events.groupBy(key).agg(
         n("read").alias("reads"), n("write").alias("writes"), n("delete").alias("deletes"), n("execute").alias("executes"),
         size("read").alias("bytes_read"), size("write").alias("bytes_written"), F.min("us").alias("start_us"), F.max("us").alias("end_us"),
+        F.max(F.when(active, F.col("us"))).alias("active_us"),
     )
-    return out.join(maps, key)
+    seconds = lambda a, b: F.round((F.col(b) - F.col(a)) / 1_000_000, 3)
+    out = out.withColumns({"duration_seconds": seconds("start_us", "end_us"), "idle_seconds": F.coalesce(seconds("active_us", "end_us"), seconds("start_us", "end_us"))}).drop("active_us")
+    return out.join(maps, key, "left").withColumn("file_extensions", F.coalesce("file_extensions", F.create_map().cast("map<string,int>")))
+
+
+def usb_reports(events: DataFrame, key: str = "session_key") -> DataFrame:
+    """A8 with C9: each session with its ``anomalies`` in the order in which they came."""
+    found = usb_anomalies(events, key).join(events.select("event_id", "us"), "event_id")
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "anomaly"))).alias("a")).select(key, F.col("a.anomaly").alias("anomalies"))
+    return usb_sessions(events, key).join(lists, key, "left").withColumn("anomalies", F.coalesce("anomalies", F.array().cast("array<string>")))
 
 
 def usb_anomalies(events: DataFrame, key: str = "session_key", bytes_: int = USB_BYTES, deletes: int = USB_DELETES) -> DataFrame:
@@ -65,28 +80,88 @@ def coalesced_writes(events: DataFrame, key: str = "file_key", stale_s: int = ST
     return out.select(key, "write_count", "first_us", "last_us", how.alias("flushed_by")).where("flushed_by <> 'delete'")
 
 
-def temp_buckets(events: DataFrame, keys: Sequence[str] = ("directory", "pid"), idle_s: int = TEMP_IDLE) -> DataFrame:
-    """Files created, deleted and elevated in a folder by a process, until it is idle."""
-    n = lambda a: F.count_if(F.col("action") == a)
-    return sessions(events, keys, idle_s).groupBy(*keys, "session").agg(n("create").alias("total_created"), n("delete").alias("total_deleted"), F.count_if("elevated").alias("elevated_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-
+def temp_buckets(events: DataFrame, keys: Sequence[str] = ("directory", "pid"), idle_s: int = TEMP_IDLE, path: str | None = None) -> DataFrame:
+    """Files created, deleted and elevated in a folder by a process, until it is idle.
 
-def churning(events: DataFrame, key: str, width_s: int, least: int) -> DataFrame:
-    """Folders with so many events within a tumbling window."""
+    With the column ``path`` files are told apart: a bucket also ends when none
+    of its files is alive, and a file that is elevated once is counted as
+    elevated, whatever comes after.  A file lives from its first event to its
+    deletion; another event of its name is another file.
+    """
+    n = lambda a: F.count_if(F.col("action") == a)
+    parts = sessions(events, keys, idle_s)
+    times = F.min("us").alias("first_us"), F.max("us").alias("last_us")
+    if path is None:
+        return parts.groupBy(*keys, "session").agg(n("create").alias("total_created"), n("delete").alias("total_deleted"), F.count_if("elevated").alias("elevated_count"), *times)
+    deleted = F.col("action") == "delete"
+    of_file = Window.partitionBy(*keys, "session", path).orderBy(*ORDER)
+    of_part = Window.partitionBy(*keys, "session").orderBy(*ORDER)
+    born = F.coalesce(F.lag("action").over(of_file) == "delete", F.lit(True))
+    at = parts.withColumn("born_", born.cast("int"))
+    at = at.withColumn("life_", F.sum("born_").over(of_file)).withColumn("alive_", F.sum(F.col("born_") - deleted.cast("int")).over(of_part))
+    ended = F.coalesce(F.sum((F.col("alive_") == 0).cast("int")).over(of_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = at.withColumn("bucket", ended).groupBy(*keys, "session", "bucket", path, "life_").agg(F.max("born_").alias("born"), F.max(deleted.cast("int")).alias("gone"), F.max(F.col("elevated").cast("int")).alias("up"), *times)
+    return files.groupBy(*keys, "session", "bucket").agg(F.sum("born").alias("total_created"), F.sum("gone").alias("total_deleted"), F.sum("up").alias("elevated_count"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def churning(events: DataFrame, key: str, width_s: int, least: int, hold_s: int | None = None) -> DataFrame:
+    """Folders with so many events within a tumbling window; with a hold, all windows up to so long after its start."""
     w = width_s * 1_000_000
-    return events.groupBy(key, (F.floor(F.col("us") / w) * w).alias("window_us")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = events.groupBy(key, (F.floor(F.col("us") / w) * w).alias("window_us")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if hold_s is None:
+        return found
+    later = F.explode(F.sequence(F.col("window_us"), F.col("window_us") + (hold_s * 1_000_000 - 1) // w * w, F.lit(w)))
+    return found.select(key, later.alias("window_us")).distinct()
 
 
 def child_counts(events: DataFrame) -> DataFrame:
-    """Running children and distinct child names of each parent, which a stop of the parent clears."""
+    """Running children, distinct child names and threads of each parent, which a stop of the parent clears.
+
+    ``new_child`` is true at the start of a child from an odd place (column
+    ``odd``, if there is one); that start uses it up.  events: ``parent_pid``,
+    ``kind`` (start, stop, thread or anything else), ``child_name``.
+    """
     over = Window.partitionBy("parent_pid").orderBy(*ORDER)
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
     life = events.withColumn("life", F.sum((F.col("kind") == "stop").cast("int")).over(upto))
     in_life = Window.partitionBy("parent_pid", "life").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     started = F.col("kind") == "start"
     first = F.row_number().over(Window.partitionBy("parent_pid", "life", "kind", "child_name").orderBy(*ORDER)) == 1
+    odd = started & F.coalesce("odd", F.lit(False)) if "odd" in events.columns else F.lit(False)
     out = life.withColumn("fresh", (started & first).cast("int"))
-    return out.select("event_id", "parent_pid", "kind", F.sum(started.cast("int")).over(in_life).alias("child_count"), F.sum("fresh").over(in_life).alias("unique_children"))
+    count = lambda c: F.sum(c.cast("int")).over(in_life)
+    return out.select("event_id", "parent_pid", "kind", count(started).alias("child_count"), F.sum("fresh").over(in_life).alias("unique_children"), count(F.col("kind") == "thread").alias("thread_count"), odd.alias("new_child"))
+
+
+def parents(events: DataFrame) -> DataFrame:
+    """Starts with ``parent_path`` and ``parent_start_us`` of the last start of their parent's id before them.
+
+    events: ``kind``, ``pid``, ``parent_pid``, ``path``.
+    """
+    starts = events.where("kind = 'start'")
+    known = starts.select(F.col("pid").alias("parent_pid"), "us", F.col("path").alias("parent_path"), F.col("us").alias("parent_start_us"))
+    return latest(starts, known, ["parent_pid"], ["parent_path", "parent_start_us"])
+
+
+def ui_stats(groups: DataFrame) -> DataFrame:
+    """Groups, the sum of their unique events, occurrences, and the longest span between starts and ends within a day."""
+    total = groups.agg(F.count("*").alias("total_groups"), F.sum("unique_events").alias("unique_events"), F.sum("total_occurrences").alias("total_events"))
+    day = 86_400_000_000
+    times = groups.select(F.explode(F.array("start_us", "end_us")).alias("us")).where("us is not null")
+    span = times.groupBy(F.floor(F.col("us") / day)).agg((F.max("us") - F.min("us")).alias("span")).agg(F.max("span").alias("span_us"))
+    return total.join(span)
+
+
+def matching_groups(groups: DataFrame, corr_type: str = "all", search: str = "") -> DataFrame:
+    """groups of a type, in whose id, type, processes, addresses or users the text occurs."""
+    out = groups if corr_type == "all" else groups.where(F.col("corr_type") == corr_type)
+    said = F.lower(F.concat_ws(" ", "corr_id", "corr_type", "processes", "dest_ips", "users"))
+    return out.where(said.contains(search.lower())) if search else out
+
+
+def shortened(groups: DataFrame, processes: int = 2, addresses: int = 6) -> DataFrame:
+    """The first processes and addresses of each group, as a table shows them."""
+    return groups.withColumns({"processes": F.slice("processes", 1, processes), "dest_ips": F.slice("dest_ips", 1, addresses)})
 
 
 def stop_identity(events: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewatch.operators.stateful import latest
+
 ORDER = ("us", "event_id")
 
 # Fixed values. Kernel event ids and opcodes, directory watcher actions, event-log subscriptions.
@@ -53,20 +53,28 @@ def resolved_paths(events: DataFrame) -> DataFrame:
 
 
 def device_sessions(events: DataFrame) -> DataFrame:
-    """Adds ``session``, the number of arrivals of the device up to the row; rows outside a session are dropped.
+    """Adds ``session``, the number of the device's session; rows outside a session are dropped.
 
+    An arrival opens a session unless one is open, a removal closes it.
     events: ``device``, ``kind`` (arrival, removal or anything else).
     """
-    over = Window.partitionBy("device").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.sum((F.col("kind") == "arrival").cast("int")).over(over)
-    last = F.last(F.when(F.col("kind").isin("arrival", "removal"), F.col("kind")), True).over(over)
-    at = events.withColumns({"session": opened, "last_": last})
-    return at.where("session > 0 and (last_ = 'arrival' or kind = 'removal')").drop("last_")
+    order = Window.partitionBy("device").orderBy(*ORDER)
+    mark = F.when(F.col("kind").isin("arrival", "removal"), F.col("kind"))
+    marked = events.withColumns({"last_": F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before_": F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    opens = (F.col("kind") == "arrival") & (F.coalesce("before_", F.lit("removal")) == "removal")
+    at = marked.withColumn("session", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return at.where("last_ = 'arrival' or (kind = 'removal' and before_ = 'arrival')").drop("last_", "before_")
 
 
 def subscribed(events: DataFrame) -> DataFrame:
-    """The event-log ids that are read; a plain predicate, pushed to the source."""
-    return events.where(F.col("event_id").isin(*SUBSCRIBED_EVENTS))
+    """The event-log codes (``code``) that are read; a plain predicate, pushed to the source."""
+    return events.where(F.col("code").isin(*SUBSCRIBED_EVENTS))
+
+
+def of_provider(events: DataFrame, provider: str, opcode: int | None = None) -> DataFrame:
+    """events of one provider (``provider``), and of one opcode if given; without one, rows of opcode and id (``code``) 0 are headers and go."""
+    own = events.where(F.lower("provider") == provider.lower())
+    return own.where(F.col("opcode") == opcode) if opcode is not None else own.where("not (opcode = 0 and code = 0)")
 
 
 def watched(events: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -85,63 +93,84 @@ def storage_devices(devices: DataFrame) -> DataFrame:
 def owners(events: DataFrame, sockets: DataFrame, keys: Sequence[str] = ("local_ip", "local_port", "proto")) -> DataFrame:
     """Adds ``pid`` from the last snapshot of the socket's owner at or before the event; 0 if there is none.
 
-    sockets: the keys, ``snapshot_us``, ``pid``.  Both sides go into one order,
-    so the as-of join is a running last value and no range is joined.
+    sockets: the keys, ``snapshot_us``, ``pid``.
     """
-    marked = sockets.select(*keys, F.col("snapshot_us").alias("us"), F.lit(None).cast("long").alias("event_id"), F.col("pid").alias("owner_"), F.lit(0).alias("side_"))
-    own = events.select(*keys, "us", "event_id", F.lit(None).cast("long").alias("owner_"), F.lit(1).alias("side_"))
-    over = Window.partitionBy(*keys).orderBy("us", "side_", F.asc_nulls_first("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    found = marked.unionByName(own).withColumn("pid", F.coalesce(F.last("owner_", True).over(over), F.lit(0))).where("side_ = 1").select("event_id", "pid")
-    return events.join(found, "event_id", "left")
-
-
-PACKET = "version int, protocol int, src_ip string, dst_ip string, src_port int, dst_port int, flags int, payload binary"
-
-
-def _packet(frame: bytes) -> tuple | None:
-    if len(frame) < 14:
-        return None
-    kind, at = struct.unpack_from("!H", frame, 12)[0], 14
-    if kind == 0x8100 and len(frame) >= 18:
-        kind, at = struct.unpack_from("!H", frame, 16)[0], 18
-    if kind == 0x0806 and len(frame) >= at + 28:
-        dotted = lambda k: ".".join(map(str, frame[at + k : at + k + 4]))
-        return 4, ARP_PROTOCOL, dotted(14), dotted(24), 0, 0, 0, b""
-    if kind == 0x0800 and len(frame) >= at + 20:
-        size = (frame[at] & 15) * 4
-        version, protocol, src, dst = 4, frame[at + 9], ".".join(map(str, frame[at + 12 : at + 16])), ".".join(map(str, frame[at + 16 : at + 20]))
-    elif kind == 0x86DD and len(frame) >= at + 40:
-        import ipaddress
-
-        size, version, protocol = 40, 6, frame[at + 6]
-        src, dst = (str(ipaddress.IPv6Address(bytes(frame[at + k : at + k + 16]))) for k in (8, 24))
-    else:
-        return None
-    at += size
-    sport = dport = flags = 0
-    body = frame[at:]
-    if protocol in (6, 17) and len(frame) >= at + 8:
-        sport, dport = struct.unpack_from("!HH", frame, at)
-        if protocol == 17:
-            body = frame[at + 8 :]
-        elif len(frame) >= at + 20:
-            flags, body = frame[at + 13], frame[at + (frame[at + 12] >> 4) * 4 :]
-    return version, protocol, src, dst, sport, dport, flags, bytes(body)
+    found = latest(events.drop("pid"), sockets.withColumnRenamed("snapshot_us", "us"), keys, ["pid"])
+    return found.withColumn("pid", F.coalesce("pid", F.lit(0)))
+
+
+def with_hostnames(events: DataFrame, names: DataFrame, column: str = "dst_ip") -> DataFrame:
+    """Adds ``hostname`` from the dimension of addresses (``ip``, ``hostname``); the address itself where it has no name."""
+    known = names.groupBy(F.col("ip").alias(column)).agg(F.min("hostname").alias("hostname"))
+    return events.drop("hostname").join(known, column, "left").withColumn("hostname", F.coalesce("hostname", column))
+
+
+def packet_counters(frames: DataFrame, events: DataFrame, flows: DataFrame) -> DataFrame:
+    """Frames received and dropped as no packet, flows made and ended (``closed``), events made (``is_noise`` apart)."""
+    got = frames.agg(F.count("*").alias("packets_received"), F.count_if("parsed").alias("packets_validated"), F.count_if(~F.col("parsed")).alias("packets_dropped"))
+    made = events.agg(F.count_if(~F.col("is_noise")).alias("events_generated"), F.count_if("is_noise").alias("noise_suppressed"))
+    return got.join(flows.agg(F.count("*").alias("flows_created"), F.count_if("closed").alias("flows_expired"))).join(made)
+
+
+def script_counters(events: DataFrame) -> DataFrame:
+    """Scripts captured, logged, referred to as seen, and filtered; events: ``logged``, ``is_dedup``."""
+    logged = F.col("logged")
+    return events.agg(F.count("*").alias("captured"), F.count_if(logged).alias("logged"), F.count_if(logged & F.col("is_dedup")).alias("dedup"), F.count_if(~logged).alias("filtered"))
+
+
+def _groups(address: Column) -> Column:
+    """16 bytes as eight hexadecimal groups without leading zeros."""
+    h = F.lower(F.hex(address))
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.coalesce(F.nullif(F.regexp_replace(F.substr(h, i * 4 + 1, F.lit(4)), "^0+", ""), F.lit("")), F.lit("0")))
+
+
+def ipv6_text(address: Column) -> Column:
+    """16 bytes in canonical form: the longest run of two zero groups or more, the first of equals, is ``::``."""
+    parts = _groups(address)
+    whole = F.concat(F.lit(":"), F.array_join(parts, ":"), F.lit(":"))
+    short = F.lit(None).cast("string")
+    for n in range(8, 1, -1):
+        zeros = ":" + "0:" * n
+        # Patterns of zeros from the longest on; the first found is the leftmost.
+        at = F.instr(whole, zeros)
+        cut = F.concat(F.substr(whole, F.lit(1), at - 1), F.lit("::"), F.substr(whole, at + len(zeros)))
+        short = F.coalesce(short, F.when(at > 0, cut))
+    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, "^:(?!:)", ""), "(?<!:):$", "")
+    return trimmed(F.coalesce(short, whole))
 
 
 def parsed_packets(packets: DataFrame) -> DataFrame:
-    """Ethernet frames (``frame``) to addresses, ports, flags and payload; what can't be parsed is dropped. ARP has protocol 0xFE."""
-    kept = [f for f in packets.schema.fields if f.name != "frame"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [PACKET])
-    types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in PACKET.split(", ")]
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_packet(x) if x is not None else None for x in batch.column("frame").to_pylist()]
-            mask = pa.array([x is not None for x in found])
-            rows = [x for x in found if x is not None]
-            columns = [batch.column(f.name).filter(mask) for f in kept] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *names])
-
-    return packets.mapInArrow(parse, schema)
+    """Ethernet frames (``frame``) to ``version``, ``protocol``, addresses, ports, ``flags`` and ``payload``.
+
+    What can't be parsed is dropped.  A VLAN tag is skipped; ARP has protocol
+    0xFE.  Offsets are column arithmetic on the binary frame, so nothing leaves
+    the JVM.
+    """
+    frame = F.col("frame")
+    size = F.octet_length(frame)
+    cut = lambda at, n: F.substr(frame, at + 1, F.lit(n))
+    number = lambda at, n: F.conv(F.hex(cut(at, n)), 16, 10).cast("int")
+    dotted = lambda at: F.concat_ws(".", *(number(at + i, 1).cast("string") for i in range(4)))
+    tagged = (number(F.lit(12), 2) == 0x8100) & (size >= 18)
+    out = packets.where(size >= 14).withColumn("at_", F.when(tagged, 18).otherwise(14))
+    at = F.col("at_")
+    out = out.withColumn("kind_", number(at - 2, 2))
+    kind = F.col("kind_")
+    arp, v4, v6 = (kind == 0x0806) & (size >= at + 28), (kind == 0x0800) & (size >= at + 20), (kind == 0x86DD) & (size >= at + 40)
+    out = out.where(arp | v4 | v6)
+    out = out.withColumns({
+        "version": F.when(v6, 6).otherwise(4),
+        "protocol": F.when(arp, ARP_PROTOCOL).when(v4, number(at + 9, 1)).otherwise(number(at + 6, 1)),
+        "src_ip": F.when(arp, dotted(at + 14)).when(v4, dotted(at + 12)).otherwise(ipv6_text(cut(at + 8, 16))),
+        "dst_ip": F.when(arp, dotted(at + 24)).when(v4, dotted(at + 16)).otherwise(ipv6_text(cut(at + 24, 16))),
+        "body_": F.when(v4, at + number(at, 1).bitwiseAND(15) * 4).otherwise(at + 40),
+    })
+    body, protocol = F.col("body_"), F.col("protocol")
+    ports = protocol.isin(6, 17) & (size >= body + 8)
+    tcp = ports & (protocol == 6) & (size >= body + 20)
+    begin = F.when(tcp, body + F.shiftright(number(body + 12, 1), 4) * 4).when(ports & (protocol == 17), body + 8).otherwise(body)
+    found = {
+        "src_port": F.when(ports, number(body, 2)).otherwise(0), "dst_port": F.when(ports, number(body + 2, 2)).otherwise(0), "flags": F.when(tcp, number(body + 13, 1)).otherwise(0),
+        "payload": F.when(protocol == ARP_PROTOCOL, F.lit(b"")).otherwise(F.substr(frame, begin + 1, F.greatest(size - begin, F.lit(0)))),
+    }
+    return out.withColumns(found).drop("frame", "at_", "kind_", "body_")

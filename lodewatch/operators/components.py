@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodewatch.shared import written
+from lodewatch.shared import discard, table_path, written
+
+#: Links that one task takes whole, some megabytes; more are contracted in rounds over the cluster.
+FEW = 200_000
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +31,46 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) for every node of the links ``a``, ``b``.
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links at once: roots are hooked to smaller roots and paths halved until nothing changes."""
+    parts = list(batches)
+    if not sum(p.num_rows for p in parts):
+        return
+    links = pa.Table.from_batches(parts)
+    names = pc.unique(pa.concat_arrays([c for n in ("a", "b") for c in links.column(n).chunks]))
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(links.column(n), names).to_numpy() for n in ("a", "b"))
+    label = np.arange(len(names))
+    while True:
+        one, two = label[a], label[b]
+        low, high = np.minimum(one, two), np.maximum(one, two)
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["node", "component"])
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) for every node of the links ``a``, ``b``; ids of any type with an order.
 
-    Each round is written to the shared folder; the rounds grow with the
+    The links are written once.  Up to ``few`` of them are solved in one task,
+    which their number bounds; beyond, each round of stars is written to the
+    shared folder in place of the one before, and the rounds grow with the
     logarithm of the longest path.  Nodes without links don't appear.
     """
+    spark = links.sparkSession
+    kind = links.schema["a"].dataType.simpleString()
+    path = table_path(spark, "links")
+    links = written(links.select("a", "b").where("a <> b"), "links", path)
+    if links.count() <= few:
+        return links.coalesce(1).mapInArrow(_whole, f"node {kind}, component {kind}")
     seen = None
-    links = links.select("a", "b").where("a <> b")
     while True:
-        links = written(_stars(_stars(links, True), False), "stars")
+        last, path = path, table_path(spark, "stars")
+        links = written(_stars(_stars(links, True), False), "stars", path)
+        discard(spark, last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

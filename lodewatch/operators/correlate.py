@@ -2,7 +2,10 @@
 
 Every rule gives edges that are linear in the events: cliques become stars to
 their first member, and time windows become links to neighbours in order, which
-have the same components as all pairs within the window.
+have the same components as all pairs within the window.  First members are
+found by aggregation and joined back, so that no key's events are sorted or
+held by one task; what needs an order is cut into cells of time, so that a busy
+process is many partitions.  Ids may be of any type with an order.
 """
 
 from __future__ import annotations
@@ -16,23 +19,35 @@ from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WI
 from lodewatch.operators.components import components
 
 ORDER = ("us", "event_id")
+#: Windows of time in a cell; an event within a window of a cell's border is in two.
+CELL = 64
 
 
 def specific(process: Column) -> Column:
     return (process != "") & ~F.lower(process).isin(*GENERIC_PROCESSES)
 
 
-def star(events: DataFrame, keys: list[Column]) -> DataFrame:
-    """Each event of a key with the key's first; ``a`` is the first."""
-    first = F.min_by("event_id", F.struct(*ORDER)).over(Window.partitionBy(*keys))
-    return events.select(first.alias("a"), F.col("event_id").alias("b")).where("a <> b")
+def star(events: DataFrame, keys: dict[str, Column], having: Column | None = None) -> DataFrame:
+    """Each event of a key with the key's first; ``a`` is the first.
+
+    having: a condition on the whole key, over ``lo`` and ``hi``, the extremes of the column ``mark``.
+    """
+    own = events.select("event_id", "us", *([F.col("mark")] if having is not None else []), *(c.alias(f"k_{n}") for n, c in keys.items()))
+    names = [f"k_{n}" for n in keys]
+    more = [F.min("mark").alias("lo"), F.max("mark").alias("hi")] if having is not None else []
+    firsts = own.groupBy(*names).agg(F.min_by("event_id", F.struct(*ORDER)).alias("a"), F.count("*").alias("n"), *more).where("n > 1")
+    if having is not None:
+        firsts = firsts.where(having)
+    firsts = firsts.select("a", *(F.col(n).alias(f"f{n}") for n in names))
+    same = functools.reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"f{n}")) for n in names))
+    return own.join(firsts, same).select("a", F.col("event_id").alias("b")).where("a <> b")
 
 
 def same_pid(events: DataFrame, gap: int | None = None) -> DataFrame:
     """Events of one process id; with a gap (seconds), only neighbours no further apart."""
     known = events.where("pid > 0")
     if gap is None:
-        return star(known, [F.col("pid")])
+        return star(known, {"pid": F.col("pid")})
     over = Window.partitionBy("pid").orderBy(*ORDER)
     near = known.select(F.lag("event_id").over(over).alias("a"), F.col("event_id").alias("b"), (F.col("us") - F.lag("us").over(over)).alias("d"))
     return near.where(F.col("d") <= gap * 1_000_000).select("a", "b")
@@ -40,78 +55,84 @@ def same_pid(events: DataFrame, gap: int | None = None) -> DataFrame:
 
 def cross_file(events: DataFrame) -> DataFrame:
     """R2: events of one specific process that several files have."""
-    name = F.lower("process_name")
-    over = Window.partitionBy(name)
-    named = events.where(specific(F.col("process_name"))).withColumn("wide", F.min("source_file").over(over) != F.max("source_file").over(over))
-    return star(named.where("wide"), [name])
+    named = events.where(specific(F.col("process_name"))).withColumn("mark", F.col("source_file"))
+    return star(named, {"name": F.lower("process_name")}, F.col("lo") != F.col("hi"))
+
+
+def _cell(us: Column, span: int) -> Column:
+    return F.call_function("div", us - F.pmod(us, F.lit(span)), F.lit(span))
+
+
+def _in_cells(timed: DataFrame, w: int) -> DataFrame:
+    """Adds ``cell``, and ``own``, false for copies: every event meets in its own cell all events within ``w`` of it."""
+    us, span = F.col("us"), CELL * w
+    cells = F.array_distinct(F.array(_cell(us - w, span), _cell(us, span), _cell(us + w, span)))
+    return timed.withColumn("cell", F.explode(cells)).withColumn("own", F.col("cell") == _cell(us, span))
 
 
 def same_window(events: DataFrame, window: int = TIME_WINDOW) -> DataFrame:
     """Events of one specific process within the window, and of one source address where both have one.
 
     Linked are neighbours with the same address (none is one too), and each
-    event with an address to the nearest without one, before and after.
+    event with an address to the nearest without one, before and after.  The
+    nearest after is the last before in the reverse order, so that all frames
+    grow by a row at a time.
     """
     name, w = F.lower("process_name").alias("name"), window * 1_000_000
     timed = events.where(specific(F.col("process_name")) & F.col("us").isNotNull()).select("event_id", "us", name, F.nullif("src_ip", F.lit("")).alias("ip"))
-    own = Window.partitionBy("name", "ip").orderBy(*ORDER)
-    run = Window.partitionBy("name").orderBy(*ORDER)
+    own = Window.partitionBy("name", "cell", "ip").orderBy(*ORDER)
+    ahead = Window.partitionBy("name", "cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("name", "cell").orderBy(*map(F.desc, ORDER)).rowsBetween(Window.unboundedPreceding, -1)
     bare = F.when(F.col("ip").isNull(), F.struct("us", "event_id"))
-    near = timed.select(
-        "event_id", "us", "ip",
+    near = _in_cells(timed, w).repartition("name", "cell").select(
+        "event_id", "us", "ip", "own",
         F.struct(F.lag("us").over(own).alias("us"), F.lag("event_id").over(own).alias("event_id")).alias("same"),
-        F.last(bare, True).over(run.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first(bare, True).over(run.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
+        F.last(bare, True).over(ahead).alias("before"),
+        F.last(bare, True).over(back).alias("after"),
+    ).where("own")
     edge = lambda other, when: F.when(when & (F.abs(F.col("us") - F.col(f"{other}.us")) <= w), F.col(f"{other}.event_id"))
     with_ip = F.col("ip").isNotNull()
     each = near.select(F.explode(F.array(edge("same", F.lit(True)), edge("before", with_ip), edge("after", with_ip))).alias("x"), "event_id").where("x is not null")
-    return each.select(F.least("x", "event_id").alias("a"), F.greatest("x", "event_id").alias("b")).distinct()
+    return each.select(F.least("x", "event_id").alias("a"), F.greatest("x", "event_id").alias("b"))
 
 
 def paired_flow(events: DataFrame) -> DataFrame:
     """Inbound and outbound events of one flow that has both; process id 0 counts."""
-    keys = ["src_ip", "dst_ip", "src_port", "dst_port"]
-    over = Window.partitionBy(*keys)
-    flows = events.where("src_ip <> '' and dst_ip <> '' and direction in ('INBOUND', 'OUTBOUND')").withColumn("both", F.min("direction").over(over) != F.max("direction").over(over))
-    return star(flows.where("both"), [F.col(k) for k in keys])
+    flows = events.where("src_ip <> '' and dst_ip <> '' and direction in ('INBOUND', 'OUTBOUND')").withColumn("mark", F.col("direction"))
+    return star(flows, {k: F.col(k) for k in ("src_ip", "dst_ip", "src_port", "dst_port")}, F.col("lo") != F.col("hi"))
 
 
 def same_user_process(events: DataFrame) -> DataFrame:
     """Events of one user and specific process."""
-    return star(events.where((F.col("user_name") != "") & specific(F.col("process_name"))), [F.col("user_name"), F.lower("process_name")])
+    return star(events.where((F.col("user_name") != "") & specific(F.col("process_name"))), {"user": F.col("user_name"), "name": F.lower("process_name")})
 
 
 def nearest_process(events: DataFrame, window: int = SCRIPT_WINDOW, name: str = "powershell") -> DataFrame:
     """Each script event with the nearest start of a process of that name, the earlier one of two as near.
 
     Both kinds are put in one order, so that the nearest are the last before
-    and the first after; partitions overlap by the window, so none grows with
-    the whole input.
+    and the last after in the reverse order.
     """
     w = window * 1_000_000
     is_start = (F.col("record_type") == "process_start") & F.lower("process_name").contains(name)
     both = events.where((F.col("record_type") == "script_execution") | is_start).where("us is not null").select("event_id", "us", is_start.alias("start"))
-    cell = F.floor(F.col("us") / w)
-    cells = F.when(F.col("start"), F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
-    dealt = both.withColumn("cell", F.explode(cells))
     start = F.when(F.col("start"), F.struct("us", "event_id"))
-    # Of starts at one time the first in order counts.
-    at = Window.partitionBy("cell").orderBy("us", F.desc("start"), F.desc("event_id"))
-    after = Window.partitionBy("cell").orderBy("us", F.desc("start"), "event_id")
-    near = dealt.select(
-        "event_id", "us", "start",
-        F.last(start, True).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("before"),
-        F.first(start, True).over(after.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    ).where("not start")
+    # Of starts at one time the first in order counts, on both sides.
+    ahead = Window.partitionBy("cell").orderBy("us", F.desc("start"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("cell").orderBy(F.desc("us"), "start", F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    near = _in_cells(both, w).select("event_id", "us", "start", "own", F.last(start, True).over(ahead).alias("before"), F.last(start, True).over(back).alias("after")).where("own and not start")
     option = lambda c: F.when(F.abs(F.col("us") - F.col(f"{c}.us")) <= w, F.struct(F.abs(F.col("us") - F.col(f"{c}.us")).alias("d"), F.col(f"{c}.us").alias("us"), F.col(f"{c}.event_id").alias("event_id")))
     return near.select(F.array_min(F.array_compact(F.array(option("before"), option("after")))).alias("x"), "event_id").where("x is not null").select(F.col("x.event_id").alias("a"), F.col("event_id").alias("b"), F.col("x.d").alias("distance_us"))
 
 
+def links(events: DataFrame, window: int = TIME_WINDOW, script_window: int = SCRIPT_WINDOW, pid_gap: int | None = None) -> list[DataFrame]:
+    """All six rules."""
+    return [same_pid(events, pid_gap), cross_file(events), same_window(events, window), paired_flow(events), same_user_process(events), nearest_process(events, script_window)]
+
+
 def assign(events: DataFrame, edges: list[DataFrame]) -> DataFrame:
     """Adds ``component``: the smallest event id that links lead to."""
-    links = functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges])
-    found = components(links)
+    found = components(functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges]))
     return events.join(found.withColumnRenamed("node", "event_id"), "event_id", "left").withColumn("component", F.coalesce("component", "event_id"))
 
 
@@ -124,6 +145,12 @@ def group_type(types: Column) -> Column:
     )
 
 
+def corr_id(grouped: DataFrame, group: str) -> Column:
+    """``CG-`` and the group's id: all 16 hex digits of a number, 32 digits (128 bits) of a longer one that is text already."""
+    text = grouped.schema[group].dataType.simpleString() == "string"
+    return F.concat(F.lit("CG-"), F.upper(F.substring(group, 1, 32) if text else F.lpad(F.hex(group), 16, "0")))
+
+
 SIGNATURE = ("record_type", "source", "process_name", "user_name", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "direction", "script_content")
 
 
@@ -133,21 +160,47 @@ def collapse(grouped: DataFrame, group: str = "component") -> DataFrame:
 
 
 def assemble(grouped: DataFrame, group: str = "component") -> DataFrame:
-    """A row for each group; sets are sorted arrays without empty values."""
-    actions = collapse(grouped, group)
+    """A row for each group; sets are sorted arrays without empty values.
+
+    Its events stay rows, as ``collapse`` gives them under the group's id, so
+    that no group's events are held at once; ``nested`` puts them together in
+    bounded parts.
+    """
+    # Partial aggregation by action first: counts and extremes of a group follow from its actions'.
+    actions = grouped.groupBy(group, *SIGNATURE, "source_file", "pid").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
     some = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
-    out = grouped.groupBy(group).agg(
-        F.count("*").alias("total_occurrences"), F.min("us").alias("start_us"), F.max("us").alias("end_us"),
+    out = actions.groupBy(group).agg(
+        F.sum("n").alias("total_occurrences"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us"),
         some("source_file").alias("source_files"), some("record_type").alias("record_types"), some("process_name").alias("processes"), some("user_name").alias("users"),
         F.array_sort(F.collect_set(F.when(F.col("pid") > 0, F.col("pid")))).alias("pids"), some("dst_ip").alias("dest_ips"), some("protocol").alias("protocols"),
     )
-    unique = actions.groupBy(group).agg(F.count("*").alias("unique_events"), F.array_sort(F.collect_list(F.struct("first_us", "first_event", "last_us", "n", *SIGNATURE))).alias("events"))
-    out = out.join(unique, group).withColumn("corr_type", group_type(F.col("record_types")))
-    return out.withColumn("corr_id", F.concat(F.lit("CG-"), F.upper(F.lpad(F.hex(group), 16, "0"))))
+    unique = actions.select(group, *SIGNATURE).distinct().groupBy(group).agg(F.count("*").alias("unique_events"))
+    seconds = F.coalesce(F.round((F.col("end_us") - F.col("start_us")) / 1_000_000, 2), F.lit(0.0))
+    out = out.join(unique, group).withColumns({"corr_type": group_type(F.col("record_types")), "duration_seconds": seconds})
+    return out.withColumn("corr_id", corr_id(out, group))
+
+
+def nested(grouped: DataFrame, group: str = "component", per_part: int = 1000) -> DataFrame:
+    """The actions of each group as arrays ``events``, in time order, in parts of at most so many: ``part`` from 0."""
+    over = Window.partitionBy(group).orderBy(F.asc_nulls_first("first_us"), "first_event")
+    placed = collapse(grouped, group).withColumn("part", F.floor((F.row_number().over(over) - 1) / per_part).cast("int"))
+    event = F.struct(F.col("first_us"), F.col("first_event"), F.col("last_us"), F.when(F.col("n") > 1, F.col("n")).alias("count"), *SIGNATURE)
+    return placed.groupBy(group, "part").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
 def dedup_groups(groups: DataFrame) -> DataFrame:
-    """Groups of one signature become the one with most events; events are summed, ``repeat_count`` is null if it was alone."""
+    """Groups of one signature become the one with most events (of equals, the smallest id); events are summed, ``repeat_count`` is null if it was alone."""
     keys = ["corr_type", "processes", "dest_ips", "protocols", "source_files"]
-    best = groups.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in groups.columns if c not in keys]), F.struct("total_occurrences", -F.col("component"))).alias("g"), F.sum("total_occurrences").alias("total"), F.count("*").alias("groups"))
-    return best.select(*keys, "g.*", "total", F.when(F.col("groups") > 1, F.col("groups")).alias("repeat_count")).drop("total_occurrences").withColumnRenamed("total", "total_occurrences")
+    others = [c for c in groups.columns if c not in (*keys, "total_occurrences")]
+    best = groups.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(-F.col("total_occurrences"), F.col("component"))).alias("g"), F.sum("total_occurrences").alias("total_occurrences"), F.count("*").alias("groups"))
+    return best.select(*keys, "g.*", "total_occurrences", F.when(F.col("groups") > 1, F.col("groups")).alias("repeat_count"))
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """L1: by time, events without one first; equal times by id."""
+    return events.orderBy(F.asc_nulls_first("us"), "event_id")
+
+
+def largest_first(groups: DataFrame) -> DataFrame:
+    """L2: by occurrences, most first; equal ones by id."""
+    return groups.orderBy(F.desc("total_occurrences"), "corr_id")

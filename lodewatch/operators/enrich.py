@@ -48,6 +48,10 @@ def rerouted(events: DataFrame, churning: DataFrame, width_us: int) -> DataFrame
     return marked.withColumn("route", F.when((F.col("route") == "C") & F.coalesce("busy_", F.lit(False)), "B").otherwise(F.col("route"))).drop("busy_", "window_us")
 
 
+# Fixed values. Reasons for which a temporary file is elevated, in the order in which they are looked for.
+REASONS = ("rename_to_executable", "suspicious_process_cross_access", "long_lived_temp_file", "document_in_high_churn_zone")
+
+
 def temp_anomalies(events: DataFrame, busy: DataFrame, deep_s: int = T.DEEP_WATCH) -> DataFrame:
     """The first reason for which a temporary file is elevated; it stays elevated.
 
@@ -59,15 +63,29 @@ def temp_anomalies(events: DataFrame, busy: DataFrame, deep_s: int = T.DEEP_WATC
     life = Window.partitionBy("directory", "path").orderBy(*ORDER)
     at = events.withColumns({"born": F.first("us").over(life), "creator": F.first("pid").over(life)}).join(busy.select("directory", F.lit(True).alias("busy_")).distinct(), "directory", "left")
     reason = (
-        F.when((F.col("action") == "rename") & extension(F.col("path")).isin(*T.EXECUTABLE_EXTENSIONS), "rename_to_executable")
-        .when((F.col("pid") != F.col("creator")) & contains_any(F.lower("process_name"), T.SUSPICIOUS_PROCESSES), "suspicious_process_cross_access")
-        .when(F.floor((F.col("us") - F.col("born")) / 1_000_000) > deep_s, "long_lived_temp_file")
-        .when(F.coalesce("busy_", F.lit(False)) & extension(F.col("path")).isin(*T.DOCUMENT_EXTENSIONS), "document_in_high_churn_zone")
+        F.when((F.col("action") == "rename") & extension(F.col("path")).isin(*T.EXECUTABLE_EXTENSIONS), REASONS[0])
+        .when((F.col("pid") != F.col("creator")) & contains_any(F.lower("process_name"), T.SUSPICIOUS_PROCESSES), REASONS[1])
+        .when(F.floor((F.col("us") - F.col("born")) / 1_000_000) > deep_s, REASONS[2])
+        .when(F.coalesce("busy_", F.lit(False)) & extension(F.col("path")).isin(*T.DOCUMENT_EXTENSIONS), REASONS[3])
     )
     found = at.withColumn("reason", reason).where("reason is not null")
     return found.groupBy("directory", "path").agg(F.min_by(F.struct("reason", "us", "event_id"), F.struct(*ORDER)).alias("f")).select("directory", "path", "f.reason", "f.us", "f.event_id")
 
 
+def temp_states(events: DataFrame, busy: DataFrame, deep_s: int = T.DEEP_WATCH) -> DataFrame:
+    """Adds ``state`` of the temporary file after each event: ELEVATED from its first anomaly on, else DROPPED once deleted, else WATCHING."""
+    found = temp_anomalies(events, busy, deep_s).select(F.col("directory").alias("d_"), F.col("path").alias("p_"), F.struct("us", "event_id").alias("up_"))
+    joined = events.join(found, F.col("directory").eqNullSafe(F.col("d_")) & F.col("path").eqNullSafe(F.col("p_")), "left")
+    upto = Window.partitionBy("directory", "path").orderBy(*ORDER)
+    state = F.when(F.struct(*ORDER) >= F.col("up_"), "ELEVATED").when(F.last("action").over(upto.rowsBetween(Window.unboundedPreceding, 0)) == "delete", "DROPPED").otherwise("WATCHING")
+    return joined.withColumn("state", state).drop("d_", "p_", "up_")
+
+
+def persistence_touched(event: Column | None = None) -> Column:
+    """No event is known to touch a persistence place."""
+    return F.lit(False)
+
+
 def verdicts(groups: DataFrame, model: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Risk and verdict of groups (``component``, ``processes``, ``risk_level``).
 
@@ -78,6 +96,7 @@ def verdicts(groups: DataFrame, model: Callable[[DataFrame], Column] | None = No
     bucket = F.pmod(F.xxhash64("component"), F.lit(12))
     out = groups.withColumn("risk", risk)
     threat = model(out) if model else F.lit(False)
+    # Fixed values. Labels of the levels between.
     medium = F.element_at(F.array(*map(F.lit, ("Medium", "Above Medium", "High"))), (bucket % 3 + 1).cast("int"))
     low = F.element_at(F.array(*map(F.lit, ("Low", "Low", "Medium", "Above Medium"))), (bucket % 4 + 1).cast("int"))
     label = F.when(threat | (F.col("risk") == "High"), "CRITICAL").when(F.col("risk") == "Medium", medium).otherwise(low)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -29,8 +30,8 @@ def anchored(events: DataFrame, keys: Sequence[str], reach_us: int) -> DataFrame
     fold runs over sorted partitions and holds one state, whatever a key's size.
     Events without a time are forwarded and change nothing.
     """
-    own = events.withColumn("k_", F.xxhash64(*keys)).withColumn("key_", F.to_json(F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))))
-    sorted_ = own.repartition("key_").sortWithinPartitions("key_", F.asc_nulls_first("us"), "event_id").drop("k_")
+    own = events.withColumn("key_", F.to_json(F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))))
+    sorted_ = own.repartition("key_").sortWithinPartitions("key_", F.asc_nulls_first("us"), "event_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields), "forwarded boolean, anchor_us long, nth long"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +68,44 @@ def suppressed(events: DataFrame, keys: Sequence[str], seconds: int) -> DataFram
 
 
 def first_seen(events: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ("us", "event_id")) -> DataFrame:
-    """Adds ``novel``, true at the first event of each key."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    return events.withColumn("novel", first)
+    """Adds ``novel``, true at the first event of each key.
+
+    The order's columns tell a key's events apart; of events that are equal in
+    all of them, all are first.  Firsts are aggregated and joined back, so that
+    a key that most events have is no one task's.  Missing keys are a key.
+    """
+    firsts = events.groupBy(*(F.col(k).alias(f"first_{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*order)).alias("first_at"))
+    same = functools.reduce(lambda x, y: x & y, (events[k].eqNullSafe(F.col(f"first_{i}")) for i, k in enumerate(keys)))
+    joined = events.join(firsts, same)
+    return joined.select(*(events[c] for c in events.columns), (F.struct(*order) == F.col("first_at")).alias("novel"))
+
+
+def first_of(events: DataFrame, keys: Sequence[str], order: Sequence[str] = ("us", "event_id")) -> DataFrame:
+    """The first event of each key."""
+    return first_seen(events, keys, order).where("novel").drop("novel")
+
+
+def unseen(events: DataFrame, keys: Sequence[str], seen: DataFrame, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
+    """T3 against what is kept from earlier runs (``seen``: the keys): ``novel`` at the first event of a key that isn't in it."""
+    known = seen.select(*(F.col(k).alias(f"seen_{i}") for i, k in enumerate(keys))).distinct().withColumn("known_", F.lit(True))
+    flagged = first_seen(events, keys, order)
+    same = functools.reduce(lambda x, y: x & y, (flagged[k].eqNullSafe(F.col(f"seen_{i}")) for i, k in enumerate(keys)))
+    joined = flagged.join(known, same, "left")
+    return joined.select(*events.columns, (F.col("novel") & F.col("known_").isNull()).alias("novel"))
+
+
+def latest(events: DataFrame, states: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """As-of join: adds the ``values`` of the last state of the key at or before each event; null without one.
+
+    states: the keys, ``us``, the values, which the events don't have.  Both
+    sides go into one order, so that the join is a running last value; of
+    states at one time, the greatest counts.
+    """
+    marked = states.select(*keys, "us", F.struct(*values).alias("state_"), F.lit(0).alias("side_"))
+    own = events.withColumns({"state_": F.lit(None).cast(marked.schema["state_"].dataType), "side_": F.lit(1)})
+    over = Window.partitionBy(*keys).orderBy("us", "side_", F.asc_nulls_first("state_")).rowsBetween(Window.unboundedPreceding, 0)
+    found = own.unionByName(marked, allowMissingColumns=True).withColumn("state_", F.last("state_", True).over(over)).where("side_ = 1")
+    return found.select(*events.columns, *(F.col(f"state_.{v}").alias(v) for v in values))
 
 
 def sessions(events: DataFrame, keys: Sequence[str], gap_s: int) -> DataFrame:

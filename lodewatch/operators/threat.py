@@ -2,37 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewatch.functions.classify import threat_label, threat_score
 from lodewatch.functions.net import is_public_ipv4
+from lodewatch.operators.stateful import first_of
 
+# Fixed values. Colors of severities; rows that one request and one run on the command line may look up.
 COLORS = {"CRITICAL": "red", "HIGH": "orange", "MEDIUM": "yellow", "LOW": "blue", "CLEAN": "green"}
+REQUEST_QUOTA, RUN_QUOTA = 50, 5
+# Fixed values. Abuse score above which an address is bad; suspicious votes above which a target is.
+ABUSE_LIMIT, SUSPICIOUS_LIMIT = 50, 2
+
+
+def _any(events: DataFrame, *names: str) -> Column:
+    """The first of the columns that the events have and that is not empty."""
+    return F.coalesce(*(F.nullif(n, F.lit("")) for n in names if n in events.columns), F.lit(None).cast("string"))
+
+
+def extracted(events: DataFrame) -> DataFrame:
+    """Adds ``ip``, ``domain`` and ``process_name`` of what can be looked up; rows with neither address nor domain go.
+
+    The address is the first public one of ``dst_ip``, ``ip``, ``src_ip``; the
+    domain of ``domain``, ``hostname``, ``url``; the process of
+    ``process_name``, ``process``, ``image``, else "unknown".  Columns may be missing.
+    """
+    ips = [F.when(is_public_ipv4(F.col(c)), F.col(c)) for c in ("dst_ip", "ip", "src_ip") if c in events.columns]
+    found = events.withColumns({"ip_": F.coalesce(*ips, F.lit(None).cast("string")), "domain_": _any(events, "domain", "hostname", "url"), "process_": F.coalesce(_any(events, "process_name", "process", "image"), F.lit("unknown"))})
+    found = found.drop("ip", "domain", "process_name").withColumnsRenamed({"ip_": "ip", "domain_": "domain", "process_": "process_name"})
+    return found.where("ip is not null or domain is not null")
+
+
+def distinct_targets(found: DataFrame, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
+    """The first row of each pair of address and domain; null is a value of its own."""
+    return first_of(found, ["ip", "domain"], order)
 
 
-def targets(events: DataFrame) -> DataFrame:
+def targets(events: DataFrame, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
     """Rows with a public address or a domain; a row with one of them only goes if that was seen before.
 
-    events: ``event_id``, ``us``, ``dst_ip``, ``src_ip``, ``domain``,
-    ``process_name`` and whatever else is to be kept.
+    events: see ``extracted``; the order's columns tell all rows apart.
+    """
+    found = extracted(events)
+    at = F.struct(*order)
+    firsts = lambda c: found.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(at).alias(f"first_{c}"))
+    flagged = found.join(firsts("ip"), "ip", "left").join(firsts("domain"), "domain", "left")
+    lone_ip = F.col("domain").isNull() & (F.col("first_ip") < at)
+    lone_domain = F.col("ip").isNull() & (F.col("first_domain") < at)
+    kept = flagged.where(~F.coalesce(lone_ip, F.lit(False)) & ~F.coalesce(lone_domain, F.lit(False)))
+    return kept.select(*found.columns)
+
+
+def capped(rows: DataFrame, n: int = REQUEST_QUOTA, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
+    """L4: the first rows that a quota allows."""
+    return rows.orderBy(*order).limit(n)
+
+
+def drawn(rows: DataFrame, n: int = RUN_QUOTA, seed: int = 1, key: str = "event_id") -> DataFrame:
+    """L4: so many rows drawn at random; which ones depends on their ids and the seed alone."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def ip_answers(targets: DataFrame, reputation_ip: DataFrame) -> DataFrame:
+    """An answer for each distinct ``ip``: its reputation, or ``skipped`` (not public) or ``error`` (nothing known).
+
+    reputation_ip: ``ip``, ``abuse_score`` and, if it has one, ``error``; it
+    stands for the service and its cache, and is looked up once for each address.
     """
-    ip = F.coalesce(F.when(is_public_ipv4(F.col("dst_ip")), F.col("dst_ip")), F.when(is_public_ipv4(F.col("src_ip")), F.col("src_ip")))
-    found = events.withColumns({"ip": ip, "domain": F.nullif("domain", F.lit(""))}).where("ip is not null or domain is not null")
-    seen = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("us", "event_id")) > 1
-    flagged = found.withColumns({"ip_seen": F.col("ip").isNotNull() & seen("ip"), "domain_seen": F.col("domain").isNotNull() & seen("domain")})
-    lone_ip, lone_domain = F.col("domain").isNull() & F.col("ip_seen"), F.col("ip").isNull() & F.col("domain_seen")
-    return flagged.where(~lone_ip & ~lone_domain).drop("ip_seen", "domain_seen")
+    known = reputation_ip if "error" in reputation_ip.columns else reputation_ip.withColumn("error", F.lit(None).cast("string"))
+    asked = targets.where("ip is not null").select("ip").distinct()
+    out = asked.join(known.withColumn("known_", F.lit(True)), "ip", "left")
+    skipped = ~is_public_ipv4(F.col("ip"))
+    error = F.when(skipped, F.lit(None)).when(F.col("known_").isNull(), "no answer").otherwise(F.col("error"))
+    usable = ~skipped & error.isNull()
+    score = F.when(usable, F.coalesce("abuse_score", F.lit(0))).otherwise(0).cast("int")
+    return out.select("ip", skipped.alias("skipped"), error.alias("error"), score.alias("abuse_score"), (score > ABUSE_LIMIT).alias("is_malicious"))
+
+
+def target_answers(targets: DataFrame, reputation: DataFrame) -> DataFrame:
+    """An answer for each distinct address and domain, as ``target``; unknown ones have an ``error`` and count 0."""
+    known = reputation if "error" in reputation.columns else reputation.withColumn("error", F.lit(None).cast("string"))
+    asked = targets.select(F.explode(F.array("ip", "domain")).alias("target")).where("target is not null").distinct()
+    out = asked.join(known.withColumn("known_", F.lit(True)), "target", "left")
+    error = F.when(F.col("target") == "", "empty target").when(F.col("known_").isNull(), "no answer").otherwise(F.col("error"))
+    count = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("int")
+    bad = (count("malicious_count") > 0) | (count("suspicious_count") > SUSPICIOUS_LIMIT)
+    return out.select("target", error.alias("error"), count("malicious_count").alias("malicious_count"), count("suspicious_count").alias("suspicious_count"), bad.alias("is_malicious"))
 
 
 def scored(rows: DataFrame, reputation_ip: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Joins reputations of address and domain, adds ``risk_score``, ``severity``, ``is_suspicious``.
+    """Joins the answers on address and domain, adds ``risk_score``, ``severity``, ``is_suspicious``.
 
-    reputation_ip: ``ip``, ``abuse_score``; reputation: ``target``,
-    ``malicious_count``, ``suspicious_count``.  Missing answers count 0.
+    Skipped, missing and failed answers count 0.
     """
-    of = lambda c, p: reputation.select(F.col("target").alias(c), F.col("malicious_count").alias(f"{p}_mal"), F.col("suspicious_count").alias(f"{p}_sus"))
-    out = rows.join(reputation_ip.select("ip", "abuse_score"), "ip", "left").join(of("ip", "ip"), "ip", "left").join(of("domain", "dom"), "domain", "left")
+    answers = target_answers(rows, reputation)
+    of = lambda c, p: answers.select(F.col("target").alias(c), F.col("malicious_count").alias(f"{p}_mal"), F.col("suspicious_count").alias(f"{p}_sus"))
+    out = rows.join(ip_answers(rows, reputation_ip).select("ip", "abuse_score"), "ip", "left").join(of("ip", "ip"), "ip", "left").join(of("domain", "dom"), "domain", "left")
     both = lambda c: F.coalesce(F.col(f"ip_{c}"), F.lit(0)) + F.coalesce(F.col(f"dom_{c}"), F.lit(0))
     out = out.withColumn("risk_score", threat_score(F.col("abuse_score"), both("mal"), both("sus")))
     return out.withColumns({"severity": threat_label(F.col("risk_score")), "is_suspicious": F.col("risk_score") > 20}).drop("ip_mal", "ip_sus", "dom_mal", "dom_sus")
@@ -45,11 +113,12 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def top(results: DataFrame, n: int = 5) -> DataFrame:
+    """L3"""
     return results.orderBy(F.desc("risk_score"), "event_id").limit(n)
 
 
 def graph_nodes(results: DataFrame) -> DataFrame:
-    """Processes and addresses with the highest risk of their rows; a domain keeps its first row's."""
+    """Processes and addresses with the highest risk of their rows; a domain keeps its first row's."""
     row = lambda kind, c: results.where(F.col(c).isNotNull() & (F.col(c) != "")).select(F.concat(F.lit(f"{kind}::"), c).alias("node_id"), F.lit(kind).alias("kind"), "risk_score", "us", "event_id")
     highest = row("process", "process_name").unionByName(row("ip", "ip")).groupBy("node_id", "kind").agg(F.max("risk_score").alias("risk_score"))
     first = row("domain", "domain").groupBy("node_id", "kind").agg(F.min_by("risk_score", F.struct("us", "event_id")).alias("risk_score"))

@@ -12,9 +12,9 @@ def _schema(spec: str) -> StructType:
     return StructType([StructField(n, _TYPES[t]) for n, t in (w.split(":") for w in spec.split())])
 
 
-#: The event that all sources are normalized to.
+#: The event that all sources are normalized to; ``us`` is its time in microseconds, by which operators order.
 UNIFIED = _schema(
-    "event_id:s source_file:s source:s record_type:s ts:t pid:l process_name:s canonical_path:s user_name:s user_sid:s src_ip:s dst_ip:s src_port:i dst_port:i "
+    "event_id:s source_file:s source:s record_type:s ts:t us:l pid:l process_name:s canonical_path:s user_name:s user_sid:s src_ip:s dst_ip:s src_port:i dst_port:i "
     "protocol:s direction:s tcp_state:s ipv6:b script_content:s pattern_hits:i signature_valid:b location_type:s new_child_flag:b persistence_touched:b credential_access:b amsi_bypass:b process_injection:b"
 )
 PROCESS = _schema(
@@ -49,11 +49,5 @@ USB = StructType(
 )
 TEMP_SUMMARY = _schema("type:s directory:s creator_pid:l creator:s total_created:l total_deleted:l elevated_count:l duration_seconds:l timestamp:s")
 
-#: An event inside a correlated group.
-GROUP_EVENT = StructType([f for f in UNIFIED.fields if f.name not in ("event_id", "ts", "pattern_hits")] + _schema("first_ts:s last_ts:s count:l domain:s hostname:s url:s").fields)
-GROUPS = StructType(
-    [
-        StructField("meta", _schema("generated_at:s total_events:l total_groups:l input_files:as")),
-        StructField("correlated_groups", ArrayType(StructType([*_schema("corr_id:s corr_type:s unique_events:l total_occurrences:l start_ts:s end_ts:s duration_seconds:d").fields, StructField("events", ArrayType(GROUP_EVENT))]))),
-    ]
-)
+#: An event of a document for threat scoring, whatever its shape.
+THREAT_EVENT = _schema("dst_ip:s ip:s src_ip:s domain:s hostname:s url:s process_name:s process:s image:s record_type:s protocol:s dst_port:s direction:s first_ts:s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,18 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset on a local master, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset on a local master, a temporary folder that goes with the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodewatch.own.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="lodewatch-")
+        own = tempfile.mkdtemp(prefix="lodewatch-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("lodewatch.own.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def session_dir(spark: SparkSession) -> str:
+    """Where this application keeps its tables."""
+    return f"{shared_dir(spark)}/lodewatch/{spark.sparkContext.applicationId}"
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path that no other table has."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to a new table in the shared folder and read again, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/lodewatch/{name}-{uuid.uuid4().hex}"
+    path = path or table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table; what was read from it can't be read again."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this application, once its results are written elsewhere."""
+    discard(spark, session_dir(spark))

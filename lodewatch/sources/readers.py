@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -17,52 +19,93 @@ from lodewatch.functions.text import parse_ts
 SNIFFED = 2000
 
 
-def lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """One JSON object a line; blank and malformed lines are skipped. Adds ``raw`` and ``source_file``."""
-    raw = spark.read.text(path).select(F.trim("value").alias("raw"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file")).where("raw <> ''")
+def _named(source: str | None) -> Column:
+    return F.lit(source) if source else F.col("_metadata.file_path")
+
+
+def lines(spark: SparkSession, path: str, schema: StructType, source: str | None = None) -> DataFrame:
+    """One JSON object a line; blank and malformed lines are skipped.
+
+    Adds ``raw``, ``source_file`` (the file's whole path, or ``source`` for all
+    files of a folder that is one source), and ``line``: path, split and place
+    in the split, by which equal lines are told apart.  Places are the same
+    whenever the same files are read in the same splits.
+    """
+    place = F.concat_ws(":", "_metadata.file_path", F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = spark.read.text(path).select(F.trim("value").alias("raw"), _named(source).alias("source_file"), place.alias("line")).where("raw <> ''")
     parsed = raw.withColumn("r", F.from_json("raw", schema)).withColumn("ok", F.expr("try_parse_json(raw)").isNotNull() & F.col("raw").startswith("{"))
-    return parsed.where("ok").select("raw", "source_file", "r.*")
+    return parsed.where("ok").select("raw", "source_file", "line", "r.*")
+
 
+def _objects(text: str) -> Iterator[str]:
+    decoder = json.JSONDecoder()
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found, end = decoder.raw_decode(text, at)
+        except ValueError:
+            end = at + 1
+        else:
+            yield json.dumps(found)
+        at = text.find("{", end)
 
-def objects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Concatenated or pretty-printed JSON objects, whole files; broken ones are skipped."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"))
+
+def objects(spark: SparkSession, path: str, schema: StructType, source: str | None = None) -> DataFrame:
+    """Concatenated or pretty-printed JSON objects; broken ones are skipped.
+
+    An object may end anywhere, so a file is read by one task, and is at most
+    2 GB; logs of this kind are rotated far below that.  ``line`` is the path
+    and the object's number.
+    """
+    whole = spark.read.text(path, wholetext=True).select("value", _named(source).alias("source_file"), F.col("_metadata.file_path").alias("path"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = json.JSONDecoder()
         for batch in batches:
-            out, files = [], []
-            for text, file in zip(batch.column("value").to_pylist(), batch.column("source_file").to_pylist(), strict=True):
-                at = text.find("{")
-                while at >= 0:
-                    try:
-                        found, end = decoder.raw_decode(text, at)
-                    except ValueError:
-                        end = at + 1
-                    else:
-                        out.append(json.dumps(found))
-                        files.append(file)
-                    at = text.find("{", end)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(files, pa.string())], names=["raw", "source_file"])
-
-    found = whole.mapInArrow(split, "raw string, source_file string")
-    return found.withColumn("r", F.from_json("raw", schema)).select("raw", "source_file", "r.*")
+            for text, *names in zip(*(batch.column(c) for c in ("value", "source_file", "path")), strict=True):
+                name, file = (x.as_py() for x in names)
+                found = _objects(text.as_py())
+                n = 0
+                while part := list(itertools.islice(found, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([name] * len(part)), pa.array([f"{file}:{n + i}" for i in range(len(part))])], names=["raw", "source_file", "line"])
+                    n += len(part)
+
+    found = whole.mapInArrow(split, "raw string, source_file string, line string")
+    return found.withColumn("r", F.from_json("raw", schema)).select("raw", "source_file", "line", "r.*")
+
+
+def kind_of(head: str) -> str:
+    """The format that the first characters of a file show."""
+    has = lambda *words: any(w in head for w in words)
+    if has('"script_content"') and has('"pattern_hits"'):
+        return "applog"
+    if has('"local_addr"', "etw_kernel_process"):
+        return "legacy"
+    for word, kind in (('"event_subtype"', "process"), ('"npcap_live"', "network"), ('"file_integrity"', "file"), ('"USB_SESSION_END"', "usb"), ('"detection"', "script")):
+        if has(word):
+            return kind
+    return "unknown"
+
+
+def sniff(spark: SparkSession, path: str) -> str:
+    """The format of a file, or of a folder whose files have one; only its first lines are read."""
+    rows = spark.read.text(path).select(F.substring("value", 1, SNIFFED).alias("h")).limit(SNIFFED).toLocalIterator()
+    head = ""
+    for r in rows:
+        head += r.h + "\n"
+        if len(head) >= SNIFFED:
+            break
+    return kind_of(head[:SNIFFED])
 
 
 def sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """``source_file`` and ``format`` of each file, from its first 2000 characters."""
-    head = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.substring("value", 1, SNIFFED).alias("h"))
-    has = lambda word: F.col("h").contains(word)
-    kind = (
-        F.when(has('"script_content"') & has('"pattern_hits"'), "applog").when(has('"local_addr"') | has("etw_kernel_process"), "legacy").when(has('"event_subtype"'), "process")
-        .when(has('"npcap_live"'), "network").when(has('"file_integrity"'), "file").when(has('"USB_SESSION_END"'), "usb").when(has('"detection"'), "script").otherwise("unknown")
-    )
-    return head.select("source_file", kind.alias("format"))
+    """``source_file`` and ``format`` of each file of a folder; of each, the first lines are read and nothing more."""
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return spark.createDataFrame([(f.rsplit("/", 1)[-1], sniff(spark, f)) for f in files], "source_file string, format string")
 
 
 def _unified(df: DataFrame, ts: Column, **columns: Column) -> DataFrame:
     """All columns of the unified event; strings that aren't given are empty, the rest null, flags false."""
-    out = {"event_id": F.sha2(F.concat_ws("\x00", "source_file", "raw"), 256), "source_file": F.col("source_file"), "ts": ts} | columns
+    out = {"event_id": F.sha2(F.concat_ws("\x00", "line", "raw"), 256), "source_file": F.col("source_file"), "ts": ts, "us": F.unix_micros(ts)} | columns
     empty = {"string": "", "boolean": None}
     picked = []
     for f in schemas.UNIFIED.fields:
@@ -129,22 +172,70 @@ class Normalizers:
     def register(self, name: str, schema: StructType, normalizer: Callable[[DataFrame], DataFrame]) -> None:
         self.known[name] = (schema, normalizer)
 
-    def read(self, spark: SparkSession, path: str, kind: str) -> DataFrame:
-        """S3: lines, or objects for application logs; an unknown format is read as network events."""
+    def read(self, spark: SparkSession, path: str, kind: str | None = None, source: str | None = None) -> DataFrame:
+        """S3: lines; or, where a path doesn't end in ``.jsonl`` and no line is an object, objects.
+
+        Application logs are always read as objects, which their lines may be
+        too.  Without a ``kind`` the path is sniffed; an unknown format is read
+        as network events.
+        """
+        kind = kind or sniff(spark, path)
         schema, normalize = self.known.get(kind, self.known["network"])
-        return normalize((objects if kind == "applog" else lines)(spark, path, schema))
-
-    def ingest(self, spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-        """All inputs, {path: format}, as one table of unified events."""
-        parts = [self.read(spark, path, kind) for path, kind in paths.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-
-def groups(spark: SparkSession, path: str) -> DataFrame:
-    """The events of a correlation document, flattened, with their group's id and type."""
-    doc = spark.read.schema(schemas.GROUPS).option("multiLine", True).json(path)
-    each = doc.select(F.explode("correlated_groups").alias("g")).select("g.corr_id", "g.corr_type", F.posexplode("g.events").alias("pos", "e"))
-    return each.select("corr_id", "corr_type", "pos", "e.*")
+        whole = not path.rstrip("/").endswith(".jsonl")
+        found = lines(spark, path, schema, source)
+        if whole and (kind == "applog" or found.isEmpty()):
+            found = objects(spark, path, schema, source)
+        return normalize(found)
+
+    def ingest(self, spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None) -> DataFrame:
+        """All inputs, {path: format or None} or paths alone, as one table of unified events; sources: names by path."""
+        kinds = paths if isinstance(paths, dict) else dict.fromkeys(paths)
+        parts = [self.read(spark, path, kind, (sources or {}).get(path)) for path, kind in kinds.items()]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _events_of(found: object) -> Iterator[tuple[str | None, str | None, dict]]:
+    if isinstance(found, dict) and isinstance(found.get("correlated_groups"), list):
+        for g in found["correlated_groups"]:
+            for e in g.get("events") or ():
+                yield g.get("corr_id"), g.get("corr_type"), e
+    elif isinstance(found, dict) and isinstance(found.get("events"), list):
+        for e in found["events"]:
+            yield found.get("corr_id"), found.get("corr_type"), e
+    else:
+        open_ = [found]
+        while open_:
+            x = open_.pop()
+            if isinstance(x, dict):
+                yield None, None, x
+                x = list(x.values())
+            if isinstance(x, list):
+                open_.extend(reversed(x))
+
+
+def threat_events(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Events of threat documents of any shape, with ``corr_id``, ``corr_type`` and ``pos`` (place in the document).
+
+    A document is correlated groups, a group or other object with ``events``,
+    or anything nested, in which case each of its objects is an event.  A file
+    is one document, or with ``by_line`` each of its lines is one, as
+    ``writers.write_groups`` leaves them; texts that are no JSON are skipped.
+    """
+    said = spark.read.text(path, wholetext=not by_line)
+    names = schemas.THREAT_EVENT.names
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("value"):
+                try:
+                    found = _events_of(json.loads(text.as_py()))
+                except ValueError:
+                    continue
+                n = 0
+                while part := list(itertools.islice(found, 1000)):
+                    text_of = lambda v: None if v is None or isinstance(v, dict | list) else v if isinstance(v, str) else json.dumps(v)
+                    columns = [[text_of(e.get(k)) if isinstance(e, dict) else None for *_, e in part] for k in names]
+                    yield pa.RecordBatch.from_arrays([pa.array([text_of(x[0]) for x in part], pa.string()), pa.array([text_of(x[1]) for x in part], pa.string()), pa.array(range(n, n + len(part)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["corr_id", "corr_type", "pos", *names])
+                    n += len(part)
+
+    return said.mapInArrow(walk, "corr_id string, corr_type string, pos long, " + ", ".join(f"{n} string" for n in names))

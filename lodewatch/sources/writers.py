@@ -1,10 +1,17 @@
-"""Writers: sparse JSON lines, correlation documents, packs of a bounded number of records."""
+"""Writers: sparse JSON lines, logs of each endpoint, correlation and threat documents, alerts."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
+
+# Fixed values. Names that script log rows carry.
+SCRIPT_ENDPOINT, SCRIPT_SOURCE = "amsi_monitor", "AMSI-Buffer"
+
 
 def sparse(df: DataFrame) -> Column:
     """The row as JSON without nulls, empty strings, false flags, zero ids and pattern hits."""
@@ -24,7 +31,7 @@ def sparse(df: DataFrame) -> Column:
 
 
 def write_lines(df: DataFrame, path: str, per_file: int = 1_000_000, mode: str = "append") -> None:
-    """K2-K6: JSON lines in files of at most so many records."""
+    """K2, K4, K6: JSON lines in files of at most so many records; ``mode`` overwrite starts the log anew."""
     df.select(sparse(df).alias("value")).write.mode(mode).option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -33,6 +40,62 @@ def with_severity(df: DataFrame, severity: Column) -> DataFrame:
     return df.select(severity.alias("severity"), *[c for c in df.columns if c != "severity"])
 
 
-def write_groups(groups: DataFrame, path: str) -> None:
-    """K1: correlated groups as JSON lines, partitioned by type."""
-    groups.write.mode("overwrite").partitionBy("corr_type").json(path)
+def script_log(events: DataFrame) -> DataFrame:
+    """K5: rows of the script log: FULL with source and details, DEDUP (``is_dedup``) without.
+
+    events: ``ts`` (text), ``severity``, ``lang``, ``detection``, ``hash``,
+    ``app_name``, ``content_name``, ``content`` (binary), ``pid``, ``user``,
+    ``is_dedup``.
+    """
+    full = ~F.col("is_dedup")
+    details = F.struct("app_name", "content_name", F.base64("content").alias("encoded_content"))
+    return events.select(
+        "ts", F.when(full, "FULL").otherwise("DEDUP").alias("type"), F.lit(SCRIPT_ENDPOINT).alias("endpoint"), F.when(full, SCRIPT_SOURCE).alias("source"),
+        "severity", "lang", "detection", "hash", F.when(full, details).alias("details"), F.struct("pid", "user").alias("actor"),
+    )
+
+
+def console_lines(decisions: DataFrame) -> DataFrame:
+    """The rows that a console shows: all forwarded ones, and the first two and every tenth of those absorbed (``nth`` from 1)."""
+    return decisions.where(F.col("forwarded") | (F.col("nth") <= 2) | (F.col("nth") % 10 == 0))
+
+
+def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None, group: str = "component") -> None:
+    """K1: correlated groups as JSON lines, partitioned by type; with ``nested``, a line for each part of a group's events."""
+    out = groups if nested is None else groups.join(nested, group)
+    out.write.mode("overwrite").partitionBy("corr_type").json(path)
+
+
+def meta(events: DataFrame, groups: DataFrame, version: str = "1") -> DataFrame:
+    """K1: the one row that a correlation document begins with."""
+    files = events.groupBy("source_file").agg(F.count("*").alias("n"))
+    counted = files.agg(F.sum("n").alias("total_events"), F.array_sort(F.collect_list(F.element_at(F.split("source_file", "/"), -1))).alias("input_files"))
+    config = F.struct(F.lit(TIME_WINDOW).alias("time_window_seconds"), F.lit(SCRIPT_WINDOW).alias("script_time_window_seconds"), F.array(*map(F.lit, sorted(GENERIC_PROCESSES))).alias("generic_names_excluded"))
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    total = groups.agg(F.count("*").alias("total_groups"))
+    return counted.join(total).select(now.alias("generated_at"), F.lit(version).alias("correlator_version"), F.coalesce("total_events", F.lit(0)).alias("total_events"), "total_groups", "input_files", config.alias("config"))
+
+
+def alerts(verdicts: DataFrame, nested: DataFrame, group: str = "component") -> DataFrame:
+    """K8: a row for each judged group and part of its events: time, risk, verdict, events."""
+    joined = verdicts.join(nested.select(group, "part", "events"), group, "left")
+    return joined.select(F.coalesce(F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("UNKNOWN TIME")).alias("timestamp"), F.col("risk").alias("system_risk_level"), F.col("threat_level").alias("ai_evaluation"), F.coalesce("events", F.array().cast(_type(nested, "events"))).alias("raw_events"))
+
+
+def _type(df: DataFrame, name: str):
+    return df.schema[name].dataType
+
+
+def _document(df: DataFrame) -> list:
+    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()]
+
+
+def threat_document(summary: DataFrame, results: DataFrame, nodes: DataFrame, edges: DataFrame) -> str:
+    """K7: one JSON document of summary, results and graph; for results under a quota, as ``threat.capped`` leaves them."""
+    return json.dumps({"summary": (_document(summary) or [{}])[0], "results": _document(results), "graph": {"nodes": _document(nodes), "edges": _document(edges)}}, indent=2)
+
+
+def write_threats(path: str, summary: DataFrame, results: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
+    """K7 for results of any size: JSON lines in a folder for each part."""
+    for name, df in (("summary", summary), ("results", results), ("nodes", nodes), ("edges", edges)):
+        df.write.mode("overwrite").json(f"{path}/{name}")

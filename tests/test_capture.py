@@ -52,7 +52,7 @@ def test_dimensions(spark):
 def test_watchlist_and_subscriptions(spark):
     events = spark.createDataFrame([("PowerShell", 4104, "x"), ("WMI", 1, "x"), ("App", 1, "Tool.EXE")], "source string, code int, process_name string")
     assert {r.source for r in capture.watched(events, spark.createDataFrame([("tool.exe",)], "app_name string")).collect()} == {"PowerShell", "App"}
-    assert capture.subscribed(spark.createDataFrame([(4625,), (1,)], "event_id int")).count() == 1
+    assert capture.subscribed(spark.createDataFrame([("a", 4625), ("b", 1)], "event_id string, code int")).count() == 1
 
 
 def test_verdicts_and_rerouting(spark):
