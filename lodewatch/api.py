@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.operators import correlate, threat
+from lodewatch.shared import written
 from lodewatch.sources import readers, writers
 
 
 @dataclass(frozen=True)
 class Correlation:
-    """``events`` with their ``component``, ``groups`` after their deduplication."""
+    """``events`` with their ``component``, ``assembled`` groups, and ``groups`` after their deduplication."""
 
     events: DataFrame
+    assembled: DataFrame
     groups: DataFrame
 
     def write(self, path: str) -> None:
@@ -25,11 +27,12 @@ class Correlation:
         writers.meta(self.events, self.groups).write.mode("overwrite").json(f"{path}/meta")
 
 
-def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, normalizers: readers.Normalizers | None = None) -> Correlation:
-    """Reads files or folders of any known format, links their events by all rules, assembles and deduplicates groups."""
+def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None) -> Correlation:
+    """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups."""
     events = (normalizers or readers.Normalizers()).ingest(spark, paths, sources)
-    grouped = correlate.assign(events, correlate.links(events, window, script_window, pid_gap))
-    return Correlation(grouped, correlate.dedup_groups(correlate.assemble(grouped)))
+    grouped = correlate.assign(events, correlate.links(events, window, script_window, pid_gap, rules))
+    groups = correlate.assemble(grouped)
+    return Correlation(grouped, groups, correlate.dedup_groups(groups))
 
 
 @dataclass(frozen=True)
@@ -48,13 +51,13 @@ class Analysis:
 
 def analyze(events: DataFrame, reputation_ip: DataFrame, reputation: DataFrame, quota: int | None = None) -> Analysis:
     """What the analysis service answers, for events as they are or for ``readers.threat_events``; with a quota, for its first rows."""
-    order = ("us", "event_id") if {"us", "event_id"} <= set(events.columns) else ("corr_id", "pos")
+    order = ("us", "event_id") if {"us", "event_id"} <= set(events.columns) else ("doc", "pos")
     found = threat.targets(events, order)
     if order[0] != "us":
         found = found.withColumns({"us": F.unix_micros(F.try_to_timestamp("first_ts")), "event_id": F.concat_ws(":", *order)})
     results = threat.scored(found, reputation_ip, reputation)
     if quota is not None:
-        results = threat.capped(results, quota)
+        results = written(threat.capped(results, quota), "results")
     return Analysis(results, threat.summary(results), threat.graph_nodes(results), threat.graph_edges(results))
 
 

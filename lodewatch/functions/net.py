@@ -22,9 +22,7 @@ def any_of(conditions: Iterable[Column]) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null if it is no dotted quad without leading zeros."""
-    parts = F.split(ip, r"\.")
-    part = lambda i: F.get(parts, F.lit(i)).try_cast("long")
-    value = functools.reduce(lambda acc, i: acc * 256 + part(i), range(1, 4), part(0))
+    value = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.try_cast("long"))
     return F.when(ip.rlike(IPV4), value)
 
 

@@ -126,17 +126,16 @@ def _groups(address: Column) -> Column:
 
 def ipv6_text(address: Column) -> Column:
     """16 bytes in canonical form: the longest run of two zero groups or more, the first of equals, is ``::``."""
-    parts = _groups(address)
-    whole = F.concat(F.lit(":"), F.array_join(parts, ":"), F.lit(":"))
-    short = F.lit(None).cast("string")
-    for n in range(8, 1, -1):
-        zeros = ":" + "0:" * n
-        # Patterns of zeros from the longest on; the first found is the leftmost.
-        at = F.instr(whole, zeros)
-        cut = F.concat(F.substr(whole, F.lit(1), at - 1), F.lit("::"), F.substr(whole, at + len(zeros)))
-        short = F.coalesce(short, F.when(at > 0, cut))
-    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, "^:(?!:)", ""), "(?<!:):$", "")
-    return trimmed(F.coalesce(short, whole))
+
+    def short(whole: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(whole, F.lit(":(?:0:){2,}"), F.lit(0)), lambda r, i: F.struct(F.length(r), -i, r.alias("run")))
+        run = F.coalesce(F.array_max(runs)["run"], F.lit(""))
+        at = F.instr(whole, run)
+        cut = F.concat(F.substr(whole, F.lit(1), at - 1), F.lit("::"), F.substr(whole, at + F.length(run)))
+        return F.regexp_replace(F.when(run == "", whole).otherwise(cut), "^:(?!:)|(?<!:):$", "")
+
+    whole = F.concat(F.lit(":"), F.array_join(_groups(address), ":"), F.lit(":"))
+    return F.get(F.transform(F.array(whole), short), F.lit(0))
 
 
 def parsed_packets(packets: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ process is many partitions.  Ids may be of any type with an order.
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from lodewatch.operators.components import components
 ORDER = ("us", "event_id")
 #: Windows of time in a cell; an event within a window of a cell's border is in two.
 CELL = 64
+#: R1 to R6.
+RULES = ("pid", "file", "window", "flow", "user", "script")
 
 
 def specific(process: Column) -> Column:
@@ -125,9 +128,13 @@ def nearest_process(events: DataFrame, window: int = SCRIPT_WINDOW, name: str =
     return near.select(F.array_min(F.array_compact(F.array(option("before"), option("after")))).alias("x"), "event_id").where("x is not null").select(F.col("x.event_id").alias("a"), F.col("event_id").alias("b"), F.col("x.d").alias("distance_us"))
 
 
-def links(events: DataFrame, window: int = TIME_WINDOW, script_window: int = SCRIPT_WINDOW, pid_gap: int | None = None) -> list[DataFrame]:
-    """All six rules."""
-    return [same_pid(events, pid_gap), cross_file(events), same_window(events, window), paired_flow(events), same_user_process(events), nearest_process(events, script_window)]
+def links(events: DataFrame, window: int = TIME_WINDOW, script_window: int = SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = RULES) -> list[DataFrame]:
+    """The links of the rules by name; all six unless told otherwise."""
+    made = {
+        "pid": lambda: same_pid(events, pid_gap), "file": lambda: cross_file(events), "window": lambda: same_window(events, window),
+        "flow": lambda: paired_flow(events), "user": lambda: same_user_process(events), "script": lambda: nearest_process(events, script_window),
+    }
+    return [made[r]() for r in rules]
 
 
 def assign(events: DataFrame, edges: list[DataFrame]) -> DataFrame:

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.functions import classify, net, text
 from lodewatch.functions import tables as T
 from lodewatch.operators import aggregates, capture, correlate, enrich, stateful, threat
-from lodewatch.plans.views import SQL as U
+from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import table, unified
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 #: Events are hours apart in these tables, so windows are an hour here.
 HOUR = 3600
 NEUTRAL_PATTERNS = (("tion", "CAT_A", "LOW"), ("ing ", "CAT_B", "MEDIUM"), ("que ", "CAT_C", "HIGH"), ("###", "CAT_D", "CRITICAL"), ("el ", "CAT_E", "HIGH"))
@@ -23,34 +18,21 @@ NEUTRAL_HITS = ("the ", "und ", "les ", "los ", "###", "@", "| ", "!!")
 ROOTS = (("http://m.", "SYSTEM"), ("https://www.", "KNOWN_USER"), ("https://", "WEB"))
 
 
-def query(sql: str) -> Callable:
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _with(body: str, extra: str = "") -> str:
-    return f"WITH {U}{', ' + extra if extra else ''} {body}"
-
-
 _GENERIC = ", ".join(f"'{p}'" for p in T.GENERIC_PROCESSES)
 _SPECIFIC = f"process_name <> '' AND lower(process_name) NOT IN ({_GENERIC})"
 
 
-@query(_with("SELECT event_id, us, record_type, process_name, src_ip, dst_ip, dst_port, direction FROM u"))
+@query(with_view("SELECT event_id, us, record_type, process_name, src_ip, dst_ip, dst_port, direction FROM u"))
 def unified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).select("event_id", "us", "record_type", "process_name", "src_ip", "dst_ip", "dst_port", "direction")
 
 
-@query(_with("SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY pid ORDER BY us, event_id) AS a, event_id AS b FROM u WHERE pid > 0) WHERE a <> b"))
+@query(with_view("SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY pid ORDER BY us, event_id) AS a, event_id AS b FROM u WHERE pid > 0) WHERE a <> b"))
 def r1_pid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.same_pid(unified(spark, sf_dir))
 
 
-@query(_with(f"SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY lower(process_name) ORDER BY us, event_id) AS a, event_id AS b, min(source_file) OVER (PARTITION BY lower(process_name)) <> max(source_file) OVER (PARTITION BY lower(process_name)) AS wide FROM u WHERE {_SPECIFIC}) WHERE wide AND a <> b"))
+@query(with_view(f"SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY lower(process_name) ORDER BY us, event_id) AS a, event_id AS b, min(source_file) OVER (PARTITION BY lower(process_name)) <> max(source_file) OVER (PARTITION BY lower(process_name)) AS wide FROM u WHERE {_SPECIFIC}) WHERE wide AND a <> b"))
 def r2_bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.cross_file(unified(spark, sf_dir))
 
@@ -71,7 +53,7 @@ r3 AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (
 """
 
 
-@query(_with("SELECT a, b FROM r3", _R3))
+@query(with_view("SELECT a, b FROM r3", _R3))
 def r3_window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.same_window(unified(spark, sf_dir), HOUR)
 
@@ -83,17 +65,17 @@ r4 AS (SELECT first_id AS a, event_id AS b FROM f WHERE both_ways AND first_id <
 """
 
 
-@query(_with("SELECT a, b FROM r4", _R4))
+@query(with_view("SELECT a, b FROM r4", _R4))
 def r4_flow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.paired_flow(unified(spark, sf_dir))
 
 
-@query(_with(f"SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY user_name, lower(process_name) ORDER BY us, event_id) AS a, event_id AS b FROM u WHERE user_name <> '' AND {_SPECIFIC}) WHERE a <> b"))
+@query(with_view(f"SELECT a, b FROM (SELECT first_value(event_id) OVER (PARTITION BY user_name, lower(process_name) ORDER BY us, event_id) AS a, event_id AS b FROM u WHERE user_name <> '' AND {_SPECIFIC}) WHERE a <> b"))
 def r5_user_process_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.same_user_process(unified(spark, sf_dir))
 
 
-@query(_with(f"""
+@query(with_view(f"""
 SELECT a, b, distance_us FROM (
   SELECT p.event_id AS a, s.event_id AS b, abs(p.us - s.us) AS distance_us, row_number() OVER (PARTITION BY s.event_id ORDER BY abs(p.us - s.us), p.us, p.event_id) AS rn
   FROM (SELECT * FROM u WHERE record_type = 'script_execution') s
@@ -103,22 +85,25 @@ def r6_nearest_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.nearest_process(unified(spark, sf_dir), HOUR)
 
 
-_GROUPS = f"""
-{_R3}, {_R4}, e AS (SELECT a, b FROM r3 UNION SELECT a, b FROM r4), d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(node, label) AS (SELECT event_id, event_id FROM u UNION SELECT d.b, reach.label FROM reach JOIN d ON d.a = reach.node AND d.b > reach.label),
-g AS (SELECT u.*, r.component FROM u JOIN (SELECT node, min(label) AS component FROM reach GROUP BY node) r ON r.node = u.event_id)
-"""
 _TYPE = """CASE WHEN p AND n AND s THEN 'full_activity_session' WHEN p AND n THEN 'process_with_network' WHEN p AND s THEN 'process_with_script' WHEN n AND s THEN 'network_with_script'
   WHEN p THEN 'process_session' WHEN n THEN 'network_flow' WHEN s THEN 'script_session' ELSE 'mixed' END"""
-_ASSEMBLED = f"""
-{_GROUPS},
-actions AS (SELECT component, count(*) AS unique_events FROM (SELECT DISTINCT component, record_type, source, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction FROM g) GROUP BY component),
+
+
+def closure(*more: str) -> str:
+    """SQL tables ``g`` (events with their component) and ``assembled`` from events ``u`` and edges ``e``; more: further columns of an action."""
+    some = lambda c, name: f"coalesce(string_agg(DISTINCT nullif({c}, ''), ',' ORDER BY nullif({c}, '')), '') AS {name}"
+    action = ", ".join(("component", "record_type", "source", "process_name", "user_name", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "direction", *more))
+    return f"""d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, label) AS (SELECT event_id, event_id FROM u UNION SELECT d.b, reach.label FROM reach JOIN d ON d.a = reach.node AND d.b > reach.label),
+g AS (SELECT u.*, r.component FROM u JOIN (SELECT node, min(label) AS component FROM reach GROUP BY node) r ON r.node = u.event_id),
+actions AS (SELECT component, count(*) AS unique_events FROM (SELECT DISTINCT {action} FROM g) GROUP BY component),
 flat AS (SELECT component, count(*) AS total_occurrences, min(us) AS start_us, max(us) AS end_us,
-  string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS source_files, string_agg(DISTINCT process_name, ',' ORDER BY process_name) AS processes,
-  string_agg(DISTINCT dst_ip, ',' ORDER BY dst_ip) AS dest_ips, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols, string_agg(DISTINCT user_name, ',' ORDER BY user_name) AS users,
+  {some("source_file", "source_files")}, {some("process_name", "processes")}, {some("dst_ip", "dest_ips")}, {some("protocol", "protocols")}, {some("user_name", "users")},
   bool_or(record_type = 'process_start') AS p, bool_or(record_type = 'network_connect') AS n, bool_or(record_type = 'script_execution') AS s FROM g GROUP BY component),
-assembled AS (SELECT flat.*, unique_events, {_TYPE} AS corr_type FROM flat JOIN actions USING (component))
-"""
+assembled AS (SELECT flat.*, unique_events, {_TYPE} AS corr_type FROM flat JOIN actions USING (component))"""
+
+
+_ASSEMBLED = f"{_R3}, {_R4}, e AS (SELECT a, b FROM r3 UNION SELECT a, b FROM r4), {closure()}"
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,31 +116,31 @@ def _flat(groups: DataFrame) -> DataFrame:
     return groups.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
-@query("WITH RECURSIVE " + _with("SELECT component, corr_type, unique_events, total_occurrences, start_us, end_us, source_files, processes, dest_ips, protocols, users FROM assembled", _ASSEMBLED)[5:])
+@query("WITH RECURSIVE " + with_view("SELECT component, corr_type, unique_events, total_occurrences, start_us, end_us, source_files, processes, dest_ips, protocols, users FROM assembled", _ASSEMBLED)[5:])
 def corr_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: events linked by window and flow, as assembled groups."""
     return _flat(correlate.assemble(_grouped(spark, sf_dir))).select("component", "corr_type", "unique_events", "total_occurrences", "start_us", "end_us", "source_files", "processes", "dest_ips", "protocols", "users")
 
 
-@query("WITH RECURSIVE " + _with("""SELECT corr_type, processes, dest_ips, protocols, source_files, sum(total_occurrences)::BIGINT AS total_occurrences,
+@query("WITH RECURSIVE " + with_view("""SELECT corr_type, processes, dest_ips, protocols, source_files, sum(total_occurrences)::BIGINT AS total_occurrences,
   arg_max(component, total_occurrences * 1000000000 - component) AS component, CASE WHEN count(*) > 1 THEN count(*) END AS repeat_count FROM assembled GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY corr_type, processes, dest_ips, protocols, source_files"), _ASSEMBLED)[5:])
 def group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = correlate.assemble(_grouped(spark, sf_dir)).select("component", "corr_type", "processes", "dest_ips", "protocols", "source_files", "users", "total_occurrences")
     return _flat(correlate.dedup_groups(groups)).select("corr_type", "processes", "dest_ips", "protocols", "source_files", "total_occurrences", "component", "repeat_count")
 
 
-@query("WITH RECURSIVE " + _with("SELECT corr_type, count(*) AS n, max(total_occurrences) AS largest FROM assembled GROUP BY corr_type", _ASSEMBLED)[5:])
+@query("WITH RECURSIVE " + with_view("SELECT corr_type, count(*) AS n, max(total_occurrences) AS largest FROM assembled GROUP BY corr_type", _ASSEMBLED)[5:])
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.assemble(_grouped(spark, sf_dir)).groupBy("corr_type").agg(F.count("*").alias("n"), F.max("total_occurrences").alias("largest"))
 
 
-@query(_with("""SELECT pid, record_type, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction, count(*) AS n, min(us) AS first_us, max(us) AS last_us, arg_min(event_id, us) AS first_event
+@query(with_view("""SELECT pid, record_type, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction, count(*) AS n, min(us) AS first_us, max(us) AS last_us, arg_min(event_id, us) AS first_event
 FROM u GROUP BY pid, record_type, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction"""))
 def collapse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.collapse(unified(spark, sf_dir), "pid").drop("source", "script_content")
 
 
-@query(_with("""SELECT src_ip, dst_ip, src_port, dst_port, protocol, min(us) AS first_us, max(us) AS last_us, count(*) AS packets,
+@query(with_view("""SELECT src_ip, dst_ip, src_port, dst_port, protocol, min(us) AS first_us, max(us) AS last_us, count(*) AS packets,
   coalesce(sum(bytes) FILTER (WHERE direction = 'OUTBOUND'), 0)::BIGINT AS bytes_sent, coalesce(sum(bytes) FILTER (WHERE direction = 'INBOUND'), 0)::BIGINT AS bytes_recv, arg_max(tcp_state, us) AS last_state
 FROM u GROUP BY src_ip, dst_ip, src_port, dst_port, protocol"""))
 def flow_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +162,7 @@ def _usb(spark: SparkSession, sf_dir: str) -> DataFrame:
 _USB_SQL = _USB.format(u="u")
 
 
-@query(_with("""SELECT session_key, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'delete') AS deletes, count(*) FILTER (WHERE operation = 'execute') AS executes,
+@query(with_view("""SELECT session_key, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'delete') AS deletes, count(*) FILTER (WHERE operation = 'execute') AS executes,
   coalesce(sum(size) FILTER (WHERE operation = 'read'), 0)::BIGINT AS bytes_read, coalesce(sum(size) FILTER (WHERE operation = 'write'), 0)::BIGINT AS bytes_written, max(us) - min(us) AS duration_us,
   count(*) FILTER (WHERE lower(file_path) LIKE '%.ps1') AS n_ps1, count(*) FILTER (WHERE NOT contains(file_path, '.')) AS n_none FROM x GROUP BY session_key""", _USB_SQL))
 def usb_session_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +171,7 @@ def usb_session_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session_key", "reads", "writes", "deletes", "executes", "bytes_read", "bytes_written", (F.col("end_us") - F.col("start_us")).alias("duration_us"), ext(".ps1").alias("n_ps1"), ext("(none)").alias("n_none"))
 
 
-@query(_with("""SELECT session_key, anomaly, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_key, once ORDER BY us, event_id) AS rn FROM (
+@query(with_view("""SELECT session_key, anomaly, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_key, once ORDER BY us, event_id) AS rn FROM (
   SELECT session_key, us, event_id, 'executable_written: ' || file_path AS once, 'executable_written: ' || file_path AS anomaly FROM x WHERE operation = 'write' AND (lower(file_path) LIKE '%.exe' OR lower(file_path) LIKE '%.ps1')
   UNION ALL SELECT session_key, us, event_id, 'high_read_volume', 'high_read_volume: ' || (t // 1048576) || ' MB read' FROM (SELECT *, sum(size) OVER (PARTITION BY session_key ORDER BY us, event_id)::BIGINT AS t FROM x WHERE operation = 'read') WHERE t >= 524288000
   UNION ALL SELECT session_key, us, event_id, 'high_write_volume', 'high_write_volume: ' || (t // 1048576) || ' MB written' FROM (SELECT *, sum(size) OVER (PARTITION BY session_key ORDER BY us, event_id)::BIGINT AS t FROM x WHERE operation = 'write') WHERE t >= 524288000
@@ -203,7 +188,7 @@ def _files(spark: SparkSession, sf_dir: str, close: str, delete: str, write: str
     return spark.sql(sql, u=unified(spark, sf_dir))
 
 
-@query(_with("""SELECT file_key, write_count, first_us, last_us, flushed_by FROM (
+@query(with_view("""SELECT file_key, write_count, first_us, last_us, flushed_by FROM (
   SELECT w.file_key, w.episode, session, count(*) AS write_count, min(us) AS first_us, max(us) AS last_us,
     CASE WHEN session < any_value(last_session) THEN 'stale' ELSE coalesce(any_value(c.action), 'stale') END AS flushed_by
   FROM (SELECT *, max(session) OVER (PARTITION BY file_key, episode) AS last_session FROM (SELECT *, sum(far) OVER (PARTITION BY file_key, episode ORDER BY us, event_id) AS session FROM (
@@ -214,20 +199,20 @@ def write_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.coalesced_writes(_files(spark, sf_dir, "close", "delete", "write"), "file_key", 36000)
 
 
-@query(_with("""SELECT directory, pid, session::BIGINT AS session, count(*) FILTER (WHERE action = 'create') AS total_created, count(*) FILTER (WHERE action = 'delete') AS total_deleted, count(*) FILTER (WHERE elevated) AS elevated_count, min(us) AS first_us, max(us) AS last_us
+@query(with_view("""SELECT directory, pid, session::BIGINT AS session, count(*) FILTER (WHERE action = 'create') AS total_created, count(*) FILTER (WHERE action = 'delete') AS total_deleted, count(*) FILTER (WHERE elevated) AS elevated_count, min(us) AS first_us, max(us) AS last_us
 FROM (SELECT *, sum(far) OVER (PARTITION BY directory, pid ORDER BY us, event_id) AS session FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY directory, pid ORDER BY us, event_id) > 360000000000 THEN 1 ELSE 0 END AS far FROM fl)) GROUP BY directory, pid, session""",
   "fl AS (" + _FILES.format(close="'delete'", delete="'create'", write="'write'", u="u") + ")"))
 def temp_bucket_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.temp_buckets(_files(spark, sf_dir, "delete", "create", "write"), idle_s=360000)
 
 
-@query(_with(f"SELECT directory, us // {HOUR}000000 * {HOUR}000000 AS window_us, count(*) AS n FROM (SELECT us, concat('dir', k % 12) AS directory FROM u) GROUP BY 1, 2 HAVING count(*) >= 3"))
+@query(with_view(f"SELECT directory, us // {HOUR}000000 * {HOUR}000000 AS window_us, count(*) AS n FROM (SELECT us, concat('dir', k % 12) AS directory FROM u) GROUP BY 1, 2 HAVING count(*) >= 3"))
 def dir_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.churning(unified(spark, sf_dir).withColumn("directory", F.concat(F.lit("dir"), F.col("k") % 12)), "directory", HOUR, 3)
 
 
 def _recursive(reach: int) -> str:
-    return "WITH RECURSIVE " + _with("", f"""o AS (SELECT event_id, pid, us, row_number() OVER (PARTITION BY pid ORDER BY us, event_id) AS rn FROM u),
+    return "WITH RECURSIVE " + with_view("", f"""o AS (SELECT event_id, pid, us, row_number() OVER (PARTITION BY pid ORDER BY us, event_id) AS rn FROM u),
 a(event_id, pid, us, rn, anchor_us, nth) AS (SELECT event_id, pid, us, rn, us, CAST(1 AS BIGINT) FROM o WHERE rn = 1
   UNION ALL SELECT o.event_id, o.pid, o.us, o.rn, CASE WHEN o.us - a.anchor_us < {reach} THEN a.anchor_us ELSE o.us END, CASE WHEN o.us - a.anchor_us < {reach} THEN a.nth + 1 ELSE 1 END
   FROM a JOIN o ON o.pid = a.pid AND o.rn = a.rn + 1)""")[5:]
@@ -248,7 +233,7 @@ def duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.suppressed(unified(spark, sf_dir).select("event_id", "pid", "us"), ["pid"], HOUR).select("event_id", "pid", "us")
 
 
-@query(_with("SELECT event_id, row_number() OVER (PARTITION BY process_name, dst_ip ORDER BY us, event_id) = 1 AS novel FROM u"))
+@query(with_view("SELECT event_id, row_number() OVER (PARTITION BY process_name, dst_ip ORDER BY us, event_id) = 1 AS novel FROM u"))
 def novelty_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.first_seen(unified(spark, sf_dir), ["process_name", "dst_ip"]).select("event_id", "novel")
 
@@ -263,7 +248,7 @@ def _starts_sql(names: str) -> str:
     return f"SELECT event_id, us, pid, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'other' END AS kind, {names} FROM u"
 
 
-@query(_with("""SELECT event_id, parent_pid, kind, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w::BIGINT AS child_count, sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w::BIGINT AS unique_children FROM (
+@query(with_view("""SELECT event_id, parent_pid, kind, sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w::BIGINT AS child_count, sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w::BIGINT AS unique_children FROM (
   SELECT *, row_number() OVER (PARTITION BY parent_pid, life, kind, child_name ORDER BY us, event_id) AS rn FROM (SELECT *, sum(CASE WHEN kind = 'stop' THEN 1 ELSE 0 END) OVER (PARTITION BY parent_pid ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS life FROM c))
 WINDOW w AS (PARTITION BY parent_pid, life ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)""".replace(" OVER w::BIGINT", " OVER w"), "c AS (" + _starts_sql("pid AS parent_pid, process_name AS child_name") + ")").replace("sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w", "CAST(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w AS BIGINT)").replace("sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w", "CAST(sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT)"))
 def child_running(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +256,7 @@ def child_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.child_counts(events.select("event_id", "us", "kind", F.col("pid").alias("parent_pid"), F.col("process_name").alias("child_name")))
 
 
-@query(_with("""SELECT event_id, pid, path, start_us, us - start_us AS lifetime_us FROM (SELECT *, last_value(CASE WHEN kind = 'start' THEN path0 END IGNORE NULLS) OVER w AS path, last_value(CASE WHEN kind = 'start' THEN us END IGNORE NULLS) OVER w AS start_us FROM (
+@query(with_view("""SELECT event_id, pid, path, start_us, us - start_us AS lifetime_us FROM (SELECT *, last_value(CASE WHEN kind = 'start' THEN path0 END IGNORE NULLS) OVER w AS path, last_value(CASE WHEN kind = 'start' THEN us END IGNORE NULLS) OVER w AS start_us FROM (
   SELECT *, coalesce(sum(CASE WHEN kind = 'stop' THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM c)
 WINDOW w AS (PARTITION BY pid, life ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)) WHERE kind = 'stop'""", "c AS (" + _starts_sql("concat('c:/', process_name) AS path0") + ")"))
 def stop_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +319,7 @@ def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PUBLIC = "NOT (dst_ip LIKE '192.168.%' OR dst_ip LIKE '10.%')"
 
 
-@query(_with(f"SELECT event_id, {_PUBLIC} AS dst_public, false AS src_public FROM u"))
+@query(with_view(f"SELECT event_id, {_PUBLIC} AS dst_public, false AS src_public FROM u"))
 def public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).select("event_id", net.is_public_ipv4(F.col("dst_ip")).alias("dst_public"), net.is_public_ipv4(F.col("src_ip")).alias("src_public"))
 
@@ -346,7 +331,7 @@ tg AS (SELECT * FROM t1 WHERE NOT (dom IS NULL AND ri > 1) AND NOT (ip IS NULL A
 """
 
 
-@query(_with("SELECT event_id, ip, dom AS domain FROM tg", _TARGETS))
+@query(with_view("SELECT event_id, ip, dom AS domain FROM tg", _TARGETS))
 def ip_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.targets(unified(spark, sf_dir)).select("event_id", "ip", "domain")
 
@@ -371,17 +356,17 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.scored(threat.targets(events), ips, reputation)
 
 
-@query(_with("SELECT event_id, ip, dom AS domain, risk_score, severity, is_suspicious FROM scored", _SCORED))
+@query(with_view("SELECT event_id, ip, dom AS domain, risk_score, severity, is_suspicious FROM scored", _SCORED))
 def threat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("event_id", "ip", "domain", "risk_score", "severity", "is_suspicious")
 
 
-@query(_with("SELECT count(*) AS total, count(*) FILTER (WHERE is_suspicious) AS suspicious, count(*) FILTER (WHERE NOT is_suspicious) AS clean_rows, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in threat.COLORS) + " FROM scored", _SCORED))
+@query(with_view("SELECT count(*) AS total, count(*) FILTER (WHERE is_suspicious) AS suspicious, count(*) FILTER (WHERE NOT is_suspicious) AS clean_rows, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in threat.COLORS) + " FROM scored", _SCORED))
 def threat_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.summary(_scored(spark, sf_dir))
 
 
-@query(_with("SELECT event_id, risk_score, severity FROM scored ORDER BY risk_score DESC, event_id LIMIT 5", _SCORED))
+@query(with_view("SELECT event_id, risk_score, severity FROM scored ORDER BY risk_score DESC, event_id LIMIT 5", _SCORED))
 def top_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.top(_scored(spark, sf_dir)).select("event_id", "risk_score", "severity")
 
@@ -389,7 +374,7 @@ def top_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL = "CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM' WHEN risk_score >= 20 THEN 'LOW' ELSE 'CLEAN' END AS severity"
 
 
-@query(_with(f"""SELECT node_id, kind, risk_score, {_LABEL} FROM (
+@query(with_view(f"""SELECT node_id, kind, risk_score, {_LABEL} FROM (
   SELECT 'process::' || process_name AS node_id, 'process' AS kind, max(risk_score) AS risk_score FROM scored GROUP BY process_name
   UNION ALL SELECT 'ip::' || ip, 'ip', max(risk_score) FROM scored WHERE ip IS NOT NULL GROUP BY ip
   UNION ALL SELECT 'domain::' || dom, 'domain', arg_min(risk_score, us) FROM scored WHERE dom IS NOT NULL GROUP BY dom)""", _SCORED))
@@ -397,7 +382,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.graph_nodes(_scored(spark, sf_dir))
 
 
-@query(_with("""SELECT 'process::' || process_name AS source, 'ip::' || ip AS target, protocol || ' :' || dst_port AS label, event_id FROM scored WHERE ip IS NOT NULL
+@query(with_view("""SELECT 'process::' || process_name AS source, 'ip::' || ip AS target, protocol || ' :' || dst_port AS label, event_id FROM scored WHERE ip IS NOT NULL
   UNION ALL SELECT 'process::' || process_name, 'domain::' || dom, protocol || ' :' || dst_port, event_id FROM scored WHERE dom IS NOT NULL""", _SCORED))
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.graph_edges(_scored(spark, sf_dir))
@@ -413,12 +398,12 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))
 
 
-@query("SELECT page_id, CASE WHEN starts_with(lower(url), 'https://www.') THEN 'KNOWN_USER' WHEN starts_with(lower(url), 'http://m.') THEN 'SYSTEM' WHEN starts_with(lower(url), 'https://') THEN 'WEB' ELSE 'UNKNOWN' END AS location FROM pages")
+@query("SELECT page_id, CASE WHEN startswith_view(lower(url), 'https://www.') THEN 'KNOWN_USER' WHEN startswith_view(lower(url), 'http://m.') THEN 'SYSTEM' WHEN startswith_view(lower(url), 'https://') THEN 'WEB' ELSE 'UNKNOWN' END AS location FROM pages")
 def location_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", classify.location(F.col("url"), ROOTS).alias("location"))
 
 
-@query(_with("""SELECT event_id, CASE WHEN k % 9 = 0 THEN 2 WHEN place = 'UNKNOWN' THEN 1 ELSE
+@query(with_view("""SELECT event_id, CASE WHEN k % 9 = 0 THEN 2 WHEN place = 'UNKNOWN' THEN 1 ELSE
   CASE WHEN k % 2 = 1 THEN 4 ELSE 0 END + CASE WHEN k % 2 = 0 AND place = 'SYSTEM' AND k % 3 <> 0 THEN 8 ELSE 0 END + CASE WHEN lower(process_name) IN ('svchost.exe', 'powershell.exe') AND place <> 'SYSTEM' THEN 16 ELSE 0 END
   + CASE WHEN pid % 7 = 0 THEN 32 ELSE 0 END + CASE WHEN pid % 11 = 0 THEN 64 ELSE 0 END + CASE WHEN pid % 13 = 0 THEN 128 ELSE 0 END + CASE WHEN rel = 1 THEN 512 ELSE 0 END + CASE WHEN proc = 1 THEN 1024 ELSE 0 END END AS rules FROM r""",
   "r AS (SELECT *, CASE k % 4 WHEN 0 THEN 'SYSTEM' WHEN 1 THEN 'KNOWN_USER' WHEN 2 THEN 'SYSTEM' ELSE 'UNKNOWN' END AS place, row_number() OVER (PARTITION BY user_name, process_name ORDER BY us, event_id) AS rel, row_number() OVER (PARTITION BY process_name ORDER BY us, event_id) AS proc FROM u)"))
@@ -442,13 +427,13 @@ def script_log_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", classify.should_log(severity, F.col("doc_id"), F.col("source"), language, F.lit(False), (3, 5), ("SRC1",), False, False, True, 3).alias("logged"))
 
 
-@query(_with("SELECT max(hi - lo) AS max_daily_span_us, count(*) AS days FROM (SELECT us // 86400000000 AS day, min(us) AS lo, max(us) AS hi FROM u GROUP BY 1)"))
+@query(with_view("SELECT max(hi - lo) AS max_daily_span_us, count(*) AS days FROM (SELECT us // 86400000000 AS day, min(us) AS lo, max(us) AS hi FROM u GROUP BY 1)"))
 def daily_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = unified(spark, sf_dir).groupBy(F.floor(F.col("us") / 86_400_000_000)).agg((F.max("us") - F.min("us")).alias("span"))
     return days.agg(F.max("span").alias("max_daily_span_us"), F.count("*").alias("days"))
 
 
-@query(_with("SELECT pid, n, round((5 + sqrt(n::DOUBLE / max(n) OVER ()) * 14) * 1000)::BIGINT AS radius_milli FROM (SELECT pid, count(*) AS n FROM u GROUP BY pid)"))
+@query(with_view("SELECT pid, n, round((5 + sqrt(n::DOUBLE / max(n) OVER ()) * 14) * 1000)::BIGINT AS radius_milli FROM (SELECT pid, count(*) AS n FROM u GROUP BY pid)"))
 def timeline_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = unified(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n").alias("most"))
@@ -473,14 +458,14 @@ def file_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", classify.file_route(path, _STARTUP, _PROTECTED, _TEMP).alias("route"), classify.label(classify.file_severity(action, F.col("path"), process, _STARTUP, _PROTECTED), T.FILE_SEVERITIES).alias("severity"))
 
 
-@query(_with("SELECT event_id, CASE WHEN dst_port = 9999 THEN CASE WHEN src_port = 50003 THEN 'UNKNOWN' ELSE 'UNKNOWN' END ELSE protocol END AS layer, CASE WHEN src_ip LIKE '10.0.%' AND dst_ip NOT LIKE '192.168.%' THEN 'OUTBOUND' ELSE 'INBOUND' END AS flow_direction, CASE k % 4 WHEN 0 THEN 'SYN_SENT' WHEN 1 THEN 'SYN_RECEIVED' WHEN 2 THEN 'CLOSED' ELSE 'ESTABLISHED' END AS state, dst_ip LIKE '%.255' AS is_broadcast FROM u"))
+@query(with_view("SELECT event_id, CASE WHEN dst_port = 9999 THEN CASE WHEN src_port = 50003 THEN 'UNKNOWN' ELSE 'UNKNOWN' END ELSE protocol END AS layer, CASE WHEN src_ip LIKE '10.0.%' AND dst_ip NOT LIKE '192.168.%' THEN 'OUTBOUND' ELSE 'INBOUND' END AS flow_direction, CASE k % 4 WHEN 0 THEN 'SYN_SENT' WHEN 1 THEN 'SYN_RECEIVED' WHEN 2 THEN 'CLOSED' ELSE 'ESTABLISHED' END AS state, dst_ip LIKE '%.255' AS is_broadcast FROM u"))
 def flow_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = unified(spark, sf_dir)
     flags = F.when(F.col("k") % 4 == 0, 2).when(F.col("k") % 4 == 1, 18).when(F.col("k") % 4 == 2, 17).otherwise(16)
     return events.select("event_id", net.layer_by_port(F.col("dst_port"), F.col("src_port")).alias("layer"), net.direction(F.col("src_ip").startswith("10.0."), F.col("dst_ip").startswith("192.168."), F.lit(False)).alias("flow_direction"), net.tcp_state(flags).alias("state"), net.is_broadcast(F.col("dst_ip")).alias("is_broadcast"))
 
 
-@query(_with("SELECT event_id, sha256(concat('c:/', process_name, chr(0), user_name, chr(0), substr(concat('run ', k), 1, 256), chr(0), '', chr(0), 'SYSTEM')) AS fingerprint FROM u"))
+@query(with_view("SELECT event_id, sha256(concat('c:/', process_name, chr(0), user_name, chr(0), substr(concat('run ', k), 1, 256), chr(0), '', chr(0), 'SYSTEM')) AS fingerprint FROM u"))
 def process_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).select("event_id", text.fingerprint(F.concat(F.lit("c:/"), "process_name"), F.col("user_name"), F.concat(F.lit("run "), "k"), F.lit(None).cast("string"), F.lit("SYSTEM")).alias("fingerprint"))
 
@@ -491,30 +476,30 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.count("*").alias("total"), F.count_if("forwarded").alias("forwarded"), F.count_if(~F.col("forwarded")).alias("compressed")).withColumn("ratio", F.expr("compressed * 100 div total"))
 
 
-@query(_with("SELECT event_id, process_name, dst_ip FROM u WHERE record_type = 'network_connect' AND contains(lower(concat_ws(' ', event_id, record_type, process_name, dst_ip, user_name)), 'user1')"))
+@query(with_view("SELECT event_id, process_name, dst_ip FROM u WHERE record_type = 'network_connect' AND contains(lower(concat_ws(' ', event_id, record_type, process_name, dst_ip, user_name)), 'user1')"))
 def ui_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lower(F.concat_ws(" ", "event_id", "record_type", "process_name", "dst_ip", "user_name"))
     return unified(spark, sf_dir).where((F.col("record_type") == "network_connect") & said.contains("user1")).select("event_id", "process_name", "dst_ip")
 
 
-@query(_with("SELECT pid, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' END AS lasted FROM (SELECT pid, (max(us) - min(us)) // 1000000 % 10000 AS s FROM u GROUP BY pid)"))
+@query(with_view("SELECT pid, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' END AS lasted FROM (SELECT pid, (max(us) - min(us)) // 1000000 % 10000 AS s FROM u GROUP BY pid)"))
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = unified(spark, sf_dir).groupBy("pid").agg((F.floor((F.max("us") - F.min("us")) / 1_000_000) % 10000).alias("s"))
     return spans.select("pid", text.duration(F.col("s")).alias("lasted"))
 
 
-@query(_with("SELECT pid, source_file, event_type, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM u GROUP BY ROLLUP (pid, source_file, event_type)"))
+@query(with_view("SELECT pid, source_file, event_type, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM u GROUP BY ROLLUP (pid, source_file, event_type)"))
 def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).rollup("pid", "source_file", "event_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query(_with("SELECT event_id, CASE k % 8 + 12 WHEN 12 THEN 'create' WHEN 13 THEN 'close' WHEN 14 THEN 'close' WHEN 15 THEN 'read' WHEN 16 THEN 'write' WHEN 17 THEN 'set_info' WHEN 18 THEN 'delete' ELSE 'rename' END AS action, CASE k % 5 + 1 WHEN 2 THEN 'delete' WHEN 4 THEN 'rename' WHEN 5 THEN NULL ELSE 'write' END AS operation FROM u"))
+@query(with_view("SELECT event_id, CASE k % 8 + 12 WHEN 12 THEN 'create' WHEN 13 THEN 'close' WHEN 14 THEN 'close' WHEN 15 THEN 'read' WHEN 16 THEN 'write' WHEN 17 THEN 'set_info' WHEN 18 THEN 'delete' ELSE 'rename' END AS action, CASE k % 5 + 1 WHEN 2 THEN 'delete' WHEN 4 THEN 'rename' WHEN 5 THEN NULL ELSE 'write' END AS operation FROM u"))
 def event_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     return unified(spark, sf_dir).select("event_id", capture.file_action(k % 8 + 12).alias("action"), capture.watcher_operation(k % 5 + 1).alias("operation"))
 
 
-@query(_with("""SELECT event_id, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY pid, epoch ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 'unresolved') AS path FROM (
+@query(with_view("""SELECT event_id, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY pid, epoch ORDER BY us, event_id ROWS UNBOUNDED PRECEDING), 'unresolved') AS path FROM (
   SELECT event_id, us, pid, CASE WHEN k % 4 = 0 THEN concat('c:/f', k) END AS p, coalesce(sum(CASE WHEN k % 8 IN (2, 6) THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM u)"""))
 def path_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
@@ -522,15 +507,16 @@ def path_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.resolved_paths(events).select("event_id", "path")
 
 
-@query(_with("""SELECT event_id, device, session FROM (SELECT event_id, kind, device, CAST(sum(CASE WHEN kind = 'arrival' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS session, last_value(CASE WHEN kind <> 'io' THEN kind END IGNORE NULLS) OVER w AS last_kind
-  FROM (SELECT event_id, us, pid AS device, CASE event_type WHEN 'signup' THEN 'arrival' WHEN 'purchase' THEN 'removal' ELSE 'io' END AS kind FROM u) WINDOW w AS (PARTITION BY device ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
-WHERE session > 0 AND (last_kind = 'arrival' OR kind = 'removal')"""))
+@query(with_view("""SELECT event_id, device, session FROM (SELECT *, CAST(sum(CASE WHEN kind = 'arrival' AND coalesce(before_kind, 'removal') = 'removal' THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session
+  FROM (SELECT *, last_value(CASE WHEN kind <> 'io' THEN kind END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS last_kind, last_value(CASE WHEN kind <> 'io' THEN kind END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_kind
+  FROM (SELECT event_id, us, pid AS device, CASE event_type WHEN 'signup' THEN 'arrival' WHEN 'purchase' THEN 'removal' ELSE 'io' END AS kind FROM u) WINDOW w AS (PARTITION BY device ORDER BY us, event_id)))
+WHERE last_kind = 'arrival' OR (kind = 'removal' AND before_kind = 'arrival')""".replace("OVER (w ROWS", "OVER (PARTITION BY device ORDER BY us, event_id ROWS").replace(" WINDOW w AS (PARTITION BY device ORDER BY us, event_id)", "")))
 def device_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "arrival").when(F.col("event_type") == "purchase", "removal").otherwise("io")
     return capture.device_sessions(unified(spark, sf_dir).select("event_id", "us", F.col("pid").alias("device"), kind.alias("kind"))).select("event_id", "device", "session")
 
 
-@query(_with("""SELECT e.event_id, coalesce(s.pid, 0) AS owner FROM (SELECT * FROM u WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT src_port, k % 3 AS proto, us, max(pid) AS pid FROM u WHERE event_type = 'signup' GROUP BY ALL) s
+@query(with_view("""SELECT e.event_id, coalesce(s.pid, 0) AS owner FROM (SELECT * FROM u WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT src_port, k % 3 AS proto, us, max(pid) AS pid FROM u WHERE event_type = 'signup' GROUP BY ALL) s
   ON e.src_port = s.src_port AND e.k % 3 = s.proto AND e.us >= s.us""".replace("GROUP BY ALL", "GROUP BY src_port, k % 3, us")))
 def pid_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = unified(spark, sf_dir).withColumn("proto", F.col("k") % 3).withColumnRenamed("pid", "real_pid")
@@ -538,7 +524,7 @@ def pid_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.owners(events.where("event_type <> 'signup'"), sockets, ["src_port", "proto"]).select("event_id", F.col("pid").alias("owner"))
 
 
-@query(_with("""SELECT directory, path, reason, event_id FROM (SELECT *, row_number() OVER (PARTITION BY directory, path ORDER BY us, event_id) AS rn FROM (
+@query(with_view("""SELECT directory, path, reason, event_id FROM (SELECT *, row_number() OVER (PARTITION BY directory, path ORDER BY us, event_id) AS rn FROM (
   SELECT directory, path, us, event_id, CASE WHEN event_type = 'error' AND path LIKE '%.exe' THEN 'rename_to_executable' WHEN pid <> creator AND contains(lower(process_name), 'powershell') THEN 'suspicious_process_cross_access'
     WHEN (us - born) // 1000000 > 86400 THEN 'long_lived_temp_file' WHEN directory IN ('dir1', 'dir2') AND path LIKE '%.txt' THEN 'document_in_high_churn_zone' END AS reason
   FROM (SELECT *, first_value(us) OVER w AS born, first_value(pid) OVER w AS creator FROM (SELECT *, concat('dir', k % 12) AS directory, concat('f', pid % 9, CASE k % 3 WHEN 0 THEN '.exe' WHEN 1 THEN '.txt' ELSE '.tmp' END) AS path FROM u) WINDOW w AS (PARTITION BY directory, path ORDER BY us, event_id))) WHERE reason IS NOT NULL) WHERE rn = 1"""))

@@ -33,7 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unified_of(events: DataFrame) -> DataFrame:
+    """Rows of ``events``, a table or a stream, as unified telemetry events."""
+    raw = events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("v"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return events.sparkSession.sql(UNIFIED.replace("raw_events", "{raw_events}").replace("{string}", "STRING"), raw_events=raw)
+
+
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as unified telemetry events."""
-    raw = table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("v"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return spark.sql(UNIFIED.replace("raw_events", "{raw_events}").replace("{string}", "STRING"), raw_events=raw)
+    return unified_of(table(spark, sf_dir, "events"))

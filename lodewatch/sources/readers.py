@@ -214,19 +214,20 @@ def _events_of(found: object) -> Iterator[tuple[str | None, str | None, dict]]:
 
 
 def threat_events(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
-    """Events of threat documents of any shape, with ``corr_id``, ``corr_type`` and ``pos`` (place in the document).
+    """Events of threat documents of any shape, with ``corr_id``, ``corr_type``, ``doc`` (the document) and ``pos`` (place in it).
 
     A document is correlated groups, a group or other object with ``events``,
     or anything nested, in which case each of its objects is an event.  A file
     is one document, or with ``by_line`` each of its lines is one, as
     ``writers.write_groups`` leaves them; texts that are no JSON are skipped.
     """
-    said = spark.read.text(path, wholetext=not by_line)
+    doc = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    said = spark.read.text(path, wholetext=not by_line).select("value", doc.alias("doc"))
     names = schemas.THREAT_EVENT.names
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("value"):
+            for text, doc in zip(batch.column("value"), batch.column("doc").to_pylist(), strict=True):
                 try:
                     found = _events_of(json.loads(text.as_py()))
                 except ValueError:
@@ -235,7 +236,7 @@ def threat_events(spark: SparkSession, path: str, by_line: bool = False) -> Data
                 while part := list(itertools.islice(found, 1000)):
                     text_of = lambda v: None if v is None or isinstance(v, dict | list) else v if isinstance(v, str) else json.dumps(v)
                     columns = [[text_of(e.get(k)) if isinstance(e, dict) else None for *_, e in part] for k in names]
-                    yield pa.RecordBatch.from_arrays([pa.array([text_of(x[0]) for x in part], pa.string()), pa.array([text_of(x[1]) for x in part], pa.string()), pa.array(range(n, n + len(part)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["corr_id", "corr_type", "pos", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array([text_of(x[0]) for x in part], pa.string()), pa.array([text_of(x[1]) for x in part], pa.string()), pa.array([doc] * len(part)), pa.array(range(n, n + len(part)), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["corr_id", "corr_type", "doc", "pos", *names])
                     n += len(part)
 
-    return said.mapInArrow(walk, "corr_id string, corr_type string, pos long, " + ", ".join(f"{n} string" for n in names))
+    return said.mapInArrow(walk, "corr_id string, corr_type string, doc string, pos long, " + ", ".join(f"{n} string" for n in names))

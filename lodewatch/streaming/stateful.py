@@ -113,6 +113,8 @@ def temp_stream(events: DataFrame, key: str, reason: Callable[[tuple, object], s
         us, made = int(row.us), []
         if now is None:
             now, made = (us, int(row.pid), "WATCHING"), [(us, "WATCHING", None)]
+        elif now[2] == "DROPPED" and row.action != "delete":
+            now, made = (*now[:2], "WATCHING"), [(us, "WATCHING", None)]
         why = reason(now, row) if now[2] != "ELEVATED" else None
         if why:
             now, made = (*now[:2], "ELEVATED"), [*made, (us, "ELEVATED", why)]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodewatch.plans import queries
+from lodewatch.plans import catalog as queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
