@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodewatch.functions.classify import threat_label, threat_score
 from lodewatch.functions.net import is_public_ipv4
 from lodewatch.operators.stateful import first_of
+from lodewatch.shared import written
 
 # Fixed values. Colors of severities; rows that one request and one run on the command line may look up.
 COLORS = {"CRITICAL": "red", "HIGH": "orange", "MEDIUM": "yellow", "LOW": "blue", "CLEAN": "green"}
@@ -44,9 +45,11 @@ def distinct_targets(found: DataFrame, order: Sequence[str] = ("us", "event_id")
 def targets(events: DataFrame, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
     """Rows with a public address or a domain; a row with one of them only goes if that was seen before.
 
-    events: see ``extracted``; the order's columns tell all rows apart.
+    events: see ``extracted``; the order's columns tell all rows apart.  What is
+    extracted is written once; the first rows of each address and domain are
+    found from the few columns that say so.
     """
-    found = extracted(events)
+    found = written(extracted(events), "targets")
     at = F.struct(*order)
     firsts = lambda c: found.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(at).alias(f"first_{c}"))
     flagged = found.join(firsts("ip"), "ip", "left").join(firsts("domain"), "domain", "left")
@@ -94,13 +97,15 @@ def target_answers(targets: DataFrame, reputation: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, reputation_ip: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Joins the answers on address and domain, adds ``risk_score``, ``severity``, ``is_suspicious``.
+    """Joins the reputations of address and domain, adds ``risk_score``, ``severity``, ``is_suspicious``.
 
-    Skipped, missing and failed answers count 0.
+    Missing answers and those with an ``error`` count 0, as in ``ip_answers``
+    and ``target_answers``; rows are those of ``targets``, whose addresses are public.
     """
-    answers = target_answers(rows, reputation)
-    of = lambda c, p: answers.select(F.col("target").alias(c), F.col("malicious_count").alias(f"{p}_mal"), F.col("suspicious_count").alias(f"{p}_sus"))
-    out = rows.join(ip_answers(rows, reputation_ip).select("ip", "abuse_score"), "ip", "left").join(of("ip", "ip"), "ip", "left").join(of("domain", "dom"), "domain", "left")
+    usable = lambda df: df.where("error is null") if "error" in df.columns else df
+    votes = usable(reputation)
+    of = lambda c, p: votes.select(F.col("target").alias(c), F.col("malicious_count").alias(f"{p}_mal"), F.col("suspicious_count").alias(f"{p}_sus"))
+    out = rows.join(usable(reputation_ip).select("ip", "abuse_score"), "ip", "left").join(of("ip", "ip"), "ip", "left").join(of("domain", "dom"), "domain", "left")
     both = lambda c: F.coalesce(F.col(f"ip_{c}"), F.lit(0)) + F.coalesce(F.col(f"dom_{c}"), F.lit(0))
     out = out.withColumn("risk_score", threat_score(F.col("abuse_score"), both("mal"), both("sus")))
     return out.withColumns({"severity": threat_label(F.col("risk_score")), "is_suspicious": F.col("risk_score") > 20}).drop("ip_mal", "ip_sus", "dom_mal", "dom_sus")
