@@ -19,7 +19,7 @@ from lodewatch.llm.outliers import quality_rules, quantile, tail
 from lodewatch.llm.packing import assign, encoder, pack
 from lodewatch.llm.pieces import piece_model
 from lodewatch.llm.quality import quality
-from lodewatch.llm.substring_dedup import substring_dedup
+from lodewatch.llm.substring_dedup import _earlier, substring_dedup
 from lodewatch.llm.textkernels import Chunk, covered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,8 +152,11 @@ def test_packing_balances_costs():
     assert assign([], 8) == ([], 0)
 
 
-def test_substring_dedup(docs, rows):
-    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest(), sum(x.length for x in r.repeats)) for r in substring_dedup(docs.repartition(4), carry=("lang", "kept"), block_bytes=3000).collect())
+@pytest.mark.parametrize("group_blocks", [1000, 3])
+def test_substring_dedup(docs, rows, group_blocks):
+    found = substring_dedup(docs.repartition(4), carry=("lang", "kept"), block_bytes=3000, group_blocks=group_blocks).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest(), sum(x.length for x in r.repeats)) for r in found)
+    assert all(x.length >= 13 for r in found for x in r.repeats)
     key = lambda i: float("inf") if i is None else i
     first = {}
     for i, t in rows:
@@ -174,6 +177,14 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_matches_are_of_words_and_not_of_hashes():
+    text = b"a b c d|a b x d|a b c d|a b c d"
+    begin = np.array([0, 8, 16, 24])
+    same = lambda key, own: list(_earlier(np.array(key, np.uint64), np.array(own), begin, begin + 7, text, np.zeros(4, bool)))
+    assert same([7, 7, 7, 7], [5, 4, 6, 5]) == [False, False, True, False]
+    assert same([7, 8, 7, 7], [5, 4, 6, 9]) == [False, False, True, True]
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(docs, rows, percent):
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, percent).collect())
