@@ -12,11 +12,15 @@ Draws are a hash of the row's key, the run's place in the text and the step, so
 a segmentation depends on key, seed, text and model and on nothing else.
 
 A BPE model stores the order of its merges in place of probabilities; the weight
-of a piece is 1 / (its order + OFFSET), to the power of ``alpha``.
+of a piece is 1 / (its order + OFFSET), to the power of ``alpha``, and the weight
+of a path the product of its pieces'.  A character that no piece has is its
+bytes, on every path; so is a space mark (U+2581) in a text, since the piece of
+that name stands for a space.  Every text is decoded to what it was.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,18 @@ OFFSET = 100.0
 MEMORY = 3_000_000
 #: Characters of text that are drawn for together, unless one text is longer.
 CHUNK_CHARS = 1_000_000
+#: Characters from which on a run's sums are made one by one and not beside other runs'.
+LONG_RUN = 256
+#: Runs that are drawn for one by one once they alone are left.
+FEW_RUNS = 8
 #: From here on, units stand for single bytes.
 BYTE_UNIT = 0x110000
+MARK = ord(SPACE)
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 from hashes."""
+    return (mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 def _point(c: np.ndarray) -> np.ndarray:
@@ -48,8 +62,8 @@ class Sampler:
     def __init__(self, model: PieceModel, alpha: float) -> None:
         self.model = model
         first = min(model.ids.values(), default=0)
-        # Every path covers the same characters, so a factor per character changes nothing but keeps sums near 1.
-        self.weight = {p: (OFFSET * 8.0 ** len(p) / (i - first + OFFSET)) ** alpha for p, i in model.ids.items()}
+        # Every path covers the same characters, so a factor for each character changes nothing but keeps sums nearer 1.
+        self.weight = {p: (8.0 ** len(p) / (i - first + OFFSET)) ** alpha for p, i in model.ids.items()}
         # Hashes of all pieces and of what only begins one (weight 0).
         begins = dict.fromkeys((p[:n] for p in self.weight for n in range(1, len(p))), 0.0) | self.weight
         points = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for p in begins]
@@ -72,10 +86,11 @@ class Sampler:
 
     def units(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The runs' units in turn, and how many each has: a code point, or ``BYTE_UNIT`` + b for a byte of one that no piece has."""
-        whole = "".join(runs).replace(" ", SPACE)
+        whole = "".join(runs)
         point = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        unknown = np.flatnonzero(~self.is_known[point])
+        unknown = np.flatnonzero(~self.is_known[point] & (point != 32) | (point == MARK))
+        point[point == 32] = MARK
         if not len(unknown):
             return point, sizes
         data = [whole[i].encode() for i in unknown]
@@ -92,7 +107,7 @@ class Sampler:
     def lattice(self, unit: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
         """Edges ordered by the unit they end with, then by the one they start with: end, length, weight, piece."""
         n = len(unit)
-        up, down = _power_tables(n)
+        up, down = _power_tables(max(n, self.model.longest))
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_point(unit) * up[:n], out=prefix[1:])
         at = np.flatnonzero(unit >= BYTE_UNIT)
@@ -108,19 +123,37 @@ class Sampler:
             size += 1
             at = at[at + size <= stop[at]]
         end, length, weight, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(end * 64 - length)
+        order = np.argsort(end * (self.model.longest + 1) - length)
         return end[order], length[order], weight[order], piece[order]
 
     def add(self, runs: list[str]) -> None:
-        """Forward filtering of new runs, all at once: position by position, the sums at that position of every run."""
+        """Forward filtering of new runs: of all short ones at once, position by position; of each long one by itself."""
         unit, sizes = self.units(runs)
         start = np.cumsum(sizes) - sizes
         low = np.repeat(start, sizes)
         end, length, weight, piece = self.lattice(unit, low + np.repeat(sizes, sizes))
+        long = np.repeat(sizes > LONG_RUN, sizes)[end]
+        share = np.empty(len(end))
+        share[~long] = self._together(end[~long], length[~long], weight[~long], low, len(unit))
+        for r in np.flatnonzero(sizes > LONG_RUN):
+            i, j = np.searchsorted(end, [start[r], start[r] + sizes[r]])
+            share[i:j] = self._alone(end[i:j] - start[r], length[i:j], weight[i:j])
+        have, nodes, edges = len(self.known), self.n_nodes, self.n_edges
+        for name, size, values in (("run_node", have, start + nodes), ("run_units", have, sizes), ("bound", edges, share + (end + nodes)), ("back", edges, length), ("piece", edges, piece)):
+            to = getattr(self, name)
+            if size + len(values) > len(to):
+                to = np.resize(to, max(2 * len(to), size + len(values)))
+                setattr(self, name, to)
+            to[size : size + len(values)] = values
+        self.known.update(zip(runs, range(have, have + len(runs)), strict=True))
+        self.n_nodes, self.n_edges = nodes + len(unit), edges + len(end)
+
+    def _together(self, end: np.ndarray, length: np.ndarray, weight: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+        """The share of each node's sum that its edges up to each one make; sums of a position of all runs are made in one go."""
         place = end - low[end]
         order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(int(sizes.max()) + 1))
-        sums = np.ones(len(unit) + 1)  # the last one stands for the node before each run
+        cuts = np.searchsorted(place[order], np.arange(int(place.max()) + 2 if len(place) else 1))
+        sums = np.ones(n + 1)  # the last one stands for the node before each run
         share = np.empty(len(end))
         for j in range(len(cuts) - 1):
             e = order[cuts[j] : cuts[j + 1]]
@@ -137,24 +170,51 @@ class Sampler:
             upto -= np.repeat(upto[first] - part[first], count)
             upto[np.append(first[1:], len(e)) - 1] = 1.0
             share[e] = np.minimum(upto, 1.0)
-            if j >= 64:  # only ratios matter: the open sums of long runs are scaled alike
+            if j >= 64:  # only ratios matter: the open sums of longer runs are scaled alike
                 for back in range(min(j + 1, self.model.longest) - 1, -1, -1):
                     sums[ends - back] /= total
-        have, nodes, edges = len(self.known), self.n_nodes, self.n_edges
-        for name, size, values in (("run_node", have, start + nodes), ("run_units", have, sizes), ("bound", edges, share + (end + nodes)), ("back", edges, length), ("piece", edges, piece)):
-            to = getattr(self, name)
-            if size + len(values) > len(to):
-                to = np.resize(to, max(2 * len(to), size + len(values)))
-                setattr(self, name, to)
-            to[size : size + len(values)] = values
-        self.known.update(zip(runs, range(have, have + len(runs)), strict=True))
-        self.n_nodes, self.n_edges = nodes + len(unit), edges + len(end)
+        return share
+
+    def _alone(self, end: np.ndarray, length: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The same for one run of any length; the sums that edges can still start from are kept, and scaled when they get small or large."""
+        reach = self.model.longest + 1
+        sums, share, made = [1.0], [], 0  # sums of the nodes from ``made`` on, the first one is before the run
+        cuts = np.searchsorted(end, np.arange(int(end[-1]) + 2))
+        sizes, weights = length.tolist(), weight.tolist()
+        for node in range(len(cuts) - 1):
+            total, upto = 0.0, []
+            for e in range(cuts[node], cuts[node + 1]):
+                total += sums[node + 1 - sizes[e] - made] * weights[e]
+                upto.append(total)
+            share += [u / total for u in upto[:-1]]
+            share.append(1.0)
+            sums.append(total)
+            if len(sums) > 4096 or not 1e-100 < total < 1e100:
+                made += max(len(sums) - reach, 0)
+                sums = [s / total for s in sums[-reach:]]
+        return np.minimum(np.array(share), 1.0)
+
+    def _walk(self, low: int, node: int, key: np.uint64, t: int) -> list[int]:
+        """The pieces of one long run from a node back to its first, by the draws from step ``t`` on."""
+        bound = self.bound[: self.n_edges]
+        i, j = np.searchsorted(bound, [low, node], side="right")
+        at, back, piece = bound[i:j].tolist(), self.back[i:j].tolist(), self.piece[i:j].tolist()
+        out: list[int] = []
+        while node > low:
+            for u in _uniform(key + np.arange(t, t + 4096, dtype=np.uint64)).tolist():
+                edge = min(bisect_right(at, node - 1 + u), len(at) - 1)
+                out.append(piece[edge])
+                node -= back[edge]
+                if node <= low:
+                    break
+            t += 4096
+        return out
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts in turn, and the n + 1 offsets of each text's."""
         if self.n_edges > MEMORY:
             self.reset()
-        runs_of = [self.model.runs(t) for t in texts]
+        runs_of = [self.model.runs(t, marks_are_spaces=False) for t in texts]
         n_runs = np.array([len(r) for r in runs_of], np.int64)
         flat = [r for runs in runs_of for r in runs]
         known = self.known
@@ -174,14 +234,16 @@ class Sampler:
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         active = np.arange(len(flat))
         t = 0
-        while len(active):
-            u = (mix(key[active] + np.uint64(t)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        while len(active) > FEW_RUNS or (len(active) and t < LONG_RUN):
+            u = _uniform(key[active] + np.uint64(t))
             edge = np.minimum(np.searchsorted(bound, node[active] - 1 + u, side="right"), self.n_edges - 1)
             drawn.append((active, piece[edge]))
             node[active] -= back[edge]
             steps[active] += 1
             active = active[node[active] > low[active]]
             t += 1
+        alone = [self._walk(int(low[a]), int(node[a]), key[a], t) for a in active]
+        steps[active] += np.array([len(p) for p in alone], np.int64)
         in_text = np.empty_like(steps)
         in_text[order] = steps
         end = np.cumsum(in_text)
@@ -189,6 +251,8 @@ class Sampler:
         out = np.empty(int(end[-1]) if len(end) else 0, np.int32)
         for t, (at, pieces) in enumerate(drawn):
             out[stop[at] - 1 - t] = pieces
+        for a, pieces in zip(active, alone, strict=True):
+            out[stop[a] - steps[a] : stop[a] - steps[a] + len(pieces)] = pieces[::-1]
         return out, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n_runs)])]
 
 
@@ -208,6 +272,8 @@ def encode(df: DataFrame, model_path: str, alpha: float = 0.3, seed: int = 1, ke
     cluster; the key may be of any type that casts to a string, and may be
     null.  Null and empty texts have no pieces.  An empty table gives an empty
     table; columns not carried are ignored.  One narrow pass, nothing shuffled.
+    A run of millions of characters without a space takes seconds a million
+    and some hundred bytes a character.
     """
     row_key = F.xxhash64(F.lit(seed), F.col(key_col).cast("string"))
     own = df.select(F.col(key_col).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), row_key.alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -239,8 +305,7 @@ def encode(df: DataFrame, model_path: str, alpha: float = 0.3, seed: int = 1, ke
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
     """Adds the text that the identifiers stand for; null identifiers give a null text.
 
-    Whatever segmentation of a text is decoded, the text comes back, with one
-    exception that the model makes: a space mark (U+2581) comes back as a space.
+    Whatever segmentation of a text is decoded, the text comes back.
     """
     from pyspark.sql import types as T
 

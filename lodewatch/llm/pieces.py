@@ -41,11 +41,17 @@ class PieceModel:
         feed = "" if any("\n" in p for p in self.ids) else "\n"
         self._runs = re.compile(f"{feed}| *[^ {feed}]+| +" if feed else " *[^ ]+| +")
 
-    def runs(self, text: str) -> list[str]:
-        """The text's runs; spaces are not yet marked."""
+    def runs(self, text: str, marks_are_spaces: bool = True) -> list[str]:
+        """The text's runs; spaces are not yet marked.
+
+        The library takes a space mark in a text for a space; without
+        ``marks_are_spaces`` it stays the character that it is.
+        """
         if not text:
             return []
-        text = (" " + text if self.prefix else text).replace(SPACE, " ")
+        text = " " + text if self.prefix else text
+        if marks_are_spaces:
+            text = text.replace(SPACE, " ")
         return self._runs.findall(text) if self.apart else [text]
 
     def byte_table(self) -> list[bytes]:

@@ -72,7 +72,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), "\u2581", " "), 256))
+    docs = table(spark, sf_dir, "documents").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     ids = piece_sampling.encode(docs, PIECE_MODEL, carry=("sha",))
     back = piece_sampling.decode(ids, PIECE_MODEL)
     return back.select("doc_id", F.size("ids").alias("n_pieces"), "ids", (F.sha2("text", 256) == F.col("sha")).alias("lossless"))

@@ -88,7 +88,7 @@ def test_token_counts(docs, rows):
 def test_sampled_pieces_decode_to_the_text(docs, rows):
     ids = piece_sampling.encode(docs, MODEL, carry=("text", "id"))
     back = piece_sampling.decode(ids.withColumnRenamed("text", "was"), MODEL).collect()
-    assert len(back) == len(rows) and all(r.text == (r.was or "").replace("\u2581", " ") for r in back)
+    assert len(back) == len(rows) and all(r.text == (r.was or "") for r in back)
     again = piece_sampling.encode(docs.repartition(5), MODEL, carry=("text", "id")).collect()
     key = lambda r: (str(r.doc_id), str(r[1]), r.ids)
     assert sorted(map(key, again)) == sorted(map(key, ids.collect()))
@@ -97,26 +97,54 @@ def test_sampled_pieces_decode_to_the_text(docs, rows):
     assert piece_sampling.encode(docs.limit(0), MODEL).count() == 0
 
 
-def test_samples_follow_the_weights():
-    s = piece_sampling.Sampler(piece_model(MODEL), 0.3)
-    word = "▁hello"
+def path_weights(word, alpha):
+    """Every segmentation, weighted by the merge orders that the library's vocabulary shows."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    normal = [i for i in range(library.get_piece_size()) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))]
+    order = {library.id_to_piece(i): i - normal[0] for i in normal}
 
     def paths(at=0):
         if at == len(word):
-            yield ()
+            yield (), 1.0
         for j in range(at + 1, len(word) + 1):
-            if word[at:j] in s.weight:
-                for rest in paths(j):
-                    yield (word[at:j], *rest)
+            if word[at:j] in order:
+                for rest, w in paths(j):
+                    yield (word[at:j], *rest), w * (order[word[at:j]] + 100.0) ** -alpha
+
+    return dict(paths()), {order[p] + normal[0]: p for p in order}
+
 
-    every = {p: np.prod([s.weight[x] for x in p]) for p in paths()}
+@pytest.mark.parametrize("alpha", [0.3, 1.0])
+def test_samples_follow_the_weights(alpha):
+    s = piece_sampling.Sampler(piece_model(MODEL), alpha)
+    every, name = path_weights("▁hello", alpha)
     total, n = sum(every.values()), 20_000
     ids, offsets = s.sample(["hello"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919))
-    name = {i: p for p, i in s.model.ids.items()}
     seen = Counter(tuple(name[x] for x in ids[offsets[i] : offsets[i + 1]]) for i in range(n))
     assert set(seen) <= set(every) and max(abs(seen[p] / n - w / total) for p, w in every.items()) < 0.015
 
 
+def test_sums_of_long_runs_are_those_of_short_ones(monkeypatch):
+    text = "".join(random.Random(5).choice(("ab", "the", "xx", "日", "é", "▁")) for _ in range(400))
+    shares = []
+    for limit in (10, 10_000):
+        monkeypatch.setattr(piece_sampling, "LONG_RUN", limit)
+        s = piece_sampling.Sampler(piece_model(MODEL), 0.3)
+        s.add([text])
+        shares.append(s.bound[: s.n_edges])
+    assert np.allclose(*shares, atol=1e-9)
+
+
+def test_text_of_one_very_long_run():
+    s = piece_sampling.Sampler(piece_model(MODEL), 0.3)
+    text = "xy▁z" * 100_000
+    ids, offsets = s.sample([text, "a"], np.arange(2, dtype=np.uint64))
+    table = piece_model(MODEL).byte_table()
+    assert b"".join(table[i] for i in ids[: offsets[1]]).decode()[int(piece_model(MODEL).prefix) :] == text
+
+
 def test_packing(docs, rows):
     import tokenizers
 
