@@ -15,8 +15,14 @@ blocks of bounded size: signature against signature, survivors by the hashes of
 their whole shingle sets, each pair in the first bucket that it shares.  A block
 joins what is certainly similar as it goes and skips what is joined, so it gives
 a link for each class at most, besides pairs that the hashes leave in doubt.
-Every link is verified on the texts at last.  No candidate link between
-different components is left out, and no group is spread into all its pairs.
+Every link is verified on the texts at last.
+
+A bucket of more classes than a block is split first, by the rarest shingles of
+its classes: with all shingles in one order, two sets of similarity t share one
+of the first n - ceil(t * n) + 1 of each.  Texts of one template that differ
+enough differ in these, so what they have in common brings them together no
+more.  No candidate link between different components is left out, and no group
+is spread into all its pairs.
 """
 
 from __future__ import annotations
@@ -159,22 +165,24 @@ def _verified(k: int, percent: int):
     return each
 
 
-#: Classes of a bucket in a block.
-BLOCK = 1500
-#: Shingles by which hashed sets may be off before a pair is in doubt.
+#: Classes of a bucket in a block; a larger bucket is split.
+BLOCK = 400
+#: Share of a large bucket's classes that makes a shingle a frequent one, which comes after all others.
+FREQUENT = 0.05
+#: Shingles by which hashed sets may be off before a pair is in doubt. Of a million 64-bit hashes in a set, 3e-8 are expected to be equal.
 DOUBT = 1
+SPLIT = "sub long, bucket long, id long, n long, component long"
 BODIES = "id long, text string, signature binary, bands binary, shingles binary"
 
 
 def _with_shingles(k: int):
-    """Adds the sorted 32-bit hashes of each text's shingles; leaves out texts of an id that are not the class's own."""
+    """Adds the sorted hashes of each text's shingles; leaves out texts of an id that are not the class's own."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, chunk in chunks(batch.column("text"), fold=True):
                 key, first = _shingles(chunk, k)
-                half = (key >> np.uint64(32)).astype(np.uint32)
-                sets = [half[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
+                sets = [key[first[d] : first[d + 1]].tobytes() for d in range(j - i)]
                 bands = [np.array(x.as_py(), np.int64).tobytes() for x in batch.column("bands").slice(i, j - i)]
                 part = batch.slice(i, j - i)
                 own = np.logical_and.reduce([_sequences(chunk, s).view(np.int64) == part.column(f).to_numpy() for f, s in FINGERPRINTS])
@@ -184,6 +192,39 @@ def _with_shingles(k: int):
     return each
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("shingles"), strict=True):
+            found = np.frombuffer(body.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket)), pa.array(found)], names=["bucket", "s"])
+
+
+def _first_shingles(percent: int):
+    """Each class under each of its first shingles: rare ones by hash, then frequent ones, the rarest first."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [batch.column(c).to_pylist() for c in ("bucket", "id", "n", "component")]
+            for bucket, id_, n, component, body, often in zip(*others, batch.column("shingles"), batch.column("often"), strict=True):
+                own = np.frombuffer(body.as_buffer(), np.int64)
+                ranked = often.values.to_numpy() if often.is_valid else np.empty(0, np.int64)
+                first = np.concatenate([own[~np.isin(own, ranked)], ranked[np.isin(ranked, own)]])[: n - -(-percent * n // 100) + 1]
+                sub = mix(first.view(np.uint64) + mix(np.array([bucket], np.int64).view(np.uint64))).view(np.int64)
+                same = lambda x: pa.array(np.full(len(sub), x, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(sub), same(bucket), same(id_), same(n), same(component)], names=["sub", "bucket", "id", "n", "component"])
+
+    return each
+
+
+def _split(large: DataFrame, bodies: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Classes of large buckets, by the shingles that similar ones share."""
+    sets = large.join(bodies.select("id", "shingles"), "id")
+    counts = sets.select("bucket", "shingles").mapInArrow(_each_shingle, "bucket long, s long").groupBy("bucket", "s").agg(F.count("*").alias("times"))
+    often = counts.join(sizes.select("bucket", "size"), "bucket").where(F.col("times") >= FREQUENT * F.col("size"))
+    often = often.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("times", "s"))), lambda x: x["s"]).alias("often"))
+    return sets.join(often, "bucket", "left").select("bucket", "id", "n", "component", "shingles", "often").mapInArrow(_first_shingles(percent), SPLIT)
+
+
 def _compared(threshold: float, percent: int, n: int):
     """Links across components within a block, or between two blocks, of one bucket."""
     looks = [(m, least_matches(threshold, m)) for m in range(BATCH, n + 1, BATCH)]
@@ -197,13 +238,13 @@ def _compared(threshold: float, percent: int, n: int):
 
         def shingles(i: int) -> set:
             if isinstance(raw[i], bytes):
-                raw[i] = set(np.frombuffer(raw[i], np.uint32).tolist())
+                raw[i] = set(np.frombuffer(raw[i], np.uint64).tolist())
             return raw[i]
 
         a, b = [], []
         for i in range(len(ids)):
             other = np.arange(i + 1, len(ids)) if p == q else np.flatnonzero(block == q) if block[i] == p else np.empty(0, np.int64)
-            other = other[(root[other] != root[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+            other = other[(root[other] != root[i]) & (ids[other] != ids[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
             matches = np.zeros(len(other), np.int64)
             for m, least in looks:
                 if not len(other):
@@ -294,14 +335,20 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     links = verify(best, False)
     found = components(links)
     labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = labelled.join(sizes.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    mixed = lambda df, key: df.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    sizes = written(mixed(labelled, "bucket").select("bucket", "size"), "sizes")
+    open_ = written(labelled.join(sizes, "bucket").select(F.col("bucket").alias("sub"), "bucket", "id", "n", "component", "size"), "open")
+    large = open_.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        parts = written(_split(large.select("bucket", "id", "n", "component"), bodies, sizes, percent), "parts")
+        parts = parts.join(mixed(parts, "sub").select("sub", "size"), "sub").select(*open_.columns)
+        open_ = open_.where(F.col("size") <= BLOCK).unionByName(parts)
     # A class goes to each pair of blocks that its own is in.
+    open_ = open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
+    open_ = open_.select("sub", "bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
     open_ = open_.join(bodies.select("id", "signature", "bands", "shingles"), "id")
-    pairs = written(open_.groupBy("bucket", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows), "a long, b long").distinct(), "pairs")
+    pairs = written(open_.groupBy("sub", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows), "a long, b long").distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.unionByName(verify(pairs, True))
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodewatch.llm import chat, outliers, piece_sampling, urlfilter
+from lodewatch.llm import chat, minhash, outliers, piece_sampling, urlfilter
 from lodewatch.llm.bpe_count import counter, token_counts
 from lodewatch.llm.fuzzyhash import edit_distance, edited, fingerprint, fingerprints, likeness
 from lodewatch.llm.minhash import bands_for, least_matches, near_duplicates, shingle_set
@@ -213,6 +213,34 @@ def test_matches_are_of_words_and_not_of_hashes():
     assert same([7, 8, 7, 7], [5, 4, 6, 9]) == [False, False, True, True]
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """One template, edited here and there: most pairs are a little under the threshold, some reach it."""
+    rng = random.Random(8)
+    base = [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(120)]
+    made = []
+    for i in range(160):
+        w = list(base) if i % 4 or not made else made[rng.randrange(len(made))].split()
+        for _ in range(rng.choice((1, 3, 4, 5))):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        made.append(" ".join(w))
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(df, 80).collect()}
+    sets, parent = [shingle_set(t, 5) for t in made], list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == {(i, find(i)) for i in range(len(made))} and 5 < len({c for _, c in got}) < 150
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(docs, rows, percent):
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, percent).collect())
