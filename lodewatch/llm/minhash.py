@@ -17,7 +17,9 @@ joins what is certainly similar as it goes and skips what is joined, so it gives
 a link for each class at most, besides pairs that the hashes leave in doubt.
 Every link is verified on the texts at last.
 
-A bucket of more classes than a block is split first, by the rarest shingles of
+The classes of a bucket's largest component are compared with the others and
+not with each other, so a group that is one component but for a few costs its
+size.  A bucket with very many others is split first, by the rarest shingles of
 its classes: with all shingles in one order, two sets of similarity t share one
 of the first n - ceil(t * n) + 1 of each.  Texts of one template that differ
 enough differ in these, so what they have in common brings them together no
@@ -165,8 +167,8 @@ def _verified(k: int, percent: int):
     return each
 
 
-#: Classes of a bucket in a block; a larger bucket is split.
-BLOCK = 400
+#: Classes of a bucket in a block, and those outside its largest component beyond which a bucket is split.
+BLOCK, LARGE = 500, 5000
 #: Share of a large bucket's classes that makes a shingle a frequent one, which comes after all others.
 FREQUENT = 0.05
 #: Shingles by which hashed sets may be off before a pair is in doubt. Of a million 64-bit hashes in a set, 3e-8 are expected to be equal.
@@ -216,6 +218,13 @@ def _first_shingles(percent: int):
     return each
 
 
+def _mixed(labelled: DataFrame, key: str) -> DataFrame:
+    """Buckets of several components: ``size``, the largest component (``main``) and its size (``most``)."""
+    each = labelled.groupBy(key, "component").agg(F.count("*").alias("k"))
+    found = each.groupBy(key).agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    return found.where("size > most")
+
+
 def _split(large: DataFrame, bodies: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Classes of large buckets, by the shingles that similar ones share."""
     sets = large.join(bodies.select("id", "shingles"), "id")
@@ -335,17 +344,20 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     links = verify(best, False)
     found = components(links)
     labelled = shared.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = lambda df, key: df.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
-    sizes = written(mixed(labelled, "bucket").select("bucket", "size"), "sizes")
-    open_ = written(labelled.join(sizes, "bucket").select(F.col("bucket").alias("sub"), "bucket", "id", "n", "component", "size"), "open")
-    large = open_.where(F.col("size") > BLOCK)
+    sizes = written(_mixed(labelled, "bucket"), "sizes")
+    open_ = written(labelled.join(sizes, "bucket").select(F.col("bucket").alias("sub"), "bucket", "id", "n", "component", "size", "most", "main"), "open")
+    others = F.col("size") - F.col("most")
+    large = open_.where(others > LARGE)
     if not large.isEmpty():
         parts = written(_split(large.select("bucket", "id", "n", "component"), bodies, sizes, percent), "parts")
-        parts = parts.join(mixed(parts, "sub").select("sub", "size"), "sub").select(*open_.columns)
-        open_ = open_.where(F.col("size") <= BLOCK).unionByName(parts)
-    # A class goes to each pair of blocks that its own is in.
-    open_ = open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    open_ = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = parts.join(_mixed(parts, "sub"), "sub").select(*open_.columns)
+        open_ = open_.where(others <= LARGE).unionByName(parts)
+    # Blocks of the other classes come first, then those of the largest component; a class goes to each pair of blocks that its own is in.
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    is_main = F.col("component") == F.col("main")
+    open_ = open_.withColumns({"first": count(others), "last": count(F.col("most"))})
+    own = F.when(is_main, F.col("first") + F.pmod(F.xxhash64("id"), "last")).otherwise(F.pmod(F.xxhash64("id"), "first")).cast("int")
+    open_ = open_.withColumns({"block": own, "with": F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("first")).otherwise(F.col("first") + F.col("last")) - 1))})
     open_ = open_.select("sub", "bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "id", "n", "component", "block")
     open_ = open_.join(bodies.select("id", "signature", "bands", "shingles"), "id")
     pairs = written(open_.groupBy("sub", "p", "q").applyInArrow(_compared(threshold, percent, n_bands * rows), "a long, b long").distinct(), "pairs")

@@ -213,7 +213,8 @@ def test_matches_are_of_words_and_not_of_hashes():
     assert same([7, 8, 7, 7], [5, 4, 6, 9]) == [False, False, True, True]
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("large", [10_000, 8])
+def test_large_buckets_lose_no_link(spark, monkeypatch, large):
     """One template, edited here and there: most pairs are a little under the threshold, some reach it."""
     rng = random.Random(8)
     base = [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(120)]
@@ -224,6 +225,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         made.append(" ".join(w))
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "LARGE", large)
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
     got = {(r.doc_id, r.component_id) for r in near_duplicates(df, 80).collect()}
     sets, parent = [shingle_set(t, 5) for t in made], list(range(len(made)))
