@@ -253,7 +253,7 @@ def _starts_sql(names: str) -> str:
 WINDOW w AS (PARTITION BY parent_pid, life ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)""".replace(" OVER w::BIGINT", " OVER w"), "c AS (" + _starts_sql("pid AS parent_pid, process_name AS child_name") + ")").replace("sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w", "CAST(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER w AS BIGINT)").replace("sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w", "CAST(sum(CASE WHEN kind = 'start' AND rn = 1 THEN 1 ELSE 0 END) OVER w AS BIGINT)"))
 def child_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = unified(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "stop").otherwise("other"))
-    return aggregates.child_counts(events.select("event_id", "us", "kind", F.col("pid").alias("parent_pid"), F.col("process_name").alias("child_name")))
+    return aggregates.child_counts(events.select("event_id", "us", "kind", F.col("pid").alias("parent_pid"), F.col("process_name").alias("child_name"))).select("event_id", "parent_pid", "kind", "child_count", "unique_children")
 
 
 @query(with_view("""SELECT event_id, pid, path, start_us, us - start_us AS lifetime_us FROM (SELECT *, last_value(CASE WHEN kind = 'start' THEN path0 END IGNORE NULLS) OVER w AS path, last_value(CASE WHEN kind = 'start' THEN us END IGNORE NULLS) OVER w AS start_us FROM (
@@ -398,7 +398,7 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("base"), text.extension(F.col("url")).alias("ext"))
 
 
-@query("SELECT page_id, CASE WHEN startswith_view(lower(url), 'https://www.') THEN 'KNOWN_USER' WHEN startswith_view(lower(url), 'http://m.') THEN 'SYSTEM' WHEN startswith_view(lower(url), 'https://') THEN 'WEB' ELSE 'UNKNOWN' END AS location FROM pages")
+@query("SELECT page_id, CASE WHEN starts_with(lower(url), 'https://www.') THEN 'KNOWN_USER' WHEN starts_with(lower(url), 'http://m.') THEN 'SYSTEM' WHEN starts_with(lower(url), 'https://') THEN 'WEB' ELSE 'UNKNOWN' END AS location FROM pages")
 def location_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", classify.location(F.col("url"), ROOTS).alias("location"))
 
