@@ -171,7 +171,8 @@ def _moments(columns: Sequence[Column]) -> list[Column]:
 def _starts(rows: DataFrame) -> DataFrame:
     """Four estimates of each group, by ``start``."""
     z = [(F.col(n) - F.col("mid")[i]) / F.col("wide")[i] for i, n in enumerate(NAMES)]
-    at = rows.join(_medians(rows), "g").select("g", "mid", "wide", *(c.alias(f"z{i}") for i, c in enumerate(z)))
+    # Written, so that the join knows their size and need not deal the rows by group.
+    at = rows.join(written(_medians(rows), "medians"), "g").select("g", "mid", "wide", *(c.alias(f"z{i}") for i, c in enumerate(z)))
     z = [F.col(f"z{i}") for i in range(P)]
     at = at.withColumn("norm", sum((c * c for c in z), F.lit(0.0)))
     forms = [[F.tanh(c) for c in z], [F.coalesce(F.try_divide(c, F.sqrt("norm")), F.lit(0.0)) for c in z], [F.when(F.col("norm") <= NEAR, c) for c in z]]
