@@ -15,8 +15,10 @@ determinant goes on until the determinant falls no more.
 A step needs the count and moments of the nearest rows.  Distances are counted
 in fine bins, and each bin's moments are summed in the same pass, so a step is
 one aggregation whose result has a bounded number of rows per group, whatever
-the group's size; no group is gathered anywhere.  The bin at the edge is taken
-whole, so rows of equal distance stay together.
+the group's size; no group is gathered anywhere.  Estimates reach the rows by
+broadcast if all groups together are small, else by a join that deals each
+group's rows in shares.  The bin at the edge is taken whole, so rows of equal
+distance stay together.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ COVERAGE, FIRST_STEPS, MOST_STEPS, FALL, PRIOR_ROWS = 0.75, 2, 10, 1e-3, 20.0
 REWEIGHT, REJECT = 0.025, 1e-4
 #: Bins per unit of a statistic, and per doubling of a squared distance.
 FINE, DISTANCE_BINS = 64, 16
+#: Bytes of all groups' estimates up to which they are broadcast; shares that a group's rows are dealt in beyond that.
+BROADCAST_BYTES, SHARES = 8 << 20, 64
 #: Moments of a set of rows: count, sums, products.
 WIDTH = 1 + P + P * (P + 1) // 2
 
@@ -90,6 +94,22 @@ def _distance() -> Column:
     return sum((gap[i] * sum((F.col("inverse")[i * P + j] * gap[j] for j in range(P)), F.lit(0.0)) for i in range(P)), F.lit(0.0))
 
 
+def _small(groups: DataFrame) -> bool:
+    """Whether estimates of so many groups, of every start, may be broadcast."""
+    starts, numbers = 4, P + P * P + 2 * P + 2
+    size = groups.agg(F.sum(F.octet_length("g") + F.lit(8 * numbers))).first()[0]
+    return starts * (size or 0) <= BROADCAST_BYTES
+
+
+def _joined(rows: DataFrame, table: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """Rows with what ``table`` has of their group, such that no group's rows meet in one task."""
+    if small:
+        return rows.join(F.broadcast(table), "g", how)
+    dealt = rows.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)))
+    each = table.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    return dealt.join(each, ["g", "share"], how).drop("share")
+
+
 def _medians(rows: DataFrame) -> DataFrame:
     """Medians and quartile ranges of each group, to the width of a bin: arrays ``mid`` and ``wide``."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(NAMES))))
@@ -168,11 +188,10 @@ def _moments(columns: Sequence[Column]) -> list[Column]:
     return [F.count(columns[0]).cast("double"), *(F.coalesce(F.sum(c), F.lit(0.0)) for c in columns), *(F.coalesce(F.sum(columns[i] * columns[j]), F.lit(0.0)) for i in range(P) for j in range(i + 1))]
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, medians: DataFrame, small: bool) -> DataFrame:
     """Four estimates of each group, by ``start``."""
     z = [(F.col(n) - F.col("mid")[i]) / F.col("wide")[i] for i, n in enumerate(NAMES)]
-    # Written, so that the join knows their size and need not deal the rows by group.
-    at = rows.join(written(_medians(rows), "medians"), "g").select("g", "mid", "wide", *(c.alias(f"z{i}") for i, c in enumerate(z)))
+    at = _joined(rows, medians, small).select("g", "mid", "wide", *(c.alias(f"z{i}") for i, c in enumerate(z)))
     z = [F.col(f"z{i}") for i in range(P)]
     at = at.withColumn("norm", sum((c * c for c in z), F.lit(0.0)))
     forms = [[F.tanh(c) for c in z], [F.coalesce(F.try_divide(c, F.sqrt("norm")), F.lit(0.0)) for c in z], [F.when(F.col("norm") <= NEAR, c) for c in z]]
@@ -182,9 +201,9 @@ def _starts(rows: DataFrame) -> DataFrame:
     return sums.select("g", F.explode(F.array(*made)).alias("x")).select("g", "x.start", "x.e.*")
 
 
-def _refined(rows: DataFrame, estimate: DataFrame, nearest: bool) -> DataFrame:
+def _refined(rows: DataFrame, estimate: DataFrame, small: bool, nearest: bool) -> DataFrame:
     """A step: each estimate from the rows nearest to the last one, or within the reweighting distance of it."""
-    far = rows.join(estimate.select("g", "start", "centre", "inverse"), "g").withColumn("far", _distance())
+    far = _joined(rows, estimate.select("g", "start", "centre", "inverse"), small).withColumn("far", _distance())
     names = [F.col(n) for n in NAMES]
     if nearest:
         share, cut = COVERAGE, quantile(1 - COVERAGE, P)
@@ -203,13 +222,15 @@ def _refined(rows: DataFrame, estimate: DataFrame, nearest: bool) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """``centre``, ``inverse`` and ``logdet`` of the minimum-covariance-determinant estimate of each group ``g`` of rows of statistics."""
-    found = written(_starts(rows), "estimate")
+    medians = written(_medians(rows), "medians")
+    small = _small(medians)
+    found = written(_starts(rows, medians, small), "estimate")
     for _ in range(FIRST_STEPS):
-        found = written(_refined(rows, found, True), "estimate")
+        found = written(_refined(rows, found, small, True), "estimate")
     best = found.groupBy("g").agg(F.min_by(F.struct("start", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e"))
     found = written(best.select("g", "e.*"), "estimate")
     for _ in range(MOST_STEPS):
-        later = _refined(rows, found, True).select("g", F.struct("start", "centre", "inverse", "logdet").alias("new"))
+        later = _refined(rows, found, small, True).select("g", F.struct("start", "centre", "inverse", "logdet").alias("new"))
         falls = F.col("new.logdet") < F.col("logdet") - FALL
         # A group whose determinant falls no more keeps its estimate.
         now = found.join(later, "g", "left").withColumn("falls", F.coalesce(falls, F.lit(False)))
@@ -240,9 +261,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = written(counted.withColumn("base_failed", failed), "counts").withColumns(statistics())
     rows = judged.where(~F.col("base_failed")).select("g", *NAMES)
     found = estimates(rows)
+    small = _small(found)
     # A group none of whose rows is near its centre keeps the estimate as it is.
-    again = _refined(rows, found, False).select("g", F.struct("centre", "inverse").alias("e"))
+    again = _refined(rows, found, small, False).select("g", F.struct("centre", "inverse").alias("e"))
     estimate = written(found.join(again, "g", "left").select("g", F.coalesce("e", F.struct("centre", "inverse")).alias("e")).select("g", "e.centre", "e.inverse"), "estimate")
-    out = judged.join(estimate, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance(), F.lit(0.0)))))
+    out = _joined(judged, estimate, small, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance(), F.lit(0.0)))))
     kept = ~F.col("base_failed") & (F.col("distance") <= math.sqrt(quantile(REJECT, P)))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -450,3 +450,20 @@ def test_determinant_is_the_least_that_many_random_starts_find(spark):
         assert np.abs((np.array(got[g].centre) - centre) / wide).max() < 0.35, g
     gap = near - np.array(got["cluster"].centre)
     assert (np.einsum("ni,ij,nj->n", gap, np.array(got["cluster"].inverse).reshape(outliers.P, -1), gap) > quantile(outliers.REJECT, outliers.P)).all()
+
+
+def test_verdicts_are_the_same_without_broadcasts(spark, monkeypatch):
+    rng = random.Random(9)
+    texts_ = [" ".join(rng.choice(VOCABULARY) + rng.choice(("", "", "", "#")) for _ in range(rng.randint(5, 120))) for _ in range(150)]
+    groups = [(("en", "s"), ("en", None), ("de", "t"))[min(i % 7, 2)] for i in range(150)]
+    df = spark.createDataFrame([(i, t, *g) for i, (t, g) in enumerate(zip(texts_, groups))], "doc_id long, text string, lang string, source string")
+    small = {r.doc_id: r for r in quality_rules(df).collect()}
+    monkeypatch.setattr(outliers, "BROADCAST_BYTES", 0)
+    out = quality_rules(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "share#" in plan
+    large = {r.doc_id: r for r in out.collect()}
+    assert small.keys() == large.keys()
+    for i, r in small.items():
+        assert r[:7] == large[i][:7] and r.kept == large[i].kept
+        assert (r.distance is None and large[i].distance is None) or abs(r.distance - large[i].distance) < 1e-6
