@@ -14,6 +14,7 @@ from lodewatch.llm.minhash import near_duplicates
 from lodewatch.llm.outliers import quality_rules
 from lodewatch.llm.packing import pack
 from lodewatch.llm.quality import quality
+from lodewatch.llm.simhash import simhash
 from lodewatch.llm.substring_dedup import substring_dedup
 from lodewatch.llm.urlfilter import url_filter
 
@@ -119,6 +120,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"), radius=4, words=4)
+
+
 _WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 
 SQL["op10_substring_dedup"] = f"""
