@@ -8,11 +8,12 @@ state of the longest shorter suffix that occurs more often.  States are made
 by sorting all places by the words before them, read backwards, which puts the tree
 of suffix links in order; they are the same as when words are added one by one.
 
-Most phrases of a text are there once, so counting all would send more than
-there is text.  A phrase is no more frequent than its parts; so automata of
-depth 1 and 2 come first, their counts are added over all shards, and each shard
-learns which of its words and then which of its pairs reach the least count.
-Automata of full depth are over the runs in which every pair does.  Nothing that
+Most phrases of a text are there once, so sending all would be more than there is
+text.  A phrase is no more frequent than its parts; so depths are taken one after the
+other.  At each depth the shards' automata give their phrases of that many words
+and the sizes of their sets; counts meet in buckets, packed, and each shard
+learns the names of those that reach the least count.  A longer phrase is counted
+if its two parts of a word less have names, and is the pair of them: nothing that
 reaches the least count is left out, and nothing is counted by a hash.
 
 A phrase whose count a phrase of a word more nearly reaches is subsumed by it.
@@ -22,17 +23,21 @@ suffix link, and the last, which goes back along the transition.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewatch.llm.blocks import bucket_of, slices
 from lodewatch.llm.common import written
+from lodewatch.llm.textkernels import mix
 
 #: Bytes of text in a shard, unless one text is longer, and of all open shards of a task.
 SHARD_BYTES, OPEN_BYTES = 8 << 20, 32 << 20
@@ -45,7 +50,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
 _KIND[list(BREAKS)] = 2
-SHARDS = "shard long, lang string, n_words long, dictionary binary, ids binary, n_ids long"
+#: Words of all texts for a bucket in which counts meet.
+BUCKET_WORDS = 2_000_000
+SHARDS = "shard long, lang string, n_words long, words binary, ids binary, names binary"
+FOUND = "shard long, lang string, words binary, ids binary, names binary, phrase string, k int, f long"
 
 
 @dataclass(frozen=True)
@@ -53,15 +61,17 @@ class Automaton:
     """States of a generalised suffix automaton of bounded depth.
 
     ``shortest`` and ``longest``: lengths of a state's phrases, which all end at
-    ``end`` and all occur ``count`` times; ``link``: the state of the longest
-    shorter suffix, or -1.
+    the ``count`` places of ``order`` from ``start`` on, one of which is ``end``;
+    ``link``: the state of the longest shorter suffix, or -1.
     """
 
     shortest: np.ndarray
     longest: np.ndarray
+    start: np.ndarray
     count: np.ndarray
     end: np.ndarray
     link: np.ndarray
+    order: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray, depth: int) -> Automaton:
@@ -101,7 +111,17 @@ class Automaton:
             of = of[np.argsort(start[of], kind="stable")]
             mine = np.flatnonzero(shortest == d + 1)
             link[mine] = of[np.searchsorted(start[of], start[mine], side="right") - 1]
-        return cls(shortest, longest, count, at[order[start]] if len(at) else start, link)
+        return cls(shortest, longest, start, count, at[order[start]] if len(at) else start, link, at[order])
+
+    def ends(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states, and where it ends, for all places of all of them."""
+        n = self.count[states]
+        which = np.repeat(np.arange(len(states)), n)
+        return which, self.order[self.start[states][which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]]
+
+    def of_length(self, k: int) -> np.ndarray:
+        """The states of the phrases of k words, one for each of them."""
+        return np.flatnonzero((self.shortest <= k) & (self.longest >= k))
 
     def phrases(self, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Last place, length and count of each phrase of ``least`` to ``most`` words."""
@@ -131,32 +151,34 @@ def _read(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, int]:
     return coded.dictionary.cast(pa.string()), ids, len(start)
 
 
-def _packed_ids(ids: np.ndarray) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(ids.tobytes()).to_pybytes()
-
-
-def _packed_words(words: pa.Array) -> bytes:
+def _packed(**columns: pa.Array | np.ndarray) -> bytes:
+    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("w", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
-        to.write_batch(pa.RecordBatch.from_arrays([words], names=["w"]))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _words(body: pa.Buffer) -> pa.Array:
-    with pa.ipc.open_stream(body) as source:
-        return source.read_next_batch().column(0)
+def _unpacked(body: pa.Scalar) -> pa.RecordBatch:
+    with pa.ipc.open_stream(body.as_buffer()) as source:
+        return source.read_next_batch()
+
 
+def _one(body: pa.Scalar) -> pa.Array:
+    return _unpacked(body).column(0)
 
-def _ids(body: pa.Buffer, n: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(body, 4 * n), np.int32)
+
+def _row(kinds: str, **values: object) -> pa.RecordBatch:
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in kinds.split(", "))])
+    return pa.RecordBatch.from_pylist([values], schema)
 
 
 def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """The written table of shards; ``shard`` plus a word's number is a name that no other shard's word has."""
+    """The written table of shards."""
     own = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 40
+        name = TaskContext.get().partitionId() << 32
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
@@ -165,8 +187,8 @@ def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             words, ids, n = _read(held.pop(lang))
             del sizes[lang]
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lang]), pa.array([n]), pa.array([_packed_words(words)], pa.binary()), pa.array([_packed_ids(ids)], pa.binary()), pa.array([len(ids)])], names=["shard", "lang", "n_words", "dictionary", "ids", "n_ids"])
-                name += len(words)
+                yield _row(SHARDS, shard=name, lang=lang, n_words=n, words=_packed(words=words), ids=_packed(ids=ids))
+                name += 1
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -183,99 +205,152 @@ def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return written(own.mapInArrow(each, SHARDS), "shards")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Depth 1: each word of a shard, its number and its count."""
-    for batch in batches:
-        for shard, lang, body, ids, n in zip(*(batch.column(c) for c in ("shard", "lang", "dictionary", "ids", "n_ids")), strict=True):
-            words, own = _words(body.as_buffer()), _ids(ids.as_buffer(), n.as_py())
-            count = np.bincount(own[own >= 0], minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(words), pa.string()), words, pa.array(np.full(len(words), shard.as_py())), pa.array(np.arange(len(words))), pa.array(count)], names=["lang", "word", "shard", "number", "n"])
-
-
-def _named(row: dict, words: int) -> np.ndarray:
-    """Names of the frequent words of a shard by number; -1: not frequent."""
-    out = np.full(words + 1, -1, np.int64)
-    known = row["known"].values
-    out[known.field("number").to_numpy()] = known.field("name").to_numpy()
-    return out
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i] for c in batch.schema.names}
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Depth 2: each pair of frequent words of a shard by their names, and its count."""
-    for row in _rows(batches):
-        ids = _ids(row["ids"].as_buffer(), row["n_ids"].as_py())
-        names = _named(row, int(ids.max()) + 1)
-        rank, code = np.unique(names, return_inverse=True)
-        own = code[ids].astype(np.int64)  # the number -1 is the last entry, which has no name
-        both = (rank[own[:-1]] >= 0) & (rank[own[1:]] >= 0)
-        pair, n = np.unique(own[:-1][both] * len(rank) + own[1:][both], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), row["shard"].as_py())), pa.array(rank[pair // len(rank)]), pa.array(rank[pair % len(rank)]), pa.array(n)], names=["shard", "x", "y", "n"])
-
-
-def runs(ids: np.ndarray, names: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The numbers of words in runs of which each pair is one of the named ones, with -1 between runs."""
-    rank, code = np.unique(names, return_inverse=True)
-    own = code[ids].astype(np.int64)
-    wanted = np.sort(np.searchsorted(rank, x) * len(rank) + np.searchsorted(rank, y))
-    pair = own[:-1] * len(rank) + own[1:]
-    at = np.searchsorted(wanted, pair)
-    linked = (at < len(wanted)) & (rank[own[:-1]] >= 0) & (rank[own[1:]] >= 0)
-    linked[linked] = wanted[at[linked]] == pair[linked]
-    right = np.append(linked, False)
-    left = np.concatenate([[False], linked])
-    keep = left | right
-    # A break after each word that is not linked to the next.
-    out = np.repeat(ids[keep], np.where(right[keep], 1, 2))
-    out[np.cumsum(np.where(right[keep], 1, 2))[~right[keep]] - 1] = -1
-    return out
-
-
-def _phrase_counts(most: int):
-    """Full depth: each phrase of a shard's runs and its count."""
+def _counted(depth: int, row: dict) -> tuple[np.ndarray, np.ndarray, Automaton, np.ndarray, np.ndarray]:
+    """Of a shard: its words by place and their names, the automaton, and the states of phrases that may be frequent, with their numbers."""
+    ids, names = _one(row["ids"]).to_numpy(), _one(row["names"]).to_numpy()
+    made = Automaton.of(ids, depth)
+    states = made.of_length(depth)
+    number = np.flatnonzero((names[made.end[states] - 1] >= 0) & (names[made.end[states]] >= 0))
+    return ids, names, made, states[number], number
+
+
+def _messages(depth: int, buckets: int):
+    """What a shard sends to buckets: its phrases (words, or pairs of names), their numbers in the shard and counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            ids = _ids(row["ids"].as_buffer(), row["n_ids"].as_py())
-            pairs = row["pairs"].values
-            found = runs(ids, _named(row, int(ids.max()) + 1), pairs.field("x").to_numpy(), pairs.field("y").to_numpy())
-            words = _words(row["dictionary"].as_buffer())
-            end, length, n = Automaton.of(found, most).phrases(2, most)
-            for k in range(2, most + 1):
-                here = np.flatnonzero(length == k)
-                for i in range(0, len(here), 1 << 16):
-                    last = end[here[i : i + (1 << 16)]]
-                    phrase = pc.binary_join_element_wise(*(words.take(pa.array(found[last - j])) for j in range(k - 1, -1, -1)), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(last), pa.string()), phrase, pa.array(n[here[i : i + (1 << 16)]])], names=["lang", "phrase", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                if depth == 1:
+                    words, ids = _one(row["words"]), _one(row["ids"]).to_numpy()
+                    number, n = np.arange(len(words)), np.bincount(ids[ids >= 0], minlength=len(words))
+                    bucket = bucket_of(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False), buckets)
+                    keys = lambda at: {"word": words.take(pa.array(at))}  # noqa: B023, E731
+                else:
+                    _, names, made, states, number = _counted(depth, row)
+                    n, end = made.count[states], made.end[states]
+                    a, b = names[end - 1], names[end]
+                    bucket = bucket_of(mix(a.view(np.uint64) + mix(b.view(np.uint64))), buckets)
+                    keys = lambda at: {"a": a[at], "b": b[at]}  # noqa: B023, E731
+                order = np.argsort(bucket, kind="stable")
+                for to, begin, end_ in slices(bucket[order]):
+                    at = order[begin:end_]
+                    yield pa.RecordBatch.from_pydict({"bucket": [to], "shard": [row["shard"].as_py()], "lang": [row["lang"].as_py()], "body": pa.array([_packed(**keys(at), number=number[at].astype(np.int32), n=n[at])], pa.binary())})
+
+    return each
+
+
+def _answers(depth: int, least: int):
+    """A bucket's sums: to each shard the numbers of its frequent phrases, their names and counts, and whether it is the one to spell them."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        langs, of = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("shard").to_numpy()
+        lang = langs.indices.to_numpy()
+        parts = [_unpacked(x) for x in rows.column("body")]
+        size = [p.num_rows for p in parts]
+        source = np.repeat(np.arange(len(parts)), size)
+        n, number = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("n", "number"))
+        if depth == 1:
+            code = pa.concat_arrays([p.column("word") for p in parts]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            _, group = np.unique(code * len(langs.dictionary) + lang[source], return_inverse=True)
+        else:
+            a, b = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("a", "b"))
+            order = np.lexsort((b, a))
+            new = np.zeros(len(a), np.int64)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            group = np.empty(len(a), np.int64)
+            group[order] = np.cumsum(new)
+        total = np.zeros(group.max() + 1, np.int64)
+        np.add.at(total, group, n)
+        first = np.full(len(total), len(parts))
+        np.minimum.at(first, group, source)
+        kept = np.flatnonzero(total[group] >= least)
+        cut = np.searchsorted(source[kept], np.arange(len(parts) + 1))
+        out = []
+        for i in range(len(parts)):
+            at = kept[cut[i] : cut[i + 1]]
+            if len(at):
+                g = group[at]
+                out.append({"shard": int(of[i]), "body": _packed(number=number[at], name=(bucket << 36) + g, f=total[g], spell=first[g] == i)})
+        return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("body", pa.binary())]))
+
+    return each
+
+
+def trimmed(ids: np.ndarray, names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """What longer phrases can be in: words of runs that two named phrases of ``depth`` words, one after the other, cover, with -1 between."""
+    linked = np.flatnonzero((names[:-1] >= 0) & (names[1:] >= 0)) + 1
+    # joint[j]: words j and j + 1 are in one such run, from linked - depth to linked.
+    step = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(step, linked - depth, 1)
+    np.add.at(step, linked, -1)
+    joint = np.cumsum(step[:-1]) > 0
+    kept = joint.copy()
+    kept[1:] |= joint[:-1]
+    wide = np.where(joint[kept], 1, 2)
+    last = (np.cumsum(wide) - 1)[~joint[kept]]
+    out = [np.repeat(x[kept], wide) for x in (ids, names)]
+    for x in out:
+        x[last] = -1
+    return out[0], out[1]
+
+
+def _spelled(words: pa.Array, ids: np.ndarray, end: np.ndarray, k: int) -> pa.Array:
+    return pc.binary_join_element_wise(*(words.take(pa.array(ids[end - j])) for j in range(k - 1, -1, -1)), " ")
+
+
+def _applied(depth: int, most: int):
+    """A shard with its answers: what is left of it for longer phrases, and the phrases that it is to spell."""
+
+    def each(state: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("names", pa.binary()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+        if not state.num_rows or not answers.num_rows:
+            return schema.empty_table()
+        row = {c: state.column(c)[0] for c in ("shard", "lang", "words", "ids", "names")}
+        said = pa.Table.from_batches([_unpacked(x) for x in answers.column("body")])
+        number, name, f, spell = (said.column(c).to_numpy() for c in ("number", "name", "f", "spell"))
+        words = _one(row["words"])
+        if depth == 1:
+            ids = _one(row["ids"]).to_numpy()
+            name_of = np.full(len(words) + 1, -1, np.int64)
+            name_of[number] = name
+            names, phrase = name_of[ids], words.take(pa.array(number[spell]))
+        else:
+            ids, _, made, states, numbers = _counted(depth, row)
+            at = states[np.searchsorted(numbers, number)]
+            names = np.full(len(ids), -1, np.int64)
+            which, end = made.ends(at)
+            names[end] = name[which]
+            phrase = _spelled(words, ids, made.end[at[spell]], depth)
+        n = len(phrase)
+        out = [pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.array([row["lang"].as_py()] * n, pa.string()), *(pa.nulls(n, pa.binary()) for _ in range(3)), phrase, pa.array(np.full(n, depth, np.int32)), pa.array(f[spell])], schema=schema)]
+        if depth < most:
+            ids, names = trimmed(ids, names, depth)
+            if len(ids):
+                used, renamed = np.unique(ids, return_inverse=True)  # -1 is the first of them
+                own = {"words": _packed(words=words.take(pa.array(used[1:]))), "ids": _packed(ids=(renamed - 1).astype(np.int32)), "names": _packed(names=names)}
+                out.append(pa.Table.from_pylist([{"shard": row["shard"].as_py(), "lang": row["lang"].as_py()} | own], schema))
+        return pa.concat_tables(out)
 
     return each
 
 
 def phrase_counts(df: DataFrame, least: int, most: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all words; (lang, phrase, k, f) of all phrases of 1 to ``most`` words that occur ``least`` times or more."""
-    own = shards(df, lang_col, text_col)
-    totals = own.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    # A word has a row for each shard that has it; it is named after the first of them.
-    of_word = Window.partitionBy("lang", "word")
-    name = F.col("shard") + F.col("number")
-    words = own.mapInArrow(_word_counts, "lang string, word string, shard long, number long, n long")
-    words = words.select("lang", "word", "shard", "number", F.sum("n").over(of_word).alias("f"), F.min(name).over(of_word).alias("name")).where(F.col("f") >= least)
-    words = written(words, "words")
-    known = words.groupBy("shard").agg(F.collect_list(F.struct(F.col("number"), F.col("name"))).alias("known"))
-    named = written(own.select("shard", "lang", "dictionary", "ids", "n_ids").join(known, "shard"), "named")
-    pairs = named.select("shard", "ids", "n_ids", "known").mapInArrow(_pair_counts, "shard long, x long, y long, n long")
-    frequent = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("x", "y"))).where(F.col("f") >= least)
-    answers = frequent.groupBy("shard").agg(F.collect_list(F.struct("x", "y")).alias("pairs"))
-    found = named.join(answers, "shard").mapInArrow(_phrase_counts(most), "lang string, phrase string, n long")
-    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    single = words.where(name == F.col("name")).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
-    counts = found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f").unionByName(single)
-    return totals, written(counts, "counts")
+    state = shards(df, lang_col, text_col)
+    totals = state.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    buckets = max(1, -(-(state.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    found = []
+    for depth in range(1, most + 1):
+        state = state.select("shard", "lang", "words", "ids", "names")
+        sent = state.mapInArrow(_messages(depth, buckets), "bucket long, shard long, lang string, body binary")
+        answers = sent.groupBy("bucket").applyInArrow(_answers(depth, least), "shard long, body binary")
+        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_applied(depth, most), FOUND)
+        both = written(both, f"phrases-{depth}")
+        found.append(both.where("phrase is not null").select("lang", "phrase", "k", "f"))
+        state = both.where("shard is not null")
+    return totals, functools.reduce(DataFrame.unionByName, found)
 
 
 def collocations(df: DataFrame, least: int = 100, words: int = 5, percent: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
