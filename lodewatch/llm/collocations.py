@@ -52,8 +52,8 @@ _KIND[list(BLANKS)] = 1
 _KIND[list(BREAKS)] = 2
 #: Words of all texts for a bucket in which counts meet.
 BUCKET_WORDS = 2_000_000
-SHARDS = "shard long, lang string, n_words long, words binary, ids binary, names binary"
-FOUND = "shard long, lang string, words binary, ids binary, names binary, phrase string, k int, f long"
+SHARDS = "shard long, lang string, n_words long, state binary"
+FOUND = "shard long, lang string, state binary, phrase string, k int, f long"
 
 
 @dataclass(frozen=True)
@@ -152,20 +152,35 @@ def _read(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, int]:
 
 
 def _packed(**columns: pa.Array | np.ndarray) -> bytes:
-    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    """Columns in one compressed row; integers byte by byte, all lowest first, which compresses better."""
+    row, names = [], []
+    for name, c in columns.items():
+        if isinstance(c, np.ndarray):
+            row.append(pa.array([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes()], pa.binary()))
+            names.append(f"{name} {c.dtype.str}")
+        else:
+            row.append(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c))
+            names.append(name)
+    batch = pa.RecordBatch.from_arrays(row, names=names)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
         to.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(body: pa.Scalar) -> pa.RecordBatch:
+def _unpacked(body: pa.Scalar) -> dict[str, pa.Array | np.ndarray]:
     with pa.ipc.open_stream(body.as_buffer()) as source:
-        return source.read_next_batch()
-
-
-def _one(body: pa.Scalar) -> pa.Array:
-    return _unpacked(body).column(0)
+        batch = source.read_next_batch()
+    out = {}
+    for full, column in zip(batch.schema.names, batch.columns, strict=True):
+        name, *kind = full.split()
+        if kind:
+            kind = np.dtype(kind[0])
+            planes = np.frombuffer(column[0].as_buffer(), np.uint8).reshape(kind.itemsize, -1)
+            out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+        else:
+            out[name] = column.flatten()
+    return out
 
 
 def _row(kinds: str, **values: object) -> pa.RecordBatch:
@@ -187,7 +202,7 @@ def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             words, ids, n = _read(held.pop(lang))
             del sizes[lang]
             if n:
-                yield _row(SHARDS, shard=name, lang=lang, n_words=n, words=_packed(words=words), ids=_packed(ids=ids))
+                yield _row(SHARDS, shard=name, lang=lang, n_words=n, state=_packed(words=words, ids=ids))
                 name += 1
 
         for batch in batches:
@@ -205,75 +220,88 @@ def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return written(own.mapInArrow(each, SHARDS), "shards")
 
 
-def _counted(depth: int, row: dict) -> tuple[np.ndarray, np.ndarray, Automaton, np.ndarray, np.ndarray]:
-    """Of a shard: its words by place and their names, the automaton, and the states of phrases that may be frequent, with their numbers."""
-    ids, names = _one(row["ids"]).to_numpy(), _one(row["names"]).to_numpy()
-    made = Automaton.of(ids, depth)
-    states = made.of_length(depth)
-    number = np.flatnonzero((names[made.end[states] - 1] >= 0) & (names[made.end[states]] >= 0))
-    return ids, names, made, states[number], number
+def _state(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A shard's words, their numbers by place (-1: a break), and the name of the phrase of one depth less that ends at each place."""
+    own = _unpacked(row["state"])
+    names = own["names"][own["codes"] if "codes" in own else own["ids"]] if "names" in own else np.empty(0, np.int64)
+    return own["words"], own["ids"], names
+
+
+class Sent:
+    """What a shard sends at a depth, in the order of buckets: its states (or words), their counts and keys."""
+
+    def __init__(self, depth: int, words: pa.Array, ids: np.ndarray, names: np.ndarray, buckets: int) -> None:
+        if depth == 1:
+            self.made, states, n = None, np.arange(len(words)), np.bincount(ids[ids >= 0], minlength=len(words))
+            bucket = bucket_of(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False), buckets)
+            order = np.argsort(bucket, kind="stable")
+            self.keys = {"word": words.take(pa.array(order))}
+        else:
+            self.made = Automaton.of(ids, depth)
+            states = self.made.of_length(depth)
+            end = self.made.end[states]
+            known = (names[end - 1] >= 0) & (names[end] >= 0)
+            states, end = states[known], end[known]
+            n, a, b = self.made.count[states], names[end - 1], names[end]
+            bucket = bucket_of(mix(a.view(np.uint64) + mix(b.view(np.uint64))), buckets)
+            order = np.lexsort((b, a, bucket))
+            self.keys = {"a": a[order], "b": b[order]}
+        self.states, self.n, self.bucket = states[order], n[order].astype(np.int32), bucket[order]
 
 
 def _messages(depth: int, buckets: int):
-    """What a shard sends to buckets: its phrases (words, or pairs of names), their numbers in the shard and counts."""
+    """What shards send to buckets: words, or pairs of names, with their counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                if depth == 1:
-                    words, ids = _one(row["words"]), _one(row["ids"]).to_numpy()
-                    number, n = np.arange(len(words)), np.bincount(ids[ids >= 0], minlength=len(words))
-                    bucket = bucket_of(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False), buckets)
-                    keys = lambda at: {"word": words.take(pa.array(at))}  # noqa: B023, E731
-                else:
-                    _, names, made, states, number = _counted(depth, row)
-                    n, end = made.count[states], made.end[states]
-                    a, b = names[end - 1], names[end]
-                    bucket = bucket_of(mix(a.view(np.uint64) + mix(b.view(np.uint64))), buckets)
-                    keys = lambda at: {"a": a[at], "b": b[at]}  # noqa: B023, E731
-                order = np.argsort(bucket, kind="stable")
-                for to, begin, end_ in slices(bucket[order]):
-                    at = order[begin:end_]
-                    yield pa.RecordBatch.from_pydict({"bucket": [to], "shard": [row["shard"].as_py()], "lang": [row["lang"].as_py()], "body": pa.array([_packed(**keys(at), number=number[at].astype(np.int32), n=n[at])], pa.binary())})
+                sent = Sent(depth, *_state(row), buckets)
+                for to, begin, end in slices(sent.bucket):
+                    body = _packed(**{k: v[begin:end] for k, v in sent.keys.items()}, n=sent.n[begin:end])
+                    yield pa.RecordBatch.from_pydict({"bucket": [to], "shard": [row["shard"].as_py()], "lang": [row["lang"].as_py()], "body": pa.array([body], pa.binary())})
 
     return each
 
 
 def _answers(depth: int, least: int):
-    """A bucket's sums: to each shard the numbers of its frequent phrases, their names and counts, and whether it is the one to spell them."""
+    """A bucket's sums: to each shard the places in its message of frequent phrases, their names and counts, and whether it is the one to spell them."""
 
     def each(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         langs, of = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("shard").to_numpy()
         lang = langs.indices.to_numpy()
         parts = [_unpacked(x) for x in rows.column("body")]
-        size = [p.num_rows for p in parts]
-        source = np.repeat(np.arange(len(parts)), size)
-        n, number = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("n", "number"))
+        size = [len(p["n"]) for p in parts]
+        source = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+        n = np.concatenate([p["n"] for p in parts])
         if depth == 1:
-            code = pa.concat_arrays([p.column("word") for p in parts]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            code = pa.concat_arrays([p["word"] for p in parts]).dictionary_encode().indices.to_numpy().astype(np.int64)
             _, group = np.unique(code * len(langs.dictionary) + lang[source], return_inverse=True)
         else:
-            a, b = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("a", "b"))
+            a, b = (np.concatenate([p[c] for p in parts]) for c in ("a", "b"))
             order = np.lexsort((b, a))
+            a, b = a[order], b[order]
             new = np.zeros(len(a), np.int64)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             group = np.empty(len(a), np.int64)
             group[order] = np.cumsum(new)
         total = np.zeros(group.max() + 1, np.int64)
         np.add.at(total, group, n)
-        first = np.full(len(total), len(parts))
+        first = np.full(len(total), len(parts), np.int32)
         np.minimum.at(first, group, source)
         kept = np.flatnonzero(total[group] >= least)
-        cut = np.searchsorted(source[kept], np.arange(len(parts) + 1))
+        cut, begin = np.searchsorted(source[kept], np.arange(len(parts) + 1)), np.cumsum([0, *size])
+        # Names are dense: those that are not frequent have none.
+        name = np.cumsum(total >= least) - 1
         out = []
         for i in range(len(parts)):
             at = kept[cut[i] : cut[i + 1]]
             if len(at):
                 g = group[at]
-                out.append({"shard": int(of[i]), "body": _packed(number=number[at], name=(bucket << 36) + g, f=total[g], spell=first[g] == i)})
-        return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("body", pa.binary())]))
+                mine = first[g] == i
+                out.append({"shard": int(of[i]), "bucket": bucket, "body": _packed(place=(at - begin[i]).astype(np.int32), name=(bucket << 36) + name[g]), "spelled": _packed(at=np.flatnonzero(mine).astype(np.int32), f=total[g[mine]])})
+        return pa.Table.from_pylist(out, pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary()), ("spelled", pa.binary())]))
 
     return each
 
@@ -300,37 +328,45 @@ def _spelled(words: pa.Array, ids: np.ndarray, end: np.ndarray, k: int) -> pa.Ar
     return pc.binary_join_element_wise(*(words.take(pa.array(ids[end - j])) for j in range(k - 1, -1, -1)), " ")
 
 
-def _applied(depth: int, most: int):
+def _applied(depth: int, most: int, buckets: int):
     """A shard with its answers: what is left of it for longer phrases, and the phrases that it is to spell."""
 
     def each(state: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("names", pa.binary()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("state", pa.binary()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
         if not state.num_rows or not answers.num_rows:
             return schema.empty_table()
-        row = {c: state.column(c)[0] for c in ("shard", "lang", "words", "ids", "names")}
-        said = pa.Table.from_batches([_unpacked(x) for x in answers.column("body")])
-        number, name, f, spell = (said.column(c).to_numpy() for c in ("number", "name", "f", "spell"))
-        words = _one(row["words"])
+        row = {c: state.column(c)[0] for c in ("shard", "lang", "state")}
+        words, ids, names = _state(row)
+        sent = Sent(depth, words, ids, names, buckets)
+        begin = {to: x for to, x, _ in slices(sent.bucket)}
+        at, name, spell, f = [], [], [], []
+        for bucket, *bodies in zip(*(answers.column(c) for c in ("bucket", "body", "spelled")), strict=True):
+            body, spelled = map(_unpacked, bodies)
+            own = sent.states[begin[bucket.as_py()] + body["place"]]
+            at.append(own), name.append(body["name"]), spell.append(own[spelled["at"]]), f.append(spelled["f"])
+        at, name, spell, f = map(np.concatenate, (at, name, spell, f))
         if depth == 1:
-            ids = _one(row["ids"]).to_numpy()
             name_of = np.full(len(words) + 1, -1, np.int64)
-            name_of[number] = name
-            names, phrase = name_of[ids], words.take(pa.array(number[spell]))
+            name_of[at] = name
+            names, phrase = name_of[ids], words.take(pa.array(spell))
         else:
-            ids, _, made, states, numbers = _counted(depth, row)
-            at = states[np.searchsorted(numbers, number)]
             names = np.full(len(ids), -1, np.int64)
-            which, end = made.ends(at)
+            which, end = sent.made.ends(at)
             names[end] = name[which]
-            phrase = _spelled(words, ids, made.end[at[spell]], depth)
+            phrase = _spelled(words, ids, sent.made.end[spell], depth)
         n = len(phrase)
-        out = [pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.array([row["lang"].as_py()] * n, pa.string()), *(pa.nulls(n, pa.binary()) for _ in range(3)), phrase, pa.array(np.full(n, depth, np.int32)), pa.array(f[spell])], schema=schema)]
+        out = [pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.array([row["lang"].as_py()] * n, pa.string()), pa.nulls(n, pa.binary()), phrase, pa.array(np.full(n, depth, np.int32)), pa.array(f)], schema=schema)]
         if depth < most:
             ids, names = trimmed(ids, names, depth)
             if len(ids):
                 used, renamed = np.unique(ids, return_inverse=True)  # -1 is the first of them
-                own = {"words": _packed(words=words.take(pa.array(used[1:]))), "ids": _packed(ids=(renamed - 1).astype(np.int32)), "names": _packed(names=names)}
-                out.append(pa.Table.from_pylist([{"shard": row["shard"].as_py(), "lang": row["lang"].as_py()} | own], schema))
+                own = {"words": words.take(pa.array(used[1:])), "ids": (renamed - 1).astype(np.int32)}
+                if depth == 1:  # names are of words; the break's is the last
+                    own["names"] = np.append(name_of[used[1:]], -1)
+                else:
+                    own["names"], codes = np.unique(names, return_inverse=True)
+                    own["codes"] = codes.astype(np.int32)
+                out.append(pa.Table.from_pylist([{"shard": row["shard"].as_py(), "lang": row["lang"].as_py(), "state": _packed(**own)}], schema))
         return pa.concat_tables(out)
 
     return each
@@ -343,10 +379,10 @@ def phrase_counts(df: DataFrame, least: int, most: int, lang_col: str = "lang",
     buckets = max(1, -(-(state.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
     found = []
     for depth in range(1, most + 1):
-        state = state.select("shard", "lang", "words", "ids", "names")
+        state = state.select("shard", "lang", "state")
         sent = state.mapInArrow(_messages(depth, buckets), "bucket long, shard long, lang string, body binary")
-        answers = sent.groupBy("bucket").applyInArrow(_answers(depth, least), "shard long, body binary")
-        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_applied(depth, most), FOUND)
+        answers = sent.groupBy("bucket").applyInArrow(_answers(depth, least), "shard long, bucket long, body binary, spelled binary")
+        both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_applied(depth, most, buckets), FOUND)
         both = written(both, f"phrases-{depth}")
         found.append(both.where("phrase is not null").select("lang", "phrase", "k", "f"))
         state = both.where("shard is not null")
