@@ -28,9 +28,12 @@ class Correlation:
 
 
 def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None) -> Correlation:
-    """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups."""
-    events = (normalizers or readers.Normalizers()).ingest(spark, paths, sources)
-    grouped = correlate.assign(events, correlate.links(events, window, script_window, pid_gap, rules))
+    """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups.
+
+    The events are read and parsed once, and written; so are the grouped ones, which all that follows reads.
+    """
+    events = written((normalizers or readers.Normalizers()).ingest(spark, paths, sources), "events")
+    grouped = written(correlate.assign(events, correlate.links(events, window, script_window, pid_gap, rules)), "grouped")
     groups = correlate.assemble(grouped)
     return Correlation(grouped, groups, correlate.dedup_groups(groups))
 

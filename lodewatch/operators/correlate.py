@@ -211,3 +211,8 @@ def in_order(events: DataFrame) -> DataFrame:
 def largest_first(groups: DataFrame) -> DataFrame:
     """L2: by occurrences, most first; equal ones by id."""
     return groups.orderBy(F.desc("total_occurrences"), "corr_id")
+
+
+def largest(groups: DataFrame, n: int) -> DataFrame:
+    """L2: the first ``n`` groups by occurrences, and all that are as large as the last of them, with their ``place``; few rows leave each task."""
+    return groups.withColumn("place", F.rank().over(Window.orderBy(F.desc("total_occurrences"))).cast("long")).where(F.col("place") <= n)

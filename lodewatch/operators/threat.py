@@ -51,12 +51,13 @@ def targets(events: DataFrame, order: Sequence[str] = ("us", "event_id")) -> Dat
     """
     found = written(extracted(events), "targets")
     at = F.struct(*order)
-    firsts = lambda c: found.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(at).alias(f"first_{c}"))
-    flagged = found.join(firsts("ip"), "ip", "left").join(firsts("domain"), "domain", "left")
-    lone_ip = F.col("domain").isNull() & (F.col("first_ip") < at)
-    lone_domain = F.col("ip").isNull() & (F.col("first_domain") < at)
-    kept = flagged.where(~F.coalesce(lone_ip, F.lit(False)) & ~F.coalesce(lone_domain, F.lit(False)))
-    return kept.select(*found.columns)
+    def lone(c: str, other: str) -> DataFrame:
+        """Rows with ``c`` alone that are its first: only rows that have the key are joined."""
+        firsts = found.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(at).alias("first_"))
+        return found.where(F.col(c).isNotNull() & F.col(other).isNull()).join(firsts, c).where(at <= F.col("first_")).select(*found.columns)
+
+    both = found.where("ip is not null and domain is not null")
+    return both.unionByName(lone("ip", "domain")).unionByName(lone("domain", "ip"))
 
 
 def capped(rows: DataFrame, n: int = REQUEST_QUOTA, order: Sequence[str] = ("us", "event_id")) -> DataFrame:
@@ -66,7 +67,7 @@ def capped(rows: DataFrame, n: int = REQUEST_QUOTA, order: Sequence[str] = ("us"
 
 def drawn(rows: DataFrame, n: int = RUN_QUOTA, seed: int = 1, key: str = "event_id") -> DataFrame:
     """L4: so many rows drawn at random; which ones depends on their ids and the seed alone."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key).limit(n)
 
 
 def ip_answers(targets: DataFrame, reputation_ip: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodewatch.functions import classify, net, text
@@ -386,5 +386,5 @@ def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: the first hundred in the order of time."""
     from lodewatch.operators.correlate import in_order
 
-    rows = in_order(unified(spark, sf_dir)).limit(100).select("event_id", "us").collect()
-    return spark.createDataFrame([(r.event_id, r.us, i + 1) for i, r in enumerate(rows)], "event_id long, us long, place long")
+    first = in_order(unified(spark, sf_dir)).limit(100)
+    return first.select("event_id", "us", F.row_number().over(Window.orderBy("us", "event_id")).cast("long").alias("place"))

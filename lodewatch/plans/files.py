@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodewatch import api, schemas
 from lodewatch.operators import aggregates, correlate, enrich, threat
 from lodewatch.plans import queries as Q
-from lodewatch.plans.registry import query
+from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import RAW, UNIFIED, unified
 from lodewatch.shared import table_path
 from lodewatch.sources import readers, writers
@@ -32,9 +31,8 @@ rows AS (
 _SQL = "raw_events AS (" + RAW + ")," + _FILES.format(view=UNIFIED.format(string="VARCHAR")) + ", u AS (SELECT * FROM rows)"
 
 
-@lru_cache(maxsize=8)
 def _written(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Paths by name; written once for a session and directory."""
+    """Paths by name, of files that are written anew for each query."""
     b = unified(spark, sf_dir)
     paths = {n: table_path(spark, n) for n in ("network", "legacy", "process", "applog")}
     iso = lambda pattern: F.date_format(F.to_utc_timestamp(F.timestamp_micros("us"), F.current_timezone()), pattern)
@@ -66,13 +64,53 @@ def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES ('applog', 'applog'), ('legacy', 'legacy'), ('network', 'network'), ('process', 'process')) AS t(name, format)")
+_MIXED = with_view("SELECT record_type, source, pid, us, process_name, count(*) AS n, count(*) AS ids FROM (SELECT CASE WHEN event_id % 4 = 2 THEN 'process_start' ELSE 'network_connect' END AS record_type, CASE WHEN event_id % 4 = 2 THEN 'process' ELSE 'npcap_live' END AS source, pid, us, CASE WHEN event_id % 4 = 3 THEN concat('}{\"', process_name) ELSE process_name END AS process_name FROM u) GROUP BY ALL")
+
+
+@query(_MIXED)
+def mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of lines, pretty-printed objects, lines of another format, and objects one after the other on long lines."""
+    b = unified(spark, sf_dir).withColumn("ts", F.date_format(F.to_utc_timestamp(F.timestamp_micros("us"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    path = table_path(spark, "mixed")
+    network = ["ts", F.lit("npcap_live").alias("source"), F.lit("network_connect").alias("record_type"), "pid", "process_name"]
+    part = lambda i: b.where(F.col("event_id") % 4 == i)
+    whole = lambda df, **o: F.to_json(F.struct(*df.columns), o)
+    rows = part(0).select(*network)
+    rows.select(whole(rows).alias("value")).write.mode("append").text(path)
+    rows = part(1).select(*network)
+    rows.select(whole(rows, pretty="true").alias("value")).write.mode("append").text(path)
+    rows = part(2).select("ts", F.lit("process_start").alias("event_subtype"), "pid", "process_name")
+    rows.select(whole(rows).alias("value")).write.mode("append").text(path)
+    rows = part(3).withColumn("process_name", F.concat(F.lit('}{"'), "process_name")).select("event_id", *network)
+    fifty = rows.select(F.floor(F.col("event_id") / 200).alias("line"), whole(rows.drop("event_id")).alias("value")).groupBy("line").agg(F.array_join(F.collect_list("value"), "").alias("value"))
+    fifty.select("value").write.mode("append").text(path)
+    keys = ["record_type", "source", "pid", "us", "process_name"]
+    return readers.Normalizers().read(spark, path).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("SELECT bucket, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY bucket ORDER BY event_id) AS BIGINT) AS number, event_id FROM (SELECT event_id, CAST(event_id % 8 AS INT) AS bucket FROM events)")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: numbers of lines in their files, of which some are blank; ids are of these and the path."""
+    b = Q.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 8).cast("int").alias("bucket"))
+    path = table_path(spark, "numbered")
+    line = F.concat(F.when(F.col("event_id") % 5 == 0, "\n").otherwise(""), F.to_json(F.struct("event_id")))
+    b.repartition("bucket").sortWithinPartitions("bucket", "event_id").select("bucket", line.alias("value")).write.partitionBy("bucket").text(path)
+    found = readers.lines(spark, path, StructType([StructField("event_id", LongType())]), "log")
+    place = lambda pattern: F.regexp_extract("line", pattern, 1)
+    return found.select(place(r"^log/bucket=(\d+)/").cast("int").alias("bucket"), place(r":(\d+)$").cast("long").alias("number"), "event_id")
+
+
+@query("SELECT event_type AS name, CASE event_type WHEN 'signup' THEN 'process' WHEN 'purchase' THEN 'legacy' WHEN 'error' THEN 'applog' WHEN 'click' THEN 'unknown' ELSE 'network' END AS format, CASE event_type WHEN 'error' THEN 'objects' ELSE 'lines' END AS shape FROM events GROUP BY event_type")
 def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S4"""
-    return spark.createDataFrame([(n, readers.sniff(spark, p)) for n, p in _written(spark, sf_dir).items()], "name string, format string")
+    """Format and shape of files that differ by their first characters."""
+    b = Q.table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("pid"))
+    path, kind = table_path(spark, "formats"), F.col("event_type")
+    mark = F.when(kind == "signup", F.to_json(F.struct("pid", F.lit("process_start").alias("event_subtype")))).when(kind == "purchase", F.to_json(F.struct("pid", F.lit("1.1.1.1").alias("local_addr"))))
+    mark = mark.when(kind == "error", F.to_json(F.struct("pid", F.lit("x").alias("script_content"), F.lit(1).alias("pattern_hits")), {"pretty": "true"})).when(kind == "click", F.to_json(F.struct("pid")))
+    b.select("event_type", F.coalesce(mark, F.to_json(F.struct("pid", F.lit("npcap_live").alias("source")))).alias("value")).write.partitionBy("event_type").text(path)
+    return readers.inspected(spark, [path]).select(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("name"), "format", "shape").distinct()
 
 
-@lru_cache(maxsize=4)
 def _correlated(spark: SparkSession, sf_dir: str) -> api.Correlation:
     paths = _written(spark, sf_dir)
     return api.correlate_files(spark, list(paths.values()), {p: n for n, p in paths.items()}, Q.HOUR, Q.HOUR, Q.HOUR, ("pid", "window", "flow", "script"))
@@ -107,11 +145,11 @@ def ui_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.ui_stats(_correlated(spark, sf_dir).assembled)
 
 
-@query(_ALL + "SELECT row_number() OVER (ORDER BY total_occurrences DESC) AS place, total_occurrences::BIGINT AS total_occurrences FROM assembled ORDER BY 1 LIMIT 20")
+@query(_ALL + "SELECT place, total_occurrences, unique_events, corr_type, processes FROM (SELECT rank() OVER (ORDER BY total_occurrences DESC) AS place, corr_type, processes, unique_events, total_occurrences::BIGINT AS total_occurrences FROM assembled) WHERE place <= 20")
 def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2"""
-    top = correlate.largest_first(_correlated(spark, sf_dir).assembled).limit(20).select("total_occurrences").collect()
-    return spark.createDataFrame([(i + 1, r.total_occurrences) for i, r in enumerate(top)], "place long, total_occurrences long")
+    top = correlate.largest(Q._flat(_correlated(spark, sf_dir).assembled), 20)
+    return top.select("place", "total_occurrences", "unique_events", "corr_type", "processes")
 
 
 @query(_ALL + """SELECT corr_type, array_to_string(list_slice(string_split(processes, ','), 1, 2), ',') AS processes, array_to_string(list_slice(string_split(dest_ips, ','), 1, 6), ',') AS dest_ips, total_occurrences::BIGINT AS total_occurrences
@@ -122,7 +160,6 @@ def group_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("corr_type", F.array_join("processes", ",").alias("processes"), F.array_join("dest_ips", ",").alias("dest_ips"), "total_occurrences")
 
 
-@lru_cache(maxsize=8)
 def _documents(spark: SparkSession, sf_dir: str) -> str:
     path = table_path(spark, "groups")
     _correlated(spark, sf_dir).write(path)

@@ -68,12 +68,10 @@ def threat_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "results long, suspicious long, nodes long, edges long")
 
 
-@query(with_view("SELECT 5 AS n, true AS known"))
+@query(with_view("SELECT event_id, ip, dom AS domain FROM tg ORDER BY md5(concat('1:', event_id)), event_id LIMIT 5", Q._TARGETS))
 def drawn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4: five targets at random, the same ones every time."""
-    found = threat.targets(unified(spark, sf_dir))
-    one, two = (threat.drawn(found).select("event_id") for _ in range(2))
-    return one.join(two, "event_id").agg(F.count("*").cast("int").alias("n"), F.lit(True).alias("known"))
+    return threat.drawn(threat.targets(unified(spark, sf_dir))).select("event_id", "ip", "domain")
 
 
 @query(with_view("SELECT event_id, ip, dom AS domain FROM (SELECT *, row_number() OVER (PARTITION BY ip, dom ORDER BY us, event_id) AS rn FROM t0 WHERE ip IS NOT NULL OR dom IS NOT NULL) WHERE rn = 1", Q._TARGETS))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -15,92 +17,98 @@ from pyspark.sql.types import StructType
 
 from lodewatch import schemas
 from lodewatch.functions.text import parse_ts
+from lodewatch.sources import splits
 
-SNIFFED = 2000
+#: Characters of a file that show its format, and those of them, in texts up to closing braces, that may show its shape.
+SNIFFED, SHOWN = 2000, 32_000
 
 
-def _named(source: str | None) -> Column:
-    return F.lit(source) if source else F.col("_metadata.file_path")
+def _is_object(line: Column) -> Column:
+    """The parser stops at the end of a first value; within brackets, what follows it shows."""
+    alone = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    return line.startswith("{") & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
 
 
-def lines(spark: SparkSession, path: str, schema: StructType, source: str | None = None) -> DataFrame:
-    """One JSON object a line; blank and malformed lines are skipped.
+def lines(spark: SparkSession, path: str, schema: StructType, source: str | None = None, files: Sequence[str] | None = None) -> DataFrame:
+    """One JSON object a line; blank and malformed lines are skipped.
 
     Adds ``raw``, ``source_file`` (the file's whole path, or ``source`` for all
-    files of a folder that is one source), and ``line``: path, split and place
-    in the split, by which equal lines are told apart.  Places are the same
-    whenever the same files are read in the same splits.
+    files of a folder that is one source), and ``line``: the file and the
+    line's number in it, the same for any splits and whatever other files are
+    there.  ``files``: only these of the folder, as Spark names their paths.
     """
-    place = F.concat_ws(":", "_metadata.file_path", F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    raw = spark.read.text(path).select(F.trim("value").alias("raw"), _named(source).alias("source_file"), place.alias("line")).where("raw <> ''")
-    parsed = raw.withColumn("r", F.from_json("raw", schema)).withColumn("ok", F.expr("try_parse_json(raw)").isNotNull() & F.col("raw").startswith("{"))
-    return parsed.where("ok").select("raw", "source_file", "line", "r.*")
-
-
-def _objects(text: str) -> Iterator[str]:
-    decoder = json.JSONDecoder()
-    at = text.find("{")
-    while at >= 0:
-        try:
-            found, end = decoder.raw_decode(text, at)
-        except ValueError:
-            end = at + 1
-        else:
-            yield json.dumps(found)
-        at = text.find("{", end)
-
-
-def objects(spark: SparkSession, path: str, schema: StructType, source: str | None = None) -> DataFrame:
-    """Concatenated or pretty-printed JSON objects; broken ones are skipped.
-
-    An object may end anywhere, so a file is read by one task, and is at most
-    2 GB; logs of this kind are rotated far below that.  ``line`` is the path
-    and the object's number.
+    rows = splits.numbered(splits.raw(spark, path, files))
+    rows = rows.select(F.trim("value").alias("raw"), _source(source), F.concat_ws(":", splits.named(path, source), "number").alias("line"))
+    return rows.where(_is_object(F.col("raw"))).withColumn("r", F.from_json("raw", schema)).select("raw", "source_file", "line", "r.*")
+
+
+def _source(source: str | None) -> Column:
+    return (F.lit(source) if source else F.col("path")).alias("source_file")
+
+
+def objects(spark: SparkSession, path: str, schema: StructType, source: str | None = None, files: Sequence[str] | None = None) -> DataFrame:
+    """Concatenated or pretty-printed JSON objects, of files of any size in any number of splits.
+
+    Broken objects are skipped, but for whole ones inside them.  ``line`` is
+    the file and the number of closing braces before the object, and its place
+    among those of a broken one.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", _named(source).alias("source_file"), F.col("_metadata.file_path").alias("path"))
+    found = splits.objects(splits.raw(spark, path, files, "}"))
+    place = F.concat_ws(":", splits.named(path, source), "number", F.when(F.col("nth") > 0, F.col("nth")))
+    found = found.select("raw", _source(source), place.alias("line"), F.from_json("raw", schema).alias("r"))
+    return found.select("raw", "source_file", "line", "r.*")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, *names in zip(*(batch.column(c) for c in ("value", "source_file", "path")), strict=True):
-                name, file = (x.as_py() for x in names)
-                found = _objects(text.as_py())
-                n = 0
-                while part := list(itertools.islice(found, 1000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([name] * len(part)), pa.array([f"{file}:{n + i}" for i in range(len(part))])], names=["raw", "source_file", "line"])
-                    n += len(part)
 
-    found = whole.mapInArrow(split, "raw string, source_file string, line string")
-    return found.withColumn("r", F.from_json("raw", schema)).select("raw", "source_file", "line", "r.*")
+#: S4, fixed values: what the first characters of a file of each format hold (one of them; of the first format, all), in this order.
+MARKS = (
+    ("applog", ('"script_content"', '"pattern_hits"')), ("legacy", ('"local_addr"', "etw_kernel_process")), ("process", ('"event_subtype"',)), ("network", ('"npcap_live"',)),
+    ("file", ('"file_integrity"',)), ("usb", ('"USB_SESSION_END"',)), ("script", ('"detection"',)),
+)
 
 
-def kind_of(head: str) -> str:
+def kind_of(head: Column) -> Column:
     """The format that the first characters of a file show."""
-    has = lambda *words: any(w in head for w in words)
-    if has('"script_content"') and has('"pattern_hits"'):
-        return "applog"
-    if has('"local_addr"', "etw_kernel_process"):
-        return "legacy"
-    for word, kind in (('"event_subtype"', "process"), ('"npcap_live"', "network"), ('"file_integrity"', "file"), ('"USB_SESSION_END"', "usb"), ('"detection"', "script")):
-        if has(word):
-            return kind
-    return "unknown"
-
-
-def sniff(spark: SparkSession, path: str) -> str:
-    """The format of a file, or of a folder whose files have one; only its first lines are read."""
-    rows = spark.read.text(path).select(F.substring("value", 1, SNIFFED).alias("h")).limit(SNIFFED).toLocalIterator()
-    head = ""
-    for r in rows:
-        head += r.h + "\n"
-        if len(head) >= SNIFFED:
-            break
-    return kind_of(head[:SNIFFED])
+    out = F.lit("unknown")
+    for kind, marks in reversed(MARKS):
+        shown = [head.contains(m) for m in marks]
+        out = F.when(functools.reduce(operator.and_ if kind == "applog" else operator.or_, shown), kind).otherwise(out)
+    return out
+
+
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``head`` of each file that has any text: its first texts up to closing braces; what is cut short is marked and shows no shape."""
+    rows = splits.raw(spark, path, None, "}").where("split = 0")
+    first = rows.groupBy("path").agg(F.min("place").alias("first"))
+    text = F.concat(F.substring("value", 1, SNIFFED), F.when(F.length("value") > SNIFFED, "\x00").otherwise("}"))
+    # A text has its brace at least, so that so many hold the characters.
+    near = rows.join(first, "path").where(F.col("place") < F.col("first") + SNIFFED).select("path", F.struct((F.col("place") - F.col("first")).alias("i"), text.alias("t")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "")
+    return near.groupBy("path").agg(F.substring(joined, 1, SHOWN).alias("head"))
+
+
+def inspected(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Of each file: ``input`` (the place of its path), ``path``, ``format``, and ``shape`` (lines or objects; null: not to be seen yet).
+
+    A file is one of lines if its name or its folder's ends in ``.jsonl``, or
+    if one of its lines is an object; application logs are read as objects
+    otherwise, which their lines may be too.
+    """
+    heads = functools.reduce(DataFrame.unionByName, [_heads(spark, p).select(F.lit(i).alias("input"), "path", "head") for i, p in enumerate(paths)])
+    kind = kind_of(F.substring("head", 1, SNIFFED))
+    line = F.exists(F.split("head", "\n"), lambda x: _is_object(F.trim(x)))
+    shape = F.when(F.col("path").rlike(r"\.jsonl(/[^/]*)?$"), "lines").when(kind == "applog", "objects").when(line, "lines")
+    return heads.select("input", "path", kind.alias("format"), shape.alias("shape"))
+
+
+def _with_lines(spark: SparkSession, path: str, files: Sequence[str]) -> set[str]:
+    """Those of the files of which any line is an object."""
+    found = splits.raw(spark, path, files).where(_is_object(F.trim("value"))).groupBy("path").count()
+    return {r.path for r in found.collect()}
 
 
 def sniffed(spark: SparkSession, path: str) -> DataFrame:
-    """``source_file`` and ``format`` of each file of a folder; of each, the first lines are read and nothing more."""
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    return spark.createDataFrame([(f.rsplit("/", 1)[-1], sniff(spark, f)) for f in files], "source_file string, format string")
+    """``source_file`` and ``format`` of each file of a folder that has any text."""
+    return inspected(spark, [path]).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "format")
 
 
 def _unified(df: DataFrame, ts: Column, **columns: Column) -> DataFrame:
@@ -173,25 +181,37 @@ class Normalizers:
         self.known[name] = (schema, normalizer)
 
     def read(self, spark: SparkSession, path: str, kind: str | None = None, source: str | None = None) -> DataFrame:
-        """S3: lines; or, where a path doesn't end in ``.jsonl`` and no line is an object, objects.
+        """S3: all files of a path, each in its own format and shape; an unknown format is read as network events.
 
-        Application logs are always read as objects, which their lines may be
-        too.  Without a ``kind`` the path is sniffed; an unknown format is read
-        as network events.
+        With a ``kind`` the format is not looked for, but the shape is.
         """
-        kind = kind or sniff(spark, path)
-        schema, normalize = self.known.get(kind, self.known["network"])
-        whole = not path.rstrip("/").endswith(".jsonl")
-        found = lines(spark, path, schema, source)
-        if whole and (kind == "applog" or found.isEmpty()):
-            found = objects(spark, path, schema, source)
-        return normalize(found)
+        return self.ingest(spark, {path: kind}, {path: source} if source else None)
 
     def ingest(self, spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None) -> DataFrame:
-        """All inputs, {path: format or None} or paths alone, as one table of unified events; sources: names by path."""
+        """All inputs, {path: format or None} or paths alone, as one table of unified events; sources: names by path.
+
+        All files are looked at in one job; what the driver takes is a row for
+        each file, whose paths Spark's own index holds there anyway.  Files of a
+        path that have one format and shape are one scan.
+        """
         kinds = paths if isinstance(paths, dict) else dict.fromkeys(paths)
-        parts = [self.read(spark, path, kind, (sources or {}).get(path)) for path, kind in kinds.items()]
-        return functools.reduce(DataFrame.unionByName, parts)
+        names = list(kinds)
+        groups: dict[tuple[int, str, str | None], list[str]] = defaultdict(list)
+        for r in inspected(spark, names).collect():
+            groups[r.input, kinds[names[r.input]] or r.format, r.shape].append(r.path)
+        for i, kind, shape in list(groups):
+            if shape is None:
+                files = groups.pop((i, kind, shape))
+                by_line = _with_lines(spark, names[i], files)
+                for f in files:
+                    groups[i, kind, "lines" if f in by_line else "objects"].append(f)
+        alone = {i: sum(g[0] == i for g in groups) == 1 for i in range(len(names))}
+        parts = []
+        for (i, kind, shape), files in sorted(groups.items()):
+            schema, normalize = self.known.get(kind, self.known["network"])
+            scan = lines if shape == "lines" else objects
+            parts.append(normalize(scan(spark, names[i], schema, (sources or {}).get(names[i]), None if alone[i] else files)))
+        return functools.reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], schemas.UNIFIED)])
 
 
 def _events_of(found: object) -> Iterator[tuple[str | None, str | None, dict]]:
@@ -221,8 +241,10 @@ def threat_events(spark: SparkSession, path: str, by_line: bool = False) -> Data
     is one document, or with ``by_line`` each of its lines is one, as
     ``writers.write_groups`` leaves them; texts that are no JSON are skipped.
     """
-    doc = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-    said = spark.read.text(path, wholetext=not by_line).select("value", doc.alias("doc"))
+    if by_line:
+        said = splits.numbered(splits.raw(spark, path)).select("value", F.concat_ws(":", "path", F.lpad(F.col("number").cast("string"), 20, "0")).alias("doc"))
+    else:
+        said = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("doc"))
     names = schemas.THREAT_EVENT.names
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
