@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import STALE_WRITE, TEMP_IDLE, USB_BYTES, USB_DELETES, USB_EXECUTABLES
 from lodewatch.functions.text import extension
-from lodewatch.operators.stateful import latest, sessions
+from lodewatch.operators.scan import last, running, total
+from lodewatch.operators.stateful import first_seen, latest, sessions
 
 ORDER = ("us", "event_id")
 FLOW = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -68,13 +69,11 @@ def usb_anomalies(events: DataFrame, key: str = "session_key", bytes_: int = USB
 
 def coalesced_writes(events: DataFrame, key: str = "file_key", stale_s: int = STALE_WRITE) -> DataFrame:
     """A10: one row for the writes of a key up to its next close, delete or idle time; deleted ones are dropped."""
-    over = Window.partitionBy(key).orderBy(*ORDER)
-    ends = F.col("action").isin("close", "delete").cast("int")
-    ended = events.withColumn("episode", F.coalesce(F.sum(ends).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ended = running(events, [key], {"episode": total(F.col("action").isin("close", "delete"), before=True)})
     closing = ended.where("action in ('close', 'delete')").select(key, "episode", F.col("action").alias("closed_by"))
     parts = sessions(ended.where("action = 'write'"), [key, "episode"], stale_s)
-    last = F.max("session").over(Window.partitionBy(key, "episode"))
-    rows = parts.withColumn("is_last", F.col("session") == last).groupBy(key, "episode", "session", "is_last").agg(F.count("*").alias("write_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    rows = parts.groupBy(key, "episode", "session").agg(F.count("*").alias("write_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    rows = rows.withColumn("is_last", F.col("session") == F.max("session").over(Window.partitionBy(key, "episode")))
     out = rows.join(closing, [key, "episode"], "left")
     how = F.when(~F.col("is_last"), "stale").otherwise(F.coalesce("closed_by", F.lit("stale")))
     return out.select(key, "write_count", "first_us", "last_us", how.alias("flushed_by")).where("flushed_by <> 'delete'")
@@ -121,16 +120,12 @@ def child_counts(events: DataFrame) -> DataFrame:
     ``odd``, if there is one); that start uses it up.  events: ``parent_pid``,
     ``kind`` (start, stop, thread or anything else), ``child_name``.
     """
-    over = Window.partitionBy("parent_pid").orderBy(*ORDER)
-    upto = over.rowsBetween(Window.unboundedPreceding, 0)
-    life = events.withColumn("life", F.sum((F.col("kind") == "stop").cast("int")).over(upto))
-    in_life = Window.partitionBy("parent_pid", "life").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     started = F.col("kind") == "start"
-    first = F.row_number().over(Window.partitionBy("parent_pid", "life", "kind", "child_name").orderBy(*ORDER)) == 1
+    life = running(events, ["parent_pid"], {"life": total(F.col("kind") == "stop")})
     odd = started & F.coalesce("odd", F.lit(False)) if "odd" in events.columns else F.lit(False)
-    out = life.withColumn("fresh", (started & first).cast("int"))
-    count = lambda c: F.sum(c.cast("int")).over(in_life)
-    return out.select("event_id", "parent_pid", "kind", count(started).alias("child_count"), F.sum("fresh").over(in_life).alias("unique_children"), count(F.col("kind") == "thread").alias("thread_count"), odd.alias("new_child"))
+    out = first_seen(life, ["parent_pid", "life", "kind", "child_name"]).withColumn("fresh", (started & F.col("novel")).cast("int"))
+    counts = {"child_count": total(started), "unique_children": total(F.col("fresh")), "thread_count": total(F.col("kind") == "thread")}
+    return running(out, ["parent_pid", "life"], counts).select("event_id", "parent_pid", "kind", *counts, odd.alias("new_child"))
 
 
 def parents(events: DataFrame) -> DataFrame:
@@ -166,8 +161,6 @@ def shortened(groups: DataFrame, processes: int = 2, addresses: int = 6) -> Data
 
 def stop_identity(events: DataFrame) -> DataFrame:
     """Each stop with the path and time of the last start of its process id since the stop before."""
-    over = Window.partitionBy("pid").orderBy(*ORDER)
-    life = events.withColumn("life", F.coalesce(F.sum((F.col("kind") == "stop").cast("int")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = Window.partitionBy("pid", "life").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(F.col("kind") == "start", F.struct("path", "us"))
-    return life.withColumn("s", F.last(start, True).over(before)).where("kind = 'stop'").select("event_id", "pid", F.col("s.path").alias("path"), F.col("s.us").alias("start_us"), (F.col("us") - F.col("s.us")).alias("lifetime_us"))
+    none = F.struct(*(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("path", "us")))
+    left = F.when(F.col("kind") == "start", F.struct("path", "us")).when(F.col("kind") == "stop", none)
+    return running(events, ["pid"], {"s": last(left, before=True)}).where("kind = 'stop'").select("event_id", "pid", F.col("s.path").alias("path"), F.col("s.us").alias("start_us"), (F.col("us") - F.col("s.us")).alias("lifetime_us"))

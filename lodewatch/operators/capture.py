@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewatch.operators.scan import last, running, total
 from lodewatch.operators.stateful import latest
 
 ORDER = ("us", "event_id")
@@ -45,11 +46,10 @@ def resolved_paths(events: DataFrame) -> DataFrame:
 
     events: ``file_key``, ``opcode``, ``path`` (null or empty: unknown).
     """
-    over = Window.partitionBy("file_key").orderBy(*ORDER)
-    forgets = F.col("opcode").isin(14, 18).cast("int")
-    epoch = events.withColumn("epoch_", F.coalesce(F.sum(forgets).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    known = F.last(F.nullif("path", F.lit("")), True).over(Window.partitionBy("file_key", "epoch_").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-    return epoch.withColumn("path", F.coalesce(known, F.lit("unresolved"))).drop("epoch_")
+    own = F.nullif("path", F.lit(""))
+    # What a row leaves behind: nothing under the key, its path, or what was there.
+    left = F.when(F.col("opcode").isin(14, 18), F.struct(F.lit(None).cast("string").alias("path"))).when(own.isNotNull(), F.struct(own.alias("path")))
+    return running(events, ["file_key"], {"left_": last(left, before=True)}).withColumn("path", F.coalesce(own, "left_.path", F.lit("unresolved"))).drop("left_")
 
 
 def device_sessions(events: DataFrame) -> DataFrame:
@@ -58,11 +58,10 @@ def device_sessions(events: DataFrame) -> DataFrame:
     An arrival opens a session unless one is open, a removal closes it.
     events: ``device``, ``kind`` (arrival, removal or anything else).
     """
-    order = Window.partitionBy("device").orderBy(*ORDER)
     mark = F.when(F.col("kind").isin("arrival", "removal"), F.col("kind"))
-    marked = events.withColumns({"last_": F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "before_": F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    marked = running(events, ["device"], {"last_": last(mark), "before_": last(mark, before=True)})
     opens = (F.col("kind") == "arrival") & (F.coalesce("before_", F.lit("removal")) == "removal")
-    at = marked.withColumn("session", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = running(marked, ["device"], {"session": total(opens)})
     return at.where("last_ = 'arrival' or (kind = 'removal' and before_ = 'arrival')").drop("last_", "before_")
 
 

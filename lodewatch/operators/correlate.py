@@ -5,7 +5,9 @@ their first member, and time windows become links to neighbours in order, which
 have the same components as all pairs within the window.  First members are
 found by aggregation and joined back, so that no key's events are sorted or
 held by one task; what needs an order is cut into cells of time, so that a busy
-process is many partitions.  Ids may be of any type with an order.
+process is many partitions.  Ids may be of any type with an order.  Events with a
+column ``host_id`` are linked within one host only, as process ids, names and
+addresses of unlike hosts have nothing in common.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
 from lodewatch.operators.components import components
+from lodewatch.operators.scan import last, running, total
 
 ORDER = ("us", "event_id")
 #: Windows of time in a cell; an event within a window of a cell's border is in two.
@@ -26,6 +29,11 @@ CELL = 64
 RULES = ("pid", "file", "window", "flow", "user", "script")
 
 
+def host_of(events: DataFrame) -> list[str]:
+    """The column that keeps hosts apart, if the events have one."""
+    return [c for c in ("host_id",) if c in events.columns]
+
+
 def specific(process: Column) -> Column:
     return (process != "") & ~F.lower(process).isin(*GENERIC_PROCESSES)
 
@@ -35,6 +43,7 @@ def star(events: DataFrame, keys: dict[str, Column], having: Column | None = Non
 
     having: a condition on the whole key, over ``lo`` and ``hi``, the extremes of the column ``mark``.
     """
+    keys = {c: F.col(c) for c in host_of(events)} | keys
     own = events.select("event_id", "us", *([F.col("mark")] if having is not None else []), *(c.alias(f"k_{n}") for n, c in keys.items()))
     names = [f"k_{n}" for n in keys]
     more = [F.min("mark").alias("lo"), F.max("mark").alias("hi")] if having is not None else []
@@ -51,9 +60,9 @@ def same_pid(events: DataFrame, gap: int | None = None) -> DataFrame:
     known = events.where("pid > 0")
     if gap is None:
         return star(known, {"pid": F.col("pid")})
-    over = Window.partitionBy("pid").orderBy(*ORDER)
-    near = known.select(F.lag("event_id").over(over).alias("a"), F.col("event_id").alias("b"), (F.col("us") - F.lag("us").over(over)).alias("d"))
-    return near.where(F.col("d") <= gap * 1_000_000).select("a", "b")
+    own, keys = F.struct("us", "event_id"), [*host_of(events), "pid"]
+    near = running(known.select(*keys, *ORDER), keys, {"x": last(own, before=True)})
+    return near.where(F.col("us") - F.col("x.us") <= gap * 1_000_000).select(F.col("x.event_id").alias("a"), F.col("event_id").alias("b"))
 
 
 def cross_file(events: DataFrame) -> DataFrame:
@@ -82,12 +91,13 @@ def same_window(events: DataFrame, window: int = TIME_WINDOW) -> DataFrame:
     grow by a row at a time.
     """
     name, w = F.lower("process_name").alias("name"), window * 1_000_000
-    timed = events.where(specific(F.col("process_name")) & F.col("us").isNotNull()).select("event_id", "us", name, F.nullif("src_ip", F.lit("")).alias("ip"))
-    own = Window.partitionBy("name", "cell", "ip").orderBy(*ORDER)
-    ahead = Window.partitionBy("name", "cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy("name", "cell").orderBy(*map(F.desc, ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    host = host_of(events)
+    timed = events.where(specific(F.col("process_name")) & F.col("us").isNotNull()).select("event_id", "us", *host, name, F.nullif("src_ip", F.lit("")).alias("ip"))
+    own = Window.partitionBy(*host, "name", "cell", "ip").orderBy(*ORDER)
+    ahead = Window.partitionBy(*host, "name", "cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*host, "name", "cell").orderBy(*map(F.desc, ORDER)).rowsBetween(Window.unboundedPreceding, -1)
     bare = F.when(F.col("ip").isNull(), F.struct("us", "event_id"))
-    near = _in_cells(timed, w).repartition("name", "cell").select(
+    near = _in_cells(timed, w).repartition(*host, "name", "cell").select(
         "event_id", "us", "ip", "own",
         F.struct(F.lag("us").over(own).alias("us"), F.lag("event_id").over(own).alias("event_id")).alias("same"),
         F.last(bare, True).over(ahead).alias("before"),
@@ -113,17 +123,19 @@ def same_user_process(events: DataFrame) -> DataFrame:
 def nearest_process(events: DataFrame, window: int = SCRIPT_WINDOW, name: str = "powershell") -> DataFrame:
     """Each script event with the nearest start of a process of that name, the earlier one of two as near.
 
-    Both kinds are put in one order, so that the nearest are the last before
-    and the last after in the reverse order.
+    Both kinds are put in one order, so that the nearest are the last start
+    before and the last after in the reverse order; of starts at one time the
+    first counts.
     """
-    w = window * 1_000_000
+    w, host = window * 1_000_000, host_of(events)
     is_start = (F.col("record_type") == "process_start") & F.lower("process_name").contains(name)
-    both = events.where((F.col("record_type") == "script_execution") | is_start).where("us is not null").select("event_id", "us", is_start.alias("start"))
-    start = F.when(F.col("start"), F.struct("us", "event_id"))
-    # Of starts at one time the first in order counts, on both sides.
-    ahead = Window.partitionBy("cell").orderBy("us", F.desc("start"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = Window.partitionBy("cell").orderBy(F.desc("us"), "start", F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    near = _in_cells(both, w).select("event_id", "us", "start", "own", F.last(start, True).over(ahead).alias("before"), F.last(start, True).over(back).alias("after")).where("own and not start")
+    timed = events.where("us is not null")
+    starts = timed.where(is_start).groupBy(*host, "us").agg(F.min("event_id").alias("event_id")).withColumn("script", F.lit(0))
+    scripts = timed.where(F.col("record_type") == "script_execution").select(*host, "us", "event_id", F.lit(1).alias("script"))
+    start = F.when(F.col("script") == 0, F.struct("us", "event_id"))
+    order = ("us", "script", "event_id")
+    near = running(starts.unionByName(scripts), host, {"before": last(start)}, order)
+    near = running(near, host, {"after": last(start, before=True)}, order, reverse=True).where("script = 1")
     option = lambda c: F.when(F.abs(F.col("us") - F.col(f"{c}.us")) <= w, F.struct(F.abs(F.col("us") - F.col(f"{c}.us")).alias("d"), F.col(f"{c}.us").alias("us"), F.col(f"{c}.event_id").alias("event_id")))
     return near.select(F.array_min(F.array_compact(F.array(option("before"), option("after")))).alias("x"), "event_id").where("x is not null").select(F.col("x.event_id").alias("a"), F.col("event_id").alias("b"), F.col("x.d").alias("distance_us"))
 
@@ -189,8 +201,8 @@ def assemble(grouped: DataFrame, group: str = "component") -> DataFrame:
 
 def nested(grouped: DataFrame, group: str = "component", per_part: int = 1000) -> DataFrame:
     """The actions of each group as arrays ``events``, in time order, in parts of at most so many: ``part`` from 0."""
-    over = Window.partitionBy(group).orderBy(F.asc_nulls_first("first_us"), "first_event")
-    placed = collapse(grouped, group).withColumn("part", F.floor((F.row_number().over(over) - 1) / per_part).cast("int"))
+    placed = running(collapse(grouped, group), [group], {"place": total(F.lit(1), before=True)}, ("first_us", "first_event"))
+    placed = placed.withColumn("part", F.floor(F.col("place") / per_part).cast("int"))
     event = F.struct(F.col("first_us"), F.col("first_event"), F.col("last_us"), F.when(F.col("n") > 1, F.col("n")).alias("count"), *SIGNATURE)
     return placed.groupBy(group, "part").agg(F.array_sort(F.collect_list(event)).alias("events"))
 

@@ -6,9 +6,11 @@ import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodewatch.operators.scan import last, running, total
+
 State = tuple[int, int]
 
 
@@ -103,13 +105,11 @@ def latest(events: DataFrame, states: DataFrame, keys: Sequence[str], values: Se
     """
     marked = states.select(*keys, "us", F.struct(*values).alias("state_"), F.lit(0).alias("side_"))
     own = events.withColumns({"state_": F.lit(None).cast(marked.schema["state_"].dataType), "side_": F.lit(1)})
-    over = Window.partitionBy(*keys).orderBy("us", "side_", F.asc_nulls_first("state_")).rowsBetween(Window.unboundedPreceding, 0)
-    found = own.unionByName(marked, allowMissingColumns=True).withColumn("state_", F.last("state_", True).over(over)).where("side_ = 1")
-    return found.select(*events.columns, *(F.col(f"state_.{v}").alias(v) for v in values))
+    found = running(own.unionByName(marked, allowMissingColumns=True), keys, {"found_": last(F.col("state_"))}, ("us", "side_", "state_")).where("side_ = 1")
+    return found.select(*events.columns, *(F.col(f"found_.{v}").alias(v) for v in values))
 
 
 def sessions(events: DataFrame, keys: Sequence[str], gap_s: int) -> DataFrame:
     """Adds ``session``: a number that rises wherever a key is idle for longer than the gap."""
-    over = Window.partitionBy(*keys).orderBy("us", "event_id")
-    far = (F.col("us") - F.lag("us").over(over) > gap_s * 1_000_000).cast("int")
-    return events.withColumn("far_", F.coalesce(far, F.lit(0))).withColumn("session", F.sum("far_").over(over)).drop("far_")
+    timed = running(events, keys, {"before_": last(F.col("us"), before=True)})
+    return running(timed, keys, {"session": total(F.col("us") - F.col("before_") > gap_s * 1_000_000)}).drop("before_")

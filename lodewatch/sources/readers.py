@@ -114,6 +114,8 @@ def sniffed(spark: SparkSession, path: str) -> DataFrame:
 def _unified(df: DataFrame, ts: Column, **columns: Column) -> DataFrame:
     """All columns of the unified event; strings that aren't given are empty, the rest null, flags false."""
     out = {"event_id": F.sha2(F.concat_ws("\x00", "line", "raw"), 256), "source_file": F.col("source_file"), "ts": ts, "us": F.unix_micros(ts)} | columns
+    if "host_id" in df.columns:
+        out["host_id"] = F.col("host_id")
     empty = {"string": "", "boolean": None}
     picked = []
     for f in schemas.UNIFIED.fields:
