@@ -6,12 +6,16 @@ import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewatch.operators import chains, scan
 from lodewatch.operators.scan import last, running, total
+from lodewatch.shared import written
 
 State = tuple[int, int]
+#: Events in a range of a hot key, about.
+RANGE = 1_000_000
 
 
 def step(state: State | None, us: int, reach_us: int) -> tuple[State, bool]:
@@ -28,11 +32,15 @@ def step(state: State | None, us: int, reach_us: int) -> tuple[State, bool]:
 def anchored(events: DataFrame, keys: Sequence[str], reach_us: int) -> DataFrame:
     """Adds ``forwarded``, ``anchor_us`` and ``nth`` (place in the anchor's window) by ``us`` and ``event_id``.
 
-    Anchors follow from the ones before, so each key is folded in order; the
-    fold runs over sorted partitions and holds one state, whatever a key's size.
-    Events without a time are forwarded and change nothing.
+    Anchors follow from the ones before, so each key is folded in order, by one
+    state over sorted partitions.  Where a key has more than ``scan.LARGEST``
+    events, it is cut into ranges of time, which are folded at once: see
+    ``chains``.  Events without a time are forwarded and change nothing.
     """
     own = events.withColumn("key_", F.to_json(F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys))))
+    counted = own.groupBy("key_").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if reach_us > 0 and (counted.most or 0) > scan.LARGEST:
+        return _in_ranges(own, reach_us, counted["all"]).drop("key_")
     sorted_ = own.repartition("key_").sortWithinPartitions("key_", F.asc_nulls_first("us"), "event_id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema.fields), "forwarded boolean, anchor_us long, nth long"])
 
@@ -54,6 +62,23 @@ def anchored(events: DataFrame, keys: Sequence[str], reach_us: int) -> DataFrame
     return sorted_.mapInArrow(fold, schema).drop("key_")
 
 
+def _in_ranges(own: DataFrame, reach_us: int, rows: int) -> DataFrame:
+    """``anchored`` over ranges of keys and times of bounded size, each folded from the anchor that it is come to with."""
+    ranges = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE))
+    dealt = written(own.repartitionByRange(ranges, "key_", F.asc_nulls_first("us"), "event_id").withColumn("range_", F.spark_partition_id().cast("long")), "ranges")
+    timed = dealt.where("us is not null")
+    ends = timed.groupBy("range_").agg(F.min("key_").alias("first_"), F.max("key_").alias("last_"))
+    step_ = Window.orderBy("range_")  # a row for each range
+    ends = ends.select("*", F.lag("range_").over(step_).alias("from_"), (F.lag("last_").over(step_) == F.col("first_")).alias("goes_on"))
+    known = F.broadcast(ends.select("range_", "first_", "last_", "from_", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
+    summaries = timed.select("range_", "key_", "us").join(known, "range_").groupBy("range_").applyInArrow(chains.summary(reach_us), chains.SUMMARY)
+    incoming = chains.resolved(summaries, reach_us)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields), "forwarded boolean, anchor_us long"])
+    folded = timed.groupBy("range_").cogroup(incoming.groupBy("range_")).applyInArrow(chains.folded(reach_us), schema)
+    counted = running(folded, ["key_", "anchor_us"], {"nth": total(F.lit(1))})
+    return counted.unionByName(dealt.where("us is null").drop("range_").withColumns({"forwarded": F.lit(True), "anchor_us": F.lit(None).cast("long"), "nth": F.lit(1).cast("long")}))
+
+
 def dedup_decisions(events: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
     """FORWARD or COMPRESS; elapsed time counts in whole seconds, so a window of w ends before w + 1."""
     return anchored(events, keys, (window + 1) * 1_000_000).withColumn("decision", F.when(F.col("forwarded"), "FORWARD").otherwise("COMPRESS"))

@@ -79,3 +79,16 @@ def test_links_stay_within_a_host(spark):
             assert e.a % 2 == e.b % 2, rule
     assert correlate.assign(events, correlate.links(events)).select("component").distinct().count() == 2
     assert correlate.assign(events.drop("host_id"), correlate.links(events.drop("host_id"))).select("component").distinct().count() == 1
+
+
+@pytest.mark.parametrize("shape", ["one key", "many keys", "bursts"])
+def test_anchors_over_ranges_are_those_of_the_fold(spark, monkeypatch, shape):
+    rng = random.Random(len(shape))
+    time = lambda: rng.choice([0, 1, 50, 51]) * 10_000_000 + rng.randint(0, 900) if shape == "bursts" else rng.randint(0, 900_000_000)
+    rows = [(i, None if rng.random() < 0.01 else time(), None if shape == "many keys" and rng.random() < 0.05 else "k" if shape != "many keys" or rng.random() < 0.6 else rng.choice("abcdef")) for i in range(4000)]
+    events = spark.createDataFrame(rows, "event_id long, us long, key string")
+    for reach in (300, 2_000_000, 61_000_000, 10**12):
+        expected = sorted(map(str, stateful.anchored(events, ["key"], reach).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(scan, "LARGEST", 100), m.setattr(stateful, "RANGE", 150)
+            assert sorted(map(str, stateful.anchored(events, ["key"], reach).collect())) == expected
