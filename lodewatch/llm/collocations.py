@@ -137,13 +137,13 @@ def _read(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, int]:
     data = np.frombuffer(b"\n".join(texts).translate(_LOWER), np.uint8)
     kind = _KIND[data]
     word = kind == 0
-    edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     offsets = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=offsets[1:])
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[word]))
     coded = words.dictionary_encode()
-    piece = np.cumsum(kind == 2)[start] if len(start) else start
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     cut = np.zeros(len(start), np.int64)
     cut[1:] = piece[1:] != piece[:-1]
     ids = np.full(len(start) + int(cut.sum()), -1, np.int32)
