@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.plans import queries as Q
+from lodewatch.plans.endpoint import _TEMP
 from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import unified_of
-from lodewatch.streaming import run, stateful
+from lodewatch.streaming import keyed, run, stateful
 
 #: Delay of the watermark; the tables' events are hours apart.
 DELAY = 3600
@@ -114,3 +115,25 @@ def stream_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run.whole(stateful.temp_stream(events, "path", _reason, 10 * DAY, f"{DELAY} seconds"), "temp")
     up = F.col("state") == "ELEVATED"
     return out.groupBy("path").agg(F.sum(up.cast("int")).cast("int").alias("n_elevated"), F.min(F.when(up, F.col("us"))).alias("up_us"))
+
+
+@query(with_view(f"""SELECT directory, pid, created, deleted, elevated, first_us, last_us, CASE WHEN alive = 0 THEN 'empty' ELSE 'idle' END AS ended_by FROM (
+  SELECT directory, pid, session, bucket, sum(born)::BIGINT AS created, sum(gone)::BIGINT AS deleted, sum(up)::BIGINT AS elevated, min(lo) AS first_us, max(hi) AS last_us, sum(born)::BIGINT - sum(gone)::BIGINT AS alive, session < max(session) OVER (PARTITION BY directory, pid) AS over
+  FROM s5 GROUP BY directory, pid, session, bucket) WHERE alive = 0 OR over OR (last_us + 360000000000) // 1000 * 1000 < {_MARK}""", _TEMP))
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of temporary files, ended by their last deletion or by a timer."""
+    action = F.when(F.col("event_type").isin("purchase", "click"), "delete").otherwise("write")
+    events = _events(spark, sf_dir).withColumns({"directory": F.concat(F.lit("dir"), F.col("k") % 6), "pid": F.col("pid") % 10, "path": F.concat(F.lit("f"), F.col("k") % 3), "action": action, "elevated": F.col("event_type") == "error"})
+    keyed.store(spark)
+    return run.whole(keyed.bucket_stream(events, idle_s=360_000, watermark=f"{DELAY} seconds"), "buckets")
+
+
+@query(with_view(f"""SELECT source_file, src_ip, dst_ip, first_us, last_us, packets, bytes_sent, bytes_recv, last_state, 'idle' AS ended_by FROM (
+  SELECT source_file, src_ip, dst_ip, session, min(us) AS first_us, max(us) AS last_us, count(*) AS packets, coalesce(sum(bytes) FILTER (WHERE direction = 'OUTBOUND'), 0)::BIGINT AS bytes_sent, coalesce(sum(bytes) FILTER (WHERE direction <> 'OUTBOUND'), 0)::BIGINT AS bytes_recv, arg_max(tcp_state, (us, event_id)) AS last_state,
+    session < max(session) OVER (PARTITION BY source_file, src_ip, dst_ip) AS over
+  FROM (SELECT *, sum(far) OVER (PARTITION BY source_file, src_ip, dst_ip ORDER BY us, event_id) AS session FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY source_file, src_ip, dst_ip ORDER BY us, event_id) > {DAY}000000 THEN 1 ELSE 0 END AS far FROM u))
+  GROUP BY source_file, src_ip, dst_ip, session) WHERE over OR (last_us + {DAY}000000) // 1000 * 1000 <= {_MARK}"""))
+def stream_flow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow table for each source, with last states."""
+    keyed.store(spark)
+    return run.whole(keyed.flow_table_stream(_events(spark, sf_dir), "source_file", ("src_ip", "dst_ip"), DAY, watermark=f"{DELAY} seconds"), "flow-table")
