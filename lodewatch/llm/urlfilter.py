@@ -24,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SUPPORT, LEAST_COUNT, CONFIDENCE = 0.002, 5, 0.5
 #: Chance that any rule is kept although URLs tell nothing about labels.
 ALPHA = 0.05
-#: Tokens in a rule, and tokens of a URL (the rarest of those frequent enough) that combinations are made of.
+#: Tokens in a rule, and frequent tokens of a URL beyond which combinations of the others are counted by joins and not by FP-growth.
 MOST_TOKENS, MOST_ITEMS = 3, 12
 
 
@@ -67,15 +67,37 @@ RULES = "tokens array<string>, confidence double, n_bad long, anchor string"
 CLASSES = "token string, rep string"
 
 
+def _with_common(tok: DataFrame, common: DataFrame, least: int, most_tokens: int) -> DataFrame:
+    """All pairs and triples of tokens of which one is common, that ``least`` bad URLs have: ``tokens``, ``confidence``, ``n_bad``.
+
+    tok: ``row``, ``bad``, ``token``.  A combination is made once in each row,
+    from its first common token.  A triple's pairs with that token are
+    frequent themselves, so triples come from these alone.
+    """
+    marked = tok.join(common.withColumn("common", F.lit(True)), "token", "left").select("row", "bad", "token", F.coalesce("common", F.lit(False)).alias("common"))
+    one = marked.where("common").select("row", "bad", F.col("token").alias("a"))
+    pairs = one.join(marked.select("row", F.col("token").alias("b"), F.col("common").alias("common_b")), "row").where("a <> b and (not common_b or a < b)").select("row", "bad", "a", "b")
+    count = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad")).where(F.col("n_bad") >= least)
+    often = written(count(pairs, "a", "b"), "pairs")
+    rule = lambda df, *by: df.select(F.array_sort(F.array(*by)).alias("tokens"), (F.col("n_bad") / F.col("n")).alias("confidence"), "n_bad")
+    if most_tokens < 3:
+        return rule(often, "a", "b")
+    own = written(pairs.join(often.select("a", "b"), ["a", "b"]), "row-pairs")
+    triples = own.join(own.select("row", "a", F.col("b").alias("c")), ["row", "a"]).where("b < c")
+    return written(rule(often, "a", "b").unionByName(rule(count(triples, "a", "b", "c"), "a", "b", "c")), "combinations")
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, alpha: float = ALPHA, most_tokens: int = MOST_TOKENS, most_items: int = MOST_ITEMS) -> tuple[DataFrame, DataFrame]:
     """Token combinations that tell bad URLs (``tokens``, ``confidence``, ``n_bad``, ``anchor``: the rarest token), and the tokens' classes.
 
     labelled: ``row`` (a number of its own), ``tokens`` and ``bad`` (boolean).
     Tokens that the same labelled URLs have can't be told apart, so they are a
-    class, and rules are made of the smallest of each (``rep``).  Spark's
-    FP-growth mines combinations of the support from the rarest ``most_items``
-    frequent tokens of each URL, which bounds their number; rules have
-    ``most_tokens`` at most.  Single tokens of less support are counted exactly
+    class, and rules are made of the smallest of each (``rep``), of
+    ``most_tokens`` (3 or fewer) at most.  Spark's FP-growth mines combinations
+    of the support.  It makes combinations of any size, so tokens that some URL
+    has beyond its rarest ``most_items`` are left out there, and all
+    combinations with one of these are counted by joins, pairs before
+    triples: see ``_with_common``.  No token and no combination is dropped.  Single tokens of less support are counted exactly
     and need LEAST_COUNT bad URLs in any table, however large.  A rule stays if
     more than ``confidence`` of its URLs are bad and that is no chance: under
     the base rate, all candidates counted, no rule at all would stay with
@@ -94,19 +116,23 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     classes = written(counts.join(counts.groupBy("n", "s1", "s2").agg(F.min("token").alias("rep")), ["n", "s1", "s2"]).select("token", "rep", "n", "n_bad"), "classes")
     reps = classes.where("token = rep")
     frequent = reps.where(F.col("n_bad") >= least).select("token", F.col("n").alias("size"))
-    picked = F.slice(F.array_sort(F.collect_list(F.struct("size", "token"))), 1, most_items)
-    baskets = each.join(frequent, "token").groupBy("row", "bad").agg(F.transform(picked, lambda x: x["token"]).alias("items"))
+    # By row: tokens from the rarest on; those beyond the bound are common ones, in all rows.
+    tok = written(each.join(frequent, "token").select("row", "bad", "token", "size"), "tokens")
+    by_size = F.transform(F.array_sort(F.collect_list(F.struct("size", "token"))), lambda x: x["token"])
+    beyond = tok.groupBy("row").agg(by_size.alias("items")).where(F.size("items") > most_items)
+    common = written(beyond.select(F.explode(F.slice("items", F.lit(most_items + 1), F.size("items"))).alias("token")).distinct(), "common")
+    baskets = tok.join(common, "token", "left_anti").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
     baskets = written(baskets.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "baskets")
     n_baskets = baskets.count()
-    mined = none[0].drop("anchor")
-    tests = 0
+    mined = _with_common(tok, common, least, most_tokens) if most_tokens > 1 and not common.isEmpty() else none[0].drop("anchor")
+    tests = mined.count()
     if n_baskets:
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_baskets), minConfidence=confidence).fit(baskets)
         size = F.size("items")
-        tests = model.freqItemsets.where(F.array_contains("items", BAD) & (size > 2) & (size <= most_tokens + 1)).count()
+        tests += model.freqItemsets.where(F.array_contains("items", BAD) & (size > 2) & (size <= most_tokens + 1)).count()
         several = F.size("antecedent").between(2, most_tokens)
         found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1) & several)
-        mined = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n_baskets).cast("long").alias("n_bad"))
+        mined = mined.unionByName(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n_baskets).cast("long").alias("n_bad")))
     single = reps.select(F.array("token").alias("tokens"), (F.col("n_bad") / F.col("n")).alias("confidence"), "n_bad")
     tests += reps.count()
     kept = mined.unionByName(single).where((F.col("confidence") > confidence) & _telling(F.col("confidence"), F.col("n_bad") / F.col("confidence"), base, tests, alpha))

@@ -81,3 +81,19 @@ def test_many_shared_tokens_stay_bounded(spark):
     labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(200)], "page_id long, bad boolean")
     out = U.url_filter(spark.createDataFrame(pages, "page_id long, url string"), labels, ())
     assert {r.page_id for r in out.where("verdict = 'block'").collect()} == {i for i in range(200) if i % 2}
+
+
+@pytest.mark.parametrize(("items", "seed"), [(12, 3), (3, 4), (1, 5)])
+def test_rules_of_tokens_beyond_the_bound(spark, items, seed):
+    """URLs have more frequent tokens than FP-growth takes; rules need common ones, alone, in pairs and in triples."""
+    rng = random.Random(seed)
+    rare = [f"r{chr(97 + i)}" for i in range(14)]
+    rows = []
+    for i in range(500):
+        t = {x for x in rare if rng.random() < 0.4} | {x for x in ("uu", "vv", "ww") if rng.random() < 0.7}
+        told = 0.95 if {"uu", "vv", "ww"} <= t else 0.9 if {"ra", "vv"} <= t else 0.1
+        rows.append((i, sorted("p:" + x for x in t), rng.random() < told))
+    want, _ = brute([(t, b) for _, t, b in rows], 0.02, 0.5)
+    got, _ = U.mined_rules(spark.createDataFrame(rows, "row long, tokens array<string>, bad boolean"), 0.02, 0.5, most_items=items)
+    assert Counter(tuple(r.tokens) for r in got.collect()) == Counter(want)
+    assert ("p:uu", "p:vv", "p:ww") in want
