@@ -3,8 +3,8 @@
 The cost of a piece of a document is estimated as its length plus a share of
 its length squared, for attention within the piece; a sequence costs the sum of
 its pieces.  Documents are cut into whole sequences first.  The remainders of a
-block of documents, longest first, each go to the sequence of the lowest cost
-that has room; one that doesn't fit fills it up and goes on in the next.  A
+block of documents, longest first, each go whole to the sequence of the lowest
+cost that has room for them; only what no sequence has room for is cut.  A
 block opens just the sequences that its remainders fill: whole ones, and for
 the rest of the division one of each power of two in it, which needs no
 padding.
@@ -83,9 +83,12 @@ def _by_rank(spec: dict) -> Encode | None:
 def assign(lengths: Sequence[int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Packs remainders into sequences of ``capacity`` tokens, and smaller ones for what is left.
 
-    lengths: in any order, each below the capacity.  Returns pieces (item,
-    from, length, sequence, offset) and the number of sequences.  Equal lengths
-    go in their given order.  Every sequence is full.
+    lengths: in any order, each below the capacity.  Longest first, each goes
+    whole to the sequence of the lowest cost that has room for it; those that
+    no sequence has room for are cut at last, to fill what is left, the
+    lowest-cost sequences first.  Returns pieces (item, from, length,
+    sequence, offset) and the number of sequences.  Equal lengths go in their
+    given order.  Every sequence is full.
     """
     whole, rest = divmod(sum(lengths), capacity)
     rooms = [capacity] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -94,16 +97,41 @@ def assign(lengths: Sequence[int], capacity: int) -> tuple[list[tuple[int, int,
     heap = [(cost(capacity - room), s) for s, room in enumerate(rooms)]
     heapify(heap)
     used, out = [0] * len(rooms), []
+    # Sequences too full for the present length, by their room: they come back once lengths are down to it.
+    parked: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+
+    def put(item: int, at: int, n: int, c: float, s: int) -> None:
+        out.append((item, at, n, s, used[s]))
+        used[s] += n
+        if used[s] < rooms[s]:
+            heappush(heap, (c + cost(n), s))
+
+    uncut, last = [], capacity
     for item in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        at, left = 0, lengths[item]
-        while left:
+        n = lengths[item]
+        for room in range(n, last):
+            for x in parked[room]:
+                heappush(heap, x)
+            parked[room].clear()
+        last = n
+        while heap:
+            c, s = heappop(heap)
+            if rooms[s] - used[s] >= n:
+                put(item, 0, n, c, s)
+                break
+            parked[rooms[s] - used[s]].append((c, s))
+        else:
+            uncut.append(item)
+    for x in parked:
+        heap += x
+    heapify(heap)
+    for item in uncut:
+        at = 0
+        while at < lengths[item]:
             c, s = heappop(heap)
-            n = min(left, rooms[s] - used[s])
-            out.append((item, at, n, s, used[s]))
-            used[s] += n
-            at, left = at + n, left - n
-            if used[s] < rooms[s]:
-                heappush(heap, (c + cost(n), s))
+            n = min(lengths[item] - at, rooms[s] - used[s])
+            put(item, at, n, c, s)
+            at += n
     return out, len(rooms)
 
 
