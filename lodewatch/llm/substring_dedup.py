@@ -207,6 +207,58 @@ def _marked(rows: pa.Table, names: list[np.ndarray], marks: np.ndarray) -> pa.Ta
     return _messages([(block, bucket, k[m > 0].tobytes(), m[m > 0].tobytes()) for block, bucket, k, m in zip(rows.column("block").to_pylist(), rows.column("bucket").to_pylist(), names, each, strict=True) if m.any()])
 
 
+def _told_apart(names: np.ndarray, size: np.ndarray, text: bytes) -> np.ndarray:
+    """Names by which stretches of unlike words differ: the given ones, but for those whose words aren't those of the first of the name.
+
+    The same rows in any order give the same names to the same words.
+    """
+    if not len(names):
+        return names
+    stop = np.cumsum(size)
+    order = np.argsort(names, kind="stable")
+    head = np.empty(len(names), np.int64)
+    new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    head[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(names))))
+    said = lambda i: text[stop[i] - size[i] : stop[i]]
+    unlike = {int(names[i]) for i, h in enumerate(head.tolist()) if i != h and (size[i] != size[h] or said(i) != said(h))}
+    if not unlike:
+        return names
+    out, taken = names.copy(), set(names.tolist())
+    for name in sorted(unlike):
+        members = np.flatnonzero(names == name).tolist()
+        for words in sorted({said(i) for i in members})[1:]:
+            other = name
+            while other in taken:
+                other = int(mix(np.array([other], np.uint64) + np.uint64(1))[0])
+            taken.add(other)
+            out[[i for i in members if said(i) == words]] = other
+    return out
+
+
+def _reduced(rows: pa.Table) -> pa.Table:
+    """A group's stretches, each once, of the smallest id that has it; equal ones have equal words."""
+    names, size, own, text = _opened(rows)
+    of, stops = _told_apart(np.concatenate(names), size, text), np.cumsum(size)
+    order = np.lexsort((own, of))
+    keep = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
+    cut = lambda i: text[stops[i] - size[i] : stops[i]]
+    return _messages([(str(rows.column("part")[0].as_py()), rows.column("bucket")[0].as_py(), of[keep].tobytes(), _stretch_body(size[keep], map(cut, keep.tolist()), own[keep]))])
+
+
+def _spread(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """To each of a group's blocks what the group was told of its stretches."""
+    names, size, own, text = _opened(rows)
+    if not names:
+        return _messages([])
+    known, marks = (np.concatenate([np.empty(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in answers.column(c))]) for c, kind in (("h", np.uint64), ("x", np.uint16)))
+    values, inverse = np.unique(_told_apart(np.concatenate(names), size, text), return_inverse=True)
+    least, told = np.full(len(values), LAST), np.zeros(len(values), np.uint16)
+    np.minimum.at(least, inverse, own)
+    told[np.searchsorted(values, known)] = marks
+    # Whatever the group's first document with a stretch is told, all windows of the others repeat that one.
+    return _marked(rows, names, np.where(own > least[inverse], np.uint16(0xFFFF), told[inverse]))
+
+
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13, seed: int = 7, carry: Sequence[str] = (), verbatim: bool = False, block_bytes: int = BLOCK_BYTES, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """Removes each word that lies in a window of ``words`` words which also starts in a row of a smaller id.
 
@@ -321,28 +373,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         np.bitwise_or.at(marks, of[again], (1 << nth[again]).astype(np.uint16))
         return _marked(rows, names, marks)
 
-    def reduce_stretches(rows: pa.Table) -> pa.Table:
-        names, size, own, text = _opened(rows)
-        of, stops = np.concatenate(names), np.cumsum(size)
-        order = np.lexsort((own, of))
-        keep = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
-        cut = lambda i: text[stops[i] - size[i] : stops[i]]
-        return _messages([(str(rows.column("part")[0].as_py()), rows.column("bucket")[0].as_py(), of[keep].tobytes(), _stretch_body(size[keep], map(cut, keep.tolist()), own[keep]))])
-
-    def spread_stretches(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        names, _, own, _ = _opened(rows)
-        if not names:
-            return _messages([])
-        known, marks = (np.concatenate([np.empty(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in answers.column(c))]) for c, kind in (("h", np.uint64), ("x", np.uint16)))
-        values, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        least, told = np.full(len(values), LAST), np.zeros(len(values), np.uint16)
-        np.minimum.at(least, inverse, own)
-        told[np.searchsorted(values, known)] = marks
-        # Whatever the group's first document with a stretch is told, all windows of the others repeat that one.
-        return _marked(rows, names, np.where(own > least[inverse], np.uint16(0xFFFF), told[inverse]))
-
     asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(ask_stretches, MESSAGE)
-    earlier = written(answered(asked, answer_stretches, reduce_stretches, spread_stretches).select("block", "h", "x"), "repeats")
+    earlier = written(answered(asked, answer_stretches, _reduced, _spread).select("block", "h", "x"), "repeats")
 
     def remove(state: pa.Table, answers: pa.Table) -> pa.Table:
         found = [np.concatenate([np.empty(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in answers.column(c))]) for c, kind in (("h", np.uint64), ("x", np.uint16))]
