@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ MEMORY = 3_000_000
 CHUNK_CHARS = 1_000_000
 #: Characters from which on a run's sums are made one by one and not beside other runs'.
 LONG_RUN = 256
+#: Bits of a share, and all of it; an edge of less than half of the smallest share is never drawn.
+SHARE_BITS = 32
+ONE = 1 << SHARE_BITS
 #: Runs that are drawn for one by one once they alone are left.
 FEW_RUNS = 8
 #: From here on, units stand for single bytes.
@@ -46,9 +50,9 @@ BYTE_UNIT = 0x110000
 MARK = ord(SPACE)
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to 1 from hashes."""
-    return (mix(x) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+def _draws(x: np.ndarray) -> np.ndarray:
+    """Whole numbers below ``ONE`` from hashes."""
+    return (mix(x) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
 
 
 def _point(c: np.ndarray) -> np.ndarray:
@@ -57,7 +61,11 @@ def _point(c: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Tables of edges by node: ``bound`` (node + share of the edges up to this one), ``back`` (nodes it goes back) and ``piece``."""
+    """Tables of edges by node: ``bound`` (node * ``ONE`` + share of the edges up to this one), ``back`` (nodes it goes back) and ``piece``.
+
+    Shares are whole numbers of which ``ONE`` is all, each rounded by itself
+    and added exactly, so they are the same whatever other runs are there.
+    """
 
     def __init__(self, model: PieceModel, alpha: float) -> None:
         self.model = model
@@ -81,7 +89,7 @@ class Sampler:
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.run_node, self.run_units = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.bound, self.back, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.bound, self.back, self.piece = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.n_nodes = self.n_edges = 0
 
     def units(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,13 +141,13 @@ class Sampler:
         low = np.repeat(start, sizes)
         end, length, weight, piece = self.lattice(unit, low + np.repeat(sizes, sizes))
         long = np.repeat(sizes > LONG_RUN, sizes)[end]
-        share = np.empty(len(end))
+        share = np.empty(len(end), np.int64)
         share[~long] = self._together(end[~long], length[~long], weight[~long], low, len(unit))
         for r in np.flatnonzero(sizes > LONG_RUN):
             i, j = np.searchsorted(end, [start[r], start[r] + sizes[r]])
             share[i:j] = self._alone(end[i:j] - start[r], length[i:j], weight[i:j])
         have, nodes, edges = len(self.known), self.n_nodes, self.n_edges
-        for name, size, values in (("run_node", have, start + nodes), ("run_units", have, sizes), ("bound", edges, share + (end + nodes)), ("back", edges, length), ("piece", edges, piece)):
+        for name, size, values in (("run_node", have, start + nodes), ("run_units", have, sizes), ("bound", edges, share + ((end + nodes) << SHARE_BITS)), ("back", edges, length), ("piece", edges, piece)):
             to = getattr(self, name)
             if size + len(values) > len(to):
                 to = np.resize(to, max(2 * len(to), size + len(values)))
@@ -154,7 +162,7 @@ class Sampler:
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(int(place.max()) + 2 if len(place) else 1))
         sums = np.ones(n + 1)  # the last one stands for the node before each run
-        share = np.empty(len(end))
+        share = np.empty(len(end), np.int64)
         for j in range(len(cuts) - 1):
             e = order[cuts[j] : cuts[j + 1]]
             node = end[e]
@@ -165,11 +173,11 @@ class Sampler:
             ends = node[first]
             sums[ends] = total
             count = np.diff(np.append(first, len(e)))
-            part /= np.repeat(total, count)
-            upto = np.cumsum(part)
-            upto -= np.repeat(upto[first] - part[first], count)
-            upto[np.append(first[1:], len(e)) - 1] = 1.0
-            share[e] = np.minimum(upto, 1.0)
+            whole = np.rint(part / np.repeat(total, count) * ONE).astype(np.int64)
+            upto = np.cumsum(whole)
+            upto -= np.repeat(upto[first] - whole[first], count)
+            upto[np.append(first[1:], len(e)) - 1] = ONE
+            share[e] = np.minimum(upto, ONE)
             if j >= 64:  # only ratios matter: the open sums of longer runs are scaled alike
                 for back in range(min(j + 1, self.model.longest) - 1, -1, -1):
                     sums[ends - back] /= total
@@ -182,27 +190,25 @@ class Sampler:
         cuts = np.searchsorted(end, np.arange(int(end[-1]) + 2))
         sizes, weights = length.tolist(), weight.tolist()
         for node in range(len(cuts) - 1):
-            total, upto = 0.0, []
-            for e in range(cuts[node], cuts[node + 1]):
-                total += sums[node + 1 - sizes[e] - made] * weights[e]
-                upto.append(total)
-            share += [u / total for u in upto[:-1]]
-            share.append(1.0)
+            parts = [sums[node + 1 - sizes[e] - made] * weights[e] for e in range(cuts[node], cuts[node + 1])]
+            total = sum(parts)
+            share += accumulate(round(x / total * ONE) for x in parts[:-1])
+            share.append(ONE)
             sums.append(total)
             if len(sums) > 4096 or not 1e-100 < total < 1e100:
                 made += max(len(sums) - reach, 0)
                 sums = [s / total for s in sums[-reach:]]
-        return np.minimum(np.array(share), 1.0)
+        return np.minimum(np.array(share, np.int64), ONE)
 
     def _walk(self, low: int, node: int, key: np.uint64, t: int) -> list[int]:
         """The pieces of one long run from a node back to its first, by the draws from step ``t`` on."""
         bound = self.bound[: self.n_edges]
-        i, j = np.searchsorted(bound, [low, node], side="right")
+        i, j = np.searchsorted(bound, [low << SHARE_BITS, node << SHARE_BITS], side="right")
         at, back, piece = bound[i:j].tolist(), self.back[i:j].tolist(), self.piece[i:j].tolist()
         out: list[int] = []
         while node > low:
-            for u in _uniform(key + np.arange(t, t + 4096, dtype=np.uint64)).tolist():
-                edge = min(bisect_right(at, node - 1 + u), len(at) - 1)
+            for u in _draws(key + np.arange(t, t + 4096, dtype=np.uint64)).tolist():
+                edge = min(bisect_right(at, ((node - 1) << SHARE_BITS) + u), len(at) - 1)
                 out.append(piece[edge])
                 node -= back[edge]
                 if node <= low:
@@ -235,8 +241,8 @@ class Sampler:
         active = np.arange(len(flat))
         t = 0
         while len(active) > FEW_RUNS or (len(active) and t < LONG_RUN):
-            u = _uniform(key[active] + np.uint64(t))
-            edge = np.minimum(np.searchsorted(bound, node[active] - 1 + u, side="right"), self.n_edges - 1)
+            u = _draws(key[active] + np.uint64(t))
+            edge = np.minimum(np.searchsorted(bound, ((node[active] - 1) << SHARE_BITS) + u, side="right"), self.n_edges - 1)
             drawn.append((active, piece[edge]))
             node[active] -= back[edge]
             steps[active] += 1
