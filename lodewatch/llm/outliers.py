@@ -23,6 +23,7 @@ distance stay together.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -39,9 +40,9 @@ P = len(NAMES)
 #: Least standard deviation of each statistic: a group in which one is nearly constant rejects nothing nearer.  Near the
 #: spread of clean texts, and with REJECT such that each statistic can reject a text on its own.
 FLOORS = (0.06, 0.3, 0.4, 0.55, 0.3, 0.02)
-#: Share of a group that a step keeps; steps of every start, most steps of the best one, fall of the logarithm of a
-#: determinant that counts as one; rows that the floors count as in a covariance.
-COVERAGE, FIRST_STEPS, MOST_STEPS, FALL, PRIOR_ROWS = 0.75, 2, 10, 1e-3, 20.0
+#: Share of a group that a step keeps; steps of every start, fall of the logarithm of a determinant that counts as one;
+#: rows that the floors count as in a covariance.
+COVERAGE, FIRST_STEPS, FALL, PRIOR_ROWS = 0.75, 2, 1e-3, 20.0
 #: Chance of a Gaussian row to lie outside, when reweighting and when rejecting.
 REWEIGHT, REJECT = 0.025, 1e-4
 #: Bins per unit of a statistic, and per doubling of a squared distance.
@@ -228,18 +229,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(FIRST_STEPS):
         found = written(_refined(rows, found, small, True), "estimate")
     best = found.groupBy("g").agg(F.min_by(F.struct("start", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e"))
-    found = written(best.select("g", "e.*"), "estimate")
-    for _ in range(MOST_STEPS):
-        later = _refined(rows, found, small, True).select("g", F.struct("start", "centre", "inverse", "logdet").alias("new"))
+    # A group whose determinant falls no more keeps its estimate, and only the others' rows go into another step.
+    # Each fall is of FALL at least, and the floors bound the determinant from below, so there is a last one.
+    active, done = written(best.select("g", "e.*"), "estimate"), []
+    while True:
+        later = _refined(rows, active, small, True).select("g", F.struct("start", "centre", "inverse", "logdet").alias("new"))
         falls = F.col("new.logdet") < F.col("logdet") - FALL
-        # A group whose determinant falls no more keeps its estimate.
-        now = found.join(later, "g", "left").withColumn("falls", F.coalesce(falls, F.lit(False)))
+        now = active.join(later, "g", "left").withColumn("falls", F.coalesce(falls, F.lit(False)))
         kept = [F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("start", "centre", "inverse", "logdet")]
         stepped = written(now.select("g", *kept, "falls"), "estimate")
-        found = stepped.drop("falls")
-        if stepped.where("falls").isEmpty():
-            break
-    return found
+        done.append(stepped.where("not falls").drop("falls"))
+        active = stepped.where("falls").drop("falls")
+        if active.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -259,7 +261,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = text_counts(texts, variety=True)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = written(counted.withColumn("base_failed", failed), "counts").withColumns(statistics())
-    rows = judged.where(~F.col("base_failed")).select("g", *NAMES)
+    # The statistics are made once, and each step reads six numbers a row.
+    rows = written(judged.where(~F.col("base_failed")).select("g", *NAMES), "statistics")
     found = estimates(rows)
     small = _small(found)
     # A group none of whose rows is near its centre keeps the estimate as it is.
