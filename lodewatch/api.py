@@ -26,6 +26,10 @@ class Correlation:
         writers.write_groups(self.groups, f"{path}/groups", correlate.nested(self.events))
         writers.meta(self.events, self.groups).write.mode("overwrite").json(f"{path}/meta")
 
+    def write_document(self, path: str) -> None:
+        """K1: one JSON document of ``meta`` and all groups with their events, over the files of a folder."""
+        writers.write_document(self.groups, path, writers.meta(self.events, self.groups), correlate.nested(self.events))
+
 
 def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None) -> Correlation:
     """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups.
@@ -52,19 +56,26 @@ class Analysis:
         writers.write_threats(path, self.summary, self.results, self.nodes, self.edges)
 
 
-def analyze(events: DataFrame, reputation_ip: DataFrame, reputation: DataFrame, quota: int | None = None) -> Analysis:
-    """What the analysis service answers, for events as they are or for ``readers.threat_events``; with a quota, for its first rows."""
+def analyze(events: DataFrame, reputation_ip: threat.Source, reputation: threat.Source, quota: int | None = None) -> Analysis:
+    """What the analysis service answers, for events as they are or for ``readers.threat_events``; with a quota, for its first rows.
+
+    Reputations are tables, or functions that answer a table of what is asked;
+    with a quota, these are asked for the targets of its rows alone.
+    """
     order = ("us", "event_id") if {"us", "event_id"} <= set(events.columns) else ("doc", "pos")
     found = threat.targets(events, order)
     if order[0] != "us":
         found = found.withColumns({"us": F.unix_micros(F.try_to_timestamp("first_ts")), "event_id": F.concat_ws(":", *order)})
+    if quota is not None:
+        found = written(threat.capped(found, quota), "capped")
+    reputation_ip, reputation = threat.answered(reputation_ip, threat.asked_addresses(found), "addresses"), threat.answered(reputation, threat.asked_targets(found), "targets-asked")
     results = threat.scored(found, reputation_ip, reputation)
     if quota is not None:
-        results = written(threat.capped(results, quota), "results")
+        results = written(results, "results")
     return Analysis(results, threat.summary(results), threat.graph_nodes(results), threat.graph_edges(results))
 
 
-def analyze_file(spark: SparkSession, path: str, reputation_ip: DataFrame, reputation: DataFrame, quota: int | None = threat.REQUEST_QUOTA) -> Analysis:
+def analyze_file(spark: SparkSession, path: str, reputation_ip: threat.Source, reputation: threat.Source, quota: int | None = threat.REQUEST_QUOTA) -> Analysis:
     """An uploaded document, which is a ``.json`` file."""
     if not path.endswith(".json"):
         raise ValueError("only .json files are accepted")

@@ -90,10 +90,11 @@ def verdicts(groups: DataFrame, model: Callable[[DataFrame], Column] | None = No
     """Risk and verdict of groups (``component``, ``processes``, ``risk_level``).
 
     A group with the shell is High.  ``model`` gives a boolean column, false
-    without one; where a choice is left, a hash of the group makes it.
+    without one, such as ``risk.Model.threat``; where a choice is left, a hash
+    of the group makes it.
     """
     risk = F.when(F.exists("processes", lambda p: F.lower(p).contains("powershell.exe")), "High").otherwise(F.coalesce("risk_level", F.lit("Low")))
-    bucket = F.pmod(F.xxhash64("component"), F.lit(12))
+    bucket = F.conv(F.substring(F.md5(F.col("component").cast("string")), 1, 8), 16, 10).cast("long") % 12
     out = groups.withColumn("risk", risk)
     threat = model(out) if model else F.lit(False)
     # Fixed values. Labels of the levels between.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +70,39 @@ def drawn(rows: DataFrame, n: int = RUN_QUOTA, seed: int = 1, key: str = "event_
     return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), key).limit(n)
 
 
-def ip_answers(targets: DataFrame, reputation_ip: DataFrame) -> DataFrame:
+#: A table of answers, or what makes one from the table of what is asked, such as a client of a service.
+Source = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def answered(source: Source, asked: DataFrame, name: str) -> DataFrame:
+    """The source's answers; those of a function are written, so that it is asked once."""
+    return written(source(asked), name) if callable(source) else source
+
+
+def asked_addresses(targets: DataFrame) -> DataFrame:
+    return targets.where("ip is not null").select("ip").distinct()
+
+
+def asked_targets(targets: DataFrame) -> DataFrame:
+    return targets.select(F.explode(F.array("ip", "domain")).alias("target")).where("target is not null").distinct()
+
+
+def _by_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """A left join in which rows without the key are dealt out evenly and find nothing."""
+    own = rows.withColumn("key_", F.coalesce(key, F.concat(F.lit("\x00"), F.pmod(F.monotonically_increasing_id(), F.lit(997)))))
+    return own.join(table.withColumnRenamed(key, "key_"), "key_", "left").drop("key_")
+
+
+def ip_answers(targets: DataFrame, reputation_ip: Source) -> DataFrame:
     """An answer for each distinct ``ip``: its reputation, or ``skipped`` (not public) or ``error`` (nothing known).
 
-    reputation_ip: ``ip``, ``abuse_score`` and, if it has one, ``error``; it
-    stands for the service and its cache, and is looked up once for each address.
+    reputation_ip: ``ip``, ``abuse_score`` and, if it has one, ``error``; a
+    table that stands for the service and its cache, or a function that is
+    given the distinct addresses.
     """
+    asked = asked_addresses(targets)
+    reputation_ip = answered(reputation_ip, asked, "addresses")
     known = reputation_ip if "error" in reputation_ip.columns else reputation_ip.withColumn("error", F.lit(None).cast("string"))
-    asked = targets.where("ip is not null").select("ip").distinct()
     out = asked.join(known.withColumn("known_", F.lit(True)), "ip", "left")
     skipped = ~is_public_ipv4(F.col("ip"))
     error = F.when(skipped, F.lit(None)).when(F.col("known_").isNull(), "no answer").otherwise(F.col("error"))
@@ -86,10 +111,14 @@ def ip_answers(targets: DataFrame, reputation_ip: DataFrame) -> DataFrame:
     return out.select("ip", skipped.alias("skipped"), error.alias("error"), score.alias("abuse_score"), (score > ABUSE_LIMIT).alias("is_malicious"))
 
 
-def target_answers(targets: DataFrame, reputation: DataFrame) -> DataFrame:
-    """An answer for each distinct address and domain, as ``target``; unknown ones have an ``error`` and count 0."""
+def target_answers(targets: DataFrame, reputation: Source) -> DataFrame:
+    """An answer for each distinct address and domain, as ``target``; unknown ones have an ``error`` and count 0.
+
+    reputation: as in ``ip_answers``; a function is given the distinct targets.
+    """
+    asked = asked_targets(targets)
+    reputation = answered(reputation, asked, "targets-asked")
     known = reputation if "error" in reputation.columns else reputation.withColumn("error", F.lit(None).cast("string"))
-    asked = targets.select(F.explode(F.array("ip", "domain")).alias("target")).where("target is not null").distinct()
     out = asked.join(known.withColumn("known_", F.lit(True)), "target", "left")
     error = F.when(F.col("target") == "", "empty target").when(F.col("known_").isNull(), "no answer").otherwise(F.col("error"))
     count = lambda c: F.when(error.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("int")
@@ -106,7 +135,7 @@ def scored(rows: DataFrame, reputation_ip: DataFrame, reputation: DataFrame) ->
     usable = lambda df: df.where("error is null") if "error" in df.columns else df
     votes = usable(reputation)
     of = lambda c, p: votes.select(F.col("target").alias(c), F.col("malicious_count").alias(f"{p}_mal"), F.col("suspicious_count").alias(f"{p}_sus"))
-    out = rows.join(usable(reputation_ip).select("ip", "abuse_score"), "ip", "left").join(of("ip", "ip"), "ip", "left").join(of("domain", "dom"), "domain", "left")
+    out = _by_key(_by_key(_by_key(rows, usable(reputation_ip).select("ip", "abuse_score"), "ip"), of("ip", "ip"), "ip"), of("domain", "dom"), "domain")
     both = lambda c: F.coalesce(F.col(f"ip_{c}"), F.lit(0)) + F.coalesce(F.col(f"dom_{c}"), F.lit(0))
     out = out.withColumn("risk_score", threat_score(F.col("abuse_score"), both("mal"), both("sus")))
     return out.withColumns({"severity": threat_label(F.col("risk_score")), "is_suspicious": F.col("risk_score") > 20}).drop("ip_mal", "ip_sus", "dom_mal", "dom_sus")

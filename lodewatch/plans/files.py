@@ -173,6 +173,27 @@ def group_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.withColumn("input_files", F.array_join("input_files", ","))
 
 
+@query(_ALL + """SELECT corr_type, processes, dest_ips, sum(total_occurrences)::BIGINT AS total_occurrences, (SELECT count(*) FROM u)::BIGINT AS all_events FROM assembled GROUP BY corr_type, processes, dest_ips, protocols, source_files""")
+def whole_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the one JSON document, read back by its lines: meta opens it, then come all groups, between commas."""
+    path = table_path(spark, "whole")
+    _correlated(spark, sf_dir).write_document(path)
+    lines = spark.read.text(path)
+    meta = lines.where(F.col("value").startswith('{"meta":')).select(F.from_json(F.concat("value", F.lit("]}")), "meta struct<total_events: long>")["meta"]["total_events"].alias("all_events"))
+    group = F.from_json(F.regexp_replace("value", "^,", ""), "corr_id string, corr_type string, processes array<string>, dest_ips array<string>, total_occurrences long, part int").alias("x")
+    rows = lines.where(~F.col("value").startswith('{"meta":') & (F.col("value") != "]}")).select(group).select("x.*").where("part = 0")
+    return rows.select("corr_type", F.array_join("processes", ",").alias("processes"), F.array_join("dest_ips", ",").alias("dest_ips"), "total_occurrences").crossJoin(meta)
+
+
+@query("SELECT before // 20000 AS file, event_id FROM (SELECT event_id, CAST(sum(16 + length(event_id::VARCHAR)) OVER (ORDER BY event_id) - 16 - length(event_id::VARCHAR) AS BIGINT) AS before FROM events)")
+def rotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: files of twenty thousand bytes."""
+    path = table_path(spark, "rotated")
+    writers.write_rotated(Q.table(spark, sf_dir, "events").select("event_id"), path, 20_000, ["event_id"])
+    found = spark.read.schema("event_id long, file long").json(path)
+    return found.select("file", "event_id")
+
+
 _EVENTS = "events_of AS (SELECT component, record_type, process_name, src_ip, dst_ip, dst_port, protocol, min(us) AS us FROM g GROUP BY component, record_type, source, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction, script_content)"
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodewatch.functions import classify, net, text
 from lodewatch.functions import tables as T
-from lodewatch.operators import aggregates, capture, correlate, enrich, stateful, threat
-from lodewatch.plans.registry import query, with_view
+from lodewatch.operators import aggregates, capture, correlate, enrich, observed, risk, stateful, threat
+from lodewatch.plans.registry import ORACLE, query, with_view
 from lodewatch.plans.views import table, unified
+from lodewatch.shared import written
 
 #: Events are hours apart in these tables, so windows are an hour here.
 HOUR = 3600
@@ -476,6 +477,39 @@ def pipeline_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.count("*").alias("total"), F.count_if("forwarded").alias("forwarded"), F.count_if(~F.col("forwarded")).alias("compressed")).withColumn("ratio", F.expr("compressed * 100 div total"))
 
 
+@query(ORACLE["pipeline_counters"])
+def observed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters, seen while the decisions are written."""
+    made = stateful.dedup_decisions(unified(spark, sf_dir).select("event_id", "pid", "us"), ["pid"], 86400)
+    rows, seen = observed.counted(made, observed.decision_counts())
+    written(rows, "decisions")
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("total", "forwarded", "compressed"))], "total long, forwarded long, compressed long").withColumn("ratio", F.expr("compressed * 100 div total"))
+
+
+_LEVELS = "h AS (SELECT *, (('0x' || substr(md5(component::VARCHAR), 1, 8))::BIGINT) % 12 AS b, contains(lower(processes), 'powershell.exe') AS shell, corr_type = 'network_flow' AS flow FROM assembled)"
+
+
+@query("WITH RECURSIVE " + with_view("""SELECT component, CASE WHEN shell THEN 'High' WHEN flow THEN 'Medium' ELSE 'Low' END AS risk,
+  CASE WHEN shell OR total_occurrences >= 5 THEN 'CRITICAL' WHEN flow THEN list_extract(['Medium', 'Above Medium', 'High'], (b % 3 + 1)::INT) ELSE list_extract(['Low', 'Low', 'Medium', 'Above Medium'], (b % 4 + 1)::INT) END AS threat_level FROM h""", f"{_ASSEMBLED}, {_LEVELS}")[5:])
+def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels of groups' verdicts; the model's place is taken by a count."""
+    groups = correlate.assemble(_grouped(spark, sf_dir)).withColumn("risk_level", F.when(F.col("corr_type") == "network_flow", "Medium"))
+    return enrich.verdicts(groups, lambda g: g["total_occurrences"] >= 5).select("component", "risk", "threat_level")
+
+
+@query("WITH RECURSIVE " + with_view("""SELECT component, round(ln(1 + total_occurrences), 6) AS log_occurrences, round(ln(1 + unique_events), 6) AS log_actions, round(ln(1 + (end_us - start_us) / 1000000.0), 6) AS log_seconds,
+  CASE WHEN processes = '' THEN 0 ELSE len(string_split(processes, ',')) END::DOUBLE AS n_processes, CASE WHEN dest_ips = '' THEN 0 ELSE len(string_split(dest_ips, ',')) END::DOUBLE AS n_addresses, s::INT::DOUBLE AS has_script, true AS same, true AS sure FROM assembled""", _ASSEMBLED)[5:])
+def group_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of groups, and a model trained on them: its score by the pipeline and by plain arithmetic are one, and tell script groups apart."""
+    groups = written(correlate.assemble(_grouped(spark, sf_dir)), "groups")
+    model = risk.Model.trained(groups.withColumn("bad", F.array_contains("record_types", "script_execution")), "bad")
+    out = model.scored(groups)
+    featured = risk.with_features(out)
+    number = lambda c: F.round(c, 6).alias(c)
+    sure = (F.col("risk_score") > 0.5) == (F.col("has_script") > 0)
+    return featured.select("component", *map(number, ("log_occurrences", "log_actions", "log_seconds")), "n_processes", "n_addresses", "has_script", (F.abs(F.col("risk_score") - model.score()) < 1e-9).alias("same"), sure.alias("sure"))
+
+
 @query(with_view("SELECT event_id, process_name, dst_ip FROM u WHERE record_type = 'network_connect' AND contains(lower(concat_ws(' ', event_id, record_type, process_name, dst_ip, user_name)), 'user1')"))
 def ui_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lower(F.concat_ws(" ", "event_id", "record_type", "process_name", "dst_ip", "user_name"))

@@ -145,10 +145,10 @@ def normalize_network(df: DataFrame) -> DataFrame:
                     **_same("pid", "process_name", "canonical_path", "user_name", "user_sid", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "direction", "ipv6"))
 
 
-def normalize_applog(df: DataFrame) -> DataFrame:
-    """Script events of the shell; other sources keep their own name."""
-    shell = F.col("source").startswith("PowerShell")
-    return _unified(df, parse_ts(F.col("timestamp")), record_type=F.when(shell, "script_execution").otherwise(F.lower("source")), process_name=F.when(shell, "powershell.exe"), **_same("source", "script_content", "pattern_hits", "credential_access", "amsi_bypass", "process_injection"))
+def normalize_applog(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Script events of the shell; other sources keep their own name, unless ``strict``, which takes every row for one of the shell's."""
+    shell = F.lit(True) if strict else F.col("source").startswith("PowerShell")
+    return _unified(df, parse_ts(F.col("timestamp")), record_type=F.when(shell, "script_execution").otherwise(F.lower("source")), process_name=F.when(shell, "powershell.exe"), source=F.coalesce("source", F.lit("PowerShell")) if strict else F.col("source"), **_same("script_content", "pattern_hits", "credential_access", "amsi_bypass", "process_injection"))
 
 
 def normalize_process(df: DataFrame) -> DataFrame:
@@ -179,6 +179,13 @@ class Normalizers:
         }
     )
 
+    @classmethod
+    def strict(cls) -> Normalizers:
+        """Application logs of any source are script executions by the shell."""
+        out = cls()
+        out.register("applog", schemas.APPLOG, functools.partial(normalize_applog, strict=True))
+        return out
+
     def register(self, name: str, schema: StructType, normalizer: Callable[[DataFrame], DataFrame]) -> None:
         self.known[name] = (schema, normalizer)
 

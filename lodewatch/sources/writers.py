@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
+from lodewatch.operators.scan import running, total
+from lodewatch.shared import written
 
 # Fixed values. Names that script log rows carry.
 SCRIPT_ENDPOINT, SCRIPT_SOURCE = "amsi_monitor", "AMSI-Buffer"
@@ -66,6 +69,39 @@ def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None,
     out.write.mode("overwrite").partitionBy("corr_type").json(path)
 
 
+def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: DataFrame | None = None, group: str = "component") -> None:
+    """K1: one JSON document ``{meta, correlated_groups}`` over the files of a folder, in the order of their names.
+
+    The first line opens the document, each group (or part of one) is a line,
+    the last line closes it; files are dealt by ranges in that order and
+    committed by Spark, so a task that fails and runs again leaves nothing
+    twice, and the document has any size.
+    """
+    out = groups if nested is None else groups.join(nested, group)
+    place = ["order_", group] if nested is None else ["order_", group, "part"]
+    key = F.struct(*place[1:])
+    rows = written(out.select(F.lit(1).alias("order_"), *place[1:], F.to_json(F.struct(*out.columns)).alias("value")), "document")
+    first = rows.agg(F.min(key).alias("first_"))
+    lines = rows.join(F.broadcast(first)).select(*place, F.concat(F.when(key == F.col("first_"), "").otherwise(","), "value").alias("value"))
+    ends = meta_row.select(F.explode(F.array(F.struct(F.lit(0).alias("order_"), F.concat(F.lit('{"meta":'), F.to_json(F.struct(*meta_row.columns)), F.lit(',"correlated_groups":[')).alias("value")), F.struct(F.lit(2).alias("order_"), F.lit("]}").alias("value")))).alias("x")).select("x.*")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = lines.unionByName(ends, allowMissingColumns=True).repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    whole.select("value").write.mode("overwrite").text(path)
+
+
+def write_rotated(df: DataFrame, path: str, most_bytes: int, order: Sequence[str], mode: str = "overwrite") -> None:
+    """K2: JSON lines in the order of the columns, rotated by bytes: ``file=0`` and on, with one file in each.
+
+    A file ends with the line that reaches the next multiple of the limit, so
+    it is longer than the limit by less than a line.  Which file a line goes to
+    follows from a running sum, so files are written by as many tasks.
+    """
+    lines = df.select(*order, sparse(df).alias("value"))
+    placed = running(lines, [], {"before_": total(F.octet_length("value") + 1, before=True)}, order)
+    numbered = placed.withColumn("file", F.floor(F.col("before_") / most_bytes))
+    numbered.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.mode(mode).partitionBy("file").text(path)
+
+
 def meta(events: DataFrame, groups: DataFrame, version: str = "1") -> DataFrame:
     """K1: the one row that a correlation document begins with."""
     files = events.groupBy("source_file").agg(F.count("*").alias("n"))
