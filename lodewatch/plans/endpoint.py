@@ -10,7 +10,7 @@ from lodewatch.functions import tables as T
 from lodewatch.functions.decode import decoded
 from lodewatch.operators import aggregates, capture, enrich, stateful, watchlist
 from lodewatch.plans.queries import HOUR, _files, _usb
-from lodewatch.plans.registry import query, with_view
+from lodewatch.plans.registry import ORACLE, query, with_view
 from lodewatch.plans.views import table, unified
 from lodewatch.shared import table_path, written
 from lodewatch.sources import seen, writers
@@ -306,6 +306,19 @@ def kept_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.unseen(events, ["process_key"], seen.load(spark, path, ["process_key"])).select("event_id", "process_key", "relation_key", "novel")
 
 
+@query(ORACLE["kept_novelty"])
+def filtered_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same behind a filter of bits, so that only parts of what is kept are read."""
+    events = unified(spark, sf_dir).select("event_id", "us", F.concat(F.lit("c:/"), "process_name", F.col("pid") % 40).alias("path"), F.concat(F.lit("c:/"), _k() % 9).alias("parent"))
+    process, relation = text.novelty_keys(F.col("path"), F.col("parent"))
+    events = events.withColumns({"process_key": process, "relation_key": relation})
+    half = events.agg(F.call_function("div", F.max("event_id"), F.lit(2))).first()[0]
+    kept = seen.Filtered(spark, table_path(spark, "filtered"), ("process_key",))
+    early = events.where(F.col("event_id") < half)
+    kept.keep(stateful.unseen(early, ["process_key"], kept.seen(early)))
+    return stateful.unseen(events, ["process_key"], kept.seen(events)).select("event_id", "process_key", "relation_key", "novel")
+
+
 @query(with_view("SELECT count(*) FILTER (WHERE k % 4 <> 3) AS packets_validated, count(*) AS packets_received, count(*) FILTER (WHERE k % 4 = 3) AS packets_dropped, count(*) FILTER (WHERE k % 5 <> 0) AS events_generated, count(*) FILTER (WHERE k % 5 = 0) AS noise_suppressed, (SELECT count(DISTINCT (src_ip, dst_ip)) FROM u) AS flows_created, (SELECT count(*) FROM (SELECT 1 FROM u GROUP BY src_ip, dst_ip HAVING bool_or(tcp_state = 'CLOSED'))) AS flows_expired FROM u"))
 def packet_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15"""

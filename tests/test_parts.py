@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodewatch import api
 from lodewatch.operators import observed, risk, scan, stateful, threat
-from lodewatch.sources import readers, writers
+from lodewatch.sources import readers, seen, writers
 
 
 def text_of(folder):
@@ -87,3 +87,19 @@ def test_sources_are_asked_once_for_what_is_new(spark):
     assert [r.risk_score for r in out.results.orderBy("event_id").collect()] == [84, 84, 84, 100]
     assert asked == [["8.8.8.0", "8.8.8.1", "8.8.8.2"], ["8.8.8.0", "8.8.8.1", "8.8.8.2", "d.example"]]
     assert {r.ip: r.abuse_score for r in threat.ip_answers(threat.targets(events), service).collect()} == {f"8.8.8.{i}": 80 for i in range(3)}
+
+
+def test_a_filter_of_bits_spares_reading_what_is_kept(spark, tmp_path):
+    kept = seen.Filtered(spark, str(tmp_path / "kept"), ("a", "b"))
+    key = lambda ids: ids.select((F.col("id") % 700).alias("a"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("x"), "id")).alias("b"), F.lit(True).alias("novel"))
+    first, more, other = key(spark.range(3000)), key(spark.range(3000, 3100)), key(spark.range(10_000, 10_040))
+    assert kept.seen(first).count() == 0
+    for part in (first, more):
+        kept.keep(part)
+    found = {(r.a, r.b) for r in kept.candidates(first.unionByName(more)).collect()}
+    assert found == {(r.a, r.b) for r in first.unionByName(more).select("a", "b").collect()}
+    assert kept.candidates(other.where("b is not null")).count() <= 2  # of 32, bits are set by chance alone
+    asked = kept.seen(more.limit(3))
+    read = {f.split("part=")[1].split("/")[0] for f in asked.inputFiles()}
+    assert 1 <= asked.select("a").count() < 100
+    assert len(kept.candidates(more.limit(3)).select("part").distinct().collect()) <= 3 <= len(read)
