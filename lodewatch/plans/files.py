@@ -187,11 +187,12 @@ def whole_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT before // 20000 AS file, event_id FROM (SELECT event_id, CAST(sum(16 + length(event_id::VARCHAR)) OVER (ORDER BY event_id) - 16 - length(event_id::VARCHAR) AS BIGINT) AS before FROM events)")
 def rotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: files of twenty thousand bytes."""
+    """K2: files of twenty thousand bytes; ids are texts in their lines, as in all events, and go by their numbers."""
     path = table_path(spark, "rotated")
-    writers.write_rotated(Q.table(spark, sf_dir, "events").select("event_id"), path, 20_000, ["event_id"])
-    found = spark.read.schema("event_id long, file long").json(path)
-    return found.select("file", "event_id")
+    events = Q.table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), F.col("event_id").cast("string").alias("event_id"))
+    writers.write_rotated(events, path, 20_000, ["place"], fields=["event_id"])
+    found = spark.read.schema("event_id string, file long").json(path)
+    return found.select("file", F.col("event_id").cast("long").alias("event_id"))
 
 
 _EVENTS = "events_of AS (SELECT component, record_type, process_name, src_ip, dst_ip, dst_port, protocol, min(us) AS us FROM g GROUP BY component, record_type, source, process_name, user_name, src_ip, dst_ip, src_port, dst_port, protocol, direction, script_content)"

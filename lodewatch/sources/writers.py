@@ -89,14 +89,14 @@ def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: Da
     whole.select("value").write.mode("overwrite").text(path)
 
 
-def write_rotated(df: DataFrame, path: str, most_bytes: int, order: Sequence[str], mode: str = "overwrite") -> None:
-    """K2: JSON lines in the order of the columns, rotated by bytes: ``file=0`` and on, with one file in each.
+def write_rotated(df: DataFrame, path: str, most_bytes: int, order: Sequence[str], mode: str = "overwrite", fields: Sequence[str] | None = None) -> None:
+    """K2: JSON lines of the fields (all columns, unless told) in the order of the columns, rotated by bytes: ``file=0`` and on, with one file in each.
 
     A file ends with the line that reaches the next multiple of the limit, so
     it is longer than the limit by less than a line.  Which file a line goes to
     follows from a running sum, so files are written by as many tasks.
     """
-    lines = df.select(*order, sparse(df).alias("value"))
+    lines = df.select(*order, sparse(df.select(*(fields or df.columns))).alias("value"))
     placed = running(lines, [], {"before_": total(F.octet_length("value") + 1, before=True)}, order)
     numbered = placed.withColumn("file", F.floor(F.col("before_") / most_bytes))
     numbered.repartition("file").sortWithinPartitions("file", *order).select("file", "value").write.mode(mode).partitionBy("file").text(path)

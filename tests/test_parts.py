@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodewatch import api
 from lodewatch.operators import observed, risk, scan, stateful, threat
+from lodewatch.plans import files
 from lodewatch.sources import readers, seen, writers
 
 
@@ -40,6 +41,15 @@ def test_files_rotate_by_bytes(spark, tmp_path, monkeypatch):
         assert all(len(t) < 3000 + 250 for t in text) and len(text) == -(-sum(map(len, text)) // 3000)
 
 
+def test_rotated_events_by_the_bytes_of_their_sql(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    before, expected = 0, set()
+    for i in range(5000):
+        expected.add((before // 20_000, i))
+        before += 16 + len(str(i))
+    assert {(r.file, r.event_id) for r in files.rotated_files(spark, str(tmp_path)).collect()} == expected and len({f for f, _ in expected}) == 5
+
+
 def test_counters_without_another_pass(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 3, i * 20_000_000) for i in range(90)], "event_id long, k long, us long")
     rows, seen = observed.counted(stateful.dedup_decisions(events, ["k"], 100), observed.decision_counts())
