@@ -32,6 +32,23 @@ def test_ten_thousand_patterns_in_parts(spark, monkeypatch):
         assert {r.k: r.hits for r in patterns.with_hits(df, known, F.col("t")).collect()} == expected
 
 
+def test_patterns_that_many_rows_have_are_one(spark, monkeypatch):
+    # 2000 rows have one of 40 patterns: results hold a number or one pattern, never the ids.
+    table = [(i, f"W{i % 40:02d}", f"c{i % 3}", i % 7) for i in range(2000)] + [(5000, "", "all", -1), (5001, None, "none", 9)]
+    texts = [None, "", "w01 W02", "w39w00", "none", " ".join(f"w{i:02d}" for i in range(40))]
+    df, known = spark.createDataFrame(list(enumerate(texts)), "k long, t string"), spark.createDataFrame(table, "id long, pattern string, category string, severity int")
+    inside = [[r for r in table if r[1] is not None and t is not None and r[1].lower() in t.lower()] for t in texts]
+    best = [max(((s, -i, c) for i, _, c, s in rows), default=(None, None, None)) for rows in inside]
+    for size in (8 << 20, 300):
+        monkeypatch.setattr(patterns, "PART_BYTES", size)
+        counted, match = patterns.with_counts(df, known, F.col("t")), patterns.severest(df, known, F.col("t"))
+        assert {r.k: r.pattern_hits for r in counted.collect()} == {k: len(rows) for k, rows in enumerate(inside)}
+        assert [tuple(r) for r in match.orderBy("k").select("match.severity", "match.order", "match.category").collect()] == best
+        for found in (counted, match):
+            plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert "array<bigint>" not in found._jdf.schema().catalogString() and "Generate" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_longest_roots(spark):
     rng = random.Random(3)
     path = lambda: "c:\\" + "\\".join(rng.choice(["Users", "win", "é", "w"]) for _ in range(rng.randint(0, 4)))
