@@ -49,6 +49,15 @@ def test_patterns_that_many_rows_have_are_one(spark, monkeypatch):
             assert "array<bigint>" not in found._jdf.schema().catalogString() and "Generate" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_parts_of_a_table_are_searched_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "PART_BYTES", 200)
+    df, known = spark.createDataFrame([(1, "p001 p002 p199")], "k long, t string"), spark.createDataFrame([(i, f"p{i % 200:03d}") for i in range(400)], "id long, pattern string")
+    counted = patterns.with_counts(df, known, F.col("t"))
+    # Else a task would have a worker, and an automaton, for each part at once.
+    assert counted._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.pattern_hits for r in counted.collect()] == [6]
+
+
 def test_longest_roots(spark):
     rng = random.Random(3)
     path = lambda: "c:\\" + "\\".join(rng.choice(["Users", "win", "é", "w"]) for _ in range(rng.randint(0, 4)))
