@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
 from lodewatch.operators.components import components
 from lodewatch.operators.scan import last, running, total
+from lodewatch.shared import written
 
 ORDER = ("us", "event_id")
 #: Windows of time in a cell; an event within a window of a cell's border is in two.
@@ -155,6 +156,20 @@ def assign(events: DataFrame, edges: list[DataFrame]) -> DataFrame:
     return events.join(found.withColumnRenamed("node", "event_id"), "event_id", "left").withColumn("component", F.coalesce("component", "event_id"))
 
 
+def ranked(events: DataFrame) -> DataFrame:
+    """Adds ``rank_``, a number that has the order of the event ids, equal ones having one; it holds once it is written."""
+    dealt = events.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("rank_", F.monotonically_increasing_id())
+    return dealt.withColumn("rank_", F.min("rank_").over(Window.partitionBy("event_id")))
+
+
+def assign_ranked(events: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """``assign`` for links between the ``rank_`` of events: the component is an event id again."""
+    found = components(functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges]))
+    first = events.select(F.col("rank_").alias("component"), F.col("event_id").alias("id_")).join(found.select("component").distinct(), "component", "left_semi").distinct()
+    named = written(found.join(first, "component").select(F.col("node").alias("rank_"), F.col("id_").alias("component")), "named")
+    return events.join(named, "rank_", "left").drop("rank_").withColumn("component", F.coalesce("component", "event_id"))
+
+
 def group_type(types: Column) -> Column:
     """From the array of record types."""
     p, n, s = (F.array_contains(types, t) for t in ("process_start", "network_connect", "script_execution"))

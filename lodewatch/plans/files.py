@@ -11,7 +11,7 @@ from lodewatch.operators import aggregates, correlate, enrich, threat
 from lodewatch.plans import queries as Q
 from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import RAW, UNIFIED, unified
-from lodewatch.shared import table_path
+from lodewatch.shared import discard, steps, table_path
 from lodewatch.sources import readers, writers
 
 #: Rows of each file as the readers are to give them; every tenth line of the network file is there twice.
@@ -113,7 +113,10 @@ def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _correlated(spark: SparkSession, sf_dir: str) -> api.Correlation:
     paths = _written(spark, sf_dir)
-    return api.correlate_files(spark, list(paths.values()), {p: n for n, p in paths.items()}, Q.HOUR, Q.HOUR, Q.HOUR, ("pid", "window", "flow", "script"))
+    found = api.correlate_files(spark, list(paths.values()), {p: n for n, p in paths.items()}, Q.HOUR, Q.HOUR, Q.HOUR, ("pid", "window", "flow", "script"))
+    for p in paths.values():
+        discard(spark, p)
+    return found
 
 
 _EDGES = f"""
@@ -203,7 +206,8 @@ def group_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events nested in parts, written as JSON lines and read back as a threat document; each group's actions are there once."""
     path = table_path(spark, "nested")
     found = _correlated(spark, sf_dir)
-    writers.write_groups(found.assembled, path, correlate.nested(found.events, per_part=7))
+    with steps(spark):
+        writers.write_groups(found.assembled, path, correlate.nested(found.events, per_part=7))
     out = readers.threat_events(spark, path, by_line=True)
     text = lambda c: F.coalesce(c, F.lit(""))
     return out.select("record_type", "process_name", text("src_ip").alias("src_ip"), text("dst_ip").alias("dst_ip"), F.col("dst_port").cast("int").alias("dst_port")).groupBy("record_type", "process_name", "src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,40 @@ def session_dir(spark: SparkSession) -> str:
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A path that no other table has."""
-    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{spark.conf.get(_STEPS, None) or session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_STEPS, _RELEASE = "lodewatch.own.steps.dir", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends, and not when the driver's garbage is collected; for queries that are run once."""
+    old = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, old)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made within it go at its end, but for those whose path was made before; so do the shuffle files of each query.
+
+    Tables are compressed by zstd, which halves ids in hex digits.
+    """
+    codec, own = "spark.sql.parquet.compression.codec", table_path(spark, "steps")
+    old = {k: spark.conf.get(k, None) for k in (_STEPS, codec)}
+    spark.conf.set(_STEPS, own)
+    spark.conf.set(codec, "zstd")
+    try:
+        with released(spark):
+            yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+        discard(spark, own)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

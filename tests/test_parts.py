@@ -1,11 +1,12 @@
 """Documents and rotated logs as files, counters seen on the way, models saved and loaded, strict logs, functions as sources."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lodewatch import api
-from lodewatch.operators import observed, risk, scan, stateful, threat
+from lodewatch import api, shared
+from lodewatch.operators import components, correlate, observed, risk, scan, stateful, threat
 from lodewatch.plans import files
 from lodewatch.sources import readers, seen, writers
 
@@ -27,6 +28,21 @@ def test_a_document_is_one_value(spark, tmp_path):
     assert json.loads(text_of(tmp_path / "empty"))["correlated_groups"] == []
 
 
+def test_correlation_keeps_only_its_events(spark, tmp_path, monkeypatch):
+    lines = [{"ts": f"2026-01-05T10:{i // 60 % 60:02d}:{i % 60:02d}Z", "source": "npcap_live", "record_type": "process_start" if i % 9 == 0 else "script_execution" if i % 9 == 1 else "network_connect", "pid": i % 40, "process_name": f"p{i % 7}.exe" if i % 9 else "powershell.exe", "src_ip": f"10.0.0.{i % 3}", "dst_ip": f"8.8.8.{i % 9}", "src_port": i % 3, "dst_port": 80, "direction": ["INBOUND", "OUTBOUND"][i % 2]} for i in range(0, 3000, 7)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines + lines[:5])))
+    tables, kinds = Path(shared.session_dir(spark).removeprefix("file://")), []
+    before = set(tables.iterdir()) if tables.exists() else set()
+    monkeypatch.setattr(correlate, "components", lambda links: kinds.append(links.schema["a"].dataType.simpleString()) or components.components(links, 50))
+    rules = ("window", "flow", "script")
+    found = api.correlate_files(spark, [str(tmp_path / "in.jsonl")], None, 5, 5, None, rules)
+    assert [p.name.split("-")[0] for p in set(tables.iterdir()) - before] == ["grouped"] and kinds == ["bigint"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false" and spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+    plain = correlate.assign(found.events.drop("component"), correlate.links(found.events.drop("component"), 5, 5, None, rules))
+    of = lambda df: {r.event_id: r.component for r in df.select("event_id", "component").collect()}
+    assert of(found.events) == of(plain) and 1 < len(set(of(plain).values())) < len(lines)
+
+
 def test_files_rotate_by_bytes(spark, tmp_path, monkeypatch):
     rows = [(i, "x" * (i * 37 % 200)) for i in range(500)]
     df = spark.createDataFrame(rows, "event_id long, s string")
