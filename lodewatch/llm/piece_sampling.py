@@ -36,8 +36,12 @@ from lodewatch.llm.textkernels import _power_tables, mix
 OFFSET = 100.0
 #: Edges that a worker keeps; beyond, it starts anew. A matter of speed alone.
 MEMORY = 3_000_000
-#: Characters of text that are drawn for together, unless one text is longer.
-CHUNK_CHARS = 1_000_000
+#: Characters of text that are drawn for together, unless one text is longer; arrays take some hundred bytes for each.
+CHUNK_CHARS = 250_000
+#: Characters of new runs whose sums are made together, unless one run is longer. Sums of a run don't depend on the others.
+FRESH_CHARS = 50_000
+#: Rows of a batch that are Python objects at once.
+ROWS = 500
 #: Characters from which on a run's sums are made one by one and not beside other runs'.
 LONG_RUN = 256
 #: Bits of a share, and all of it; an edge of less than half of the smallest share is never drawn.
@@ -55,6 +59,24 @@ def _draws(x: np.ndarray) -> np.ndarray:
     return (mix(x) >> np.uint64(64 - SHARE_BITS)).astype(np.int64)
 
 
+def _cut(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have so many characters together at most, or of one longer text."""
+    i, size = 0, 0
+    for j, text in enumerate(texts):
+        if j > i and size + len(text) > most:
+            yield i, j
+            i, size = j, 0
+        size += len(text)
+    if texts:
+        yield i, len(texts)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _point(c: np.ndarray) -> np.ndarray:
     """A random-looking odd value for each code point."""
     return mix(c.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
@@ -150,8 +172,9 @@ class Sampler:
         for name, size, values in (("run_node", have, start + nodes), ("run_units", have, sizes), ("bound", edges, share + ((end + nodes) << SHARE_BITS)), ("back", edges, length), ("piece", edges, piece)):
             to = getattr(self, name)
             if size + len(values) > len(to):
-                to = np.resize(to, max(2 * len(to), size + len(values)))
-                setattr(self, name, to)
+                more = np.zeros(max(len(to) + len(to) // 4, size + len(values)), to.dtype)
+                more[:size] = to[:size]
+                setattr(self, name, to := more)
             to[size : size + len(values)] = values
         self.known.update(zip(runs, range(have, have + len(runs)), strict=True))
         self.n_nodes, self.n_edges = nodes + len(unit), edges + len(end)
@@ -224,8 +247,9 @@ class Sampler:
         n_runs = np.array([len(r) for r in runs_of], np.int64)
         flat = [r for runs in runs_of for r in runs]
         known = self.known
-        if fresh := list(dict.fromkeys(r for r in flat if r not in known)):
-            self.add(fresh)
+        fresh = list(dict.fromkeys(r for r in flat if r not in known))
+        for i, j in _cut(fresh, FRESH_CHARS):
+            self.add(fresh[i:j])
         which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         doc = np.repeat(np.arange(len(texts)), n_runs)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
@@ -288,19 +312,13 @@ def encode(df: DataFrame, model_path: str, alpha: float = 0.3, seed: int = 1, ke
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draw = sampler(model_path, alpha)
-        for batch in batches:
+        for batch in _slices(batches):
             keys = mix(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
             texts = batch.column("text").to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i + 1, len(texts[i])
-                while j < len(texts) and size + len(texts[j]) <= CHUNK_CHARS:
-                    size += len(texts[j])
-                    j += 1
+            for i, j in _cut(texts, CHUNK_CHARS):
                 ids, offsets = draw.sample(texts[i:j], keys[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names[:-1]), lists], names=names)
-                i = j
 
     from pyspark.sql import types as T
 
@@ -322,7 +340,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "text
         model = piece_model(model_path)
         table = model.byte_table()
         skip = 1 if model.prefix else 0
-        for batch in batches:
+        for batch in _slices(batches):
             column = batch.column(ids_col)
             texts = [None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_numpy().tolist()))[skip:].decode("utf-8", "replace") for x in column]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), to])
