@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.operators import correlate, threat
-from lodewatch.shared import released, steps, table_path, written
+from lodewatch.shared import discard, released, steps, table_path, written
 from lodewatch.sources import readers, writers
 
 
@@ -33,17 +33,21 @@ class Correlation:
             writers.write_document(self.groups, path, writers.meta(self.events, self.groups), correlate.nested(self.events))
 
 
-def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None) -> Correlation:
+def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None, delete: bool = False) -> Correlation:
     """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups.
 
     The events are read and parsed once, and written; so are the grouped ones, which all that follows reads.  Links are between
     the events' numbers in the order of their ids, eight bytes in place of 64.  What is written on the way is deleted.
+
+    delete: so are the inputs, as soon as they are read; for copies that are made for this call, as text is the largest of all forms.
     """
     kept = table_path(spark, "grouped")
     with steps(spark):
         path = table_path(spark, "ranked")
         with steps(spark):
             events = written((normalizers or readers.Normalizers()).ingest(spark, paths, sources), "events")
+            for p in paths if delete else ():
+                discard(spark, p)
             ranked = written(correlate.ranked(events), "ranked", path)
         short = ranked.withColumn("event_id", F.col("rank_"))
         grouped = written(correlate.assign_ranked(ranked, correlate.links(short, window, script_window, pid_gap, rules)), "grouped", kept)

@@ -11,7 +11,7 @@ from lodewatch.operators import aggregates, correlate, enrich, threat
 from lodewatch.plans import queries as Q
 from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import RAW, UNIFIED, unified
-from lodewatch.shared import discard, released, steps, table_path
+from lodewatch.shared import released, steps, table_path
 from lodewatch.sources import readers, writers
 
 #: Rows of each file as the readers are to give them; every tenth line of the network file is there twice.
@@ -113,10 +113,7 @@ def sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _correlated(spark: SparkSession, sf_dir: str) -> api.Correlation:
     paths = _written(spark, sf_dir)
-    found = api.correlate_files(spark, list(paths.values()), {p: n for n, p in paths.items()}, Q.HOUR, Q.HOUR, Q.HOUR, ("pid", "window", "flow", "script"))
-    for p in paths.values():
-        discard(spark, p)
-    return found
+    return api.correlate_files(spark, list(paths.values()), {p: n for n, p in paths.items()}, Q.HOUR, Q.HOUR, Q.HOUR, ("pid", "window", "flow", "script"), delete=True)
 
 
 _EDGES = f"""

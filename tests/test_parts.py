@@ -43,6 +43,19 @@ def test_correlation_keeps_only_its_events(spark, tmp_path, monkeypatch):
     assert of(found.events) == of(plain) and 1 < len(set(of(plain).values())) < len(lines)
 
 
+def test_written_inputs_go_before_links_are_made(spark, tmp_path, monkeypatch):
+    (tmp_path / "sf").mkdir()
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1700000000 + id * 7) AS ts, id % 5 AS user_id, element_at(array('click', 'signup', 'purchase', 'error'), 1 + CAST(id % 4 AS INT)) AS event_type, 1.5 AS value, concat('{\"k\": ', id % 30, '}') AS props FROM range(200)").write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    tables, there = Path(shared.session_dir(spark).removeprefix("file://")), []
+    before = set(tables.rglob("part-*.txt")) if tables.exists() else set()
+    ranked = correlate.ranked
+    monkeypatch.setattr(correlate, "ranked", lambda events: there.append(set(tables.rglob("part-*.txt")) - before) or ranked(events))
+    found = files._correlated(spark, str(tmp_path / "sf"))
+    assert there == [set()] and found.events.count() == 200
+    (tmp_path / "in.jsonl").write_text('{"ts":"2026-01-05T10:00:01Z","source":"npcap_live","pid":5}')
+    assert api.correlate_files(spark, [str(tmp_path / "in.jsonl")]).events.count() == 1 and (tmp_path / "in.jsonl").exists()
+
+
 def test_files_rotate_by_bytes(spark, tmp_path, monkeypatch):
     rows = [(i, "x" * (i * 37 % 200)) for i in range(500)]
     df = spark.createDataFrame(rows, "event_id long, s string")
