@@ -11,7 +11,7 @@ is asked: a number, the best pattern, or else all ids.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lodewatch.shared import discard, table_path, written
 
-#: Bytes of patterns in a part, about; a part's patterns go through the driver.
-PART_BYTES = 8 << 20
+#: Bytes of patterns in a part, about; a part's patterns go through the driver, and an automaton takes some twenty times as much.
+PART_BYTES = 4 << 20
 #: Texts in a batch of results at most, and ids in its lists, about.
 TEXTS, IDS = 1000, 1 << 20
 
@@ -34,7 +34,7 @@ def _built(shared) -> tuple[ahocorasick.Automaton | None, list[int], pa.Array]:
     name, words, values = shared.value
     if name not in _BUILT:
         _BUILT.clear()
-        find, empty = ahocorasick.Automaton(), []
+        find, empty = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for i, w in enumerate(words):
             if word := w.as_py():
                 find.add_word(word, i)
@@ -51,15 +51,18 @@ def _known(patterns: DataFrame, value: Column) -> DataFrame:
     return patterns.where("pattern is not null").groupBy(F.lower("pattern").alias("pattern")).agg(value.alias("value"))
 
 
-def _searched(df: DataFrame, known: DataFrame, text: Column, name: str, fold: Callable, size: Column, ordered: bool = False) -> DataFrame:
+def _searched(df: DataFrame, known: DataFrame, text: Column, name: str, fold: Callable, size: Column, ordered: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds what ``fold`` makes of each text: of what earlier parts gave, the places of patterns found, and all values of the part.
 
     size: bytes of a row of ``known``.  ordered: values of a part come greatest first.
+    keep: the columns of ``df`` that are needed after it (all unless given); a worker gets them with the text.
     """
     spark, before = df.sparkSession, None
     known = written(known, "patterns")
     parts = max(1, -(-(known.agg(F.sum(size)).first()[0] or 0) // PART_BYTES))
     out = df.withColumns({"text_": F.lower(text), name: F.lit(None).cast(known.schema["value"].dataType)})
+    if keep is not None:
+        out = out.select(*keep, "text_", name)
     for p in range(parts):
         part = known.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == p)
         part = (part.orderBy(F.desc("value")) if ordered else part).toArrow().combine_chunks()
@@ -128,17 +131,17 @@ def with_hits(df: DataFrame, patterns: DataFrame, text: Column, name: str = "hit
     return _searched(df, known, text, name, _all_ids, F.octet_length("pattern") + 8 * F.size("value")).withColumn(name, F.array_sort(name))
 
 
-def severest(df: DataFrame, patterns: DataFrame, text: Column, name: str = "match") -> DataFrame:
+def severest(df: DataFrame, patterns: DataFrame, text: Column, name: str = "match", keep: Sequence[str] | None = None) -> DataFrame:
     """Adds a struct ``severity``, ``order`` and ``category``: the severest pattern in the text, of equals that of the smallest id; null without one.
 
-    patterns: ``id``, ``pattern``, ``category``, ``severity`` (a number).
+    patterns: ``id``, ``pattern``, ``category``, ``severity`` (a number).  keep: the columns that stay, all unless given.
     """
     known = _known(patterns, F.max(F.struct(F.col("severity").cast("int").alias("severity"), (-F.col("id")).cast("long").alias("order"), "category")))
     size = F.octet_length("pattern") + F.coalesce(F.octet_length(F.col("value.category").cast("string")), F.lit(0)) + 16
-    return _searched(df, known, text, name, _best, size, ordered=True)
+    return _searched(df, known, text, name, _best, size, ordered=True, keep=keep)
 
 
-def with_counts(df: DataFrame, patterns: DataFrame, text: Column, name: str = "pattern_hits") -> DataFrame:
-    """Adds how many of the patterns (``id``, ``pattern``) occur in the text."""
+def with_counts(df: DataFrame, patterns: DataFrame, text: Column, name: str = "pattern_hits", keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds how many of the patterns (``id``, ``pattern``) occur in the text.  keep: the columns that stay, all unless given."""
     known = _known(patterns, F.count("*"))
-    return _searched(df, known, text, name, _sum, F.octet_length("pattern") + 8).withColumn(name, F.col(name).cast("int"))
+    return _searched(df, known, text, name, _sum, F.octet_length("pattern") + 8, keep=keep).withColumn(name, F.col(name).cast("int"))

@@ -26,13 +26,13 @@ def _table_of_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PATTERNS} SELECT d.doc_id, (SELECT count(*) FROM hits h WHERE h.doc_id = d.doc_id)::INT AS pattern_hits FROM documents d")
 def pattern_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many patterns of a table each document holds."""
-    return patterns.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), _table_of_patterns(spark, sf_dir), F.col("text")).select("doc_id", "pattern_hits")
+    return patterns.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), _table_of_patterns(spark, sf_dir), F.col("text"), keep=("doc_id",)).select("doc_id", "pattern_hits")
 
 
 @query(f"WITH {_PATTERNS} SELECT d.doc_id, severity::INT AS severity, category FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, id) AS rn FROM hits) h ON h.doc_id = d.doc_id AND rn = 1")
 def pattern_table_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The severest pattern of a table."""
-    found = patterns.severest(table(spark, sf_dir, "documents").select("doc_id", "text"), _table_of_patterns(spark, sf_dir), F.col("text"))
+    found = patterns.severest(table(spark, sf_dir, "documents").select("doc_id", "text"), _table_of_patterns(spark, sf_dir), F.col("text"), keep=("doc_id",))
     return found.select("doc_id", "match.severity", "match.category")
 
 

@@ -58,6 +58,21 @@ def test_parts_of_a_table_are_searched_in_turn(spark, monkeypatch):
     assert [r.pattern_hits for r in counted.collect()] == [6]
 
 
+def test_texts_go_once_to_a_worker(spark, tmp_path, monkeypatch):
+    """Of a query's columns only those that it needs are written between passes, beside the text itself."""
+    from lodewatch.plans import lookups
+
+    spark.sql("SELECT id AS doc_id, concat_ws(' ', 'Some words of', id, repeat(hex(id), 9), sha(CAST(id AS STRING))) AS text FROM range(60)").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sql("SELECT id AS item_id, concat('xxwords of ', id) AS text FROM range(20)").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole = {r.doc_id: r.pattern_hits for r in lookups.pattern_table_hits(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(patterns, "PART_BYTES", 100)
+    passes, written = [], patterns.written
+    monkeypatch.setattr(patterns, "written", lambda df, name, *a: (passes.append(df.columns) if name == "searched" else None) or written(df, name, *a))
+    parts = {r.doc_id: r.pattern_hits for r in lookups.pattern_table_hits(spark, str(tmp_path)).collect()}
+    assert parts == whole and sum(whole.values()) > 0
+    assert passes and all(c == ["doc_id", "text_", "pattern_hits"] for c in passes)
+
+
 def test_longest_roots(spark):
     rng = random.Random(3)
     path = lambda: "c:\\" + "\\".join(rng.choice(["Users", "win", "é", "w"]) for _ in range(rng.randint(0, 4)))
