@@ -4,55 +4,97 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewatch.operators import correlate, threat
-from lodewatch.shared import discard, released, steps, table_path, written
-from lodewatch.sources import readers, writers
+from lodewatch.shared import discard, steps, table_path, written
+from lodewatch.sources import readers, splits, writers
+
+#: Bytes of input files for which the events are cut into another slice, and the most slices.
+SLICE_BYTES, SLICES = 8 << 20, 16
 
 
 @dataclass(frozen=True)
 class Correlation:
-    """``events`` with their ``component``, ``assembled`` groups, and ``groups`` after their deduplication."""
-
-    events: DataFrame
-    assembled: DataFrame
-    groups: DataFrame
+    """``events`` with their ``component``, ``assembled`` groups, and ``groups`` after their deduplication.
 
-    def write(self, path: str) -> None:
-        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders."""
-        with released(self.events.sparkSession):
-            writers.write_groups(self.groups, f"{path}/groups", correlate.nested(self.events))
-            writers.meta(self.events, self.groups).write.mode("overwrite").json(f"{path}/meta")
+    ``grouped``: the events as they are kept in ``path``, with the number of their group, which is a column of eight bytes in place of 64 digits.
+    What is written of them is made of one of so many ``slices`` of the groups after the other.
+    """
 
-    def write_document(self, path: str) -> None:
-        """K1: one JSON document of ``meta`` and all groups with their events, over the files of a folder."""
-        with steps(self.events.sparkSession):
-            writers.write_document(self.groups, path, writers.meta(self.events, self.groups), correlate.nested(self.events))
+    grouped: DataFrame
+    path: str
+    slices: int = 1
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return correlate.named(self.grouped, self.grouped)
+
+    @cached_property
+    def assembled(self) -> DataFrame:
+        out = correlate.named(correlate.assemble(self.grouped, "group_"), self.grouped)
+        return out.select("component", *(c for c in out.columns if c != "component")).withColumn("corr_id", correlate.corr_id(out, "component"))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return correlate.dedup_groups(self.assembled)
+
+    def nested(self, per_part: int = 1000, of: int | None = None) -> DataFrame:
+        """The events of each group, or of those of a slice, as arrays in parts."""
+        grouped = self.grouped if of is None else self.grouped.where(correlate.in_slice("group_", self.slices) == of)
+        return correlate.named(correlate.nested(grouped, "group_", per_part), grouped)
+
+    def write(self, path: str, compression: str | None = None, delete: bool = False) -> None:
+        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go then."""
+        with steps(self.grouped.sparkSession):
+            groups = written(self.groups, "groups")
+            for i in range(self.slices):
+                writers.write_groups(groups, f"{path}/groups", self.nested(of=i), mode="append" if i else "overwrite", compression=compression)
+            writers.meta(self.grouped, groups).write.mode("overwrite").json(f"{path}/meta")
+        if delete:
+            discard(self.grouped.sparkSession, self.path)
+
+    def write_document(self, path: str, compression: str | None = None, delete: bool = False) -> None:
+        """K1: one JSON document of ``meta`` and all groups with their events, over the files of a folder; ``delete``: the kept events go as soon as they are read."""
+        spark = self.grouped.sparkSession
+        with steps(spark):
+            groups, rows = written(self.groups, "groups"), table_path(spark, "document")
+            meta = written(writers.meta(self.grouped, groups), "meta")
+            for i in range(self.slices):
+                made = writers.document_rows(groups, self.nested(of=i))
+                made.write.mode("append").parquet(rows)
+            if delete:
+                discard(spark, self.path)
+            writers.write_document_rows(spark.read.schema(made.schema).parquet(rows), path, meta, compression=compression)
 
 
 def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None, delete: bool = False) -> Correlation:
     """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups.
 
-    The events are read and parsed once, and written; so are the grouped ones, which all that follows reads.  Links are between
-    the events' numbers in the order of their ids, eight bytes in place of 64.  What is written on the way is deleted.
+    The events are read and parsed once, and written in slices; so are the grouped ones, which all that follows reads, and each
+    slice goes when its events are grouped.  Links are between the events' numbers in the order of their ids, eight bytes in
+    place of 64, and so are groups.  What is written on the way is deleted.
 
     delete: so are the inputs, as soon as they are read; for copies that are made for this call, as text is the largest of all forms.
     """
     kept = table_path(spark, "grouped")
+    slices = min(SLICES, 1 + sum(splits.total_bytes(spark, p) for p in paths) // SLICE_BYTES)
     with steps(spark):
-        path = table_path(spark, "ranked")
-        with steps(spark):
-            events = written((normalizers or readers.Normalizers()).ingest(spark, paths, sources), "events")
-            for p in paths if delete else ():
-                discard(spark, p)
-            ranked = written(correlate.ranked(events), "ranked", path)
-        short = ranked.withColumn("event_id", F.col("rank_"))
-        grouped = written(correlate.assign_ranked(ranked, correlate.links(short, window, script_window, pid_gap, rules)), "grouped", kept)
-    groups = correlate.assemble(grouped)
-    return Correlation(grouped, groups, correlate.dedup_groups(groups))
+        path = table_path(spark, "events")
+        events = (normalizers or readers.Normalizers()).ingest(spark, paths, sources)
+        events = written(events.withColumn("slice_", correlate.in_slice(correlate.first_digits(events), slices)), "events", path, "slice_", slices)
+        for p in paths if delete else ():
+            discard(spark, p)
+        ranked = correlate.ranked(events)
+        if "slice_" not in ranked.columns:
+            discard(spark, path)
+        short = ranked.drop("slice_").withColumn("event_id", F.col("rank_"))
+        links = correlate.links(short, window, script_window, pid_gap, rules)
+        grouped = correlate.assign_ranked(ranked, links, kept, slices, lambda s: discard(spark, f"{path}/slice_={s}"))
+    return Correlation(grouped, kept, slices)
 
 
 @dataclass(frozen=True)

@@ -16,19 +16,29 @@ from lodewatch.shared import discard, table_path, written
 FEW = 200_000
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """One step: the neighbours of a node are linked with the smallest of them and itself."""
+def _stars(links: DataFrame, path: str, large: bool) -> tuple[DataFrame, str]:
+    """One step: the neighbours of a node are linked with the smallest of them and itself; in place of the links, which lie in ``path``.
+
+    Least neighbours and links are written one after the other, so that what the one shuffles is gone when the other does.
+    """
+    spark, last = links.sparkSession, path
     if large:
         links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    aside, path = table_path(spark, "least"), table_path(spark, "stars")
     least = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = written(least, "least", aside)
     joined = links.join(least, F.col("a") == F.col("u"))
     if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Equal links are one after the small step that follows.
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+    out = written(out, "stars", path)
+    discard(spark, aside)
+    discard(spark, last)
+    return out, path
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +78,8 @@ def components(links: DataFrame, few: int = FEW) -> DataFrame:
         return links.coalesce(1).mapInArrow(_whole, f"node {kind}, component {kind}")
     seen = None
     while True:
-        last, path = path, table_path(spark, "stars")
-        links = written(_stars(_stars(links, True), False), "stars", path)
-        discard(spark, last)
+        for large in (True, False):
+            links, path = _stars(links, path, large)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -13,7 +13,7 @@ addresses of unlike hosts have nothing in common.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from lodewatch.shared import written
 ORDER = ("us", "event_id")
 #: Windows of time in a cell; an event within a window of a cell's border is in two.
 CELL = 64
+#: Hex digits of an id that make a number of eight bytes.
+DIGITS = 15
 #: R1 to R6.
 RULES = ("pid", "file", "window", "flow", "user", "script")
 
@@ -157,17 +159,49 @@ def assign(events: DataFrame, edges: list[DataFrame]) -> DataFrame:
 
 
 def ranked(events: DataFrame) -> DataFrame:
-    """Adds ``rank_``, a number that has the order of the event ids, equal ones having one; it holds once it is written."""
-    dealt = events.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("rank_", F.monotonically_increasing_id())
-    return dealt.withColumn("rank_", F.min("rank_").over(Window.partitionBy("event_id")))
+    """Adds ``rank_``, a number that has the order of the event ids, equal ones having one.
 
+    For ids in hex digits that is the number of their first digits, if no two events have the same, so that no row is moved.
+    All others are dealt by ranges of their ids and written; they lose the column ``slice_``.
+    """
+    number = first_digits(events)
+    if events.groupBy(number.alias("number_")).agg(F.count("*").alias("n")).where("number_ is null or n > 1").isEmpty():
+        return events.withColumn("rank_", number)
+    dealt = events.drop("slice_").repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("rank_", F.monotonically_increasing_id())
+    return written(dealt.withColumn("rank_", F.min("rank_").over(Window.partitionBy("event_id"))), "ranked")
 
-def assign_ranked(events: DataFrame, edges: list[DataFrame]) -> DataFrame:
-    """``assign`` for links between the ``rank_`` of events: the component is an event id again."""
-    found = components(functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges]))
-    first = events.select(F.col("rank_").alias("component"), F.col("event_id").alias("id_")).join(found.select("component").distinct(), "component", "left_semi").distinct()
-    named = written(found.join(first, "component").select(F.col("node").alias("rank_"), F.col("id_").alias("component")), "named")
-    return events.join(named, "rank_", "left").drop("rank_").withColumn("component", F.coalesce("component", "event_id"))
+
+def first_digits(events: DataFrame) -> Column:
+    """The number of the first digits of an id that has so many hex digits; null for other ids."""
+    event_id = F.col("event_id").cast("string")
+    return F.when(event_id.rlike(f"^[0-9a-f]{{{DIGITS}}}"), F.conv(F.substring(event_id, 1, DIGITS), 16, 10).cast("long"))
+
+
+def in_slice(number: Column | str, slices: int) -> Column:
+    """Which of the slices a number is of; none is of the first."""
+    return F.pmod(F.coalesce(number, F.lit(0)), F.lit(slices)).cast("int")
+
+
+def assign_ranked(events: DataFrame, edges: list[DataFrame], path: str, slices: int = 1, done: Callable[[int], None] = lambda _: None) -> DataFrame:
+    """``assign`` for links between the ``rank_`` of events, written to ``path``: with ``group_``, the smallest number that links lead to, and ``first_``, whether it is the event's own.
+
+    One slice of the events is joined after the other, so that no more of them lies in shuffle files; ``done`` is told each.
+    """
+    found = written(components(functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges])).select(F.col("node").alias("rank_"), F.col("component").alias("group_")), "found")
+    own = F.col("slice_") if "slice_" in events.columns else in_slice("rank_", slices)
+    group = F.coalesce("group_", "rank_")
+    for s in range(slices):
+        joined = events.where(own == s).join(found.where(in_slice("rank_", slices) == s), "rank_", "left")
+        joined = joined.withColumns({"group_": group, "first_": group == F.col("rank_")}).drop("rank_", "slice_")
+        joined.write.mode("append").parquet(path)
+        done(s)
+    return events.sparkSession.read.schema(joined.schema).parquet(path)
+
+
+def named(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows with ``component``, the event id of their ``group_``, in its place; ``grouped``: the events as ``assign_ranked`` leaves them."""
+    names = grouped.where("first_").groupBy("group_").agg(F.min("event_id").alias("component"))
+    return rows.join(names, "group_").drop("group_", "first_")
 
 
 def group_type(types: Column) -> Column:
@@ -190,7 +224,7 @@ SIGNATURE = ("record_type", "source", "process_name", "user_name", "src_ip", "ds
 
 def collapse(grouped: DataFrame, group: str = "component") -> DataFrame:
     """One row for each action of a group: count, first and last time, and the first event."""
-    return grouped.groupBy(group, *SIGNATURE).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("event_id", F.struct(*ORDER)).alias("first_event"))
+    return grouped.groupBy(group, *SIGNATURE).agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min(F.struct(*ORDER))["event_id"].alias("first_event"))
 
 
 def assemble(grouped: DataFrame, group: str = "component") -> DataFrame:

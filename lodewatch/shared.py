@@ -68,11 +68,22 @@ def steps(spark: SparkSession) -> Iterator[None]:
         discard(spark, own)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written to a new table in the shared folder and read again, which cuts its lineage."""
-    path = path or table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, path: str | None = None, by: str | None = None, values: int = 0) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read again, which cuts its lineage.
+
+    by: a column of so many values, each of which is a folder; rows are not sorted for it.
+    """
+    spark, path, writers = df.sparkSession, path or table_path(df.sparkSession, name), "spark.sql.maxConcurrentOutputFileWriters"
+    if by is None:
+        df.write.parquet(path)
+    else:
+        old = spark.conf.get(writers, None)
+        spark.conf.set(writers, str(values))
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            spark.conf.set(writers, old) if old else spark.conf.unset(writers)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

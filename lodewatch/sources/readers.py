@@ -53,7 +53,7 @@ def objects(spark: SparkSession, path: str, schema: StructType, source: str | No
     the file and the number of closing braces before the object, and its place
     among those of a broken one.
     """
-    found = splits.objects(splits.raw(spark, path, files, "}"))
+    found = splits.objects(splits.raw(spark, path, files, "}"), splits.braces(spark, path, files))
     place = F.concat_ws(":", splits.named(path, source), "number", F.when(F.col("nth") > 0, F.col("nth")))
     found = found.select("raw", _source(source), place.alias("line"), F.from_json("raw", schema).alias("r"))
     return found.select("raw", "source_file", "line", "r.*")

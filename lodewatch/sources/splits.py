@@ -54,6 +54,11 @@ def raw(spark: SparkSession, path: str, files: Sequence[str] | None = None, sepa
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
 
 
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a path, as they lie there."""
+    return int(spark.read.text(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _small(rows: DataFrame) -> bool:
     """Whether the splits of the files together are few, by their sizes."""
     conf = rows.sparkSession._jsparkSession.sessionState().conf()
@@ -158,8 +163,9 @@ def _starts(splits: pa.Table) -> pa.Table:
     """The state in which each split of a file is come to: texts before, in a string, depth; and for the last one whether its last text has its brace."""
     rows = sorted(splits.to_pylist(), key=lambda r: r["split"])
     spare = sum(r["n"] + r["bytes"] for r in rows) - rows[0]["size"]
-    # Bytes tell, but for files that are compressed or end elsewhere than their size says.
-    closed = spare == 0 if spare in (0, 1) else rows[-1]["ends"]
+    braces = rows[0].get("braces")
+    # Of a compressed file its braces tell, of others the bytes, but for files that end elsewhere than their size says.
+    closed = braces == sum(r["n"] for r in rows) if braces is not None else spare == 0 if spare in (0, 1) else rows[-1]["ends"]
     out, before, inside, depth = [], 0, False, 0
     for r in rows:
         out.append({"path": r["path"], "split": r["split"], "before": before, "n": r["n"], "inside": inside, "depth": depth, "closed": closed or r is not rows[-1]})
@@ -247,14 +253,29 @@ def _each_object(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part]), pa.array([p[1] for p in part], pa.int64()), pa.array(nth, pa.int64()), pa.array([p[2] for p in part])], names=["path", "number", "nth", "raw"])
 
 
-def objects(rows: DataFrame) -> DataFrame:
+#: Names of files that Spark unpacks as it reads, whose sizes say nothing of their texts.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
+def braces(spark: SparkSession, path: str, files: Sequence[str] | None = None) -> DataFrame | None:
+    """``path`` and ``braces``, how many closing ones it has, of each compressed file; none if there is no such file."""
+    rows = raw(spark, path, files, "{").where(F.col("path").rlike(PACKED))
+    if not any(re.search(PACKED, f) for f in rows.inputFiles()):
+        return None
+    return rows.groupBy("path").agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit("}"), F.lit("")))).alias("braces"))
+
+
+def objects(rows: DataFrame, braces: DataFrame | None = None) -> DataFrame:
     """JSON objects of ``raw`` rows that end at closing braces: ``path``, ``number`` (of the text in which it begins), ``nth`` and ``raw``.
 
     Files are cut into splits like any others.  Of what is broken, whole
     objects inside are given, told apart by ``nth``; the rest is skipped.
+    ``braces``: as the function of that name counts them, which tells whether a compressed file ends with one.
     """
     own = rows.select("path", "split", "size", "value")
     splits = own.mapInArrow(_summaries, _SPLIT)
+    if braces is not None:
+        splits = splits.join(braces, "path", "left")
     starts = splits.groupBy("path").applyInArrow(_starts, "path string, split long, before long, n long, inside boolean, depth long, closed boolean")
     found = _with_splits(rows.select("path", "split", "value"), starts).mapInArrow(_cut, _FOUND)
     # Parts are two for each split at most, besides splits that lie within one object.

@@ -33,9 +33,9 @@ def sparse(df: DataFrame) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def write_lines(df: DataFrame, path: str, per_file: int = 1_000_000, mode: str = "append") -> None:
+def write_lines(df: DataFrame, path: str, per_file: int = 1_000_000, mode: str = "append", compression: str | None = None) -> None:
     """K2, K4, K6: JSON lines in files of at most so many records; ``mode`` overwrite starts the log anew."""
-    df.select(sparse(df).alias("value")).write.mode(mode).option("maxRecordsPerFile", per_file).text(path)
+    df.select(sparse(df).alias("value")).write.mode(mode).option("maxRecordsPerFile", per_file).text(path, compression)
 
 
 def with_severity(df: DataFrame, severity: Column) -> DataFrame:
@@ -63,10 +63,10 @@ def console_lines(decisions: DataFrame) -> DataFrame:
     return decisions.where(F.col("forwarded") | (F.col("nth") <= 2) | (F.col("nth") % 10 == 0))
 
 
-def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None, group: str = "component") -> None:
+def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None, group: str = "component", mode: str = "overwrite", compression: str | None = None) -> None:
     """K1: correlated groups as JSON lines, partitioned by type; with ``nested``, a line for each part of a group's events."""
     out = groups if nested is None else groups.join(nested, group)
-    out.write.mode("overwrite").partitionBy("corr_type").json(path)
+    out.write.mode(mode).partitionBy("corr_type").json(path, compression=compression)
 
 
 def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: DataFrame | None = None, group: str = "component") -> None:
@@ -77,16 +77,25 @@ def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: Da
     committed by Spark, so a task that fails and runs again leaves nothing
     twice, and the document has any size.
     """
+    write_document_rows(written(document_rows(groups, nested, group), "document"), path, meta_row, group)
+
+
+def document_rows(groups: DataFrame, nested: DataFrame | None = None, group: str = "component") -> DataFrame:
+    """The lines of a document between its ends, with what they are ordered by."""
     out = groups if nested is None else groups.join(nested, group)
-    place = ["order_", group] if nested is None else ["order_", group, "part"]
+    return out.select(F.lit(1).alias("order_"), group, *([] if nested is None else ["part"]), F.to_json(F.struct(*out.columns)).alias("value"))
+
+
+def write_document_rows(rows: DataFrame, path: str, meta_row: DataFrame, group: str = "component", compression: str | None = None) -> None:
+    """``write_document`` for lines that are there already, as a table."""
+    place = [c for c in ("order_", group, "part") if c in rows.columns]
     key = F.struct(*place[1:])
-    rows = written(out.select(F.lit(1).alias("order_"), *place[1:], F.to_json(F.struct(*out.columns)).alias("value")), "document")
     first = rows.agg(F.min(key).alias("first_"))
     lines = rows.join(F.broadcast(first)).select(*place, F.concat(F.when(key == F.col("first_"), "").otherwise(","), "value").alias("value"))
     ends = meta_row.select(F.explode(F.array(F.struct(F.lit(0).alias("order_"), F.concat(F.lit('{"meta":'), F.to_json(F.struct(*meta_row.columns)), F.lit(',"correlated_groups":[')).alias("value")), F.struct(F.lit(2).alias("order_"), F.lit("]}").alias("value")))).alias("x")).select("x.*")
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = lines.unionByName(ends, allowMissingColumns=True).repartitionByRange(parts, *place).sortWithinPartitions(*place)
-    whole.select("value").write.mode("overwrite").text(path)
+    whole.select("value").write.mode("overwrite").text(path, compression)
 
 
 def write_rotated(df: DataFrame, path: str, most_bytes: int, order: Sequence[str], mode: str = "overwrite", fields: Sequence[str] | None = None) -> None:

@@ -1,5 +1,6 @@
 """Documents and rotated logs as files, counters seen on the way, models saved and loaded, strict logs, functions as sources."""
 
+import gzip
 import json
 from pathlib import Path
 
@@ -56,6 +57,52 @@ def test_written_inputs_go_before_links_are_made(spark, tmp_path, monkeypatch):
     assert api.correlate_files(spark, [str(tmp_path / "in.jsonl")]).events.count() == 1 and (tmp_path / "in.jsonl").exists()
 
 
+def test_events_are_grouped_slice_by_slice(spark, tmp_path, monkeypatch):
+    lines = [{"ts": f"2026-01-05T10:{i // 60 % 60:02d}:{i % 60:02d}Z", "source": "npcap_live", "pid": i % 90, "process_name": f"p{i % 7}.exe", "src_ip": f"10.0.0.{i % 3}", "dst_ip": f"8.8.8.{i % 9}"} for i in range(0, 3000, 7)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    left, assign = [], correlate.assign_ranked
+
+    def watched(events, edges, path, slices, done):
+        folder = Path(events.inputFiles()[0].removeprefix("file:")).parent.parent if "slice_" in events.columns else None
+        return assign(events, edges, path, slices, lambda s: (done(s), left.append(folder and len(list(folder.glob("slice_=*"))))))
+
+    def found(name):
+        c = api.correlate_files(spark, [str(tmp_path / "in.jsonl")], None, 5, 5)
+        c.write_document(str(tmp_path / name), "gzip")
+        made = json.loads("".join(gzip.open(p, "rt").read() for p in sorted((tmp_path / name).glob("part-*"))))
+        return {r.event_id: r.component for r in c.events.collect()}, {(g["corr_id"], g["part"], g["total_occurrences"], len(g["events"])) for g in made["correlated_groups"]}
+
+    monkeypatch.setattr(correlate, "assign_ranked", watched)
+    one = found("one")
+    monkeypatch.setattr(api, "SLICE_BYTES", 10_000)
+    assert found("more") == one and 1 < len(set(one[0].values())) < len(lines)
+    monkeypatch.setattr(correlate, "first_digits", lambda events: F.lit(7).cast("long"))
+    assert found("dealt") == one
+    n = (len(left) - 1) // 2
+    assert left == [0, *range(n - 1, -1, -1), *[None] * n] and 3 <= n <= api.SLICES
+
+
+def test_numbers_have_the_order_of_ids(spark):
+    ids = ["f" * 64, "0" * 64, "0" * 15 + "1" * 49, "a" * 15, "9" * 64]
+    of = lambda ids: {r.event_id: r.rank_ for r in correlate.ranked(spark.createDataFrame([(i,) for i in ids], "event_id string")).collect()}
+    for some in (ids[1:2] + ids[3:], ids, [*ids, "x"], ids[:2] + ids[:1], ["b", "a", "c"]):
+        found = of(some)
+        assert sorted(found, key=found.get) == sorted(set(some)) and len(set(found.values())) == len(set(some))
+    assert of(ids[:2]) == {"f" * 64: (1 << 60) - 1, "0" * 64: 0}
+
+
+def test_written_inputs_are_compressed_and_written_events_go(spark, tmp_path):
+    (tmp_path / "sf").mkdir()
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1700000000 + id * 7) AS ts, id % 50 AS user_id, element_at(array('click', 'signup', 'purchase', 'error'), 1 + CAST(id % 4 AS INT)) AS event_type, 1.5 AS value, concat('{\"k\": ', id % 30, '}') AS props FROM range(8000)").write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    paths = files._written(spark, str(tmp_path / "sf"))
+    assert sum(p.stat().st_size for x in paths.values() for p in Path(x.removeprefix("file://")).glob("part-*")) < 8000 * 60
+    tables = Path(shared.session_dir(spark).removeprefix("file://"))
+    before = set(tables.glob("grouped-*"))
+    expected = 8000 + sum(i % 4 == 0 and i % 7 != 0 and i % 10 == 1 for i in range(8000))
+    assert files.group_document(spark, str(tmp_path / "sf")).first().total_events == expected
+    assert files.whole_document(spark, str(tmp_path / "sf")).count() and set(tables.glob("grouped-*")) == before
+
+
 def test_files_rotate_by_bytes(spark, tmp_path, monkeypatch):
     rows = [(i, "x" * (i * 37 % 200)) for i in range(500)]
     df = spark.createDataFrame(rows, "event_id long, s string")

@@ -1,5 +1,6 @@
 """Readers of folders: formats and shapes of each file, numbers of lines, objects over splits, torn files."""
 
+import gzip
 import json
 import random
 
@@ -71,6 +72,17 @@ def test_one_long_line_is_read_by_many_tasks(spark, tmp_path, small_splits):
     assert found.select("line").distinct().count() == 1500
 
 
+def test_compressed_files_end_where_they_do(spark, tmp_path, small_splits):
+    texts = ["{", "{\n", '{"pid": 1}', '{"pid": 2}\n', '{"pid": 3}\n{"pid": 4', '[{"pid": 5}, {"pid": 6}]', '"pid":7}', '{"pid": 8, "process_name": "}', "\n"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+        with gzip.open(tmp_path / f"{i}.json.gz", "wt") as f:
+            f.write(text)
+    found = sorted((r.source_file.split("/")[-1].removesuffix(".gz"), r.pid, r.source_file.endswith(".gz")) for r in readers.objects(spark, str(tmp_path), schemas.NETWORK).collect())
+    plain, packed = ([x[:2] for x in found if x[2] == p] for p in (False, True))
+    assert packed == plain and [pid for _, pid in plain] == [1, 2, 3, 5, 6]
+
+
 def random_object(rng, depth=0):
     some = lambda: rng.choice([1, None, "x", "}{", "\\", '"', '{"q":1}', "a\nb", random_object(rng, depth + 1) if depth < 2 else 2, [random_object(rng, depth + 1)] if depth < 2 else 3])
     return {rng.choice(["a", "b{", "c}", 'd"', "e\\", "f\n"]): some() for _ in range(rng.randint(0, 4))}
