@@ -15,6 +15,8 @@ from lodewatch.sources import readers, splits, writers
 
 #: Bytes of input files for which the events are cut into another slice, and the most slices.
 SLICE_BYTES, SLICES = 8 << 20, 16
+#: Slices in a share of the groups that are assembled at once.
+SHARE = 4
 
 
 @dataclass(frozen=True)
@@ -35,9 +37,24 @@ class Correlation:
 
     @cached_property
     def assembled(self) -> DataFrame:
-        out = correlate.named(correlate.assemble(self.grouped, "group_"), self.grouped)
+        return self._assembled(self.grouped)
+
+    def _assembled(self, grouped: DataFrame) -> DataFrame:
+        out = correlate.named(correlate.assemble(grouped, "group_"), grouped)
         return out.select("component", *(c for c in out.columns if c != "component")).withColumn("corr_id", correlate.corr_id(out, "component"))
 
+    def kept_groups(self, delete: bool = False) -> DataFrame:
+        """``assembled``, written: a share of the groups after the other, so that no more events lie in shuffle files; ``delete``: the kept events go then."""
+        spark, shares = self.grouped.sparkSession, -(-self.slices // SHARE)
+        path = table_path(spark, "assembled")
+        with steps(spark):
+            for i in range(shares):
+                made = self._assembled(self.grouped.where(correlate.in_slice("group_", shares) == i))
+                made.write.mode("append").parquet(path)
+        if delete:
+            discard(spark, self.path)
+        return spark.read.schema(made.schema).parquet(path)
+
     @cached_property
     def groups(self) -> DataFrame:
         return correlate.dedup_groups(self.assembled)
@@ -50,7 +67,7 @@ class Correlation:
     def write(self, path: str, compression: str | None = None, delete: bool = False) -> None:
         """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go then."""
         with steps(self.grouped.sparkSession):
-            groups = written(self.groups, "groups")
+            groups = written(correlate.dedup_groups(self.kept_groups()), "groups")
             for i in range(self.slices):
                 writers.write_groups(groups, f"{path}/groups", self.nested(of=i), mode="append" if i else "overwrite", compression=compression)
             writers.meta(self.grouped, groups).write.mode("overwrite").json(f"{path}/meta")
@@ -61,7 +78,7 @@ class Correlation:
         """K1: one JSON document of ``meta`` and all groups with their events, over the files of a folder; ``delete``: the kept events go as soon as they are read."""
         spark = self.grouped.sparkSession
         with steps(spark):
-            groups, rows = written(self.groups, "groups"), table_path(spark, "document")
+            groups, rows = written(correlate.dedup_groups(self.kept_groups()), "groups"), table_path(spark, "document")
             meta = written(writers.meta(self.grouped, groups), "meta")
             for i in range(self.slices):
                 made = writers.document_rows(groups, self.nested(of=i))
@@ -71,7 +88,7 @@ class Correlation:
             writers.write_document_rows(spark.read.schema(made.schema).parquet(rows), path, meta, compression=compression)
 
 
-def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None, delete: bool = False) -> Correlation:
+def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence[str], sources: dict[str, str] | None = None, window: int = correlate.TIME_WINDOW, script_window: int = correlate.SCRIPT_WINDOW, pid_gap: int | None = None, rules: Sequence[str] = correlate.RULES, normalizers: readers.Normalizers | None = None, delete: bool = False, ids: bool = True) -> Correlation:
     """Reads files or folders of any known format, links their events by the rules, assembles and deduplicates groups.
 
     The events are read and parsed once, and written in slices; so are the grouped ones, which all that follows reads, and each
@@ -79,6 +96,7 @@ def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence
     place of 64, and so are groups.  What is written on the way is deleted.
 
     delete: so are the inputs, as soon as they are read; for copies that are made for this call, as text is the largest of all forms.
+    ids: False where groups alone are asked for; of the events' ids only those that name groups are kept, as ids are most of an event.
     """
     kept = table_path(spark, "grouped")
     slices = min(SLICES, 1 + sum(splits.total_bytes(spark, p) for p in paths) // SLICE_BYTES)
@@ -93,7 +111,7 @@ def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence
             discard(spark, path)
         short = ranked.drop("slice_").withColumn("event_id", F.col("rank_"))
         links = correlate.links(short, window, script_window, pid_gap, rules)
-        grouped = correlate.assign_ranked(ranked, links, kept, slices, lambda s: discard(spark, f"{path}/slice_={s}"))
+        grouped = correlate.assign_ranked(ranked, links, kept, slices, lambda s: discard(spark, f"{path}/slice_={s}"), ids)
     return Correlation(grouped, kept, slices)
 
 

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
-from lodewatch.operators.components import components
+from lodewatch.operators.components import Links, components
 from lodewatch.operators.scan import last, running, total
-from lodewatch.shared import written
+from lodewatch.shared import steps, table_path, written
 
 ORDER = ("us", "event_id")
 #: Windows of time in a cell; an event within a window of a cell's border is in two.
@@ -182,20 +182,26 @@ def in_slice(number: Column | str, slices: int) -> Column:
     return F.pmod(F.coalesce(number, F.lit(0)), F.lit(slices)).cast("int")
 
 
-def assign_ranked(events: DataFrame, edges: list[DataFrame], path: str, slices: int = 1, done: Callable[[int], None] = lambda _: None) -> DataFrame:
+def assign_ranked(events: DataFrame, edges: list[DataFrame], path: str, slices: int = 1, done: Callable[[int], None] = lambda _: None, ids: bool = True) -> DataFrame:
     """``assign`` for links between the ``rank_`` of events, written to ``path``: with ``group_``, the smallest number that links lead to, and ``first_``, whether it is the event's own.
 
     One slice of the events is joined after the other, so that no more of them lies in shuffle files; ``done`` is told each.
+    Without ``ids``, only events that name a group keep theirs.
     """
-    found = written(components(functools.reduce(DataFrame.unionByName, [e.select("a", "b") for e in edges])).select(F.col("node").alias("rank_"), F.col("component").alias("group_")), "found")
+    spark = events.sparkSession
+    aside = table_path(spark, "found")
+    with steps(spark):
+        found = written(components(Links(edges)).select(F.col("node").alias("rank_"), F.col("component").alias("group_")), "found", aside)
     own = F.col("slice_") if "slice_" in events.columns else in_slice("rank_", slices)
     group = F.coalesce("group_", "rank_")
     for s in range(slices):
         joined = events.where(own == s).join(found.where(in_slice("rank_", slices) == s), "rank_", "left")
         joined = joined.withColumns({"group_": group, "first_": group == F.col("rank_")}).drop("rank_", "slice_")
+        if not ids:
+            joined = joined.withColumn("event_id", F.when(F.col("first_"), F.col("event_id")))
         joined.write.mode("append").parquet(path)
         done(s)
-    return events.sparkSession.read.schema(joined.schema).parquet(path)
+    return spark.read.schema(joined.schema).parquet(path)
 
 
 def named(rows: DataFrame, grouped: DataFrame) -> DataFrame:
