@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from lodewatch.llm.blocks import bucket_of, slices
 from lodewatch.llm.common import written
 from lodewatch.llm.textkernels import mix
+from lodewatch.shared import discard, released, table_path
 
 #: Bytes of text in a shard, unless one text is longer, and of all open shards of a task.
 SHARD_BYTES, OPEN_BYTES = 8 << 20, 32 << 20
@@ -53,7 +54,7 @@ _KIND[list(BREAKS)] = 2
 #: Words of all texts for a bucket in which counts meet.
 BUCKET_WORDS = 2_000_000
 SHARDS = "shard long, lang string, n_words long, state binary"
-FOUND = "shard long, lang string, state binary, phrase string, k int, f long"
+FOUND = "shard long, lang string, state binary, phrase string, k int, f long, spelled int"
 
 
 @dataclass(frozen=True)
@@ -188,7 +189,7 @@ def _row(kinds: str, **values: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([values], schema)
 
 
-def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+def shards(df: DataFrame, lang_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """The written table of shards."""
     own = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
@@ -217,7 +218,7 @@ def shards(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         for lang in list(held):
             yield from done(lang)
 
-    return written(own.mapInArrow(each, SHARDS), "shards")
+    return written(own.mapInArrow(each, SHARDS), "shards", path=path)
 
 
 def _state(row: dict) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -332,7 +333,7 @@ def _applied(depth: int, most: int, buckets: int):
     """A shard with its answers: what is left of it for longer phrases, and the phrases that it is to spell."""
 
     def each(state: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("state", pa.binary()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+        schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("state", pa.binary()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64()), ("spelled", pa.int32())])
         if not state.num_rows or not answers.num_rows:
             return schema.empty_table()
         row = {c: state.column(c)[0] for c in ("shard", "lang", "state")}
@@ -355,7 +356,7 @@ def _applied(depth: int, most: int, buckets: int):
             names[end] = name[which]
             phrase = _spelled(words, ids, sent.made.end[spell], depth)
         n = len(phrase)
-        out = [pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.array([row["lang"].as_py()] * n, pa.string()), pa.nulls(n, pa.binary()), phrase, pa.array(np.full(n, depth, np.int32)), pa.array(f)], schema=schema)]
+        out = [pa.Table.from_arrays([pa.nulls(n, pa.int64()), pa.array([row["lang"].as_py()] * n, pa.string()), pa.nulls(n, pa.binary()), phrase, pa.array(np.full(n, depth, np.int32)), pa.array(f), pa.array(np.ones(n, np.int32))], schema=schema)]
         if depth < most:
             ids, names = trimmed(ids, names, depth)
             if len(ids):
@@ -366,7 +367,7 @@ def _applied(depth: int, most: int, buckets: int):
                 else:
                     own["names"], codes = np.unique(names, return_inverse=True)
                     own["codes"] = codes.astype(np.int32)
-                out.append(pa.Table.from_pylist([{"shard": row["shard"].as_py(), "lang": row["lang"].as_py(), "state": _packed(**own)}], schema))
+                out.append(pa.Table.from_pylist([{"shard": row["shard"].as_py(), "lang": row["lang"].as_py(), "state": _packed(**own), "spelled": 0}], schema))
         return pa.concat_tables(out)
 
     return each
@@ -374,18 +375,24 @@ def _applied(depth: int, most: int, buckets: int):
 
 def phrase_counts(df: DataFrame, least: int, most: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, n) of all words; (lang, phrase, k, f) of all phrases of 1 to ``most`` words that occur ``least`` times or more."""
-    state = shards(df, lang_col, text_col)
-    totals = state.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    buckets = max(1, -(-(state.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
+    spark = df.sparkSession
+    last = table_path(spark, "shards")
+    state = shards(df, lang_col, text_col, last)
+    totals = written(state.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
     found = []
     for depth in range(1, most + 1):
         state = state.select("shard", "lang", "state")
         sent = state.mapInArrow(_messages(depth, buckets), "bucket long, shard long, lang string, body binary")
         answers = sent.groupBy("bucket").applyInArrow(_answers(depth, least), "shard long, bucket long, body binary, spelled binary")
         both = state.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_applied(depth, most, buckets), FOUND)
-        both = written(both, f"phrases-{depth}")
-        found.append(both.where("phrase is not null").select("lang", "phrase", "k", "f"))
-        state = both.where("shard is not null")
+        # What a depth sends and the shards that it began with go when it is done; the phrases stay.
+        path = table_path(spark, f"phrases-{depth}")
+        with released(spark):
+            both = written(both, f"phrases-{depth}", path=path, by="spelled", values=2)
+        discard(spark, last)
+        found.append(both.where("spelled = 1").select("lang", "phrase", "k", "f"))
+        state, last = both.where("spelled = 0"), f"{path}/spelled=0"
     return totals, functools.reduce(DataFrame.unionByName, found)
 
 

@@ -25,9 +25,9 @@ _scratch: list[str] = []
 _open = False
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **how: str | int | None) -> DataFrame:
     """``shared.written``, which ``scratch`` keeps account of."""
-    out = shared.written(df, name)
+    out = shared.written(df, name, **how)
     if _open:
         _scratch.extend({f.rsplit("/", 1)[0] for f in out.inputFiles()})
     return out
