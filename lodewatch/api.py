@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,42 +37,71 @@ class Correlation:
 
     @cached_property
     def assembled(self) -> DataFrame:
-        return self._assembled(self.grouped)
+        return self._named(correlate.assemble(self.grouped, "group_"), self.grouped)
 
-    def _assembled(self, grouped: DataFrame) -> DataFrame:
-        out = correlate.named(correlate.assemble(grouped, "group_"), grouped)
+    def _named(self, groups: DataFrame, heads: DataFrame) -> DataFrame:
+        out = correlate.named(groups, heads)
         return out.select("component", *(c for c in out.columns if c != "component")).withColumn("corr_id", correlate.corr_id(out, "component"))
 
+    def _slice(self, of: int) -> DataFrame:
+        """The events of a slice of the actions, as one group may have most events."""
+        return self.grouped.where(correlate.in_slice(F.xxhash64("group_", *correlate.SIGNATURE), self.slices) == of)
+
+    def _heads(self) -> DataFrame:
+        """The events that name groups, written."""
+        return written(self.grouped.where("first_").select("group_", "event_id", "first_"), "heads")
+
     def kept_groups(self, delete: bool = False) -> DataFrame:
-        """``assembled``, written: a share of the groups after the other, so that no more events lie in shuffle files; ``delete``: the kept events go then."""
+        """``assembled``, written: of a slice of the actions after the other, so that no more events lie in shuffle files; ``delete``: the kept events go then."""
         spark, shares = self.grouped.sparkSession, -(-self.slices // SHARE)
         path = table_path(spark, "assembled")
         with steps(spark):
+            heads, paths, counts = self._heads(), [table_path(spark, "actions") for _ in range(self.slices)], table_path(spark, "unique")
+            for i, aside in enumerate(paths):
+                own = written(correlate.actions_of(self._slice(i), "group_"), "actions", aside)
+                unique = correlate.unique_of(own, "group_")  # an action is in one slice, so counts of slices add up
+                unique.write.mode("append").parquet(counts)
+            if delete:
+                discard(spark, self.path)
+            actions = spark.read.schema(own.schema).parquet(*paths)
+            unique = spark.read.schema(unique.schema).parquet(counts).groupBy("group_").agg(F.sum("unique_events").alias("unique_events"))
             for i in range(shares):
-                made = self._assembled(self.grouped.where(correlate.in_slice("group_", shares) == i))
+                share = correlate.in_slice("group_", shares) == i
+                made = self._named(correlate.of_actions(actions.where(share), unique.where(share), "group_"), heads)
                 made.write.mode("append").parquet(path)
-        if delete:
-            discard(spark, self.path)
         return spark.read.schema(made.schema).parquet(path)
 
     @cached_property
     def groups(self) -> DataFrame:
         return correlate.dedup_groups(self.assembled)
 
-    def nested(self, per_part: int = 1000, of: int | None = None) -> DataFrame:
-        """The events of each group, or of those of a slice, as arrays in parts."""
-        grouped = self.grouped if of is None else self.grouped.where(correlate.in_slice("group_", self.slices) == of)
-        return correlate.named(correlate.nested(grouped, "group_", per_part), grouped)
+    def nested(self, per_part: int = 1000) -> DataFrame:
+        """The events of each group as arrays in parts."""
+        return correlate.named(correlate.nested(self.grouped, "group_", per_part), self.grouped)
+
+    def _kept_nested(self, delete: bool) -> Iterator[DataFrame]:
+        """``nested``, a slice of the groups after the other.
+
+        Its actions are written before, a slice of them after the other; ``delete``: the kept events go then.
+        """
+        spark = self.grouped.sparkSession
+        heads, path = self._heads(), table_path(spark, "actions")
+        for i in range(self.slices):
+            made = correlate.collapse(self._slice(i), "group_")
+            made.write.mode("append").parquet(path)
+        if delete:
+            discard(spark, self.path)
+        actions = spark.read.schema(made.schema).parquet(path)
+        for i in range(self.slices):
+            yield correlate.named(correlate.in_parts(actions.where(correlate.in_slice("group_", self.slices) == i), "group_"), heads)
 
     def write(self, path: str, compression: str | None = None, delete: bool = False) -> None:
-        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go then."""
+        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go as soon as they are read."""
         with steps(self.grouped.sparkSession):
             groups = written(correlate.dedup_groups(self.kept_groups()), "groups")
-            for i in range(self.slices):
-                writers.write_groups(groups, f"{path}/groups", self.nested(of=i), mode="append" if i else "overwrite", compression=compression)
             writers.meta(self.grouped, groups).write.mode("overwrite").json(f"{path}/meta")
-        if delete:
-            discard(self.grouped.sparkSession, self.path)
+            for i, nested in enumerate(self._kept_nested(delete)):
+                writers.write_groups(groups, f"{path}/groups", nested, mode="append" if i else "overwrite", compression=compression)
 
     def write_document(self, path: str, compression: str | None = None, delete: bool = False) -> None:
         """K1: one JSON document of ``meta`` and all groups with their events, over the files of a folder; ``delete``: the kept events go as soon as they are read."""
@@ -80,11 +109,9 @@ class Correlation:
         with steps(spark):
             groups, rows = written(correlate.dedup_groups(self.kept_groups()), "groups"), table_path(spark, "document")
             meta = written(writers.meta(self.grouped, groups), "meta")
-            for i in range(self.slices):
-                made = writers.document_rows(groups, self.nested(of=i))
+            for nested in self._kept_nested(delete):
+                made = writers.document_rows(groups, nested)
                 made.write.mode("append").parquet(rows)
-            if delete:
-                discard(spark, self.path)
             writers.write_document_rows(spark.read.schema(made.schema).parquet(rows), path, meta, compression=compression)
 
 

@@ -240,15 +240,27 @@ def assemble(grouped: DataFrame, group: str = "component") -> DataFrame:
     that no group's events are held at once; ``nested`` puts them together in
     bounded parts.
     """
-    # Partial aggregation by action first: counts and extremes of a group follow from its actions'.
-    actions = grouped.groupBy(group, *SIGNATURE, "source_file", "pid").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    actions = actions_of(grouped, group)
+    return of_actions(actions, unique_of(actions, group), group)
+
+
+def actions_of(grouped: DataFrame, group: str) -> DataFrame:
+    """Partial aggregation by action: counts and extremes of a group follow from its actions'."""
+    return grouped.groupBy(group, *SIGNATURE, "source_file", "pid").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+
+
+def unique_of(actions: DataFrame, group: str) -> DataFrame:
+    return actions.select(group, *SIGNATURE).distinct().groupBy(group).agg(F.count("*").alias("unique_events"))
+
+
+def of_actions(actions: DataFrame, unique: DataFrame, group: str) -> DataFrame:
+    """``assemble`` for ``actions_of`` events and ``unique_of`` these."""
     some = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
     out = actions.groupBy(group).agg(
         F.sum("n").alias("total_occurrences"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us"),
         some("source_file").alias("source_files"), some("record_type").alias("record_types"), some("process_name").alias("processes"), some("user_name").alias("users"),
         F.array_sort(F.collect_set(F.when(F.col("pid") > 0, F.col("pid")))).alias("pids"), some("dst_ip").alias("dest_ips"), some("protocol").alias("protocols"),
     )
-    unique = actions.select(group, *SIGNATURE).distinct().groupBy(group).agg(F.count("*").alias("unique_events"))
     seconds = F.coalesce(F.round((F.col("end_us") - F.col("start_us")) / 1_000_000, 2), F.lit(0.0))
     out = out.join(unique, group).withColumns({"corr_type": group_type(F.col("record_types")), "duration_seconds": seconds})
     return out.withColumn("corr_id", corr_id(out, group))
@@ -256,7 +268,12 @@ def assemble(grouped: DataFrame, group: str = "component") -> DataFrame:
 
 def nested(grouped: DataFrame, group: str = "component", per_part: int = 1000) -> DataFrame:
     """The actions of each group as arrays ``events``, in time order, in parts of at most so many: ``part`` from 0."""
-    placed = running(collapse(grouped, group), [group], {"place": total(F.lit(1), before=True)}, ("first_us", "first_event"))
+    return in_parts(collapse(grouped, group), group, per_part)
+
+
+def in_parts(actions: DataFrame, group: str = "component", per_part: int = 1000) -> DataFrame:
+    """``nested`` for actions as ``collapse`` leaves them."""
+    placed = running(actions, [group], {"place": total(F.lit(1), before=True)}, ("first_us", "first_event"))
     placed = placed.withColumn("part", F.floor(F.col("place") / per_part).cast("int"))
     event = F.struct(F.col("first_us"), F.col("first_event"), F.col("last_us"), F.when(F.col("n") > 1, F.col("n")).alias("count"), *SIGNATURE)
     return placed.groupBy(group, "part").agg(F.array_sort(F.collect_list(event)).alias("events"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import pytest
 
 from lodewatch import api, shared
-from lodewatch.operators import components
+from lodewatch.operators import components, correlate
 from lodewatch.plans import files
 
 
@@ -56,6 +57,26 @@ def test_steps_of_components_go_by_slices_of_the_nodes(spark, monkeypatch):
     whole, names = of(), []
     written = components.written
     monkeypatch.setattr(components, "SLICE_LINKS", 100)
+    monkeypatch.setattr(components, "SLICES", 2)
     monkeypatch.setattr(components, "written", lambda df, name, path=None: names.append(name) or written(df, name, path))
     assert of() == whole and components.components(df, 10).count() == len(whole)
     assert names.count("least") % (2 * components.SLICES) == 0 and names
+
+
+def test_one_group_of_all_events_is_collapsed_in_slices(spark, tmp_path, monkeypatch):
+    lines = [{"ts": f"2026-01-05T10:{i // 60 % 60:02d}:{i % 60:02d}Z", "source": "npcap_live", "pid": 1, "process_name": f"p{i % 7}.exe", "src_ip": f"10.0.{i % 2}.{i % 200}", "dst_ip": f"8.8.8.{i % 9}"} for i in range(2500)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    sizes, collapse = [], correlate.collapse
+
+    def found(name):
+        c = api.correlate_files(spark, [str(tmp_path / "in.jsonl")], None, 5, 5)
+        c.write(str(tmp_path / name), delete=True)
+        rows = spark.read.json(str(tmp_path / name / "groups")).selectExpr("part", "total_occurrences", "size(events) AS n", "md5(to_json(events)) AS h").collect()
+        assert not Path(c.path.removeprefix("file://")).exists()
+        return sorted(map(tuple, rows))
+
+    one = found("one")
+    monkeypatch.setattr(api, "SLICE_BYTES", 50_000)
+    monkeypatch.setattr(correlate, "collapse", lambda grouped, *a: sizes.append(grouped.count()) or collapse(grouped, *a))
+    assert found("more") == one and len(one) > 1 and {r[1] for r in one} == {2500}
+    assert len(sizes) > 3 and sum(sizes) == 2500 and max(sizes) < 2500
