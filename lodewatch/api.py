@@ -79,7 +79,7 @@ class Correlation:
         """The events of each group as arrays in parts."""
         return correlate.named(correlate.nested(self.grouped, "group_", per_part), self.grouped)
 
-    def _kept_nested(self, delete: bool) -> Iterator[DataFrame]:
+    def _kept_nested(self, delete: bool, per_part: int = 1000) -> Iterator[DataFrame]:
         """``nested``, a slice of the groups after the other.
 
         Its actions are written before, a slice of them after the other; ``delete``: the kept events go then.
@@ -93,14 +93,18 @@ class Correlation:
             discard(spark, self.path)
         actions = spark.read.schema(made.schema).parquet(path)
         for i in range(self.slices):
-            yield correlate.named(correlate.in_parts(actions.where(correlate.in_slice("group_", self.slices) == i), "group_"), heads)
+            yield correlate.named(correlate.in_parts(actions.where(correlate.in_slice("group_", self.slices) == i), "group_", per_part), heads)
 
-    def write(self, path: str, compression: str | None = None, delete: bool = False) -> None:
-        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go as soon as they are read."""
+    def write(self, path: str, compression: str | None = None, delete: bool = False, per_part: int = 1000, merged: bool = True) -> None:
+        """K1: ``groups`` with their events in parts, and ``meta``, as JSON lines in two folders; ``delete``: the kept events go as soon as they are read.
+
+        merged: False for all groups, as they are before their deduplication.
+        """
         with steps(self.grouped.sparkSession):
-            groups = written(correlate.dedup_groups(self.kept_groups()), "groups")
+            groups = self.kept_groups()
+            groups = written(correlate.dedup_groups(groups), "groups") if merged else groups
             writers.meta(self.grouped, groups).write.mode("overwrite").json(f"{path}/meta")
-            for i, nested in enumerate(self._kept_nested(delete)):
+            for i, nested in enumerate(self._kept_nested(delete, per_part)):
                 writers.write_groups(groups, f"{path}/groups", nested, mode="append" if i else "overwrite", compression=compression)
 
     def write_document(self, path: str, compression: str | None = None, delete: bool = False) -> None:

@@ -11,7 +11,7 @@ from lodewatch.operators import aggregates, correlate, enrich, threat
 from lodewatch.plans import queries as Q
 from lodewatch.plans.registry import query, with_view
 from lodewatch.plans.views import RAW, UNIFIED, unified
-from lodewatch.shared import released, steps, table_path
+from lodewatch.shared import released, table_path
 from lodewatch.sources import readers, writers
 
 #: Rows of each file as the readers are to give them; every tenth line of the network file is there twice.
@@ -211,10 +211,8 @@ _EVENTS = "events_of AS (SELECT component, record_type, process_name, src_ip, ds
 def group_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events nested in parts, written as JSON lines and read back as a threat document; each group's actions are there once."""
     path = table_path(spark, "nested")
-    found = _correlated(spark, sf_dir)
-    with steps(spark):
-        writers.write_groups(found.assembled, path, found.nested(7))
-    out = readers.threat_events(spark, path, by_line=True)
+    _correlated(spark, sf_dir).write(path, _PACKED, delete=True, per_part=7, merged=False)
+    out = readers.threat_events(spark, f"{path}/groups", by_line=True)
     text = lambda c: F.coalesce(c, F.lit(""))
     return out.select("record_type", "process_name", text("src_ip").alias("src_ip"), text("dst_ip").alias("dst_ip"), F.col("dst_port").cast("int").alias("dst_port")).groupBy("record_type", "process_name", "src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n"))
 

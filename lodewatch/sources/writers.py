@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
 from lodewatch.operators.scan import running, total
@@ -63,10 +64,20 @@ def console_lines(decisions: DataFrame) -> DataFrame:
     return decisions.where(F.col("forwarded") | (F.col("nth") <= 2) | (F.col("nth") % 10 == 0))
 
 
-def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None, group: str = "component", mode: str = "overwrite", compression: str | None = None) -> None:
-    """K1: correlated groups as JSON lines, partitioned by type; with ``nested``, a line for each part of a group's events."""
-    out = groups if nested is None else groups.join(nested, group)
-    out.write.mode(mode).partitionBy("corr_type").json(path, compression=compression)
+def in_lines(groups: DataFrame, nested: DataFrame, group: str = "component") -> DataFrame:
+    """A row for each part of a group's events, with the group's columns.
+
+    Its arrays have no bound, and are in its first part alone: in each they would grow with the square of a group.
+    Groups are the side of the join whose rows of a key are held, as there is one; a group's parts may be most of the events.
+    """
+    own = [F.when(F.col("part") == 0, F.col(f.name)).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in groups.schema.fields]
+    return nested.join(groups, group).select(*own, *(c for c in nested.columns if c != group))
+
+
+def write_groups(groups: DataFrame, path: str, nested: DataFrame | None = None, group: str = "component", mode: str = "overwrite", compression: str | None = None, per_file: int = 20_000) -> None:
+    """K1: correlated groups as JSON lines, partitioned by type, so many in a file at most; with ``nested``, a line for each part of a group's events (``in_lines``)."""
+    out = groups if nested is None else in_lines(groups, nested, group)
+    out.write.mode(mode).option("maxRecordsPerFile", per_file).partitionBy("corr_type").json(path, compression=compression)
 
 
 def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: DataFrame | None = None, group: str = "component") -> None:
@@ -82,7 +93,7 @@ def write_document(groups: DataFrame, path: str, meta_row: DataFrame, nested: Da
 
 def document_rows(groups: DataFrame, nested: DataFrame | None = None, group: str = "component") -> DataFrame:
     """The lines of a document between its ends, with what they are ordered by."""
-    out = groups if nested is None else groups.join(nested, group)
+    out = groups if nested is None else in_lines(groups, nested, group)
     return out.select(F.lit(1).alias("order_"), group, *([] if nested is None else ["part"]), F.to_json(F.struct(*out.columns)).alias("value"))
 
 

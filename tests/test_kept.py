@@ -80,3 +80,22 @@ def test_one_group_of_all_events_is_collapsed_in_slices(spark, tmp_path, monkeyp
     monkeypatch.setattr(correlate, "collapse", lambda grouped, *a: sizes.append(grouped.count()) or collapse(grouped, *a))
     assert found("more") == one and len(one) > 1 and {r[1] for r in one} == {2500}
     assert len(sizes) > 3 and sum(sizes) == 2500 and max(sizes) < 2500
+
+
+def test_arrays_of_a_group_are_in_its_first_line_alone(spark, tmp_path, monkeypatch):
+    # A pid's events are minutes apart, and so are one group.
+    spark.sql("SELECT id AS event_id, timestamp_seconds(1700000000 + id * 60) AS ts, id % 2 AS user_id, element_at(array('click', 'signup', 'purchase', 'error'), 1 + CAST(id % 4 AS INT)) AS event_type, 1.5 AS value, concat('{\"k\": ', id % 29, '}') AS props FROM range(600)").write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    lines = []
+    read = files.readers.threat_events
+
+    def watched(spark, path, by_line):
+        lines.extend(json.loads(r.value) for r in spark.read.text(path).select("value").collect())
+        return read(spark, path, by_line=by_line)
+
+    monkeypatch.setattr(files.readers, "threat_events", watched)
+    rows = files.group_events(spark, str(tmp_path / "sf")).collect()
+    first = [x for x in lines if x["part"] == 0]
+    assert {x["component"] for x in first} == {x["component"] for x in lines} and len(first) == len({x["component"] for x in lines}) < len(lines)
+    assert all(x["dest_ips"] or x["record_types"] for x in first) and not any({"dest_ips", "pids", "processes", "record_types"} & set(x) for x in lines if x["part"])
+    assert all(x["corr_id"] and x["total_occurrences"] and 0 < len(x["events"]) <= 7 for x in lines)
+    assert sum(r.n for r in rows) == sum(len(x["events"]) for x in lines) == sum(x["unique_events"] for x in first)
