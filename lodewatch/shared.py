@@ -36,6 +36,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 _STEPS, _RELEASE = "lodewatch.own.steps.dir", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 @contextmanager
@@ -49,6 +50,17 @@ def released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_RELEASE, old)
 
 
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """Within it, tables are read so many rows at a time; for rows of some hundred kilobytes, of which the usual 4096 are a gigabyte."""
+    old = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old) if old else spark.conf.unset(_BATCH)
+
+
 @contextmanager
 def steps(spark: SparkSession) -> Iterator[None]:
     """Tables that are made within it go at its end, but for those whose path was made before; so do the shuffle files of each query.

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType
 
 from lodewatch.functions.tables import GENERIC_PROCESSES, SCRIPT_WINDOW, TIME_WINDOW
 from lodewatch.operators.scan import running, total
-from lodewatch.shared import written
+from lodewatch.shared import few_at_once, written
 
 # Fixed values. Names that script log rows carry.
 SCRIPT_ENDPOINT, SCRIPT_SOURCE = "amsi_monitor", "AMSI-Buffer"
@@ -106,7 +106,8 @@ def write_document_rows(rows: DataFrame, path: str, meta_row: DataFrame, group:
     ends = meta_row.select(F.explode(F.array(F.struct(F.lit(0).alias("order_"), F.concat(F.lit('{"meta":'), F.to_json(F.struct(*meta_row.columns)), F.lit(',"correlated_groups":[')).alias("value")), F.struct(F.lit(2).alias("order_"), F.lit("]}").alias("value")))).alias("x")).select("x.*")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = lines.unionByName(ends, allowMissingColumns=True).repartitionByRange(parts, *place).sortWithinPartitions(*place)
-    whole.select("value").write.mode("overwrite").text(path, compression)
+    with few_at_once(rows.sparkSession):
+        whole.select("value").write.mode("overwrite").text(path, compression)
 
 
 def write_rotated(df: DataFrame, path: str, most_bytes: int, order: Sequence[str], mode: str = "overwrite", fields: Sequence[str] | None = None) -> None:

@@ -10,6 +10,7 @@ import pytest
 from lodewatch import api, shared
 from lodewatch.operators import components, correlate
 from lodewatch.plans import files
+from lodewatch.sources import writers
 
 
 def _tables(spark) -> Path:
@@ -99,3 +100,21 @@ def test_arrays_of_a_group_are_in_its_first_line_alone(spark, tmp_path, monkeypa
     assert all(x["dest_ips"] or x["record_types"] for x in first) and not any({"dest_ips", "pids", "processes", "record_types"} & set(x) for x in lines if x["part"])
     assert all(x["corr_id"] and x["total_occurrences"] and 0 < len(x["events"]) <= 7 for x in lines)
     assert sum(r.n for r in rows) == sum(len(x["events"]) for x in lines) == sum(x["unique_events"] for x in first)
+
+
+def test_documents_hold_no_groups_parts_at_once(spark, tmp_path, monkeypatch):
+    groups = spark.sql("SELECT id AS component, concat('CG-', id) AS corr_id, 90L AS total_occurrences, array('a', 'b') AS dest_ips FROM range(3)")
+    nested = spark.sql("SELECT id % 3 AS component, CAST(id DIV 3 AS INT) AS part, array(named_struct('first_us', id)) AS events FROM range(90)")
+    join = writers.document_rows(groups, nested)._jdf.queryExecution().analyzed()
+    while join.nodeName() != "Join":
+        join = join.children().apply(0)
+    # A key's rows are held of the side on the right.
+    assert "part#" in join.children().apply(0).output().toString() and "dest_ips#" in join.children().apply(1).output().toString()
+    sizes, kind = [], type(groups)
+    write = kind.write.fget
+    monkeypatch.setattr(kind, "write", property(lambda df: sizes.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) or write(df)))
+    usual = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    writers.write_document(groups, str(tmp_path / "out"), spark.sql("SELECT 90 AS total_events"), nested)
+    assert sizes == [usual, "64"] and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == usual
+    found = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))["correlated_groups"]
+    assert [(g["component"], g["part"], g.get("dest_ips"), g["total_occurrences"], g["events"]) for g in found] == [(c, p, None if p else ["a", "b"], 90, [{"first_us": 3 * p + c}]) for c in range(3) for p in range(30)]
