@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,7 +142,8 @@ def correlate_files(spark: SparkSession, paths: dict[str, str | None] | Sequence
             discard(spark, path)
         short = ranked.drop("slice_").withColumn("event_id", F.col("rank_"))
         links = correlate.links(short, window, script_window, pid_gap, rules)
-        grouped = correlate.assign_ranked(ranked, links, kept, slices, lambda s: discard(spark, f"{path}/slice_={s}"), ids)
+        assign = correlate.assign_ranked if ids else partial(correlate.assign_ranked, ids=False)
+        grouped = assign(ranked, links, kept, slices, lambda s: discard(spark, f"{path}/slice_={s}"))
     return Correlation(grouped, kept, slices)
 
 
